@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_LIMIT, Scratch, checked_join, pick, prepare
+from .runtime import Scratch, pick, prepare
 from .tokens import stream
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
@@ -59,11 +59,10 @@ def _count(path: str, version: str):
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, cache: DigestCache | None = None, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, cache: DigestCache | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) for each row of ``docs``.
 
-    Without ``cache`` a new one is begun in the shared folder. Text is moved only if the list of the rows to encode, one
-    for each missing digest, is over ``broadcast_limit`` bytes.
+    Without ``cache`` a new one is begun in the shared folder. Text is moved once, to meet the list of missing digests.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -76,7 +75,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, cache: Dige
     stored = cache.read().where(F.col("tokenizer") == tokens.version)
     owners = digests.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id")))["doc_id"].alias("owner"))
     owners = work.table(owners.join(stored.select("content"), "content", "left_anti"), "misses")
-    misses = checked_join(keyed, owners.select(F.col("content").alias("c"), "owner"), (F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi", 112, broadcast_limit)
+    misses = keyed.join(owners.select(F.col("content").alias("c"), "owner"), (F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
     cache.append(misses.select("content", "text").mapInArrow(_count(tokenizer, tokens.version), CACHE_SCHEMA))
     known = cache.read().where(F.col("tokenizer") == tokens.version)
     known = work.table(known.select("content", "n_tokens"), "known")
