@@ -63,14 +63,19 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> bool:
-    """Whether a table that is already computed may be broadcast: its row count times ``row_bytes`` is at most ``limit``."""
-    return limit > 0 and df.limit(limit // row_bytes + 1).count() <= limit // row_bytes
+def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT, items: str | None = None, item_bytes: int = 0) -> bool:
+    """Whether a table that is already computed may be broadcast: ``row_bytes`` a row, and ``item_bytes`` for each entry of
+    its array column ``items``, come to at most ``limit``."""
+    if limit <= 0:
+        return False
+    many = F.sum(F.size(items)) if items else F.lit(0)
+    n, m = df.agg(F.count("*"), F.coalesce(many, F.lit(0))).head()
+    return n * row_bytes + m * item_bytes <= limit
 
 
-def checked_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def checked_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, limit: int = BROADCAST_LIMIT, items: str | None = None, item_bytes: int = 0) -> DataFrame:
     """Join with ``small`` (a computed table) broadcast if its size allows it, else by a shuffle that AQE may split."""
-    return big.join(F.broadcast(small) if small_enough(small, row_bytes, limit) else small, on, how)
+    return big.join(F.broadcast(small) if small_enough(small, row_bytes, limit, items, item_bytes) else small, on, how)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
