@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, language_id, substring_dedup, token_counts
+from . import ann, chat, decontaminate, jaccard_join, language_id, packing, quality, substring_dedup, token_binary, token_counts
+
+
+#: The id that ends each document in packed and stored token streams.
+END_ID = 2
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +30,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.write_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID).read()
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_read(spark, sf_dir, "documents"))
 
@@ -34,6 +50,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), END_ID)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -44,8 +64,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+_QUERIES = (op1_substring_dedup, op2_token_counts, op3_token_binary, op4_nearest_neighbours, op5_quality, op6_language_id, op7_jaccard_join, op8_packing, op9_chat_format, op10_decontamination)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op6_language_id, op7_jaccard_join, op9_chat_format, op10_decontamination)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _CTL = "<<SYS>>|<</SYS>>|\\[INST\\]|\\[/INST\\]|<s>|</s>|<\\|role\\|>|<\\|text\\|>|<\\|end\\|>"
