@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import sequence_queries, vector_queries
+
 
 def queries() -> dict:
-    return {}
+    return {**vector_queries.QUERIES, **sequence_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**vector_queries.SQL, **sequence_queries.SQL}
