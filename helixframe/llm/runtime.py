@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side, in bytes, that a join may broadcast; larger sides are shuffled.
-BROADCAST_LIMIT = 24 << 20
+BROADCAST_LIMIT = 32 << 20
 
 _PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -78,6 +78,12 @@ def checked_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int,
     return big.join(F.broadcast(small) if small_enough(small, row_bytes, limit, items, item_bytes) else small, on, how)
 
 
+def narrowed(big: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """``big`` without rows whose key is not in ``ids`` (a computed table of distinct 8-byte keys), if that list may be
+    broadcast; else ``big`` as it is. An exact join by the same key follows in either case."""
+    return big.join(F.broadcast(ids), key, "left_semi") if small_enough(ids, 24, limit) else big
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that extra columns of any name cannot clash."""
     return df.select(*(F.col(f"`{n}`") for n in names))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_LIMIT, Scratch, checked_join, pick, prepare
+from .runtime import BROADCAST_LIMIT, Scratch, narrowed, pick, prepare, small_enough
 from .text import Words
 
 _STRETCH = "a long, c long, doc_id long, h int, s int, e int"
@@ -106,11 +106,14 @@ class FingerprintIndex:
         self.spark, self.window, self.gram, self.fanout, self.limit = spark, window, gram, fanout, broadcast_limit
         self.work = Scratch(spark, "fingerprints")
         self.runs: list[tuple[str, DataFrame]] = []
-        self._made = 0
+        self._made, self._open = 0, []
 
     def _name(self, kind: str) -> str:
         self._made += 1
-        return f"{kind}-{self._made:04d}"
+        name = f"{kind}-{self._made:04d}"
+        if kind not in ("run", "found"):
+            self._open.append(name)
+        return name
 
     def history(self) -> DataFrame:
         """All stretches of all runs."""
@@ -168,8 +171,9 @@ class FingerprintIndex:
         spans = own.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False))).join(several, "a", "left_semi")
         spans = work.table(spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e", "fresh")).alias("spans")), self._name("spans"))
         texts = docs if indexed is None else docs.unionByName(pick(indexed, "doc_id", "text").where(F.col("doc_id").isNotNull()))
-        texts = checked_join(texts, spans, "doc_id", "inner", 64, self.limit, "spans", 40).select("doc_id", "h", "text", "spans")
-        windows = work.table(texts.mapInArrow(_expand(w), "w1 long, w2 long, doc_id long, h int, s int, fresh boolean").distinct(), self._name("windows"))
+        named = work.table(spans.select("doc_id").distinct(), self._name("named"))
+        texts = narrowed(texts, named, "doc_id", self.limit).join(spans, "doc_id").select("doc_id", "h", "text", "spans")
+        windows = work.table(texts.mapInArrow(_expand(w), "w1 long, w2 long, doc_id long, h int, s int, fresh boolean"), self._name("windows"))
         ends = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
         ends = work.table(ends, self._name("ends"))
         single = windows.where("fresh").join(ends, ["w1", "w2"]).where("doc_id > first").select("doc_id", "h", "s", F.col("s").alias("e"))
@@ -177,35 +181,58 @@ class FingerprintIndex:
         if keep:
             alone = rows.join(shared, "a", "left_anti")
             self._append(alone.unionByName(own).select("a", "c", "doc_id", "h", "s", "e"))
-        return whole.unionByName(single)
+        found = work.table(whole.unionByName(single), self._name("found"))
+        for name in self._open:
+            work.drop(name)
+        self._open.clear()
+        return found
 
 
-def _spliced(window: int, with_text: bool):
+_RANGES = "_removed_ranges"
+
+
+def _cut(text: str | None, spans: list[dict] | None, window: int) -> tuple[Words, bytes, int]:
+    """The words of a text, the kept ones joined, and how many go."""
+    words = Words(text)
+    h = _key(text) if spans else 0
+    own = [x for x in spans or () if x["h"] == h]
+    if not own:
+        return words, words.joined, 0
+    edge = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(edge, [x["s"] for x in own], 1)
+    np.add.at(edge, [x["e"] + window for x in own], -1)
+    stay = np.cumsum(edge[:-1]) == 0
+    parts = words.list()
+    return words, b" ".join([parts[i] for i in np.flatnonzero(stay).tolist()]), int(len(words) - stay.sum())
+
+
+def _digests(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, n_removed, digests, kept = [], [], [], []
-            hs = b.column("hs").to_pylist() if "hs" in b.schema.names else [None] * b.num_rows
-            for text, spans in zip(b.column("text"), hs):
-                text = text.as_py()
-                words = Words(text)
-                left, gone = words.joined, 0
-                h = _key(text) if spans else 0
-                if own := [x for x in spans or () if x["h"] == h]:
-                    edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(edge, [x["s"] for x in own], 1)
-                    np.add.at(edge, [x["e"] + window for x in own], -1)
-                    stay = np.cumsum(edge[:-1]) == 0
-                    gone = int(len(words) - stay.sum())
-                    parts = words.list()
-                    left = b" ".join([parts[i] for i in np.flatnonzero(stay).tolist()])
+            n_words, n_removed, digests = [], [], []
+            for text, spans in zip(b.column("text"), b.column(_RANGES).to_pylist()):
+                words, left, gone = _cut(text.as_py(), spans, window)
                 n_words.append(len(words))
                 n_removed.append(gone)
                 digests.append(hashlib.sha256(left).hexdigest())
-                kept.append((left.decode("utf-8", "surrogatepass") if gone else text) if with_text else None)
-            arrays = [b.column(n) for n in b.schema.names if n not in ("text", "hs")]
-            names = [n for n in b.schema.names if n not in ("text", "hs")]
-            more = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())] + ([pa.array(kept, pa.string())] if with_text else [pa.array(digests, pa.string())])
-            yield pa.RecordBatch.from_arrays([*arrays, *more], names=[*names, "n_words", "n_removed", "text" if with_text else "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return run
+
+
+def _texts(window: int, drop_emptied: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.names.index("text")
+            kept, stay = [], []
+            for text, spans in zip(b.column(at), b.column(b.schema.names.index(_RANGES)).to_pylist()):
+                text = text.as_py()
+                _, left, gone = _cut(text, spans, window)
+                kept.append(left.decode("utf-8", "surrogatepass") if gone else text)
+                stay.append(not (drop_emptied and gone and not left))
+            names = [n for n in b.schema.names if n != _RANGES]
+            out = [pa.array(kept, pa.string()) if n == "text" else b.column(b.schema.names.index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(stay, pa.bool_()))
 
     return run
 
@@ -226,17 +253,34 @@ def removed_ranges(docs: DataFrame, window: int = 50, gram: int = 8, batches: in
         if edges[i + 1] is not None:
             part = part.where(col <= edges[i + 1])
         found = found.unionByName(index.batch(part, past, keep=i + 2 < len(edges)))
-    return index.work.table(found.groupBy("doc_id").agg(F.collect_set(F.struct("h", "s", "e")).alias("hs")), "ranges")
+    out = index.work.table(found.groupBy("doc_id").agg(F.collect_set(F.struct("h", "s", "e")).alias("hs")), "ranges")
+    for name, _ in index.runs:
+        index.work.drop(name)
+    return out
+
+
+def _with_ranges(docs: DataFrame, ranges: DataFrame, broadcast_limit: int) -> DataFrame:
+    """``docs`` with the ranges of each row that loses words; the texts of other rows are not moved if the list of ids is small."""
+    ranges = ranges.withColumnRenamed("hs", _RANGES)
+    ids = ranges.select("doc_id")
+    if not small_enough(ids, 24, broadcast_limit):
+        return docs.join(ranges, "doc_id", "left")
+    hit = docs.join(F.broadcast(ids), "doc_id", "left_semi").join(ranges, "doc_id")
+    rest = docs.join(F.broadcast(ids), "doc_id", "left_anti").withColumn(_RANGES, F.lit(None).cast("array<struct<h:int,s:int,e:int>>"))
+    return hit.unionByName(rest)
+
+
+def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Per document doc_id, n_words, n_removed and kept_sha256 (of the kept words with single blanks between)."""
+    docs = pick(docs, "doc_id", "text")
+    ranges = removed_ranges(docs, window, batches=batches, broadcast_limit=broadcast_limit)
+    joined = _with_ranges(docs, ranges, broadcast_limit)
+    return joined.mapInArrow(_digests(window), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, with_text: bool = False, batches: int = 2, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Per document doc_id, n_words, n_removed and kept_sha256; or, ``with_text``, all columns of ``docs`` with the kept
-    text (unchanged where nothing goes, else the kept words with single blanks between) and the two counts."""
-    ranges = removed_ranges(docs, window, batches=batches, broadcast_limit=broadcast_limit)
-    own = docs if with_text else pick(docs, "doc_id", "text")
-    joined = checked_join(own, ranges, "doc_id", "left", 64, broadcast_limit, "hs", 40)
-    names = [n for n in own.columns if n != "text"]
-    kinds = dict(own.dtypes)
-    tail = "text string" if with_text else "kept_sha256 string"
-    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "n_words long", "n_removed long", tail])
-    return joined.select(*(F.col(f"`{n}`") for n in names), "text", "hs").mapInArrow(_spliced(window, with_text), schema)
+def remove_repeats(docs: DataFrame, window: int = 50, batches: int = 2, drop_emptied: bool = True, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """``docs``, with all columns, without the repeated words: texts that lose none stay as they are, the others are their
+    kept words with single blanks between. Documents of which nothing is left go with ``drop_emptied``."""
+    ranges = removed_ranges(pick(docs, "doc_id", "text"), window, batches=batches, broadcast_limit=broadcast_limit)
+    joined = _with_ranges(docs, ranges, broadcast_limit)
+    return joined.select(*(F.col(f"`{n}`") for n in docs.columns), _RANGES).mapInArrow(_texts(window, drop_emptied), docs.schema)
