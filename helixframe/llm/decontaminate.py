@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 
 from .runtime import pick, prepare
 
-STEPS, SAMPLES = 28, 9
+STEPS, SAMPLES = 48, 15
 _PRIME = np.uint64(1099511628211)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
 #: Bytes of text that are walked together.
-_CHUNK = 4 << 20
+_CHUNK = 1 << 18
 
 
 def normalise(text: str | None) -> str:
@@ -56,7 +56,7 @@ class Walk:
         first = rng.choice(early, size=min(4, early), replace=False)
         rest = rng.choice(np.arange(early, steps), size=min(SAMPLES - 4, steps - early), replace=False) if steps > early else []
         self.samples = sorted({*map(int, first), *map(int, rest)})
-        self.stops = [self.samples[i] for i in (3, 5) if i < len(self.samples) - 1]
+        self.stops = [self.samples[i] for i in (8, 11) if i < len(self.samples) - 1]
 
     def keys(self, data: np.ndarray, at: np.ndarray, sieves: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """The sampled walk from each place: final keys, the keys at the stops, and which places are left.
@@ -65,21 +65,22 @@ class Walk:
         """
         pos, key, left, stops = at.astype(np.int64), np.zeros(len(at), dtype=np.uint64), np.arange(len(at)), []
         for j in range(self.samples[-1] + 1):
-            c = data[pos]
+            c = data.take(pos)
             if j in self.samples:
-                key = key * _PRIME + c + np.uint64(1)
+                key *= _PRIME
+                key += c + np.uint64(1)
                 if j in self.stops:
                     if sieves is not None:
-                        ok = sieves[len(stops)][(key * _SPREAD) >> np.uint64(64 - _BITS)]
+                        ok = np.flatnonzero(sieves[len(stops)].take(((key * _SPREAD) >> np.uint64(64 - _BITS)).view(np.int64)))
                         pos, key, left, c = pos[ok], key[ok], left[ok], c[ok]
-                    stops.append(key)
-            pos += self.bits[j][c]
+                    stops.append(key.copy())
+            pos += self.bits[j].take(c)
         return key, stops, left
 
 
 def _steps(n: int) -> int:
     """Steps of the walks for items of n bytes; never more than the item has."""
-    return STEPS if n >= 40 else 12 if n >= 16 else n
+    return STEPS if n >= STEPS else 12 if n >= 16 else n
 
 
 class ItemIndex:
