@@ -1,0 +1,79 @@
+import pytest
+from pyspark.sql import functions as F
+
+from helixframe import service
+from helixframe.functions import embedding as E
+from helixframe.functions import vectors as V
+from helixframe.operators import families as A
+from helixframe.plans.config import PipelineConfig
+from helixframe.plans.stages import REGISTRY, execution_order, get_stage, run_pipeline
+from helixframe.sources import records as R
+from helixframe.streaming.search import search_stream
+
+S1 = "MKTAYIAKQRQISFVKSHFSRQDILDLWIYHTQGYFPQ"
+
+
+@pytest.fixture(scope="module")
+def world(spark):
+    base = [(f"k{i}", "x", (S1[i % 7 :] + S1[: i % 7]) * (1 + i % 2), None) for i in range(24)]
+    records = spark.createDataFrame(base, R.SCHEMA)
+    vectors = E.embed(records).select("protein_id", V.doubles(F.col("embedding")).alias("v"))
+    families = vectors.withColumn("family_id", F.pmod(F.xxhash64("protein_id"), F.lit(3)).cast("int")).cache()
+    return records, families
+
+
+def test_full_run(spark, world, tmp_path):
+    records, families = world
+    query = spark.createDataFrame([("q1", "x", S1, None), ("q2", "x", S1 + "AAAA", None), ("bad", "x", "B4D", None)], R.SCHEMA)
+    stages = ("input_validation", "data_extraction", "embedding_generation", "family_assignment", "similarity_search", "sequence_analysis", "structure_analysis", "network_analysis", "bioinformatics_analysis", "multi_protein_analysis", "report_generation", "visualization", "data_export")
+    out = run_pipeline(spark, PipelineConfig("Records", query, stages, output_dir=f"file://{tmp_path}"), families=families)
+    assert out.success, out.error
+    assert out.tables["records"].count() == 2 and out.tables["validation"].head()["invalid"] == 1
+    assert out.tables["assignments"].count() == 2
+    assert out.tables["matches"].where("similarity < 0.1").count() == 0
+    assert out.tables["analyses"].where("protein_id = 'q1'").head()["length"] == 38
+    assert out.tables["structure_classes"].count() == 2 and out.tables["dashboard"].count() == 2
+    assert out.tables["plot"].where("role = 'query'").count() == 2
+    assert out.tables["links"].count() == 146 and out.tables["conservation"].count() == 42
+    assert out.tables["exported"][0] == "records" and out.summary()["stages"] == len(stages)
+
+
+def test_stops_and_fails(spark, world):
+    records, families = world
+    out = run_pipeline(spark, PipelineConfig("Records", records, stop_after_stage="data_extraction"))
+    assert out.success and list(out.seconds) == ["input_validation", "data_extraction"]
+    out = run_pipeline(spark, PipelineConfig("Records", records))
+    assert not out.success and "families" in out.error
+    for bad in (PipelineConfig(), PipelineConfig("Records", records, similarity_threshold=2), PipelineConfig("Records", records, max_similar=0), PipelineConfig("Records", records, ("nope",))):
+        with pytest.raises(ValueError):
+            run_pipeline(spark, bad)
+    assert not run_pipeline(spark, PipelineConfig("Other", records)).success
+
+
+def test_registry():
+    assert execution_order(("similarity_search", "data_extraction", "input_validation")) == ["input_validation", "data_extraction", "similarity_search"]
+    assert len(REGISTRY) == 14
+    with pytest.raises(ValueError):
+        get_stage("nope")
+    assert PipelineConfig.from_dict(PipelineConfig().to_dict()) == PipelineConfig()
+
+
+def test_service(spark, world):
+    records, families = world
+    asked = spark.createDataFrame([(" k1 ",), ("zz",)], "protein_id string")
+    assert {r["protein_id"]: r["exists"] for r in service.check_existence(asked, families).collect()} == {"k1": True, "zz": False}
+    e = service.generate_embeddings(records).head()
+    assert e["dim"] == 320 and e["norm"] == pytest.approx(1, abs=1e-5)
+    matches, stats = service.find_top_matches(families, families, 3)
+    assert stats.count() > 0 and service.status(spark)["state"] == "OK"
+    assert service.assign_family(families, A.centroids(families)).count() == 24
+
+
+def test_stream(spark, world, tmp_path):
+    _, families = world
+    src, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    families.limit(5).select("protein_id", "v").write.parquet(src)
+    stream = spark.readStream.schema("protein_id string, v array<double>").parquet(src)
+    q = search_stream(stream, families, A.centroids(families), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/{i}"), f"file://{tmp_path}/cp", 3)
+    q.awaitTermination(120)
+    assert spark.read.parquet(f"{out}/0").count() > 0
