@@ -9,7 +9,8 @@ selected.
 Grades of (quality, toxic) labels: 0 for toxic, 1 for other low quality, 2 for good.
 
 The model is fitted on at most ``sample`` labelled documents, those with the smallest hashes of their ids; features that fewer
-than ``least_docs`` of them have get no weight. All documents are scored, over their whole texts.
+than ``least_docs`` of them have, or that do not tell grades apart, get no weight. All documents are scored, over their whole
+texts.
 
 Cases: null texts and texts without words get grade 0 and tail probability 0 and are not selected; labels that are null or of
 unknown documents are left out; a document with several labels counts once with its lowest grade; without any label or with
@@ -65,6 +66,20 @@ def features(text: str | None) -> np.ndarray:
 WIDTH = (1 << BITS) + 80
 
 
+def _telling(owner: np.ndarray, column: np.ndarray, grades: np.ndarray, least_docs: int, least_gain: float) -> np.ndarray:
+    """Which features tell grades apart: those that enough documents have, and whose share of the grades differs from the
+    overall one by a log-likelihood ratio of at least ``least_gain``."""
+    j = int(grades.max()) + 1
+    have = np.bincount(column * j + grades[owner], minlength=WIDTH * j).reshape(WIDTH, j).astype(np.float64)
+    n = have.sum(axis=1)
+    total = np.bincount(grades, minlength=j).astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inside = np.where(have > 0, have * np.log(have / (n[:, None] * total / total.sum())), 0).sum(axis=1)
+        rest = total - have
+        outside = np.where(rest > 0, rest * np.log(rest / ((total.sum() - n)[:, None] * total / total.sum())), 0).sum(axis=1)
+    return (n >= least_docs) & (2 * (inside + outside) >= least_gain)
+
+
 class CumulativeLink:
     """Shared weights and ordered thresholds."""
 
@@ -76,7 +91,7 @@ class CumulativeLink:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, least_docs: int = 6, l2: float = 2e-4, steps: int = 250) -> CumulativeLink:
+    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, least_docs: int = 3, least_gain: float = 16.0, l2: float = 1.0, steps: int = 400) -> CumulativeLink:
         """Maximum likelihood by full-batch steps of Adam; thresholds stay ordered as running sums of positive gaps."""
         seen = np.unique(grades)
         if len(seen) < 2:
@@ -84,8 +99,7 @@ class CumulativeLink:
             return cls(np.zeros(WIDTH), np.where(np.arange(1, GRADES) <= top, -500.0, 500.0))
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         column = np.concatenate(rows).astype(np.int64)
-        often = np.bincount(column, minlength=WIDTH) >= least_docs
-        keep = often[column]
+        keep = _telling(owner, column, grades, least_docs, least_gain)[column]
         owner, column = owner[keep], column[keep]
         used, column = np.unique(column, return_inverse=True)
         n, d, j = len(rows), len(used), GRADES - 1
@@ -107,7 +121,7 @@ class CumulativeLink:
             dt[row[up], grades[up]] -= (a * (1 - a) / mass)[up]
             dt[row[low], grades[low] - 1] += (b * (1 - b) / mass)[low]
             dt = dt.mean(axis=0)
-            g = np.concatenate([np.bincount(column, weights=ds[owner], minlength=d) / n + l2 * p[:d] * 0.1, [dt.sum()], np.cumsum(dt[::-1])[::-1][1:] * gaps])
+            g = np.concatenate([np.bincount(column, weights=ds[owner], minlength=d) / n + l2 / n * p[:d], [dt.sum()], np.cumsum(dt[::-1])[::-1][1:] * gaps])
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights = np.zeros(WIDTH)
@@ -125,7 +139,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("grade")), pa.array(out, pa.binary())], names=["grade", "x"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least_docs: int = 6) -> CumulativeLink:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least_docs: int = 3) -> CumulativeLink:
     """A model from (doc_id, text) and (doc_id, quality, toxic)."""
     prepare(docs.sparkSession)
     rated = pick(labels, "doc_id", "quality", "toxic").select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
@@ -157,6 +171,6 @@ def score(docs: DataFrame, model: CumulativeLink, tail: int = 2, least: float =
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, expected_grade double, tail_prob double, selected boolean")
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = 12_000, tail: int = 2, least: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, tail: int = 2, least: float = 0.5) -> DataFrame:
     """Fit on the labelled documents and score all."""
     return score(docs, learn(docs, labels, sample), tail, least)
