@@ -14,7 +14,6 @@ columns other than those named are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +24,13 @@ from pyspark.sql import functions as F
 from .runtime import crc32_of_id, pick, prepare
 
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _TO_BLANK = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of text whose n-grams are counted together while profiles are learned.
 _CHUNK = 4 << 20
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text and _LETTER.search(text))
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def words_of(text: str) -> bytes:
@@ -193,6 +191,11 @@ def language_id(docs: DataFrame, top: int = 400) -> DataFrame:
 
 def keep_known(docs: DataFrame, top: int = 400, least: float = 0.0) -> DataFrame:
     """The rows, with all their columns, whose language is known with at least the score ``least``."""
-    profiles = learn(docs, top)
-    out = predict(docs, profiles, *docs.columns)
-    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*(f"`{c}`" for c in docs.columns))
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, top))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [model.value.predict(t.as_py()) for t in b.column(b.schema.names.index("text"))]
+            yield b.filter(pa.array([lang != UND and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
