@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import logging
 import sys
 from pathlib import Path
 
 import pytest
 
+logging.getLogger("DataFrameQueryContextLogger").disabled = True
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
