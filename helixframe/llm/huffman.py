@@ -67,19 +67,39 @@ def decoding_table(lengths: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     return table
 
 
+def _put(value: np.ndarray, n: np.ndarray, at: np.ndarray, size: int) -> bytes:
+    """``size`` bytes with each code ``value`` of ``n`` bits from bit ``at`` on; places must ascend."""
+    words = np.zeros(size // 4 + 3, dtype=np.uint64)
+    if len(value):
+        word, shift = at >> 5, at & 31
+        moved = value.astype(np.uint64) << (64 - n - shift).astype(np.uint64)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+        packed = np.bitwise_or.reduceat(moved, first)
+        words[word[first]] |= packed >> np.uint64(32)
+        words[word[first] + 1] |= packed & np.uint64(0xFFFFFFFF)
+    return words.astype(">u4").tobytes()[:size]
+
+
 def encode(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bit string of ``ids``, padded to whole bytes, and the bit offset of each id and of the end."""
     n = lengths[ids].astype(np.int64)
     at = np.concatenate([[0], np.cumsum(n)])
-    words = np.zeros((int(at[-1]) + 31) // 32 + 2, dtype=np.uint64)
-    if len(ids):
-        word, shift = at[:-1] >> 5, at[:-1] & 31
-        value = codes[ids].astype(np.uint64) << (64 - n - shift).astype(np.uint64)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
-        packed = np.bitwise_or.reduceat(value, first)
-        words[word[first]] |= packed >> np.uint64(32)
-        words[word[first] + 1] |= packed & np.uint64(0xFFFFFFFF)
-    return words.astype(">u4").tobytes()[: (int(at[-1]) + 7) // 8], at
+    return _put(codes[ids], n, at[:-1], (int(at[-1]) + 7) // 8), at
+
+
+def encode_many(parts: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray, every: int) -> list[bytes]:
+    """For each part u64 bits | bit string | u64 bit offsets of every ``every``-th id but the first; packed in one go."""
+    count = np.array([len(p) for p in parts])
+    flat = np.concatenate(parts)
+    n = lengths[flat].astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(n)])
+    edge = np.concatenate([[0], np.cumsum(count)])
+    bits = at[edge[1:]] - at[edge[:-1]]
+    size = (bits + 7) // 8
+    start = np.concatenate([[0], np.cumsum(size)])
+    local = at[:-1] - np.repeat(at[edge[:-1]], count)
+    body = _put(codes[flat], n, local + np.repeat(8 * start[:-1], count), int(start[-1]))
+    return [int(b).to_bytes(8, "little") + body[s:t] + local[e + every : f : every].astype("<u8").tobytes() for b, s, t, e, f in zip(bits.tolist(), start[:-1].tolist(), start[1:].tolist(), edge[:-1].tolist(), edge[1:].tolist())]
 
 
 def decode(bits: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: np.ndarray, most: int = MAX_BITS) -> np.ndarray:

@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .huffman import canonical_codes, code_lengths, decode, decoding_table, encode
+from .huffman import canonical_codes, code_lengths, decode, decoding_table, encode_many
 from .runtime import Scratch, pick, prepare
 from .tokens import stream
 
 MAGIC = b"HFB1"
-CHECKPOINT = 1024
+CHECKPOINT = 256
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
 _NO_ID = -(1 << 63)
@@ -41,12 +42,10 @@ _NO_ID = -(1 << 63)
 
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, tail = stream(path), np.array([end_id], dtype="<u4").tobytes()
+        tokens = stream(path)
+        tail = np.array([end_id], dtype=tokens.dtype).tobytes()
         for b in batches:
-            out = []
-            for t in b.column(b.schema.names.index("text")):
-                ids = np.frombuffer(tokens.ids_bytes(t.as_py()) + tail, dtype="<u4")
-                out.append((ids.astype("<u2") if tokens.n_ids <= 1 << 16 and end_id < 1 << 16 else ids).tobytes())
+            out = [ids.tobytes() + tail for ids in tokens.ids_batch(b.column(b.schema.names.index("text")).to_pylist())]
             names = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(n)) for n in names), pa.array(out, pa.binary())], names=[*names, "ids"])
 
@@ -56,19 +55,28 @@ def _tokenise(path: str, end_id: int):
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int, work: Scratch, name: str, *keep: str) -> tuple[DataFrame, str]:
     """A table of each row's ids with the end id, and the NumPy type in which they are stored."""
     prepare(docs.sparkSession)
-    kind = "<u2" if stream(tokenizer).n_ids <= 1 << 16 and end_id < 1 << 16 else "<u4"
+    kind = stream(tokenizer).dtype
     rows = pick(docs, "doc_id", "text", *keep).withColumn("doc_id", F.col("doc_id").cast("long"))
     kinds = dict(rows.dtypes)
     schema = ", ".join(["doc_id long", *(f"`{k}` {kinds[k]}" for k in keep), "ids binary"])
     return work.table(rows.mapInArrow(_tokenise(tokenizer, end_id), schema), name), kind
 
 
+def _flat(column: pa.Array, kind: str) -> np.ndarray:
+    """All ids of a binary column, one after the other, without a copy."""
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], dtype=width)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None and len(column) else np.zeros(0, dtype=kind)
+
+
 def _counts(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for ids in b.column("ids"):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), dtype=kind))
+            ids = _flat(b.column("ids"), kind)
+            for i in range(0, len(ids), 1 << 20):
+                n = np.bincount(ids[i : i + (1 << 20)])
                 if len(n) > len(total):
                     total = np.concatenate([total, np.zeros(len(n) - len(total), dtype=np.int64)])
                 total[: len(n)] += n
@@ -79,15 +87,18 @@ def _counts(kind: str):
 
 
 def _compress(kind: str, lengths):
+    """Code documents one by one: bits | bit string | bit offset of every CHECKPOINT-th id but the first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical_codes(lengths.value)
         for b in batches:
-            n, coded = [], []
-            for x in b.column("ids"):
-                ids = np.frombuffer(x.as_buffer(), dtype=kind)
-                n.append(len(ids))
-                bits, at = encode(ids, codes, lengths.value)
-                coded.append(struct.pack("<Q", int(at[-1])) + bits + (at[CHECKPOINT:-1:CHECKPOINT]).astype("<u8").tobytes())
+            n = np.array(pc.binary_length(b.column("ids")).to_pylist(), dtype=np.int64) // int(kind[-1])
+            parts = np.split(_flat(b.column("ids"), kind), np.cumsum(n)[:-1]) if len(n) else []
+            coded, at = [], 0
+            while at < len(parts):
+                stop = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), 1 << 19, "right")) + at)
+                coded += encode_many(parts[at:stop], codes, lengths.value, CHECKPOINT)
+                at = stop
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded, pa.binary())], names=["doc_id", "n", "coded"])
 
     return run

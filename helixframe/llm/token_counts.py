@@ -53,7 +53,7 @@ def _count(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = stream(path)
         for b in batches:
-            counts = [len(tokens.ids_bytes(t)) // 4 for t in b.column("text").to_pylist()]
+            counts = [len(ids) for ids in tokens.ids_batch(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("content"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
     return run
