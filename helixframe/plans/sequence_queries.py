@@ -16,6 +16,7 @@ from ..operators import graph as G
 from ..operators import search as Q
 from ..operators import stats as T
 from ..sources import records as R
+from . import report as W
 from .vector_queries import ASSIGN, MUTUAL, micro, rows_of
 
 QUERIES: dict = {}
@@ -245,7 +246,7 @@ def validation_counts(spark, sf):
 
 
 SIZES = f"n2 AS (SELECT graph, count(*) AS n_nodes FROM nodes GROUP BY graph), e2 AS (SELECT graph, count(*) AS n_edges FROM edges GROUP BY graph), gs AS (SELECT graph, n_nodes, coalesce(n_edges, 0) AS n_edges FROM n2 LEFT JOIN e2 USING (graph))"
-DASH = f"""{MUTUAL}, {ASSIGN.split(',', 1)[1] if False else ASSIGN[ASSIGN.index('u AS'):]}, {SIZES},
+DASH = f"""{MUTUAL}, {ASSIGN[ASSIGN.index('u AS') :]}, {SIZES},
 sim AS (SELECT a.protein_id AS query_id, b.protein_id, list_dot_product(a.v, b.v) / (a.n * b.n) AS similarity FROM n a JOIN n b USING (family_id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, protein_id) AS rank FROM sim),
 found AS (SELECT query_id, count(*) AS n_similar, max(similarity) AS best_similarity FROM rk WHERE rank <= 50 AND protein_id <> query_id AND similarity >= 0.1 GROUP BY 1),
@@ -270,6 +271,18 @@ def dashboard_totals(spark, sf):
     return T.dashboard_totals(_dashboard(spark, sf)).select("proteins", "families", micro(F.col("avg_confidence")).alias("confidence_micro"), "similar")
 
 
+@query(f"WITH {DASH} SELECT protein_id, floor(least(95, confidence * 120) * 1e6 + 0.5)::BIGINT AS height_micro FROM dash")
+def chart_heights(spark, sf):
+    return _dashboard(spark, sf).select("protein_id", micro(W.chart_scale(F.col("confidence"))).alias("height_micro"))
+
+
+@query(f"WITH {DASH.split('sim AS')[0].rstrip().rstrip(',')} SELECT graph, n_edges / greatest(n_nodes, 1) AS edges_per_node, 2 * n_edges / greatest(n_nodes, 1) AS avg_degree FROM gs")
+def edge_ratios(spark, sf):
+    rows = rows_of(spark, sf)
+    nodes, pairs = rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id")), G.pair_scores(rows)
+    return W.edge_ratios(G.density(nodes, G.mutual_knn(pairs)))
+
+
 PAIR_SQL = f"""{B}, pr AS (SELECT a.protein_id AS src, b.protein_id AS dst, length(a.sequence) AS la, length(b.sequence) AS lb,
 list_sum(list_transform(range(1, least(length(a.sequence), length(b.sequence)) + 1), lambda i: CASE WHEN a.sequence[i] = b.sequence[i] THEN 1 ELSE 0 END)) AS matches FROM r a JOIN r b ON a.protein_id < b.protein_id)"""
 
