@@ -40,25 +40,33 @@ def centroids(rows: DataFrame) -> DataFrame:
 
 def medoids(rows: DataFrame, cents: DataFrame) -> DataFrame:
     """The member nearest to its family's centroid, of equals the smallest id, with its distance."""
-    d = rows.join(_small(cents.select("family_id", "centroid")), "family_id").select("family_id", "protein_id", V.l2(F.col("v"), F.col("centroid")).alias("d"))
+    d = rows.join(small(cents.select("family_id", "centroid")), "family_id").select("family_id", "protein_id", V.l2(F.col("v"), F.col("centroid")).alias("d"))
     best = d.groupBy("family_id").agg(F.min(F.struct("d", "protein_id")).alias("m"))
     return best.select("family_id", F.col("m.protein_id").alias("medoid_id"), F.col("m.d").alias("distance"))
 
 
-def _small(cents: DataFrame) -> DataFrame:
+def small(cents: DataFrame) -> DataFrame:
     """Broadcast a centroid table whose size is within the limit; larger ones are left to the planner."""
     n, dim = cents.agg(F.count("*"), F.max(F.size("centroid"))).head()
     return F.broadcast(cents) if n * (dim or 0) * 9 <= CENTROID_LIMIT else cents
 
 
-def assign(rows: DataFrame, cents: DataFrame, min_confidence: float | None = None) -> DataFrame:
+def assign(rows: DataFrame, cents: DataFrame, min_confidence: float | None = None, limit: int = CENTROID_LIMIT) -> DataFrame:
     """(protein_id, assigned, hamming, confidence): the family whose centroid bits differ least, ties to the smaller family.
 
-    All centroids are compared in one pass over a broadcast array of them, without a row for each pair.
+    All centroids are compared in one pass over a broadcast array of them, without a row for each pair. Centroids of more
+    than ``limit`` bytes are dealt to several arrays, each within the limit, and the best of all counts.
     """
-    table = cents.agg(F.array_sort(F.collect_list(F.struct(F.col("family_id").alias("family_id"), "bits"))).alias("all"))
-    best = F.array_min(F.transform("all", lambda c: F.struct(V.hamming(F.col("b"), c["bits"]).alias("h"), c["family_id"].alias("family_id"))))
-    out = rows.withColumn("b", V.bits(F.col("v"))).crossJoin(F.broadcast(table)).withColumn("best", best)
+    n, dim = cents.agg(F.count("*"), F.max(F.size("bits"))).head()
+    blocks = max(1, -(-n * ((dim or 0) + 32) // limit))
+    best = []
+    out = rows.withColumn("b", V.bits(F.col("v")))
+    for i in range(blocks):
+        part = cents.where(F.pmod(F.xxhash64("family_id"), F.lit(blocks)) == i)
+        table = part.agg(F.array_sort(F.collect_list(F.struct(F.col("family_id").alias("family_id"), "bits"))).alias(f"all{i}"))
+        out = out.crossJoin(F.broadcast(table))
+        best.append(F.array_min(F.transform(f"all{i}", lambda c: F.struct(V.hamming(F.col("b"), c["bits"]).alias("h"), c["family_id"].alias("family_id")))))
+    out = out.withColumn("best", F.array_min(F.array(*best)))
     conf = 1 - F.col("best.h") / F.size("b")
     family = F.col("best.family_id") if min_confidence is None else F.when(conf >= min_confidence, F.col("best.family_id"))
     return out.select("protein_id", family.alias("assigned"), F.col("best.h").alias("hamming"), conf.alias("confidence"))

@@ -282,7 +282,7 @@ def cosine_pairs(spark, sf):
 @query(f"WITH {C} SELECT protein_id, CAST(floor(list_distance(v, centroid) * 1e6 + 0.5) AS BIGINT) AS distance_micro FROM p JOIN c USING (family_id)")
 def l2_distance(spark, sf):
     rows = rows_of(spark, sf)
-    return rows.join(F.broadcast(A.centroids(rows).select("family_id", "centroid")), "family_id").select("protein_id", micro(V.l2(F.col("v"), F.col("centroid"))).alias("distance_micro"))
+    return rows.join(A.small(A.centroids(rows).select("family_id", "centroid")), "family_id").select("protein_id", micro(V.l2(F.col("v"), F.col("centroid"))).alias("distance_micro"))
 
 
 @query(f"WITH {SEARCH} SELECT query_id, protein_id, greatest(0, 1 - abs(1 - similarity)) AS similarity FROM matches")

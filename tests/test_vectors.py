@@ -98,6 +98,16 @@ def test_search(rows):
     assert sum(hist.values()) == Q.within_family(df, df, 30).count() and sorted(hist) == [0, 1, 2, 3, 4]
 
 
+def test_blocks_change_nothing(rows):
+    df, _ = rows
+    cents = A.centroids(df)
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(A.assign(df, cents, limit=50)) == key(A.assign(df, cents))
+    q = df.where("protein_id < 7")
+    assert key(Q.all_families(q, df, 3, limit=300)) == key(Q.all_families(q, df, 3))
+    assert key(Q.global_threshold(q, df, 5, limit=300)) == key(Q.global_threshold(q, df, 5))
+
+
 def test_packed_bits(spark):
     for n in (1, 8, 63, 64, 65, 130):
         rng = np.random.default_rng(n)
