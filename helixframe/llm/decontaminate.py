@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import pick, prepare
+from .runtime import pick, prepare, tidy
 
 STEPS, SAMPLES = 48, 15
 _PRIME = np.uint64(1099511628211)
@@ -268,12 +268,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2,
     out = docs.sparkSession.createDataFrame([], schema)
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     for index in _indexes(docs, benchmark, max_edits, recall, block_chars):
-        out = out.unionByName(rows.mapInArrow(_scan(index, False), schema))
+        out = out.unionByName(rows.mapInArrow(tidy(_scan(index, False)), schema))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, block_chars: int = 4 << 20) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     for index in _indexes(docs, benchmark, max_edits, recall, block_chars):
-        docs = docs.mapInArrow(_scan(index, True), docs.schema)
+        docs = docs.mapInArrow(tidy(_scan(index, True)), docs.schema)
     return docs

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import BROADCAST_LIMIT, Scratch, checked_join, pick, prepare
+from .runtime import BROADCAST_LIMIT, Scratch, checked_join, pick, prepare, tidy
 from .text import mix, shingles
 
 #: Bytes of shingle hashes that one verification block may hold in a dense column slice.
@@ -165,7 +165,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, rows: int
     work = Scratch(spark, "jaccard")
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.where(F.col("doc_id").isNotNull())
-    sketch = work.table(docs.mapInArrow(_sketch(k, bands, rows), "doc_id long, d1 long, d2 long, sig array<long>"), "sketch")
+    sketch = work.table(docs.mapInArrow(tidy(_sketch(k, bands, rows)), "doc_id long, d1 long, d2 long, sig array<long>"), "sketch")
     real = sketch.where("doc_id is not null and d1 is not null")
 
     # one class for each set of shingles, named by its smallest document
@@ -198,7 +198,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, rows: int
     # the shingle sets of the members, from their texts
     wanted = work.table(member.select("doc_id").distinct(), "wanted")
     texts = checked_join(known, wanted, "doc_id", "left_semi", 24, broadcast_limit)
-    sets = texts.mapInArrow(_sets(k), "doc_id long, d1 long, d2 long, sh binary").join(reps.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
+    sets = texts.mapInArrow(tidy(_sets(k)), "doc_id long, d1 long, d2 long, sh binary").join(reps.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
     sets = work.table(sets.dropDuplicates(["doc_id", "d1", "d2"]), "sets")
     loaded = member.join(sets, ["doc_id", "d1", "d2"]).select("band", "bucket", "x", "y", "side", "doc_id", "copies", "sig", "sh")
     linked = loaded.groupBy("band", "bucket", "x", "y").applyInArrow(_verify(threshold), "doc_id long, links long, texts long, root long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import crc32_of_id, pick, prepare
+from .runtime import crc32_of_id, pick, prepare, tidy
 
 UND = "und"
 _TO_BLANK = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -151,7 +151,7 @@ def learn(docs: DataFrame, top: int = 400) -> Profiles:
     prepare(docs.sparkSession)
     rows = pick(docs, "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     schema = "lang string, code long, n long"
-    counts = rows.mapInArrow(_count, schema).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(_count), schema).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best: dict[str, tuple[list, list]] = {}
     for lang, code, n in counts.coalesce(16).mapInArrow(_local_top(top), schema).collect():
         codes, ns = best.setdefault(lang, ([], []))
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFrame:
 
     rows = pick(docs, *dict.fromkeys([*keep, "text"]))
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "lang_pred string, score double"]))
+    return rows.mapInArrow(tidy(run), ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "lang_pred string, score double"]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -198,4 +198,4 @@ def keep_known(docs: DataFrame, top: int = 400, least: float = 0.0) -> DataFrame
             found = [model.value.predict(t.as_py()) for t in b.column(b.schema.names.index("text"))]
             yield b.filter(pa.array([lang != UND and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

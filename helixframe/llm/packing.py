@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_LIMIT, Scratch, checked_join, prepare
+from .runtime import BROADCAST_LIMIT, Scratch, checked_join, prepare, tidy
 from .token_binary import token_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -180,4 +180,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, targets
     key = placed.select(F.col("doc_id").alias("d"), F.col("source").alias("q"), F.col("n").alias("m"), F.col("crc").alias("x"), "copies", "part", "local")
     on = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("q")) & (F.col("n") == F.col("m")) & (F.col("crc") == F.col("x"))
     joined = checked_join(ids, key, on, "inner", 72, broadcast_limit).select("doc_id", "source", "n", "copies", "part", "local", "ids")
-    return joined.mapInArrow(_pieces(plan, kind, size), PIECES)
+    return joined.mapInArrow(tidy(_pieces(plan, kind, size)), PIECES)

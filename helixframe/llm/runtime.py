@@ -2,46 +2,32 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import contextlib
+import ctypes
 import uuid
-from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, ship
+
 #: Largest side, in bytes, that a join may broadcast; larger sides are shuffled.
 BROADCAST_LIMIT = 32 << 20
 
-_PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
+#: Rows and bytes of an Arrow batch of texts; both bound what a Python worker holds.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, also where only the driver's ``sys.path`` has it."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if _PACKAGE_ROOT not in have:
-        env["PYTHONPATH"] = os.pathsep.join([_PACKAGE_ROOT, *filter(None, have)])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, set to a new one only where the session has none."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = sc.getCheckpointDir()
-        if path is None:
-            path = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
-            sc.setCheckpointDir(path)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Let Python workers import this package, and bound the session's Arrow batches for texts (smaller bounds stay)."""
+    ship(spark)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        size = int(now[:-1] if now[-1:] in "bB" else now) if now.lstrip("-").rstrip("bB").isdigit() else 0
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
@@ -49,6 +35,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self.drop()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again with its own schema."""
@@ -84,6 +75,18 @@ def narrowed(big: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_LI
     return big.join(F.broadcast(ids), key, "left_semi") if small_enough(ids, 24, limit) else big
 
 
+def tidy(run):
+    """An Arrow function that gives freed memory back when its task ends, as workers live on for other tasks."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        with contextlib.suppress(Exception):
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that extra columns of any name cannot clash."""
     return df.select(*(F.col(f"`{n}`") for n in names))

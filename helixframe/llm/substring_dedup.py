@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_LIMIT, Scratch, narrowed, pick, prepare, small_enough
+from .runtime import BROADCAST_LIMIT, Scratch, narrowed, pick, prepare, small_enough, tidy
 from .text import Words
 
 _STRETCH = "a long, c long, doc_id long, h int, s int, e int"
@@ -145,7 +145,7 @@ class FingerprintIndex:
         """
         work, w = self.work, self.window
         docs = pick(docs, "doc_id", "text").where(F.col("doc_id").isNotNull())
-        rows = work.table(docs.mapInArrow(_fingerprint(w, self.gram), _STRETCH), self._name("fingerprints"))
+        rows = work.table(docs.mapInArrow(tidy(_fingerprint(w, self.gram)), _STRETCH), self._name("fingerprints"))
         past = self.history()
 
         # fingerprints that more than one document has, here or before
@@ -173,7 +173,7 @@ class FingerprintIndex:
         texts = docs if indexed is None else docs.unionByName(pick(indexed, "doc_id", "text").where(F.col("doc_id").isNotNull()))
         named = work.table(spans.select("doc_id").distinct(), self._name("named"))
         texts = narrowed(texts, named, "doc_id", self.limit).join(spans, "doc_id").select("doc_id", "h", "text", "spans")
-        windows = work.table(texts.mapInArrow(_expand(w), "w1 long, w2 long, doc_id long, h int, s int, fresh boolean"), self._name("windows"))
+        windows = work.table(texts.mapInArrow(tidy(_expand(w)), "w1 long, w2 long, doc_id long, h int, s int, fresh boolean"), self._name("windows"))
         ends = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
         ends = work.table(ends, self._name("ends"))
         single = windows.where("fresh").join(ends, ["w1", "w2"]).where("doc_id > first").select("doc_id", "h", "s", F.col("s").alias("e"))
@@ -275,7 +275,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, broadca
     docs = pick(docs, "doc_id", "text")
     ranges = removed_ranges(docs, window, batches=batches, broadcast_limit=broadcast_limit)
     joined = _with_ranges(docs, ranges, broadcast_limit)
-    return joined.mapInArrow(_digests(window), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(tidy(_digests(window)), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, batches: int = 2, drop_emptied: bool = True, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -283,4 +283,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, batches: int = 2, drop_emp
     kept words with single blanks between. Documents of which nothing is left go with ``drop_emptied``."""
     ranges = removed_ranges(pick(docs, "doc_id", "text"), window, batches=batches, broadcast_limit=broadcast_limit)
     joined = _with_ranges(docs, ranges, broadcast_limit)
-    return joined.select(*(F.col(f"`{n}`") for n in docs.columns), _RANGES).mapInArrow(_texts(window, drop_emptied), docs.schema)
+    return joined.select(*(F.col(f"`{n}`") for n in docs.columns), _RANGES).mapInArrow(tidy(_texts(window, drop_emptied)), docs.schema)
