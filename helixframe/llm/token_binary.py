@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .huffman import canonical_codes, code_lengths, decode, decoding_table, encode_many
-from .runtime import Scratch, pick, prepare
+from .runtime import Scratch, pick, prepare, tidy
 from .tokens import stream
 
 MAGIC = b"HFB1"
@@ -59,7 +59,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, work: Scratch, name:
     rows = pick(docs, "doc_id", "text", *keep).withColumn("doc_id", F.col("doc_id").cast("long"))
     kinds = dict(rows.dtypes)
     schema = ", ".join(["doc_id long", *(f"`{k}` {kinds[k]}" for k in keep), "ids binary"])
-    return work.table(rows.mapInArrow(_tokenise(tokenizer, end_id), schema), name), kind
+    return work.table(rows.mapInArrow(tidy(_tokenise(tokenizer, end_id)), schema), name), kind
 
 
 def _flat(column: pa.Array, kind: str) -> np.ndarray:
@@ -189,9 +189,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> TokenFiles:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     shared = spark.sparkContext.broadcast(lengths)
-    coded = ids.mapInArrow(_compress(kind, shared), "doc_id long, n long, coded binary")
+    # written, so that finding the ranges of doc_id does not code everything twice
+    coded = work.table(ids.mapInArrow(tidy(_compress(kind, shared)), "doc_id long, n long, coded binary"), "coded")
+    work.drop("ids")
     placed = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "coded").withColumn("file", F.spark_partition_id())
     rows = work.table(placed.mapInArrow(_blocks, "file int, block int, before long, n_ids long, payload binary"), "files")
     work.table(spark.createDataFrame([(int(i), int(n)) for i, n in enumerate(lengths) if n], "id int, length int"), "code")
-    work.drop("ids")
+    work.drop("coded")
     return TokenFiles(work, rows, lengths)
