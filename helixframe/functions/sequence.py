@@ -145,11 +145,20 @@ def structure_class(mw: Column, instability_index: Column, pi: Column) -> Column
     return F.when(mw < 10000, "small").when(instability_index < 40, "stable").when(pi < 6, "acidic").when(pi > 8, "basic").otherwise("neutral")
 
 
+_ZIPPER = "L.{6}L.{6}L"
+
+
+def _zipper(seq: Column, plain: Column, other: Column, none: Column) -> Column:
+    """The leucine zipper's pattern swallows all residues up to its last hit, so a sequence of residues has one match or
+    none; matching it as written would try every start of what is left. Other characters need the pattern itself."""
+    return F.when(~seq.rlike(_ZIPPER), none).when(seq.rlike(f"^[{K.ALPHABET}]+$"), plain).otherwise(other)
+
+
 def motif_matches(seq: Column, motif: str) -> Column:
     """All non-overlapping matches of a motif, left to right."""
     found = F.regexp_extract_all(seq, F.lit(K.MOTIFS[motif][1]), F.lit(0))
-    if motif == "leucine_zipper":  # a failing match would try every start; a linear test comes first
-        found = F.when(seq.rlike("L.{6}L.{6}L"), found).otherwise(F.array().cast("array<string>"))
+    if motif == "leucine_zipper":
+        return _zipper(seq, F.array(F.regexp_extract(seq, f"^.*{_ZIPPER}", 0)), found, F.array().cast("array<string>"))
     return found
 
 
@@ -162,7 +171,7 @@ def motif_spans(seq: Column, motif: str) -> Column:
     found = motif_matches(seq, motif)
     gaps = F.split(seq, K.MOTIFS[motif][1], -1)
     if motif == "leucine_zipper":
-        gaps = F.when(seq.rlike("L.{6}L.{6}L"), gaps).otherwise(F.array(seq))
+        gaps = _zipper(seq, F.array(F.lit(""), F.regexp_replace(seq, f"^.*{_ZIPPER}", "")), gaps, F.array(seq))
     step = lambda acc, x: F.struct(
         (acc["at"] + F.length(x["gap"]) + F.length(F.coalesce(x["hit"], F.lit("")))).alias("at"),
         F.when(x["hit"].isNull(), acc["out"])

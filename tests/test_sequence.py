@@ -40,7 +40,7 @@ def test_structure_and_counts(row):
     assert [groups[g] for g in ("hydrophobic", "hydrophilic", "charged", "polar", "aromatic", "aliphatic", "sulfur_containing", "basic", "acidic", "small", "large")] == [15, 22, 9, 13, 7, 10, 1, 7, 2, 8, 14]
 
 
-@pytest.mark.parametrize("seq", [S1, S2, "", "LAAAAAALAAAAAALAA", "CCACC", "PPP"])
+@pytest.mark.parametrize("seq", [S1, S2, "", "LAAAAAALAAAAAALAA", "AALAAAAAALAAAAAALAALAAAAAALXLAAAAAALAAAAAAL", "CCACC", "PPP"])
 def test_motif_spans_are_those_of_re(row, seq):
     got = row(seq, **{m: lambda c, m=m: S.motif_spans(c, m) for m in K.MOTIFS}).asDict()
     for name, (_, pattern) in K.MOTIFS.items():
