@@ -3,13 +3,16 @@
 Both sides are lower-cased and their white space runs become one blank. A CGK random walk maps a string to one in which few
 edits become few changed positions: at step j the walk emits the character it stands on and moves on by a random bit of j
 and that character, so that after an edit the walks of both strings soon meet again. The walk of an item-sized window begins
-like the walk of the text from that place, whatever the item's length; so one walk from each word start of a document serves
-windows for all items. Items are entered at each of their own word starts, a window for each.
+like the walk of the text from that place, whatever the item's length; so one walk from each place of a document serves
+windows for all items. Places are after blanks; items are entered at each of their own, a window for each. For groups
+of items that are not met often enough so, every character is a place, on both sides.
 
 One repetition samples the emitted characters at a fixed set of steps; equal samples make a candidate (item, place). The
-number of repetitions is planned so that an item with ``max_edits`` of its characters edited at random is met with the
-target recall (``plan_repetitions``). Every candidate is verified by the exact edit distance between the item and the text
-around the place, with free ends. An item that is found within ``max_edits`` contaminates the document.
+number of repetitions is planned for each group of items of similar length, so that an item of the group with ``max_edits``
+of its characters edited at random is met with the target recall (``plan_repetitions``). Items too short for a walk, or
+that walks do not bring to the recall, are cut into one piece more than edits are allowed and searched by exact pieces,
+which misses nothing. Every candidate is verified by the exact edit distance between the item and the text around the
+place, with free ends. An item that is found within ``max_edits`` contaminates the document.
 
 Items are broadcast in blocks of at most ``block_chars`` characters, each of which passes over all documents.
 
@@ -33,7 +36,10 @@ from pyspark.sql import functions as F
 
 from .runtime import pick, prepare, tidy
 
-STEPS, SAMPLES = 48, 15
+#: Steps of a walk and how many of them are sampled; an item must have so many bytes at least.
+STEPS, SAMPLES = 40, 14
+#: Walks after which a group of items that is still short of the recall is searched by its pieces instead.
+_PATIENCE = 48
 _PRIME = np.uint64(1099511628211)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
@@ -45,21 +51,30 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def places(data: np.ndarray, dense: bool) -> np.ndarray:
+    """Where windows begin in normalised UTF-8 that has a blank first: at each character if ``dense``, else after blanks."""
+    if dense:
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        return at[at > 0]
+    begins = np.zeros(len(data), dtype=bool)
+    begins[1:] = data[:-1] == 32
+    return np.flatnonzero(begins)
+
+
 class Walk:
     """One repetition: the random bits of the walk, and the steps that are sampled."""
 
-    def __init__(self, seed: int, steps: int):
+    def __init__(self, seed: int, steps: int = STEPS):
         rng = np.random.default_rng([10, seed])
-        self.steps = steps
         self.bits = rng.integers(0, 2, size=(steps, 256)).astype(np.int64)
-        early = min(10, steps)
-        first = rng.choice(early, size=min(4, early), replace=False)
-        rest = rng.choice(np.arange(early, steps), size=min(SAMPLES - 4, steps - early), replace=False) if steps > early else []
+        early = 10
+        first = rng.choice(early, size=4, replace=False)
+        rest = rng.choice(np.arange(early, steps), size=SAMPLES - 4, replace=False)
         self.samples = sorted({*map(int, first), *map(int, rest)})
-        self.stops = [self.samples[i] for i in (8, 11) if i < len(self.samples) - 1]
+        self.stops = [self.samples[i] for i in (7, 10)]
 
-    def keys(self, data: np.ndarray, at: np.ndarray, sieves: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """The sampled walk from each place: final keys, the keys at the stops, and which places are left.
+    def keys(self, data: np.ndarray, at: np.ndarray, sieves: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """The sampled walk from each place: final keys, the keys at the stops, which places are left, and the last byte read.
 
         With ``sieves`` places whose key at a stop is in no item's are dropped there.
         """
@@ -74,84 +89,170 @@ class Walk:
                         ok = np.flatnonzero(sieves[len(stops)].take(((key * _SPREAD) >> np.uint64(64 - _BITS)).view(np.int64)))
                         pos, key, left, c = pos[ok], key[ok], left[ok], c[ok]
                     stops.append(key.copy())
-            pos += self.bits[j].take(c)
-        return key, stops, left
-
-
-def _steps(n: int) -> int:
-    """Steps of the walks for items of n bytes; never more than the item has."""
-    return STEPS if n >= STEPS else 12 if n >= 16 else n
+            if j < self.samples[-1]:
+                pos += self.bits[j].take(c)
+        return key, stops, left, pos
+
+
+class Entries:
+    """The places of some texts, laid one behind the other: bytes, places, the text of each and its offset there."""
+
+    def __init__(self, raws: list[bytes], dense: bool):
+        parts = [np.frombuffer(b" " + r, dtype=np.uint8) for r in raws]
+        base = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        self.data = np.concatenate([*parts, np.zeros(STEPS + 1, dtype=np.uint8)])
+        self.at = places(self.data[: base[-1]], dense)
+        self.who = np.searchsorted(base, self.at, "right") - 1
+        inside = self.at > base[self.who]
+        self.at, self.who = self.at[inside], self.who[inside]
+        self.off, self.end = self.at - base[self.who] - 1, base[self.who + 1]
+
+    def whole(self, walk: Walk):
+        """Keys, keys at the stops, texts and offsets of the walks that do not leave their text."""
+        key, stops, _, last = walk.keys(self.data, self.at)
+        ok = np.flatnonzero(last < self.end)
+        return key[ok], [k[ok] for k in stops], self.who[ok], self.off[ok]
+
+
+def edited(rng: np.random.Generator, text: str, edits: int, letters: str) -> str:
+    """The text after random replacements, insertions and deletions."""
+    s = list(text)
+    for _ in range(edits):
+        i, kind, c = int(rng.integers(len(s))), int(rng.integers(3)), letters[int(rng.integers(len(letters)))]
+        s[i : i + 1] = [[], [c], [s[i], c]][kind]
+        s = s or [" "]
+    return "".join(s)
+
+
+def plan_repetitions(items: list[str], dense: bool, max_edits: float, recall: float) -> int | None:
+    """Repetitions after which items with ``max_edits`` of their characters edited at random are met with probability
+    ``recall``, or None if ``_PATIENCE`` of them are not enough.
+
+    The walks of the scan itself are tried on random edits, glued to what is before them. Misses of one text are not
+    independent, so those left after each walk are counted, down to half of what is allowed.
+    """
+    rng = np.random.default_rng(11)
+    letters = "".join(sorted({c for t in items[:200] for c in t}))
+    size = min(600, max(100, 300_000 // max(map(len, items))))
+    pairs = [items[int(i)] for i in (rng.permutation(len(items)) if len(items) >= size else rng.integers(len(items), size=size))[:size]]
+    texts = [("x" + edited(rng, t, int(max_edits * len(t)), letters)).encode() for t in pairs]
+    slack = np.array([max(8, int(max_edits * len(t.encode()))) for t in pairs])
+    ours, theirs = Entries([t.encode() for t in pairs], dense), Entries(texts, dense)
+    missed = np.ones(size, dtype=bool)
+    for n in range(_PATIENCE):
+        walk = Walk(n)
+        key, _, who, off = ours.whole(walk)
+        key = key * _SPREAD + who.astype(np.uint64)
+        order = np.argsort(key)
+        key, off = key[order], off[order]
+        seen = walk.keys(theirs.data, theirs.at)[0] * _SPREAD + theirs.who.astype(np.uint64)
+        lo, hi = np.searchsorted(key, seen, "left"), np.searchsorted(key, seen, "right")
+        for e in np.flatnonzero(hi > lo):
+            if missed[theirs.who[e]] and (abs(off[lo[e] : hi[e]] - theirs.off[e]) <= slack[theirs.who[e]]).any():
+                missed[theirs.who[e]] = False
+        if missed.sum() <= size * (1 - recall) / 2:
+            return n + 1
+    return None
 
 
 class ItemIndex:
-    """The sampled walks of a block of items, for all repetitions."""
+    """A block of items: their sampled walks for all repetitions, and the pieces of those that walks do not serve."""
 
-    def __init__(self, items: list[tuple[object, str]], max_edits: float, repetitions: int):
+    def __init__(self, items: list[tuple[object, str]], max_edits: float, recall: float):
         self.items = [(i, t) for i, t in items if t]
         self.max_edits = max_edits
-        groups = defaultdict(list)
+        #: Of each item its grams, and how many of them are left by as many edits as are allowed: an edit changes those of one character.
+        self.grams = []
+        for _, text in self.items:
+            own = _grams(text.encode())
+            self.grams.append((own, len(own) - int(max_edits * len(text)) * (max(len(c.encode()) for c in set(text)) + 2)))
+        groups, planned = defaultdict(list), defaultdict(list)
+        self.passes, self.pieces = [], []
         for n, (_, text) in enumerate(self.items):
-            groups[_steps(len(text.encode()))].append(n)
-        self.passes = [self._enter(Walk(r, steps), group) for steps, group in sorted(groups.items()) for r in range(repetitions)]
-
-    def _enter(self, walk: Walk, group: list[int]):
-        data, at, who, off = [], [], [], []
-        base = 0
-        for n in group:
-            raw = self.items[n][1].encode()
-            arr = np.frombuffer(raw, dtype=np.uint8)
-            starts = np.concatenate([[0], np.flatnonzero(arr == 32) + 1])
-            starts = starts[starts <= max(0, len(raw) - walk.steps)]
-            data.append(np.concatenate([arr, np.zeros(walk.steps, dtype=np.uint8)]))
-            at.append(starts + base)
-            who.append(np.full(len(starts), n))
-            off.append(starts)
-            base += len(raw) + walk.steps
-        key, stops, _ = walk.keys(np.concatenate(data), np.concatenate(at))
+            raw = text.encode()
+            groups[False, int(np.log(len(raw)) / np.log(1.2)) if len(raw) >= STEPS else 0].append(n)
+        self.plan = {}
+        for (dense, size), group in sorted(groups.items()):
+            texts = [self.items[i][1] for i in group]
+            n = plan_repetitions(texts, dense, max_edits, recall) if size else None
+            if size and n is None and not dense:
+                dense, n = True, plan_repetitions(texts, True, max_edits, recall)
+            self.plan[dense, size] = n
+            if n is None:
+                self.pieces += [(g, *piece) for g in group for piece in self._pieces(self.items[g][1])]
+            for r in range(n or 0):
+                planned[dense, r] += group
+        self.passes = [(dense, *self._enter(Walk(r), group, dense)) for (dense, r), group in sorted(planned.items())]
+
+    def _pieces(self, text: str) -> list[tuple[bytes, int]]:
+        """One more piece than edits are allowed, with their offsets: one of them is left unedited."""
+        n = int(self.max_edits * len(text)) + 1
+        cuts = [len(text) * i // n for i in range(n + 1)]
+        return [(text[a:b].encode(), len(text[:a].encode())) for a, b in zip(cuts, cuts[1:])]
+
+    def _enter(self, walk: Walk, group: list[int], dense: bool):
+        key, stops, who, off = Entries([self.items[n][1].encode() for n in group], dense).whole(walk)
         sieves = []
         for k in stops:
             sieve = np.zeros(1 << _BITS, dtype=bool)
             sieve[(k * _SPREAD) >> np.uint64(64 - _BITS)] = True
             sieves.append(sieve)
         order = np.argsort(key, kind="stable")
-        return walk, sieves, key[order], np.concatenate(who)[order], np.concatenate(off)[order]
+        return walk, sieves, key[order], np.array(group)[who[order]], off[order]
 
     def candidates(self, texts: list[bytes]) -> dict[tuple[int, int], list[int]]:
         """(text, item) -> places where the item may begin, as byte offsets in the text."""
-        parts = [np.frombuffer(b" " + t, dtype=np.uint8) for t in texts]
-        size = np.array([len(p) for p in parts])
-        base = np.concatenate([[0], np.cumsum(size)])
-        data = np.concatenate([*parts, np.zeros(STEPS + 1, dtype=np.uint8)])
-        at = np.flatnonzero(data[: base[-1]] == 32) + 1
+        joined = b" " + b" ".join(texts)
+        base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        data = np.frombuffer(joined + bytes(STEPS + 1), dtype=np.uint8)
         out = defaultdict(set)
-        for walk, sieves, keys, who, off in self.passes:
-            key, _, left = walk.keys(data, at, sieves)
+        at = {dense: places(data[: base[-1]], dense) for dense in {p[0] for p in self.passes}}
+        for dense, walk, sieves, keys, who, off in self.passes:
+            key, _, left, _ = walk.keys(data, at[dense], sieves)
             lo = np.searchsorted(keys, key, "left")
             hi = np.searchsorted(keys, key, "right")
             hit = np.flatnonzero(hi > lo)
             if not len(hit):
                 continue
-            place = at[left[hit]]
+            place = at[dense][left[hit]]
             doc = np.searchsorted(base, place, "right") - 1
             for d, p, i, j in zip(doc.tolist(), (place - base[doc] - 1).tolist(), lo[hit].tolist(), hi[hit].tolist()):
                 for e in range(i, j):
                     out[d, int(who[e])].add(p - int(off[e]))
+        for n, piece, off in self.pieces:
+            p = joined.find(piece)
+            while p >= 0:
+                d = int(np.searchsorted(base, p, "right")) - 1
+                out[d, n].add(p - int(base[d]) - 1 - off)
+                p = joined.find(piece, p + 1)
         return {k: sorted(v) for k, v in out.items()}
 
     def hits(self, texts: list[str]) -> list[list[tuple[object, int, float]]]:
         """For each normalised text the items in it: id, edits, similarity."""
         raw = [t.encode() for t in texts]
         out: list[list] = [[] for _ in texts]
-        for (d, n), places in sorted(self.candidates(raw).items()):
+        at, grams, seen = -1, None, np.zeros(1 << 16, dtype=bool)
+        for (d, n), begins in sorted(self.candidates(raw).items()):
+            if d != at:
+                at, grams = d, _grams(raw[d])
             ident, item = self.items[n]
+            own, shared = self.grams[n]
             most = int(self.max_edits * len(item))
             length, best, last = len(item.encode()), most + 1, None
-            for p in places:
+            beside = (1 if texts[d].isascii() and item.isascii() else 4) * most + max(2, most // 4) + 8
+            for p in begins:
                 if last is not None and p - last <= max(2, most // 4):
                     continue
                 last = p
-                around = raw[d][max(0, p - 2 * most - 8) : p + length + 2 * most + 8].decode("utf-8", "ignore")
-                best = min(best, fewest_edits(item, around, best))
+                lo, hi = max(0, p - beside), max(0, p + length + beside)
+                if shared > 0:
+                    near = grams[lo : max(lo, hi - 2)]
+                    seen[near] = True
+                    enough = np.count_nonzero(seen[own]) >= shared
+                    seen[near] = False
+                    if not enough:
+                        continue
+                best = min(best, fewest_edits(item, raw[d][lo:hi].decode("utf-8", "ignore"), best))
                 if not best:
                     break
             if best <= most:
@@ -159,6 +260,12 @@ class ItemIndex:
         return out
 
 
+def _grams(raw: bytes) -> np.ndarray:
+    """A number of 16 bits for each three bytes in a row."""
+    x = np.frombuffer(raw, dtype=np.uint8).astype(np.uint16)
+    return x[:-2] * np.uint16(31 * 31) + x[1:-1] * np.uint16(31) * np.uint16(7) + x[2:]
+
+
 def fewest_edits(item: str, text: str, enough: int) -> int:
     """The smallest edit distance between ``item`` and any substring of ``text``: bit-parallel dynamic programming."""
     if item in text:
@@ -184,37 +291,6 @@ def fewest_edits(item: str, text: str, enough: int) -> int:
     return best
 
 
-def plan_repetitions(items: list[str], max_edits: float, recall: float, sample: int = 60, most: int = 32) -> int:
-    """Repetitions that meet an item with ``max_edits`` of its characters edited at random with probability ``recall``.
-
-    The chance of one repetition is measured on random edits of at most ``sample`` of the items.
-    """
-    items = sorted(t for t in items if t)
-    if not items:
-        return 1
-    rng = np.random.default_rng(11)
-    chosen = [items[i] for i in sorted(rng.choice(len(items), size=min(sample, len(items)), replace=False))]
-    letters = sorted({c for t in chosen for c in t})
-    edited = []
-    for t in chosen:
-        s = list(t)
-        for _ in range(int(max_edits * len(t))):
-            i, kind = int(rng.integers(len(s))), int(rng.integers(3))
-            s[i : i + 1] = [[], [letters[int(rng.integers(len(letters)))]], [s[i], letters[int(rng.integers(len(letters)))]]][kind]
-            s = s or [" "]
-        edited.append("".join(s).encode())
-    met = 0
-    for seed in range(4):
-        index = ItemIndex(list(enumerate(chosen)), max_edits, 0)
-        groups = defaultdict(list)
-        for n, (_, text) in enumerate(index.items):
-            groups[_steps(len(text.encode()))].append(n)
-        index.passes = [index._enter(Walk(1000 + seed, steps), g) for steps, g in groups.items()]
-        met += sum((n, n) in index.candidates([b""] * n + [e]) for n, e in enumerate(edited))
-    q = min(0.999, max(0.05, met / (4 * len(chosen))))
-    return min(most, max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - q)))))
-
-
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[object, str]]]:
     block, size = [], 0
     for row in pick(benchmark, "item_id", "text").orderBy("item_id", "text").toLocalIterator():
@@ -258,8 +334,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, max_edits: float, recall: fl
     spark = docs.sparkSession
     prepare(spark)
     for block in _blocks(benchmark, block_chars):
-        n = plan_repetitions([t for _, t in block], max_edits, recall)
-        yield spark.sparkContext.broadcast(ItemIndex(block, max_edits, n))
+        yield spark.sparkContext.broadcast(ItemIndex(block, max_edits, recall))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, block_chars: int = 4 << 20) -> DataFrame:

@@ -147,6 +147,31 @@ def test_contamination_of_empty_tables(spark, leaks):
     assert D.contamination(no_docs, spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def scattered(rng, text, edits, letters):
+    s = list(text)
+    for _ in range(edits):
+        i, c = rng.randrange(len(s)), rng.choice(letters)
+        s[i : i + 1] = rng.choice([[], [c], [s[i], c]])
+    return "".join(s)
+
+
+@pytest.mark.parametrize("least, most", [(24, 40), (40, 60), (81, 120), (121, 180), (250, 400)])
+def test_contamination_recall_by_length(least, most):
+    """At 20 % edits, against the edit search over the whole text."""
+    rng, words = random.Random(least), helpers.vocabulary(500, 9)
+    items = [D.normalise(helpers.prose(rng, words, 120))[: rng.randint(least, most)].strip() for _ in range(100)]
+    index = D.ItemIndex(list(enumerate(items)), 0.2, 0.99)
+    docs, want = [], set()
+    for i in [*range(100)] * 3:
+        t = items[i]
+        text = D.normalise(helpers.prose(rng, words, 12) + " " + scattered(rng, t, int(0.2 * len(t)), "abcdefghijkl mnopqrstuvwxyz") + " " + helpers.prose(rng, words, 12))
+        if D.fewest_edits(t, text, 10**9) <= 0.2 * len(t):
+            want.add((len(docs), i))
+        docs.append(text)
+    got = {(d, h[0]) for d, found in enumerate(index.hits(docs)) for h in found}
+    assert len(want) > 290 and len(want & got) >= 0.98 * len(want)
+
+
 def vectors(n=400, dim=16, seed=1):
     rng = np.random.default_rng(seed)
     v = rng.normal(size=(n, dim)).astype(np.float32)
