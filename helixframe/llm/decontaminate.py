@@ -4,8 +4,9 @@ Both sides are lower-cased and their white space runs become one blank. A CGK ra
 edits become few changed positions: at step j the walk emits the character it stands on and moves on by a random bit of j
 and that character, so that after an edit the walks of both strings soon meet again. The walk of an item-sized window begins
 like the walk of the text from that place, whatever the item's length; so one walk from each place of a document serves
-windows for all items. Places are after blanks; items are entered at each of their own, a window for each. For groups
-of items that are not met often enough so, every character is a place, on both sides.
+windows for all items. Places are after blanks, where letters or digits begin, and at each character of unspaced scripts
+(``places``). Items are entered at each of their own places, a window for each; for items with few of them every character
+is a place, on both sides.
 
 One repetition samples the emitted characters at a fixed set of steps; equal samples make a candidate (item, place). The
 number of repetitions is planned for each group of items of similar length, so that an item of the group with ``max_edits``
@@ -38,6 +39,8 @@ from .runtime import pick, prepare, tidy
 
 #: Steps of a walk and how many of them are sampled; an item must have so many bytes at least.
 STEPS, SAMPLES = 40, 14
+#: Items with fewer places than this are entered at each character, and each character of a document is a place for them.
+_FEW = 8
 #: Walks after which a group of items that is still short of the recall is searched by its pieces instead.
 _PATIENCE = 48
 _PRIME = np.uint64(1099511628211)
@@ -51,13 +54,34 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(256, dtype=np.uint8)
+    kinds[ord("a") : ord("z") + 1] = kinds[0x80:] = 1
+    kinds[ord("0") : ord("9") + 1] = 2
+    return kinds
+
+
+_KIND = _kinds()
+
+
 def places(data: np.ndarray, dense: bool) -> np.ndarray:
-    """Where windows begin in normalised UTF-8 that has a blank first: at each character if ``dense``, else after blanks."""
+    """Where windows begin in normalised UTF-8 that has a blank first: at each character if ``dense``, else after blanks,
+    where letters or digits begin, and at and after each character of three bytes or more but those of Indian scripts."""
     if dense:
         at = np.flatnonzero((data & 0xC0) != 0x80)
         return at[at > 0]
-    begins = np.zeros(len(data), dtype=bool)
-    begins[1:] = data[:-1] == 32
+    kind = _KIND.take(data)
+    begins = np.empty(len(data), dtype=bool)
+    begins[0] = False
+    begins[1:] = ((kind[1:] != kind[:-1]) & (kind[1:] > 0)) | (data[:-1] == 32)
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        first = data[lead]
+        second = data.take(lead + 1, mode="clip")
+        wide = (first >= 0xE1) | ((first == 0xE0) & (second >= 0xB8))
+        begins[lead[wide]] = True
+        after = np.concatenate([lead[wide] + np.where(first[wide] >= 0xF0, 4, 3), lead[first == 0xC2] + 2])
+        begins[after[after < len(data)]] = True
     return np.flatnonzero(begins)
 
 
@@ -170,7 +194,8 @@ class ItemIndex:
         self.passes, self.pieces = [], []
         for n, (_, text) in enumerate(self.items):
             raw = text.encode()
-            groups[False, int(np.log(len(raw)) / np.log(1.2)) if len(raw) >= STEPS else 0].append(n)
+            few = len(places(np.frombuffer(b" " + raw[: max(0, len(raw) - STEPS // 2)], dtype=np.uint8), False)) < _FEW
+            groups[few, int(np.log(len(raw)) / np.log(1.2)) if len(raw) >= STEPS else 0].append(n)
         self.plan = {}
         for (dense, size), group in sorted(groups.items()):
             texts = [self.items[i][1] for i in group]

@@ -172,6 +172,26 @@ def test_contamination_recall_by_length(least, most):
     assert len(want) > 290 and len(want & got) >= 0.98 * len(want)
 
 
+def test_contamination_finds_exact_copies_anywhere():
+    """Behind punctuation, glued to letters and inside unspaced text."""
+    rng, words = random.Random(12), helpers.vocabulary(500, 9)
+    han, thai = [chr(c) for c in range(0x4E00, 0x5200)], [chr(c) for c in range(0x0E01, 0x0E2F)]
+    unspaced = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    items, texts = [], []
+    for n in (4, 10, 20, 40, 50, 80):
+        for letters in (han, thai):
+            items.append(unspaced(letters, n))
+            texts.append(unspaced(letters, 30) + items[-1] + unspaced(letters, 30))
+    for n in (3, 12, 30, 48, 50, 53, 90, 150):
+        for before, after in (("question:", ""), ("xq", "qx"), ('("', '")'), ("\u201c", "\u201d"), ("7", "7")):
+            items.append(D.normalise(helpers.prose(rng, words, 60))[:n].strip())
+            texts.append(helpers.prose(rng, words, 5) + " " + before + items[-1] + after + " " + helpers.prose(rng, words, 5))
+    items.append("https://" + unspaced("abcdefgh", 60))
+    texts.append("see" + items[-1] + "there")
+    found = D.ItemIndex(list(enumerate(items)), 0.2, 0.99).hits([D.normalise(t) for t in texts])
+    assert [i for i in range(len(items)) if (i, 0, 1.0) not in found[i]] == []
+
+
 def vectors(n=400, dim=16, seed=1):
     rng = np.random.default_rng(seed)
     v = rng.normal(size=(n, dim)).astype(np.float32)
