@@ -1,6 +1,8 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import os
+import random
+import re
 
 import duckdb
 import numpy as np
@@ -8,6 +10,8 @@ import pandas as pd
 import pytest
 
 from helixframe import registry
+from helixframe.functions import constants as K
+from helixframe.plans import sequence_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,3 +44,18 @@ def test_query(spark, con, name):
         assert len(got)
     else:
         assert plain(got) == plain(con.execute(sql).df())
+
+
+def test_motif_matches_all(spark, tmp_path):
+    """All 24 motifs, against re.finditer."""
+    rng = random.Random(4)
+    docs = [(i, "".join(rng.choice("acdefghiklmnpqrstvwyCKRGSTLP ") for _ in range(n))) for i, n in enumerate((0, 40, 400, 3000))]
+    hits = "lxxxxxxlxxxxxxlxxxxxxl".replace("x", "a")
+    docs += [(9, hits + " " + hits), (10, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in registry.queries()["motif_matches_all"](spark, f"file://{tmp_path}").collect()}
+    want = set()
+    for r in sequence_queries.seqs(spark, f"file://{tmp_path}").collect():
+        for m, (_, pattern) in K.MOTIFS.items():
+            want |= {(r["protein_id"], m, x.start(), x.end(), x.group(), f"{x.start() + 1}-{x.end()}") for x in re.finditer(pattern, r["seq"] or "")}
+    assert got == want and len({w[1] for w in want}) > 12
