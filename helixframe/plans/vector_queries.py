@@ -193,7 +193,7 @@ q AS (SELECT protein_id AS query_id, v AS q, n AS nq FROM n WHERE protein_id IN
 
 
 def _medoid_rows(spark, sf):
-    """The medoids of all families: the stated query set of searches over everything."""
+    """The medoids of all families, one query for each."""
     rows = rows_of(spark, sf)
     return A.medoids(rows, A.centroids(rows)).select(F.col("medoid_id").alias("protein_id")).join(rows, "protein_id"), rows
 
@@ -212,6 +212,30 @@ def search_global_threshold(spark, sf):
     return S.global_threshold(queries, rows)
 
 
+STATED_QUERY = f"""{P}, n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM p),
+q AS (SELECT protein_id AS query_id, v AS q, n AS nq FROM n WHERE protein_id % 100 = 0)"""
+
+
+def _stated_rows(spark, sf):
+    """The rows whose id is divisible by 100, as queries that grow with the table."""
+    rows = rows_of(spark, sf)
+    return rows.where(F.col("protein_id") % 100 == 0), rows
+
+
+@query(f"""WITH {STATED_QUERY}, s AS (SELECT query_id, family_id, protein_id, list_dot_product(q, v) / (nq * n) AS similarity FROM n CROSS JOIN q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, family_id ORDER BY similarity DESC, protein_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
+def search_all_families_stated(spark, sf):
+    queries, rows = _stated_rows(spark, sf)
+    return S.all_families(queries, rows, 5)
+
+
+@query(f"""WITH {STATED_QUERY}, s AS (SELECT query_id, protein_id, list_dot_product(v, q) / (nq + 1e-8) AS similarity FROM n CROSS JOIN q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, protein_id) AS INT) AS rank FROM s WHERE similarity >= 0.1) SELECT * FROM r WHERE rank <= 50""")
+def search_global_threshold_stated(spark, sf):
+    queries, rows = _stated_rows(spark, sf)
+    return S.global_threshold(queries, rows)
+
+
 @query(f"""WITH {P}, pb AS (SELECT protein_id, family_id, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM p),
 s AS (SELECT a.protein_id AS query_id, c.protein_id, CAST(list_sum(list_transform(list_zip(a.b, c.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INT) AS hamming FROM pb a JOIN pb c USING (family_id)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hamming, protein_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")

@@ -59,3 +59,9 @@ def test_motif_matches_all(spark, tmp_path):
         for m, (_, pattern) in K.MOTIFS.items():
             want |= {(r["protein_id"], m, x.start(), x.end(), x.group(), f"{x.start() + 1}-{x.end()}") for x in re.finditer(pattern, r["seq"] or "")}
     assert got == want and len({w[1] for w in want}) > 12
+
+
+def test_stated_searches_answer_every_hundredth_row(spark):
+    want = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
+    for name in ("search_all_families_stated", "search_global_threshold_stated"):
+        assert {r["query_id"] for r in registry.queries()[name](spark, SF).collect()} == want
