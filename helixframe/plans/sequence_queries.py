@@ -230,7 +230,7 @@ def ws_ref_check(spark, sf):
 
 @query()
 def wrap_text(spark, sf):
-    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", S.wrap(F.col("text")).alias("wrapped"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", S.wrap(F.col("text")).alias("wrapped"))
 
 
 @query(f"WITH {D} SELECT CASE WHEN length(seq) <= 100 THEN '0-100' WHEN length(seq) <= 200 THEN '101-200' WHEN length(seq) <= 500 THEN '201-500' WHEN length(seq) <= 1000 THEN '501-1000' ELSE '>1000' END AS bin, count(*) AS n FROM s GROUP BY 1")
@@ -389,4 +389,4 @@ def embed_kmer_hash(spark, sf):
 
 @query()
 def sequence_report(spark, sf):
-    return bench(spark, sf).select("protein_id", S.summary_text(F.col("sequence"), F.col("protein_id").cast("string")).alias("report"))
+    return seqs(spark, sf).select("protein_id", S.summary_text(F.col("seq"), F.col("protein_id").cast("string")).alias("report"))

@@ -65,3 +65,21 @@ def test_stated_searches_answer_every_hundredth_row(spark):
     want = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
     for name in ("search_all_families_stated", "search_global_threshold_stated"):
         assert {r["query_id"] for r in registry.queries()[name](spark, SF).collect()} == want
+
+
+def test_wrapped_texts_and_reports_are_those_of_all_documents(spark):
+    def wrapped(text):
+        lines = []
+        for w in re.findall(r"[^ \t\n\x0b\f\r]+", text or ""):
+            if lines and len(lines[-1]) + 1 + len(w) <= 80:
+                lines[-1] += " " + w
+            else:
+                lines.append(w)
+        return "<br>".join(lines) or "N/A"
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert max(len(t or "") for t in docs.values()) > 10_000
+    assert {r["doc_id"]: r["wrapped"] for r in registry.queries()["wrap_text"](spark, SF).collect()} == {d: wrapped(t) for d, t in docs.items()}
+    length = {r["protein_id"]: len(r["seq"] or "") for r in sequence_queries.seqs(spark, SF).collect()}
+    report = {r["protein_id"]: r["report"] for r in registry.queries()["sequence_report"](spark, SF).collect()}
+    assert report.keys() == docs.keys() and all(str(length[d]) in report[d].replace(",", "") for d in docs if length[d])
