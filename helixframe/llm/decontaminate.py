@@ -12,10 +12,15 @@ One repetition samples the emitted characters at a fixed set of steps; equal sam
 number of repetitions is planned for each group of items of similar length, so that an item of the group with ``max_edits``
 of its characters edited at random is met with the target recall (``plan_repetitions``). Items too short for a walk, or
 that walks do not bring to the recall, are cut into one piece more than edits are allowed and searched by exact pieces,
-which misses nothing. Every candidate is verified by the exact edit distance between the item and the text around the
-place, with free ends. An item that is found within ``max_edits`` contaminates the document.
+which misses nothing.
 
-Items are broadcast in blocks of at most ``block_chars`` characters, each of which passes over all documents.
+Every candidate is verified by the exact edit distance between the item and the text around the place, with free ends. As
+the distances of an item's disjoint pieces of 64 characters, each to the text where it would lie, cannot add up to more than
+the item's own, most candidates fall by the first piece or two; those are compared side by side (``ItemIndex.possible``). An
+item that is found within ``max_edits`` contaminates the document.
+
+Items are broadcast in blocks of at most ``block_chars`` characters, each of which passes over all documents; a worker holds
+the walks of one block, about 16 bytes for each entered place and repetition.
 
 Result of ``contamination``: one row (doc_id, item_id, edits, similarity) for each document and item found in it, with the
 smallest number of edits. ``decontaminate`` returns the documents in which nothing is found, with all their columns.
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 from .runtime import pick, prepare, tidy
 
 #: Steps of a walk and how many of them are sampled; an item must have so many bytes at least.
-STEPS, SAMPLES = 40, 14
+STEPS, SAMPLES = 36, 13
 #: Items with fewer places than this are entered at each character, and each character of a document is a place for them.
 _FEW = 8
 #: Walks after which a group of items that is still short of the recall is searched by its pieces instead.
@@ -46,8 +51,11 @@ _PATIENCE = 48
 _PRIME = np.uint64(1099511628211)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
-#: Bytes of text that are walked together.
-_CHUNK = 1 << 18
+#: Characters of text whose candidates are compared together, bytes that are walked together, and entries met together.
+_HELD, _CHUNK, _TOGETHER = 4 << 20, 1 << 18, 1 << 20
+#: Characters of a word and classes of characters in the comparison of candidates, how many are compared side by side, and
+#: what a window has on each side besides the edits.
+_WORD, _CLASSES, _SIDE, _BESIDE = 64, 128, 4096, 8
 
 
 def normalise(text: str | None) -> str:
@@ -95,7 +103,7 @@ class Walk:
         first = rng.choice(early, size=4, replace=False)
         rest = rng.choice(np.arange(early, steps), size=SAMPLES - 4, replace=False)
         self.samples = sorted({*map(int, first), *map(int, rest)})
-        self.stops = [self.samples[i] for i in (7, 10)]
+        self.stops = [self.samples[i] for i in (4, 6, 9)]
 
     def keys(self, data: np.ndarray, at: np.ndarray, sieves: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         """The sampled walk from each place: final keys, the keys at the stops, which places are left, and the last byte read.
@@ -107,7 +115,7 @@ class Walk:
             c = data.take(pos)
             if j in self.samples:
                 key *= _PRIME
-                key += c + np.uint64(1)
+                key += c
                 if j in self.stops:
                     if sieves is not None:
                         ok = np.flatnonzero(sieves[len(stops)].take(((key * _SPREAD) >> np.uint64(64 - _BITS)).view(np.int64)))
@@ -119,7 +127,7 @@ class Walk:
 
 
 class Entries:
-    """The places of some texts, laid one behind the other: bytes, places, the text of each and its offset there."""
+    """The places of some texts, laid one behind the other: bytes, places, the text of each and its offset there in characters."""
 
     def __init__(self, raws: list[bytes], dense: bool):
         parts = [np.frombuffer(b" " + r, dtype=np.uint8) for r in raws]
@@ -129,7 +137,8 @@ class Entries:
         self.who = np.searchsorted(base, self.at, "right") - 1
         inside = self.at > base[self.who]
         self.at, self.who = self.at[inside], self.who[inside]
-        self.off, self.end = self.at - base[self.who] - 1, base[self.who + 1]
+        chars = np.cumsum((self.data & 0xC0) != 0x80)
+        self.off, self.end = chars[self.at] - chars[base[self.who]] - 1, base[self.who + 1]
 
     def whole(self, walk: Walk):
         """Keys, keys at the stops, texts and offsets of the walks that do not leave their text."""
@@ -160,7 +169,7 @@ def plan_repetitions(items: list[str], dense: bool, max_edits: float, recall: fl
     size = min(600, max(100, 300_000 // max(map(len, items))))
     pairs = [items[int(i)] for i in (rng.permutation(len(items)) if len(items) >= size else rng.integers(len(items), size=size))[:size]]
     texts = [("x" + edited(rng, t, int(max_edits * len(t)), letters)).encode() for t in pairs]
-    slack = np.array([max(8, int(max_edits * len(t.encode()))) for t in pairs])
+    slack = np.array([max(8, int(max_edits * len(t))) for t in pairs])
     ours, theirs = Entries([t.encode() for t in pairs], dense), Entries(texts, dense)
     missed = np.ones(size, dtype=bool)
     for n in range(_PATIENCE):
@@ -185,11 +194,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[object, str]], max_edits: float, recall: float):
         self.items = [(i, t) for i, t in items if t]
         self.max_edits = max_edits
-        #: Of each item its grams, and how many of them are left by as many edits as are allowed: an edit changes those of one character.
-        self.grams = []
-        for _, text in self.items:
-            own = _grams(text.encode())
-            self.grams.append((own, len(own) - int(max_edits * len(text)) * (max(len(c.encode()) for c in set(text)) + 2)))
+        self.most = np.array([int(max_edits * len(t)) for _, t in self.items], dtype=np.int64)
         groups, planned = defaultdict(list), defaultdict(list)
         self.passes, self.pieces = [], []
         for n, (_, text) in enumerate(self.items):
@@ -208,12 +213,13 @@ class ItemIndex:
             for r in range(n or 0):
                 planned[dense, r] += group
         self.passes = [(dense, *self._enter(Walk(r), group, dense)) for (dense, r), group in sorted(planned.items())]
+        self._mask()
 
     def _pieces(self, text: str) -> list[tuple[bytes, int]]:
         """One more piece than edits are allowed, with their offsets: one of them is left unedited."""
         n = int(self.max_edits * len(text)) + 1
         cuts = [len(text) * i // n for i in range(n + 1)]
-        return [(text[a:b].encode(), len(text[:a].encode())) for a, b in zip(cuts, cuts[1:])]
+        return [(text[a:b].encode(), a) for a, b in zip(cuts, cuts[1:])]
 
     def _enter(self, walk: Walk, group: list[int], dense: bool):
         key, stops, who, off = Entries([self.items[n][1].encode() for n in group], dense).whole(walk)
@@ -223,72 +229,151 @@ class ItemIndex:
             sieve[(k * _SPREAD) >> np.uint64(64 - _BITS)] = True
             sieves.append(sieve)
         order = np.argsort(key, kind="stable")
-        return walk, sieves, key[order], np.array(group)[who[order]], off[order]
+        return walk, sieves, key[order], np.array(group, dtype=np.int32)[who[order]], off[order].astype(np.int32)
+
+    def _mask(self) -> None:
+        """Of each item its full words of ``_WORD`` characters (one shorter word, if it has none): bit masks by character class."""
+        sizes = [max(1, len(t) // _WORD) for _, t in self.items]
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.masks = np.zeros((self.first[-1], _CLASSES), dtype=np.uint64)
+        for n, (_, text) in enumerate(self.items):
+            classes = _classes(text)
+            for i in range(sizes[n]):
+                part = classes[i * _WORD : (i + 1) * _WORD]
+                np.bitwise_or.at(self.masks[self.first[n] + i], part, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
 
-    def candidates(self, texts: list[bytes]) -> dict[tuple[int, int], list[int]]:
-        """(text, item) -> places where the item may begin, as byte offsets in the text."""
+    def candidates(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item, and the first and the last character of the text where the item may begin; nearby beginnings are one."""
         joined = b" " + b" ".join(texts)
         base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         data = np.frombuffer(joined + bytes(STEPS + 1), dtype=np.uint8)
-        out = defaultdict(set)
+        chars = None if joined.isascii() else np.cumsum((data & 0xC0) != 0x80) - 1
+        found = [np.zeros((3, 0), dtype=np.int64)]
         at = {dense: places(data[: base[-1]], dense) for dense in {p[0] for p in self.passes}}
+
+        def add(place: np.ndarray, item: np.ndarray, off: np.ndarray) -> None:
+            doc = np.searchsorted(base, place, "right") - 1
+            begin = place - base[doc] - 1 if chars is None else chars[place] - chars[base[doc]] - 1
+            found.append(np.unique(np.stack([doc, item, begin - off]), axis=1))
+
         for dense, walk, sieves, keys, who, off in self.passes:
             key, _, left, _ = walk.keys(data, at[dense], sieves)
             lo = np.searchsorted(keys, key, "left")
-            hi = np.searchsorted(keys, key, "right")
-            hit = np.flatnonzero(hi > lo)
-            if not len(hit):
-                continue
-            place = at[dense][left[hit]]
-            doc = np.searchsorted(base, place, "right") - 1
-            for d, p, i, j in zip(doc.tolist(), (place - base[doc] - 1).tolist(), lo[hit].tolist(), hi[hit].tolist()):
-                for e in range(i, j):
-                    out[d, int(who[e])].add(p - int(off[e]))
+            many = np.searchsorted(keys, key, "right") - lo
+            hit = np.flatnonzero(many)
+            for part in np.split(hit, np.searchsorted(np.cumsum(many[hit]), np.arange(_TOGETHER, int(many.sum()), _TOGETHER))):
+                if len(part):
+                    n = many[part]
+                    entry = np.repeat(lo[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    add(np.repeat(at[dense][left[part]], n), who[entry].astype(np.int64), off[entry])
         for n, piece, off in self.pieces:
-            p = joined.find(piece)
+            p, where = joined.find(piece), []
             while p >= 0:
-                d = int(np.searchsorted(base, p, "right")) - 1
-                out[d, n].add(p - int(base[d]) - 1 - off)
+                where.append(p)
                 p = joined.find(piece, p + 1)
-        return {k: sorted(v) for k, v in out.items()}
+            if where:
+                add(np.array(where), np.full(len(where), n), np.full(len(where), off))
+        doc, item, begin = np.concatenate(found, axis=1)
+        order = np.lexsort((begin, item, doc))
+        doc, item, begin = doc[order], item[order], begin[order]
+        new = np.ones(len(doc), dtype=bool)
+        near = begin // np.maximum(8, self.most[item])
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (near[1:] != near[:-1])
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(doc))[: len(heads)] - 1
+        return doc[heads], item[heads], begin[heads], begin[tails]
+
+    def possible(self, classes: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which candidates the words of their items do not rule out, for items that begin at places ``lo`` to ``hi``.
+
+        ``classes`` are the characters of all texts side by side. A word is looked for in more text than it can lie in, and
+        characters of one class count as equal, so that the sum of the words' distances is never too large.
+        """
+        most, n_words = self.most[item], self.first[item + 1] - self.first[item]
+        far, sum_ = np.ones(len(item), dtype=bool), np.zeros(len(item), dtype=np.int64)
+        for i in range(int(n_words.max(initial=0))):
+            left = np.flatnonzero(far & (i < n_words))
+            span = hi[left] - lo[left] + _WORD + 2 * most[left] + 2 * _BESIDE
+            left = left[np.argsort(span, kind="stable")]
+            for part in np.split(left, np.arange(_SIDE, len(left), _SIDE)):
+                if len(part):
+                    length = np.array([min(_WORD, len(self.items[n][1])) for n in item[part].tolist()]) if i == 0 else np.full(len(part), _WORD)
+                    begin = lo[part] + i * _WORD - most[part] - _BESIDE
+                    columns = int((hi[part] - lo[part] + 2 * most[part]).max()) + _WORD + 2 * _BESIDE
+                    sum_[part] += _word_distances(self.masks, self.first[item[part]] + i, length, classes, begin, columns)
+            far = sum_ <= most
+        return far
 
     def hits(self, texts: list[str]) -> list[list[tuple[object, int, float]]]:
         """For each normalised text the items in it: id, edits, similarity."""
-        raw = [t.encode() for t in texts]
         out: list[list] = [[] for _ in texts]
-        at, grams, seen = -1, None, np.zeros(1 << 16, dtype=bool)
-        for (d, n), begins in sorted(self.candidates(raw).items()):
-            if d != at:
-                at, grams = d, _grams(raw[d])
-            ident, item = self.items[n]
-            own, shared = self.grams[n]
-            most = int(self.max_edits * len(item))
-            length, best, last = len(item.encode()), most + 1, None
-            beside = (1 if texts[d].isascii() and item.isascii() else 4) * most + max(2, most // 4) + 8
-            for p in begins:
-                if last is not None and p - last <= max(2, most // 4):
-                    continue
-                last = p
-                lo, hi = max(0, p - beside), max(0, p + length + beside)
-                if shared > 0:
-                    near = grams[lo : max(lo, hi - 2)]
-                    seen[near] = True
-                    enough = np.count_nonzero(seen[own]) >= shared
-                    seen[near] = False
-                    if not enough:
-                        continue
-                best = min(best, fewest_edits(item, raw[d][lo:hi].decode("utf-8", "ignore"), best))
-                if not best:
-                    break
-            if best <= most:
-                out[d].append((ident, best, 1 - best / len(item)))
-        return out
-
-
-def _grams(raw: bytes) -> np.ndarray:
-    """A number of 16 bits for each three bytes in a row."""
-    x = np.frombuffer(raw, dtype=np.uint8).astype(np.uint16)
-    return x[:-2] * np.uint16(31 * 31) + x[1:-1] * np.uint16(31) * np.uint16(7) + x[2:]
+        raw, at, found = [t.encode() for t in texts], 0, []
+        ends = np.cumsum([len(r) for r in raw])
+        while at < len(raw):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - len(raw[at]) + _CHUNK, "right")))
+            doc, *rest = self.candidates(raw[at:stop])
+            found.append((doc + at, *rest))
+            at = stop
+        doc, item, lo, hi = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, dtype=np.int64)] * 4
+        if not len(doc):
+            return out
+        base = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        likely = self.possible(_classes(" ".join(texts)), item, base[doc] + lo, base[doc] + hi)
+        now, best = None, 0
+        for d, n, a, b in zip(*(x[likely].tolist() for x in (doc, item, lo, hi))):
+            ident, text = self.items[n]
+            most = int(self.most[n])
+            if now != (d, n):
+                now, best = (d, n), most + 1
+                out[d].append((ident, best, 1 - best / len(text)))
+            if best:
+                best = min(best, fewest_edits(text, texts[d][max(0, a - most - _BESIDE) : max(0, b + len(text) + most + _BESIDE)], best))
+                out[d][-1] = (ident, best, 1 - best / len(text))
+        most = {ident: m for (ident, _), m in zip(self.items, self.most.tolist())}
+        return [[h for h in found if h[1] <= most[h[0]]] for found in out]
+
+
+def _classes(text: str) -> np.ndarray:
+    """The class of each character: its own for ASCII, one of as many for all others."""
+    return (np.frombuffer(text.encode("utf-32-le"), dtype="<u4") & np.uint32(_CLASSES - 1)).astype(np.uint8)
+
+
+def _word_distances(masks: np.ndarray, word: np.ndarray, length: np.ndarray, classes: np.ndarray, begin: np.ndarray, columns: int) -> np.ndarray:
+    """The smallest edit distance of each word to any substring of ``columns`` characters from ``begin`` on; places outside
+    the text read its ends. Bit-parallel dynamic programming, a column of all pairs at a time."""
+    flat, row = masks.ravel(), word * masks.shape[1]
+    one, full = np.uint64(1), bool((length == _WORD).all())
+    top = np.uint64(_WORD - 1) if full else (length - 1).astype(np.uint64)
+    up, down = np.full(len(word), ~np.uint64(0)), np.zeros(len(word), dtype=np.uint64)
+    score, best = length.astype(np.int64), length.astype(np.int64)
+    pos = begin.copy()
+    inside = len(pos) and pos.min() >= 0 and pos.max() + columns < len(classes)
+    for _ in range(columns):
+        eq = flat.take(row + classes.take(pos, mode="wrap" if inside else "clip"))
+        pos += 1
+        d0 = eq & up
+        d0 += up
+        d0 ^= up
+        d0 |= eq
+        d0 |= down
+        hp = d0 | up
+        np.invert(hp, out=hp)
+        hp |= down
+        hn = up & d0
+        more, less = hp >> top, hn >> top
+        if not full:
+            more &= one
+            less &= one
+        score += more.view(np.int64)
+        score -= less.view(np.int64)
+        np.minimum(best, score, out=best)
+        hp <<= one
+        hn <<= one
+        up = d0 | hp
+        np.invert(up, out=up)
+        up |= hn
+        down = hp & d0
+    return best
 
 
 def fewest_edits(item: str, text: str, enough: int) -> int:
@@ -339,7 +424,7 @@ def _scan(index, keep_clean: bool):
             for t in texts:
                 held.append(normalise(t.as_py()))
                 size += len(held[-1])
-                if size >= _CHUNK:
+                if size >= _HELD:
                     found += items.hits(held)
                     held, size = [], 0
             if held:
