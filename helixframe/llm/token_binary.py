@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .huffman import canonical_codes, code_lengths, decode, decoding_table, encode_many
@@ -38,6 +38,7 @@ CHECKPOINT = 256
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
 _NO_ID = -(1 << 63)
+_BLOCK, _CODE = "file int, block int, before long, n_ids long, payload binary", "id int, length int"
 
 
 def _tokenise(path: str, end_id: int):
@@ -150,14 +151,19 @@ def read_block(payload: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class TokenFiles:
-    """Written files: their folder, the code lengths, and the ids of each file."""
+    """Files written at ``path``: the blocks, and the code that reads them. Any session can open them again."""
 
-    def __init__(self, work: Scratch, rows: DataFrame, lengths: np.ndarray):
-        self.work, self.rows, self.lengths = work, rows, lengths
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.rows = spark.read.schema(_BLOCK).parquet(f"{path}/files")
+        code = spark.read.schema(_CODE).parquet(f"{path}/code").collect()  # at most one row an id
+        self.lengths = np.zeros(max([0, *(r["id"] for r in code)]) + 1, dtype=np.uint8)
+        for r in code:
+            self.lengths[r["id"]] = r["length"]
 
     def read(self) -> DataFrame:
         """Per document, from the files: doc_id, start, n_tokens and ids_crc32."""
-        spark = self.work.spark
+        spark = self.spark
         prepare(spark)
         sizes = sorted((r["file"], r["n"]) for r in self.rows.groupBy("file").agg(F.sum("n_ids").alias("n")).collect())
         before, total = {}, 0
@@ -178,8 +184,12 @@ class TokenFiles:
         return self.rows.select("file", "before", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> TokenFiles:
-    """Encode every text of (doc_id, text), append ``end_id``, and write all ids in ascending order of doc_id."""
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> TokenFiles:
+    """Encode every text of (doc_id, text), append ``end_id``, and write all ids in ascending order of doc_id.
+
+    Files at ``path`` are kept, and ``TokenFiles(spark, path)`` opens them; without it they live in the shared folder until
+    the session ends.
+    """
     spark = docs.sparkSession
     work = Scratch(spark, "token-files")
     ids, kind = token_ids(docs, tokenizer, end_id, work, "ids")
@@ -193,7 +203,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> TokenFiles:
     coded = work.table(ids.mapInArrow(tidy(_compress(kind, shared)), "doc_id long, n long, coded binary"), "coded")
     work.drop("ids")
     placed = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "coded").withColumn("file", F.spark_partition_id())
-    rows = work.table(placed.mapInArrow(_blocks, "file int, block int, before long, n_ids long, payload binary"), "files")
-    work.table(spark.createDataFrame([(int(i), int(n)) for i, n in enumerate(lengths) if n], "id int, length int"), "code")
+    path = path or work.path
+    placed.mapInArrow(_blocks, _BLOCK).write.mode("overwrite").option("compression", "none").parquet(f"{path}/files")
+    code = spark.createDataFrame([(int(i), int(n)) for i, n in enumerate(lengths) if n], _CODE)
+    code.coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
     work.drop("coded")
-    return TokenFiles(work, rows, lengths)
+    return TokenFiles(spark, path)

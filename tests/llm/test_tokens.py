@@ -71,10 +71,27 @@ def test_cache_is_used_and_appended(spark, tmp_path):
     other = C.DigestCache(spark, f"file://{tmp_path}/other")
     other.append(spark.createDataFrame(marked, C.CACHE_SCHEMA))
     assert sorted(r["n_tokens"] for r in C.token_counts(rows, WORDS, cache=other).collect()) == [100, 101, 102, 102, 102]
-    C.token_counts(rows, BYTES, cache=other).collect()
+    C.token_counts(rows, BYTES, cache=C.DigestCache(spark, other.path)).collect()  # opened again
     assert other.read().select("tokenizer").distinct().count() == 2
 
 
+def test_equal_rows_are_encoded_once(spark, tmp_path):
+    cache = C.DigestCache(spark, f"file://{tmp_path}/cache")
+    rows = spark.createDataFrame([(1, "a b")] * 3 + [(2, "a b"), (None, "c"), (None, "c")], "doc_id long, text string")
+    assert sorted(r["n_tokens"] for r in C.token_counts(rows, WORDS, cache=cache).collect()) == [1, 1, 2, 2, 2, 2]
+    assert spark.read.parquet(cache.path).count() == 2
+
+
+def test_long_texts(spark):
+    """A text of 300,000 words is counted, coded and packed whole."""
+    text = " ".join(f"word{i % 977}" for i in range(300_000))
+    rows = spark.createDataFrame([(1, text, "s"), (2, "short", "s")], "doc_id long, text string, source string")
+    for path, run in ((WORDS, lambda: C.token_counts(rows, WORDS)), (BYTES, lambda: B.write_tokens(rows, BYTES, 2).read())):
+        n = len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+        assert {r["doc_id"]: r["n_tokens"] for r in run().collect()}[1] == n + (path == BYTES)
+    check_pieces([(1, text), (2, "short")], P.pack(rows, WORDS, 2).collect(), 4096)
+
+
 @pytest.mark.parametrize("n, most", [(1, 17), (2, 17), (3, 17), (300, 9), (5000, 17)])
 def test_huffman(n, most):
     rng = np.random.default_rng(n)
@@ -94,7 +111,7 @@ def test_huffman(n, most):
         H.code_lengths(np.ones(9), 3)
 
 
-def test_token_files(clash, none, monkeypatch, spark):
+def test_token_files(clash, none, tmp_path, spark):
     library, start, want = Tokenizer.from_file(BYTES), 0, {}
     for d, t, *_ in helpers.corpus():
         ids = library.encode(t or "", add_special_tokens=False).ids + [2]
@@ -108,11 +125,28 @@ def test_token_files(clash, none, monkeypatch, spark):
     out = B.write_tokens(odd, BYTES, 2).read().orderBy("start").collect()
     assert [r["doc_id"] for r in out] == [None, 0, 1, 1, 1] and [r["n_tokens"] for r in out][:2] == [2, 1]
     assert out[-1]["start"] + out[-1]["n_tokens"] == sum(r["n_tokens"] for r in out)
+    kept = f"file://{tmp_path}/kept"
+    B.write_tokens(clash, BYTES, 2, kept)
+    again = B.TokenFiles(spark, kept)  # by the files alone
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in again.read().collect()} == want
     with pytest.raises(ValueError):
         B.read_block(b"nope" + bytes(40), H.decoding_table(files.lengths))
 
 
-@pytest.mark.parametrize("seed", range(12))
+def deficit_round_robin(totals, quanta, unit, size):
+    """What the first windows take from each queue, with a counter for each queue, token by token."""
+    left, counter, took, out, given = list(totals), [0] * len(totals), [0] * len(totals), [[0] * len(totals)], 0
+    while any(left):
+        for i in range(len(totals)):
+            counter[i] += quanta[i]
+            while counter[i] >= unit and left[i]:
+                counter[i], left[i], took[i], given = counter[i] - unit, left[i] - 1, took[i] + 1, given + 1
+                if given % size == 0:
+                    out.append(list(took))
+    return out if given % size == 0 else [*out, took]
+
+
+@pytest.mark.parametrize("seed", range(16))
 def test_schedule(seed):
     rng = np.random.default_rng(seed)
     s, size = int(rng.integers(1, 8)), int(rng.choice([16, 64, 100]))
@@ -124,8 +158,24 @@ def test_schedule(seed):
     q = plan.upto(k)
     assert (q[0] == 0).all() and (q[-1] == totals).all() and (np.diff(q, axis=0) >= 0).all()
     assert (q.sum(axis=1) == np.minimum(k * size, totals.sum())).all()
-    if seed % 2 and len(k) > 2:  # every window holds its share, deficits are carried
-        assert np.abs(q[:-1] - k[:-1, None] * size * weights).max() < s
+    if (weights > 0).all():
+        assert q.tolist() == deficit_round_robin(totals.tolist(), plan.quantum.tolist(), P.UNIT, size)
+    for i in range(s):
+        x = np.arange(totals[i])
+        assert (plan.window(x, np.full(len(x), i)) == np.searchsorted(q[:, i], x, "right") - 1).all()
+    if seed % 2 and len(k) > 3:  # every window but the last holds its share, deficits are carried
+        assert np.abs(np.diff(q, axis=0)[:-1] - size * weights).max() < s + 1
+
+
+def test_schedule_of_many_queues_and_tokens():
+    rng = np.random.default_rng(1)
+    totals = rng.integers(1, 10**10, 4000)
+    plan = P.Schedule(totals, totals / totals.sum(), 4096)
+    k = np.sort(rng.integers(0, totals.sum() // 4096, 20))
+    q = plan.upto(k)
+    assert (q.sum(axis=1) == k * 4096).all()
+    at = rng.integers(0, 4000, 20)
+    assert (plan.window(q[np.arange(20), at], at) >= k).all() and (plan.window(q[np.arange(20), at] - 1, at)[k > 0] < k[k > 0]).all()
 
 
 def check_pieces(rows, pieces, size):
@@ -149,9 +199,9 @@ def check_pieces(rows, pieces, size):
         assert end == min(size, full - k * size)
 
 
-@pytest.mark.parametrize("targets, limit", [(None, 1 << 20), (None, 0), ({"s1": 0.2, "s2": 0.5, None: 0.3}, 1 << 20), ({"s2": 1.0}, 1 << 20)])
-def test_packing(clash, targets, limit):
-    pieces = P.pack(clash, WORDS, 2, size=256, targets=targets, broadcast_limit=limit).collect()
+@pytest.mark.parametrize("targets", [None, {"s1": 0.2, "s2": 0.5, None: 0.3}, {"s2": 1.0}])
+def test_packing(clash, targets):
+    pieces = P.pack(clash, WORDS, 2, size=256, targets=targets).collect()
     check_pieces(helpers.corpus(), pieces, 256)
 
 
