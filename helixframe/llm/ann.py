@@ -1,18 +1,23 @@
 """Approximate nearest neighbours: one navigable small-world graph for each shard, shard results merged.
 
 Rows are dealt to shards by a hash of vec_id, about ``shard_rows`` to each, so any group of equal vectors spreads evenly. A
-shard's graph is built over its distinct vectors and stored as flat neighbour arrays, one row of a table for each shard.
-Queries go to every shard in broadcast blocks; each shard gives its ``k`` best, measured again in double precision on the
-original vectors, and the best over all shards stay, ties to the smaller vec_id. Equal vectors share a node that keeps all
-their ids in order, so ties among them are exact.
+shard's graph is built over its distinct vectors and stored as flat neighbour arrays, one row of a table for each shard. A
+task builds or searches one shard in memory, about 1 KB a row at 64 components; the larger the shards, the smaller the share
+of them that a query visits.
+
+Queries are put into blocks of ``block`` rows, and the blocks are joined to the shards, so tasks meet one block and one shard
+at a time and neither the driver nor a broadcast holds vectors. Each shard gives its ``k`` best, measured again in double
+precision on the original vectors, and the best over all shards stay, ties to the smaller vec_id. Equal vectors share a node
+that keeps all their ids in order, so ties among them are exact.
 
 Cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part, neither do rows with null
 vec_id or of another length than the first valid vector's (by vec_id); of rows with equal vec_id the smallest vector counts;
-with fewer than ``k`` candidates all are returned; an empty table gives no rows; other columns are ignored.
+with fewer than ``k`` candidates all are returned; of queries with equal vec_id the smallest vector counts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hnsw import Hnsw
-from .runtime import Scratch, pick, prepare
+from .runtime import Scratch, pick, prepare, tidy
 
+#: Rows of a shard.
+SHARD_ROWS = 16_384
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -56,7 +63,7 @@ _INDEX = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ("ids", "
 class VectorIndex:
     """The stored shards of a table (vec_id, embedding)."""
 
-    def __init__(self, rows: DataFrame, shard_rows: int = 2048, m: int = 16, ef_build: int = 96):
+    def __init__(self, rows: DataFrame, shard_rows: int = SHARD_ROWS, m: int = 16, ef_build: int = 96):
         spark = rows.sparkSession
         prepare(spark)
         self.m, self.work = m, Scratch(spark, "vectors")
@@ -69,35 +76,31 @@ class VectorIndex:
         schema = "shard int, " + ", ".join(f"{f.name} binary" for f in _INDEX if f.name != "shard")
         self.table = self.work.table(dealt.groupBy("shard").applyInArrow(_build(m, ef_build), schema), "index")
 
-    def _blocks(self, queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, vec, last = [], [], None
-        for row in queries.orderBy("vec_id", "v").toLocalIterator():
-            if row["vec_id"] == last:
-                continue
-            last = row["vec_id"]
-            ids.append(last)
-            vec.append(row["v"])
-            if len(ids) == block:
-                yield np.array(ids), np.array(vec)
-                ids, vec = [], []
-        if ids:
-            yield np.array(ids), np.array(vec)
-
     def search(self, queries: DataFrame, k: int = 10, ef: int = 128, block: int = 4096) -> DataFrame:
         """The ``k`` nearest rows of each query (vec_id, v) but its own: query_id, rank, vec_id, score."""
-        spark, dim, m = self.work.spark, self.dim, self.m
-        out = spark.createDataFrame([], RESULT)
-        for ids, vec in self._blocks(queries, block):
-            out = out.unionByName(self.table.mapInArrow(_search(spark.sparkContext.broadcast((ids, vec)), dim, m, k, ef), RESULT))
+        queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+        queries = self.work.table(queries, f"queries-{uuid.uuid4().hex}")
+        blocks = max(1, -(-queries.count() // block))
+        dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+        dealt = self.work.table(dealt.groupBy("block").applyInArrow(_block, "q_ids binary, q_vectors binary"), f"blocks-{uuid.uuid4().hex}")
+        spread = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))))
+        met = self.table.repartition(self.shards, "shard").join(spread.repartition(self.shards, "shard").hint("merge"), "shard")
+        out = met.mapInArrow(tidy(_search(self.dim, self.m, k, ef)), RESULT)
         ranked = out.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
         return ranked.select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).alias("rank"), "b.vec_id", "b.score")
 
 
-def _search(queries, dim: int, m: int, k: int, ef: int):
+def _block(table: pa.Table) -> pa.Table:
+    ids, vec = np.array(table.column("vec_id").to_pylist(), dtype="<i8"), np.array(table.column("v").to_pylist(), dtype="<f8")
+    return pa.table({"q_ids": pa.array([ids.tobytes()], pa.binary()), "q_vectors": pa.array([vec.tobytes()], pa.binary())})
+
+
+def _search(dim: int, m: int, k: int, ef: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = queries.value
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                q_ids, q = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_vectors"], "<f8").reshape(-1, dim)
                 ids, ends = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ends"], "<i8")
                 nodes = np.frombuffer(row["vectors"], "<f8").reshape(-1, dim)
                 graph = Hnsw.from_arrays(nodes.astype(np.float32), m, row["graph_order"], row["graph_sizes"], row["graph_links"])
