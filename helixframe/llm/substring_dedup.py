@@ -12,18 +12,20 @@ The index is a list of immutable runs, each a table sorted by fingerprint that n
 3. where a fingerprint has several different stretches, the words are fetched again, from the batch and from the indexed
    documents, and every window of the first occurrence of each stretch is compared by its 128-bit digest (verification).
 
-What the batch adds becomes a new run, and once ``fanout`` runs exist they are compacted into one.
+What the batch adds becomes a new run, and once ``fanout`` runs exist they are compacted into one. An index with a path
+outlives its session: a manifest there names the live runs, and another ``FingerprintIndex`` of that path goes on with them.
 
 A batch's documents are compared by doc_id: of equal windows the one in the smallest doc_id stays, so batches must come in
 ascending ranges of doc_id. Windows are judged on the input, not on what is left.
 
-Cases: a null text has no words; a row with null doc_id is returned whole and takes no part; windows of rows with equal
+Cases: a null text has no words; long texts are cut into words and windows whole, in blocks of bounded memory; a row with null doc_id is returned whole and takes no part; windows of rows with equal
 doc_id do not remove each other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from .runtime import BROADCAST_LIMIT, Scratch, narrowed, pick, prepare, small_enough, tidy
 from .text import Words
 
+#: Batches in which a whole table is taken in, and the number of runs that are compacted into one.
+BATCHES, FANOUT = 3, 2
 _STRETCH = "a long, c long, doc_id long, h int, s int, e int"
 
 
@@ -99,32 +103,63 @@ def _expand(window: int):
 
 
 class FingerprintIndex:
-    """The index: immutable sorted runs in the shared folder."""
+    """The index: immutable sorted runs at ``path``, or in the shared folder until the session ends."""
 
-    def __init__(self, spark: SparkSession, window: int = 50, gram: int = 8, fanout: int = 4, broadcast_limit: int = BROADCAST_LIMIT):
+    def __init__(self, spark: SparkSession, window: int = 50, gram: int = 8, fanout: int = 4, broadcast_limit: int = BROADCAST_LIMIT, path: str | None = None):
         prepare(spark)
         self.spark, self.window, self.gram, self.fanout, self.limit = spark, window, gram, fanout, broadcast_limit
         self.work = Scratch(spark, "fingerprints")
-        self.runs: list[tuple[str, DataFrame]] = []
-        self._made, self._open = 0, []
+        self.path = path or f"{self.work.path}/index"
+        self.compactions, self._made, self._open = 0, 0, []
+        self.version, self.runs = self._manifest()
+
+    def _files(self, name: str = ""):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _manifest(self) -> tuple[int, list[str]]:
+        """The number of the last manifest that was written to its end, and the runs that it names."""
+        fs, at = self._files()
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        done = [n for n in sorted(names) if n.startswith("manifest-") and fs.exists(self._files(f"{n}/_SUCCESS")[1])]
+        if not done:
+            return 0, []
+        rows = self.spark.read.schema("run string, window int, gram int").parquet(f"{self.path}/{done[-1]}").collect()
+        if any((r["window"], r["gram"]) != (self.window, self.gram) for r in rows):
+            raise ValueError("the index was made with other windows")
+        return int(done[-1].split("-")[1]), sorted(r["run"] for r in rows)
+
+    def _commit(self, runs: list[str]) -> None:
+        """Name the live runs in a new manifest; what only older ones name goes."""
+        last, gone = self.version, set(self.runs) - set(runs)
+        self.version, self.runs = last + 1, runs
+        rows = self.spark.createDataFrame([(r, self.window, self.gram) for r in runs], "run string, window int, gram int")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest-{self.version:06d}")
+        for name in (*gone, f"manifest-{last:06d}"):
+            fs, at = self._files(name)
+            fs.delete(at, True)
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"run-{self.version:06d}-{uuid.uuid4().hex[:8]}"
+        rows.repartitionByRange("a").sortWithinPartitions("a", "c").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return name
 
     def _name(self, kind: str) -> str:
         self._made += 1
         name = f"{kind}-{self._made:04d}"
-        if kind not in ("run", "found"):
+        if kind != "found":
             self._open.append(name)
         return name
 
     def history(self) -> DataFrame:
         """All stretches of all runs."""
         out = self.spark.createDataFrame([], _STRETCH)
-        for _, run in self.runs:
-            out = out.unionByName(run)
+        for name in self.runs:
+            out = out.unionByName(self.spark.read.schema(_STRETCH).parquet(f"{self.path}/{name}"))
         return out
 
     def _append(self, rows: DataFrame) -> None:
-        name = self._name("run")
-        self.runs.append((name, self.work.table(rows.repartitionByRange("a").sortWithinPartitions("a", "c"), name)))
+        self._commit([*self.runs, self._write(rows)])
         if len(self.runs) >= self.fanout:
             self.compact()
 
@@ -132,11 +167,15 @@ class FingerprintIndex:
         """All runs merged into one; of equal stretches the one of the smallest doc_id stays."""
         if len(self.runs) < 2:
             return
-        old, name = self.runs, self._name("run")
         best = self.history().groupBy("a", "c").agg(F.min(F.struct("doc_id", "h", "s", "e")).alias("m")).select("a", "c", "m.*")
-        self.runs = [(name, self.work.table(best.repartitionByRange("a").sortWithinPartitions("a", "c"), name))]
-        for gone, _ in old:
-            self.work.drop(gone)
+        self.compactions += 1
+        self._commit([self._write(best)])
+
+    def drop(self) -> None:
+        """Delete the index."""
+        fs, at = self._files()
+        fs.delete(at, True)
+        self.version, self.runs = 0, []
 
     def batch(self, docs: DataFrame, indexed: DataFrame | None, keep: bool = True) -> DataFrame:
         """Ranges of windows (doc_id, h, s, e) of ``docs`` that a smaller doc_id has, in the batch or in the index.
@@ -188,7 +227,12 @@ class FingerprintIndex:
         return found
 
 
-_RANGES = "_removed_ranges"
+def _free_name(docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    name = "_ranges"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def _cut(text: str | None, spans: list[dict] | None, window: int) -> tuple[Words, bytes, int]:
@@ -206,11 +250,11 @@ def _cut(text: str | None, spans: list[dict] | None, window: int) -> tuple[Words
     return words, b" ".join([parts[i] for i in np.flatnonzero(stay).tolist()]), int(len(words) - stay.sum())
 
 
-def _digests(window: int):
+def _digests(window: int, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, digests = [], [], []
-            for text, spans in zip(b.column("text"), b.column(_RANGES).to_pylist()):
+            for text, spans in zip(b.column("text"), b.column(column).to_pylist()):
                 words, left, gone = _cut(text.as_py(), spans, window)
                 n_words.append(len(words))
                 n_removed.append(gone)
@@ -220,27 +264,27 @@ def _digests(window: int):
     return run
 
 
-def _texts(window: int, drop_emptied: bool):
+def _texts(window: int, drop_emptied: bool, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.names.index("text")
             kept, stay = [], []
-            for text, spans in zip(b.column(at), b.column(b.schema.names.index(_RANGES)).to_pylist()):
+            for text, spans in zip(b.column(at), b.column(b.schema.names.index(column)).to_pylist()):
                 text = text.as_py()
                 _, left, gone = _cut(text, spans, window)
                 kept.append(left.decode("utf-8", "surrogatepass") if gone else text)
                 stay.append(not (drop_emptied and gone and not left))
-            names = [n for n in b.schema.names if n != _RANGES]
+            names = [n for n in b.schema.names if n != column]
             out = [pa.array(kept, pa.string()) if n == "text" else b.column(b.schema.names.index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(stay, pa.bool_()))
 
     return run
 
 
-def removed_ranges(docs: DataFrame, window: int = 50, gram: int = 8, batches: int = 2, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def removed_ranges(docs: DataFrame, window: int = 50, gram: int = 8, batches: int = BATCHES, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """One row (doc_id, hs) for each document that loses words: its ranges of windows, found batch by batch."""
     spark = docs.sparkSession
-    index = FingerprintIndex(spark, window, gram, broadcast_limit=broadcast_limit)
+    index = FingerprintIndex(spark, window, gram, FANOUT, broadcast_limit)
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
     cuts = ids.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("q")).head()["q"] if batches > 1 else None
     edges = [None, *sorted(set(cuts or [])), None]
@@ -254,33 +298,33 @@ def removed_ranges(docs: DataFrame, window: int = 50, gram: int = 8, batches: in
             part = part.where(col <= edges[i + 1])
         found = found.unionByName(index.batch(part, past, keep=i + 2 < len(edges)))
     out = index.work.table(found.groupBy("doc_id").agg(F.collect_set(F.struct("h", "s", "e")).alias("hs")), "ranges")
-    for name, _ in index.runs:
-        index.work.drop(name)
+    index.drop()
     return out
 
 
-def _with_ranges(docs: DataFrame, ranges: DataFrame, broadcast_limit: int) -> DataFrame:
+def _with_ranges(docs: DataFrame, ranges: DataFrame, broadcast_limit: int, column: str) -> DataFrame:
     """``docs`` with the ranges of each row that loses words; the texts of other rows are not moved if the list of ids is small."""
-    ranges = ranges.withColumnRenamed("hs", _RANGES)
+    ranges = ranges.withColumnRenamed("hs", column)
     ids = ranges.select("doc_id")
     if not small_enough(ids, 24, broadcast_limit):
         return docs.join(ranges, "doc_id", "left")
     hit = docs.join(F.broadcast(ids), "doc_id", "left_semi").join(ranges, "doc_id")
-    rest = docs.join(F.broadcast(ids), "doc_id", "left_anti").withColumn(_RANGES, F.lit(None).cast("array<struct<h:int,s:int,e:int>>"))
+    rest = docs.join(F.broadcast(ids), "doc_id", "left_anti").withColumn(column, F.lit(None).cast("array<struct<h:int,s:int,e:int>>"))
     return hit.unionByName(rest)
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, batches: int = BATCHES, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Per document doc_id, n_words, n_removed and kept_sha256 (of the kept words with single blanks between)."""
     docs = pick(docs, "doc_id", "text")
     ranges = removed_ranges(docs, window, batches=batches, broadcast_limit=broadcast_limit)
-    joined = _with_ranges(docs, ranges, broadcast_limit)
-    return joined.mapInArrow(tidy(_digests(window)), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
+    joined = _with_ranges(docs, ranges, broadcast_limit, "_ranges")
+    return joined.mapInArrow(tidy(_digests(window, "_ranges")), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, batches: int = 2, drop_emptied: bool = True, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, batches: int = BATCHES, drop_emptied: bool = True, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """``docs``, with all columns, without the repeated words: texts that lose none stay as they are, the others are their
     kept words with single blanks between. Documents of which nothing is left go with ``drop_emptied``."""
     ranges = removed_ranges(pick(docs, "doc_id", "text"), window, batches=batches, broadcast_limit=broadcast_limit)
-    joined = _with_ranges(docs, ranges, broadcast_limit)
-    return joined.select(*(F.col(f"`{n}`") for n in docs.columns), _RANGES).mapInArrow(tidy(_texts(window, drop_emptied)), docs.schema)
+    column = _free_name(docs)
+    joined = _with_ranges(docs, ranges, broadcast_limit, column)
+    return joined.select(*(F.col(f"`{n}`") for n in docs.columns), column).mapInArrow(tidy(_texts(window, drop_emptied, column)), docs.schema)

@@ -19,7 +19,7 @@ def clash(docs):
     from pyspark.sql import functions as F
 
     out = docs
-    for name in ("h", "s", "e", "a", "c", "hs", "spans", "content", "n_tokens", "ids", "sig", "d1", "d2", "n", "crc", "score", "lang_pred", "held_out", "grade", "class_id", "_removed_ranges2"):
+    for name in ("h", "s", "e", "a", "c", "hs", "spans", "content", "n_tokens", "ids", "sig", "d1", "d2", "n", "crc", "score", "lang_pred", "held_out", "grade", "class_id", "_ranges", "_removed_ranges", "key", "worded", "block", "part", "hash", "size"):
         out = out.withColumn(name, F.lit("x"))
     return out
 

@@ -82,7 +82,38 @@ def test_index_compacts(spark, docs):
     assert len(index.runs) == 1
     index.batch(hi, lo)
     assert len(index.runs) == 1  # two runs became one
-    run = index.runs[0][1]
+    run = index.history()
     assert run.count() == run.select("a", "c").distinct().count()
     again = index.batch(docs.where("doc_id >= 30"), docs, keep=False)
     assert again.count() > 0
+
+
+def test_index_is_opened_again(spark, docs, tmp_path):
+    """Three batches, each by an index of its own that only knows the path, find what one index finds in one batch."""
+    path = f"file://{tmp_path}/index"
+    parts = [docs.where("doc_id < 20"), docs.where("doc_id between 20 and 39"), docs.where("doc_id >= 40")]
+    found, past = [], None
+    for i, part in enumerate(parts):
+        index = D.FingerprintIndex(spark, fanout=2, path=path)
+        assert len(index.runs) == min(i, 1)
+        found += index.batch(part, past).collect()
+        assert index.compactions == (i > 0) and len(index.runs) == 1
+        past = part if past is None else past.unionByName(part)
+    windows = lambda rows: {(r["doc_id"], r["h"], w) for r in rows for w in range(r["s"], r["e"] + 1)}
+    whole = D.FingerprintIndex(spark).batch(docs, None).collect()
+    assert windows(found) == windows(whole) and whole
+    with pytest.raises(ValueError):
+        D.FingerprintIndex(spark, window=20, path=path)
+    index = D.FingerprintIndex(spark, path=path)
+    index.drop()
+    assert D.FingerprintIndex(spark, path=path).runs == []
+
+
+def test_stage_keeps_clashing_columns(docs):
+    from pyspark.sql import functions as F
+
+    rows = docs
+    for name in ("_ranges", "_ranges_", "h", "s", "e", "hs", "spans", "fresh"):
+        rows = rows.withColumn(name, F.col("doc_id") * 2)
+    out = D.remove_repeats(rows, drop_emptied=False)
+    assert out.columns == rows.columns and all(r["_ranges"] == r["_ranges_"] == r["hs"] == 2 * r["doc_id"] for r in out.collect())
