@@ -10,6 +10,9 @@ A control string inside a text is escaped by a backslash: a run of n backslashes
 at the end of a text, before its closing mark, one of 2n. Every turn is rendered plain first, parsed again by the
 deterministic parser and compared with its source; conflicting content is escaped until both are identical.
 
+A segment's loss mask is the range of its characters that hold an assistant's text, as it stands there, escaped; readers
+learn from the mask, not from the role, what is trained on.
+
 Cases: a null text or role is an empty one; null conversation ids form one conversation; rows of equal (conv_id, turn) are
 taken in the order of role and text; an empty table gives no rows; columns of other names are ignored.
 """
@@ -115,21 +118,37 @@ def render_turn(role: str | None, text: str | None) -> str:
     raise GrammarError("a turn does not survive its round trip")
 
 
+def loss_range(role: str | None, formatted: str) -> tuple[int, int]:
+    """The characters of a rendered turn that a model is trained on: an assistant's text between its marks, else none."""
+    if role != "assistant":
+        return 0, 0
+    before, after = MARKS["assistant"]
+    return len(before), len(formatted) - len(after)
+
+
+def unescape(shown: str) -> str:
+    """The text of a rendered turn's content."""
+    return _HIDDEN.sub(lambda m: "\\" * (len(m[1]) // 2) + m[2], shown)
+
+
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [render_turn(r, t) for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"), pa.array(out, pa.string())], names=["conv_id", "turn", "role", "text", "formatted"])
+        roles = b.column("role").to_pylist()
+        out = [render_turn(r, t) for r, t in zip(roles, b.column("text").to_pylist())]
+        loss = list(zip(*(loss_range(r, f) for r, f in zip(roles, out)))) or [[], []]
+        yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"), pa.array(out, pa.string()), *(pa.array(x, pa.int64()) for x in loss)], names=["conv_id", "turn", "role", "text", "formatted", "loss_start", "loss_end"])
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and formatted: the segments of each conversation's formatted text.
+    """conv_id, turn, role, text, formatted, loss_start and loss_end: the segments of each conversation's formatted text and
+    their loss masks.
 
     A formatted conversation is its segments one after the other in the order of turn, role and text. Segments are made
     and checked where their rows are, before anything is grouped.
     """
     prepare(conversations.sparkSession)
     rows = pick(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return rows.mapInArrow(_render, "conv_id long, turn long, role string, text string, formatted string")
+    return rows.mapInArrow(_render, "conv_id long, turn long, role string, text string, formatted string, loss_start long, loss_end long")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,18 +167,19 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for b in batches:
-        for conv, piece in zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist()):
+        for conv, piece, begin, end in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end"))):
             if state is None or conv != now:
                 if state is not None:
                     done()
                 now, state = conv, [Parser(), 0, hashlib.sha256(), hashlib.sha256(), 0, 0]
             state[5] += len(piece)
+            if end > begin:
+                learned = unescape(piece[begin:end])
+                state[3].update(learned.encode("utf-8", "surrogatepass"))
+                state[4] += len(learned)
             for role, text in state[0].feed(piece):
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if role == "assistant":
-                    state[3].update(text.encode("utf-8", "surrogatepass"))
-                    state[4] += len(text)
         if rows:
             yield flush()
     if state is not None:
@@ -168,7 +188,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """What each formatted conversation holds, by the parser alone: conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars. Segments stream through one task in order, one turn in memory at a time."""
-    sorted_ = pick(formatted, "conv_id", "turn", "role", "text", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted")
+    """What each formatted conversation holds, by the parser and the loss masks alone: conv_id, n_turns, turns_sha256,
+    loss_chars, loss_sha256, formatted_chars. Segments stream through one task in order, one turn in memory at a time."""
+    rows = pick(formatted, "conv_id", "turn", "role", "text", "formatted", "loss_start", "loss_end")
+    sorted_ = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted", "loss_start", "loss_end")
     return sorted_.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontaminate, jaccard_join, language_id, packing, quality, substring_dedup, token_binary, token_counts
-
+from .runtime import Scratch
 
 #: The id that ends each document in packed and stored token streams.
 END_ID = 2
@@ -57,7 +57,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return chat.read_chats(chat.format_chats(rows.unionByName(extra)))
+    work = Scratch(spark, "chats")
+    return chat.read_chats(work.table(chat.format_chats(rows.unionByName(extra)), "formatted"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
