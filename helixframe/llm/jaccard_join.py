@@ -10,7 +10,10 @@ blocked matrix products; counts of links and a spanning forest leave the task, n
 Result, one row per document: doc_id, class_id (the smallest doc_id of its linked group), n_links (other documents within
 the threshold, copies counted) and n_texts (different shingle sets within it).
 
-Cases: texts of fewer than ``k`` words are one shingle of all their words; null texts and texts without words link to
+Shingles stand as 64-bit hashes of their words' hashes, each of them spread by a mixing that is not linear; two different
+shingles of two texts with 1,000 each agree by chance once in 10**13 such pairs of texts.
+
+Cases: texts of fewer than ``k`` words are one shingle of all their words; long texts count whole; null texts and texts without words link to
 nothing; rows of equal doc_id are documents of their own but share an id; rows with null doc_id keep a null class and no
 links; an empty table gives an empty result; other columns are ignored.
 """
@@ -22,20 +25,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import BROADCAST_LIMIT, Scratch, checked_join, pick, prepare, tidy
+from .runtime import BROADCAST_LIMIT, Scratch, checked_join, prepare, tidy
 from .text import mix, shingles
 
+#: A pair counts as dissimilar at this similarity, and its meeting costs as much as so many min-hashes.
+_DISSIMILAR, _MEETING = 0.3, 500
 #: Bytes of shingle hashes that one verification block may hold in a dense column slice.
 _SLICE = 2048
 
 
-def plan_bands(threshold: float, recall: float, rows: int = 4) -> int:
-    """The fewest bands of ``rows`` min-hashes with which a pair at ``threshold`` meets with probability ``recall``."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
+def plan_bands(threshold: float, recall: float) -> tuple[int, int]:
+    """Bands and rows: of all row counts with the fewest bands that let a pair at ``threshold`` meet with probability
+    ``recall`` the one of least cost, min-hashes and the meetings of dissimilar pairs together."""
+
+    def cost(rows: int) -> float:
+        return bands(rows) * rows + _MEETING * (1 - (1 - _DISSIMILAR**rows) ** bands(rows))
+
+    def bands(rows: int) -> int:
+        return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(threshold, 1 - 1e-12) ** rows))))
+
+    best = min(range(1, 17), key=cost)
+    return bands(best), best
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -70,7 +84,7 @@ def _sketch(k: int, bands: int, rows: int):
                 d1.append(int.from_bytes(d[:8], "little", signed=True))
                 d2.append(int.from_bytes(d[8:], "little", signed=True))
                 sigs.append(signature(sh, mult, bands))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "key", "d1", "d2", "sig"])
 
     return run
 
@@ -157,15 +171,50 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, rows: int = 4, recall: float = 0.9995, block: int = 256, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def text_key() -> Column:
+    """Tells the texts of rows with one doc_id apart."""
+    return F.xxhash64("text", F.octet_length("text"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9995, block: int = 256, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Class and number of links of each document; see the module's text."""
+    return classified(docs, threshold, k, recall, block, broadcast_limit).select("doc_id", "class_id", "n_links", "n_texts")
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9995, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """``docs``, with all columns, with one row of each linked group: the one of the smallest doc_id, of several rows of that
+    id the one of the smallest text key, of equal ones any. A group is all that links lead to, so a document may go whose
+    only link is to another one that goes. Rows without a doc_id or without words stay."""
+    spark, work = docs.sparkSession, Scratch(docs.sparkSession, "one-of-each")
+    rows = classified(docs, threshold, k, recall, 256, broadcast_limit).where("class_id is not null and worded")
+    rows = work.table(rows.groupBy("class_id", "doc_id", "key").agg(F.count("*").alias("n")), "rows")
+    first = rows.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    judged = rows.join(first, "class_id").select("doc_id", "key", "n", (F.struct("doc_id", "key") == F.col("first")).alias("stays"))
+    judged = work.table(judged.where("not stays or n > 1"), "judged")
+    gone = work.table(judged.where("not stays").select("doc_id", "key").distinct(), "gone")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    doc, key = f"doc-{work.path[-32:]}", f"key-{work.path[-32:]}"
+    keyed = docs.select(*names, F.col("doc_id").cast("long").alias(doc), text_key().alias(key))
+    on = (F.col(f"`{doc}`") == F.col(f"`{doc}-`")) & (F.col(f"`{key}`") == F.col(f"`{key}-`"))
+    as_key = lambda t: t.select(F.col("doc_id").alias(f"{doc}-"), F.col("key").alias(f"{key}-"))
+    out = checked_join(keyed, as_key(gone), on, "left_anti", 32, broadcast_limit)
+    again = judged.where("stays").select("doc_id", "key")
+    if not again.isEmpty():  # equal rows with the id that stays
+        again = work.table(again, "again")
+        copies = checked_join(out, as_key(again), on, "left_semi", 32, broadcast_limit).dropDuplicates([doc, key])
+        out = checked_join(out, as_key(again), on, "left_anti", 32, broadcast_limit).unionByName(copies)
+    return out.select(*names)
+
+
+def classified(docs: DataFrame, threshold: float, k: int, recall: float, block: int, broadcast_limit: int) -> DataFrame:
+    """The rows of ``jaccard_join``, with the key of each text and whether it has words."""
     spark = docs.sparkSession
     prepare(spark)
-    bands = plan_bands(threshold, recall, rows)
+    bands, rows = plan_bands(threshold, recall)
     work = Scratch(spark, "jaccard")
-    docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    known = docs.where(F.col("doc_id").isNotNull())
-    sketch = work.table(docs.mapInArrow(tidy(_sketch(k, bands, rows)), "doc_id long, d1 long, d2 long, sig array<long>"), "sketch")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
+    known = docs.where(F.col("doc_id").isNotNull()).drop("key")
+    sketch = work.table(docs.mapInArrow(tidy(_sketch(k, bands, rows)), "doc_id long, key long, d1 long, d2 long, sig array<long>"), "sketch")
     real = sketch.where("doc_id is not null and d1 is not null")
 
     # one class for each set of shingles, named by its smallest document
@@ -209,8 +258,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, rows: int
     classes = sizes.join(totals, sizes["rep"] == totals["doc_id"], "left").drop("doc_id").join(labels, F.col("rep") == F.col("id"), "left")
     classes = classes.select("d1", "d2", F.coalesce("label", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
     classes = work.table(classes, "classified")
-    ids = sketch.select("doc_id", "d1", "d2")
+    ids = sketch.select("doc_id", "key", "d1", "d2")
     out = ids.join(classes, ["d1", "d2"], "left")
     known_id = F.col("doc_id").isNotNull()
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", F.when(known_id, F.coalesce("class", "doc_id")).alias("class_id"), F.when(known_id, F.coalesce("links", zero)).otherwise(zero).alias("n_links"), F.when(known_id, F.coalesce("texts", zero)).otherwise(zero).alias("n_texts"))
+    return out.select("doc_id", "key", F.col("d1").isNotNull().alias("worded"), F.when(known_id, F.coalesce("class", "doc_id")).alias("class_id"), F.when(known_id, F.coalesce("links", zero)).otherwise(zero).alias("n_links"), F.when(known_id, F.coalesce("texts", zero)).otherwise(zero).alias("n_texts"))

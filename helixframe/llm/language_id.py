@@ -14,7 +14,7 @@ columns other than those named are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,13 +189,15 @@ def language_id(docs: DataFrame, top: int = 400) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, top: int = 400, least: float = 0.0) -> DataFrame:
-    """The rows, with all their columns, whose language is known with at least the score ``least``."""
+def keep_known(docs: DataFrame, top: int = 400, least: float = 0.2, languages: Collection[str] | None = None) -> DataFrame:
+    """The rows, with all their columns, whose predicted language has at least the score ``least`` and is one of
+    ``languages`` (None: any that is learned). Prose, however short, scores 0.4 and more in its language, and text of another
+    script or without a language's n-grams near 0. Where no row has a lang, nothing is known and no row stays."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [model.value.predict(t.as_py()) for t in b.column(b.schema.names.index("text"))]
-            yield b.filter(pa.array([lang != UND and score >= least for lang, score in found], pa.bool_()))
+            yield b.filter(pa.array([lang != UND and score >= least and (languages is None or lang in languages) for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
+#: Longest word in bytes that the running sums hash; the polynomial modulo 2**64 behind them is not safe for long ones.
+LONGEST_WORD = 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240517).integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
 _powers = np.ones(1, dtype=np.uint64)
@@ -44,22 +47,34 @@ class Words:
             self.ends = np.append(blanks, len(data))
         else:
             self.starts = self.ends = np.zeros(0, dtype=np.int64)
-        self._data, self._sums = data, None
+        self._data, self._hashes = data, None
 
     def __len__(self) -> int:
         return len(self.starts)
 
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        if self._hashes is None:
+            _grow(len(self._data) + 1)
+            sums = np.zeros(len(self._data) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[self._data] * _powers[: len(self._data)], out=sums[1:])
+            s, e = self.starts, self.ends
+            self._hashes = mix((sums[e] - sums[s]) * _inverses[s] + (e - s).astype(np.uint64))
+            for i in np.flatnonzero(e - s > LONGEST_WORD).tolist():
+                self._hashes[i] = xxhash.xxh3_64_intdigest(self.joined[s[i] : e[i]])
+        return self._hashes
+
     def grams(self, k: int) -> np.ndarray:
-        """A 64-bit hash of each run of k consecutive words."""
+        """A 64-bit hash of each run of k consecutive words, of their hashes."""
         n = len(self) - k + 1
         if n <= 0:
             return np.zeros(0, dtype=np.uint64)
-        if self._sums is None:
-            _grow(len(self._data) + 1)
-            self._sums = np.zeros(len(self._data) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[self._data] * _powers[: len(self._data)], out=self._sums[1:])
-        s, e = self.starts[:n], self.ends[k - 1 :]
-        return mix((self._sums[e] - self._sums[s]) * _inverses[s] + (e - s).astype(np.uint64))
+        words = self.hashes()
+        out = words[:n].copy()
+        for j in range(1, k):
+            out *= _MULTIPLIER
+            out += words[j : j + n]
+        return mix(out + np.uint64(k))
 
     def run(self, first: int, last: int) -> bytes:
         """Words ``first`` to ``last``, both included, with single blanks between."""

@@ -62,9 +62,30 @@ def test_join_odd_rows(spark, none):
 
 
 def test_bands_reach_their_recall():
-    for s, r in ((0.8, 0.99), (0.8, 0.9995), (0.6, 0.9)):
-        b = J.plan_bands(s, r)
-        assert 1 - (1 - s**4) ** b >= r > 1 - (1 - s**4) ** (b - 1)
+    plans = {}
+    for s, r in ((0.8, 0.99), (0.8, 0.9995), (0.6, 0.9), (0.95, 0.999), (1.0, 0.99)):
+        b, rows = plans[s, r] = J.plan_bands(s, r)
+        assert 1 - (1 - s**rows) ** b >= r - 1e-9 and (b == 1 or r > 1 - (1 - s**rows) ** (b - 1))
+    assert plans[0.8, 0.9995] == (15, 4) and plans[0.95, 0.999][1] > plans[0.6, 0.9][1]
+
+
+def test_words_of_any_length_are_told_apart(spark):
+    """Two words that a polynomial modulo 2**64 cannot tell apart, whatever its base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))]
+    out = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["n_links"] for r in out] == [0, 0]
+
+
+def test_one_of_each_group(spark):
+    """Rows that share an id are judged by their texts."""
+    rows = [(3, "a b c"), (5, "d e f"), (5, "a b c"), (7, "d e f"), (7, "d e f"), (9, "x y"), (9, "x y"), (None, "a b c"), (8, None), (8, ""), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as key", "text as class_id", "1 as d", "2 as x")
+    for limit in (1 << 20, 0):
+        out = J.one_of_each(df, broadcast_limit=limit)
+        assert out.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(3, "a b c"), (5, "d e f"), (9, "x y"), (None, "a b c"), (8, None), (8, ""), (2, None)], key=str)
+    assert J.one_of_each(df.limit(0)).count() == 0
 
 
 def test_components(spark):
@@ -85,6 +106,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("order", ["ascending", "random"])
+def test_components_of_long_paths(spark, order):
+    ids = list(range(5_000))
+    if order == "random":
+        random.Random(4).shuffle(ids)
+    work = Scratch(spark, "t")
+    work.table, rounds = (lambda df, name, table=work.table: rounds.append(name) or table(df, name)), []
+    out = components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"), work)
+    assert out.where("label = 0").count() == 5_000
+    assert sum(n.startswith("edges") for n in rounds) <= 20
+
+
 def sellers(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
@@ -172,6 +205,32 @@ def test_contamination_recall_by_length(least, most):
     assert len(want) > 290 and len(want & got) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("script", ["han", "cyrillic", "thai"])
+def test_contamination_recall_in_other_scripts(script):
+    """At 20 % edits in texts of two and three bytes a character, with blanks and without."""
+    rng = random.Random(script)
+    letters = {"han": [chr(c) for c in range(0x4E00, 0x4E00 + 900)], "cyrillic": [chr(c) for c in range(0x430, 0x450)], "thai": [chr(c) for c in range(0x0E01, 0x0E2F)]}[script]
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    text = lambda n: (" " if script == "cyrillic" else "").join(word() for _ in range(n))
+    items = [D.normalise(text(80))[: rng.choice([10, 25, 60, 120, 200])].strip() for _ in range(60)]
+    index = D.ItemIndex(list(enumerate(items)), 0.2, 0.99)
+    docs = [D.normalise(text(20) + scattered(rng, t, int(0.2 * len(t)), letters) + text(20)) for t in items]
+    want = {(i, i) for i, t in enumerate(items) if D.fewest_edits(t, docs[i], 10**9) <= 0.2 * len(t)}
+    got = {(d, h[0]) for d, found in enumerate(index.hits(docs)) for h in found}
+    assert len(want) > 55 and len(want & got) >= 0.98 * len(want)
+
+
+def test_contamination_of_repeated_rows_and_long_texts(spark):
+    rng, words = random.Random(8), helpers.vocabulary(500, 9)
+    item, other = helpers.prose(rng, words, 30), helpers.prose(rng, words, 30)
+    long = helpers.prose(rng, words, 60_000)
+    docs = spark.createDataFrame([(1, item), (1, item), (1, "nothing"), (2, long), (3, long[:200_000] + item + long[200_000:]), (None, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, other), (None, item)], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), str(r["item_id"]), r["edits"]) for r in D.contamination(docs, bench).collect())
+    assert got == sorted((d, i, 0) for d in ("1", "1", "3", "None") for i in ("7", "7", "None"))
+    assert sorted((r["doc_id"], len(r["text"])) for r in D.decontaminate(docs, bench).collect()) == [(1, 7), (2, len(long))]
+
+
 def test_contamination_finds_exact_copies_anywhere():
     """Behind punctuation, glued to letters and inside unspaced text."""
     rng, words = random.Random(12), helpers.vocabulary(500, 9)
