@@ -11,19 +11,18 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, jaccard_join, language_id, packing, substring_dedup
 from helixframe.llm.queries import END_ID, tokenizer_path
-from helixframe.llm.runtime import Scratch, checked_join
+from helixframe.llm.runtime import Scratch
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without letters go."""
+    """Documents whose language is one of those learned; null texts, texts without letters and texts of which hardly an
+    n-gram is where any learned language has it go."""
     return language_id.keep_known(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id; rows without an id stay."""
-    joined = jaccard_join.jaccard_join(docs)
-    gone = Scratch(spark, "stage-near").table(joined.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    return checked_join(docs, gone, "doc_id", "left_anti", 24).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return jaccard_join.one_of_each(docs)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
