@@ -71,9 +71,19 @@ MOTIFS = {
     "protein_binding": ("binding", "[DE][DE][DE][DE]"),
 }
 
-# Dipeptide classes; a pair of one polar and one other residue weighs -1, a pair of two small ones 0 (but CC), all others 1.
+# Dipeptide classes; a pair of one polar and one other residue weighs -1, AA and CC weigh 1, other pairs of two
+# small residues 0, all others 1.
 DIPEPTIDE_POLAR = "DEHKNQR"
 DIPEPTIDE_SMALL = "ACGPST"
+DIPEPTIDE_WHOLE = ("AA", "CC")
+
+
+def _dipeptide(a: str, b: str) -> float:
+    if (a in DIPEPTIDE_POLAR) != (b in DIPEPTIDE_POLAR):
+        return -1.0
+    small = a in DIPEPTIDE_SMALL and b in DIPEPTIDE_SMALL
+    return 0.0 if small and a + b not in DIPEPTIDE_WHOLE else 1.0
+
 
 # Link target -> category, whether the id is appended, and base address.
 DATABASES = {
@@ -116,48 +126,44 @@ DATABASES = {
     "phobius": ("prediction_tool", False, "https://phobius.sbc.su.se/"),
     "wolfpsort": ("prediction_tool", False, "https://wolfpsort.hgc.jp/"),
     "psort": ("prediction_tool", False, "https://psort.hgc.jp/form.html"),
+    "tmhmm": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?TMHMM-2.0"),
+    "signalp": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?SignalP-5.0"),
+    "targetp": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?TargetP-2.0"),
+    "netphos": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetPhos-3.1"),
+    "netnglyc": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetNGlyc-1.0"),
+    "netoglyc": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetOGlyc-4.0"),
+    "netcglyc": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetCGlyc-1.0"),
+    "netacety": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetAcet-1.0"),
+    "netmethyl": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMethyl-1.0"),
+    "netub": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetUbi-1.0"),
+    "netsumo": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetSUMO-1.0"),
+    "netnit": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetNit-1.0"),
+    "netglu": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetGlu-1.0"),
+    "netmal": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMal-1.0"),
+    "netsuc": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetSuc-1.0"),
+    "netcarn": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetCarn-1.0"),
+    "netmyr": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMyr-1.0"),
+    "netpal": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetPal-1.0"),
+    "netpre": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetPre-1.0"),
+    "netgly": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetGly-1.0"),
+    "netadp": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetADP-1.0"),
+    "netchop": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetChop-3.1"),
+    "netctl": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetCTL-1.2"),
+    "netmhc": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMHC-4.0"),
+    "netmhcpan": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMHCpan-4.1"),
+    "netmhcii": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMHCII-2.3"),
+    "netmhciipan": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMHCIIpan-4.0"),
+    "netctlpan": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetCTLpan-1.1"),
+    "netmhcstab": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMHCstab-1.0"),
+    "netmhcstabpan": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMHCstabpan-1.0"),
+    "netmhccons": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMHCcons-1.1"),
+    "netmhcconspan": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMHCconsPan-1.1"),
+    "netmhcconsstab": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMHCconsStab-1.0"),
+    "netmhcconsstabpan": ("prediction_tool", False, "https://services.healthtech.dtu.dk/service.php?NetMHCconsStabPan-1.0"),
 }
-# Prediction tools of one service, by name and version.
-_SERVICE = "https://services.healthtech.dtu.dk/service.php?"
-_TOOLS = {
-    "tmhmm": "TMHMM-2.0",
-    "signalp": "SignalP-5.0",
-    "targetp": "TargetP-2.0",
-    "netphos": "NetPhos-3.1",
-    "netnglyc": "NetNGlyc-1.0",
-    "netoglyc": "NetOGlyc-4.0",
-    "netcglyc": "NetCGlyc-1.0",
-    "netacety": "NetAcet-1.0",
-    "netmethyl": "NetMethyl-1.0",
-    "netub": "NetUbi-1.0",
-    "netsumo": "NetSUMO-1.0",
-    "netnit": "NetNit-1.0",
-    "netglu": "NetGlu-1.0",
-    "netmal": "NetMal-1.0",
-    "netsuc": "NetSuc-1.0",
-    "netcarn": "NetCarn-1.0",
-    "netmyr": "NetMyr-1.0",
-    "netpal": "NetPal-1.0",
-    "netpre": "NetPre-1.0",
-    "netgly": "NetGly-1.0",
-    "netadp": "NetADP-1.0",
-    "netchop": "NetChop-3.1",
-    "netctl": "NetCTL-1.2",
-    "netmhc": "NetMHC-4.0",
-    "netmhcpan": "NetMHCpan-4.1",
-    "netmhcii": "NetMHCII-2.3",
-    "netmhciipan": "NetMHCIIpan-4.0",
-    "netctlpan": "NetCTLpan-1.1",
-    "netmhcstab": "NetMHCstab-1.0",
-    "netmhcstabpan": "NetMHCstabpan-1.0",
-    "netmhccons": "NetMHCcons-1.1",
-    "netmhcconspan": "NetMHCconsPan-1.1",
-    "netmhcconsstab": "NetMHCconsStab-1.0",
-    "netmhcconsstabpan": "NetMHCconsStabPan-1.0",
-}
-DATABASES |= {k: ("prediction_tool", False, _SERVICE + v) for k, v in _TOOLS.items()}
 
 AMINO_ACIDS = "".join(RESIDUES)
+DIPEPTIDES = {a + b: _dipeptide(a, b) for a in sorted(RESIDUES) for b in sorted(RESIDUES)}
 ALPHABET = "".join(sorted(RESIDUES))
 MAX_LENGTH = 50_000
 EXTINCTION = {"W": 5500.0, "Y": 1490.0, "C": 62.5}

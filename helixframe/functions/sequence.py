@@ -105,7 +105,7 @@ def dipeptide_sum(seq: Column) -> Column:
     hits = lambda pattern: F.regexp_count(seq, F.lit(pattern))
     pairs = F.greatest(F.length(seq) - 1, F.lit(0))
     mixed = hits(f"(?=[{p}][^{p}])") + hits(f"(?=[^{p}][{p}])")
-    still = hits(f"(?=[{s}][{s}])") - hits("(?=CC)")
+    still = hits(f"(?=[{s}][{s}])") - _sum(hits(f"(?={pair})") for pair in K.DIPEPTIDE_WHOLE)
     return pairs - 2 * mixed - still
 
 

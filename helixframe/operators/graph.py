@@ -11,16 +11,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
-from ..session import checkpointed, ship
+from ..session import Scratch, ship
+from . import blocks
 
 
 def pair_scores(rows: DataFrame) -> DataFrame:
     """Cosine of all pairs src < dst within each group (family_id): the base of every graph."""
-    own = rows.select("family_id", "protein_id", "v", V.norm(F.col("v")).alias("n"))
-    a, b = own.alias("a"), own.alias("b")
-    pairs = a.join(b, (F.col("a.family_id") == F.col("b.family_id")) & (F.col("a.protein_id") < F.col("b.protein_id")))
-    return pairs.select(F.col("a.family_id").alias("graph"), F.col("a.protein_id").alias("src"), F.col("b.protein_id").alias("dst"), V.cosine(F.col("a.v"), F.col("b.v"), F.col("a.n"), F.col("b.n")).alias("weight"))
+    return blocks.pairs(rows)
+
+
+def edges_over(rows: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """The pairs of at least ``threshold``, without the others ever leaving a task."""
+    return blocks.pairs(rows, threshold)
+
+
+def nearest(rows: DataFrame, k: int = 8) -> DataFrame:
+    """The ``k`` nearest of each node of its group: graph, src, dst, weight, rank; only those leave a task."""
+    asked = rows.select(F.col("protein_id").alias("query_id"), "family_id", F.col("v").alias("q"))
+    near = blocks.top(asked, rows, k, exclude_self=True)
+    return near.select(F.col("family_id").alias("graph"), F.col("query_id").alias("src"), F.col("protein_id").alias("dst"), F.col("score").alias("weight"), "rank")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -38,13 +47,23 @@ def knn(pairs: DataFrame, k: int = 8) -> DataFrame:
 
 
 def mutual_knn(pairs: DataFrame, k: int = 8, threshold: float = 0.1) -> DataFrame:
-    """Edges whose ends are each among the other's ``k`` nearest; an edge that both directions give is mutual."""
-    near = knn(pairs, k).where(F.col("weight") >= threshold)
+    """Edges whose ends are each among the other's ``k`` nearest."""
+    return mutual(knn(pairs, k), threshold)
+
+
+def mutual(near: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """The edges that both directions of a table of neighbours give."""
+    near = near.where(F.col("weight") >= threshold)
     return near.groupBy("graph", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"), F.count("*").alias("n")).where("n = 2").drop("n")
 
 
 def hybrid(pairs: DataFrame, k: int = 8, threshold: float = 0.1) -> DataFrame:
-    return undirected(knn(pairs, k).where(F.col("weight") >= threshold).drop("rank"))
+    return either(knn(pairs, k), threshold)
+
+
+def either(near: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """The edges that some direction of a table of neighbours gives."""
+    return undirected(near.where(F.col("weight") >= threshold).drop("rank"))
 
 
 def threshold_edges(pairs: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -53,11 +72,13 @@ def threshold_edges(pairs: DataFrame, threshold: float = 0.1) -> DataFrame:
 
 def robust(pairs: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
     """Top ``k`` of each node among neighbours at the threshold; a node without any keeps its top ``k`` all the same."""
-    order = Window.partitionBy("graph", "src").orderBy(F.desc("weight"), "dst")
-    best = both_ways(pairs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return robust_of(knn(pairs, k), threshold)
+
+
+def robust_of(near: DataFrame, threshold: float = 0.5) -> DataFrame:
     # ranks fall with the weight, so a node's eligible neighbours come first; the first decides whether there are any
     first = F.max("weight").over(Window.partitionBy("graph", "src"))
-    return undirected(best.withColumn("first", first).where((F.col("weight") >= threshold) | (F.col("first") < threshold)).drop("rank", "first"))
+    return undirected(near.withColumn("first", first).where((F.col("weight") >= threshold) | (F.col("first") < threshold)).drop("rank", "first"))
 
 
 def expand(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, threshold: float = 0.1, least: int = 5) -> DataFrame:
@@ -197,20 +218,43 @@ def trim(edges: DataFrame, most: int = 100) -> DataFrame:
     return edges.groupBy("graph").applyInPandas(_trim(most), f"graph {kind['graph']}, id {kind['src']}")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(graph, id, component): the smallest id that edges lead to, by hooking to the smallest neighbour and halving paths."""
-    links = both_ways(edges).select("graph", F.col("src").alias("id"), F.col("dst").alias("other"))
-    state = nodes.select("graph", "id", F.col("id").alias("component"))
-    for _ in range(rounds):
-        other = state.select("graph", F.col("id").alias("other"), F.col("component").alias("theirs"))
-        low = links.join(other, ["graph", "other"]).groupBy("graph", "id").agg(F.min("theirs").alias("low"))
-        hooked = state.join(low, ["graph", "id"], "left").select("graph", "id", F.col("component").alias("was"), F.least("component", F.coalesce("low", "component")).alias("component"))
-        up = hooked.select("graph", F.col("id").alias("component"), F.col("component").alias("root"))
-        nxt = checkpointed(hooked.join(up, ["graph", "component"], "left").select("graph", "id", "was", F.coalesce("root", "component").alias("component")))
-        if nxt.where("was <> component").limit(1).count() == 0:
-            return nxt.select("graph", "id", "component")
-        state = nxt.select("graph", "id", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def _roots(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
+    """(graph, id, root): every end of an edge with the id it comes to by going on to the smallest neighbour that is smaller."""
+    low = both_ways(edges).groupBy("graph", F.col("src").alias("id")).agg(F.min("dst").alias("dst"))
+    hook = work.table(low.select("graph", "id", F.least("id", "dst").alias("root")), f"{name}-0")
+    step = 0
+    while True:  # ways double, so a path of n nodes takes log n steps
+        further = hook.select("graph", F.col("id").alias("root"), F.col("root").alias("next"))
+        step += 1
+        far = work.table(hook.join(further, ["graph", "root"]).select("graph", "id", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved")), f"{name}-{step}")
+        hook = far.select("graph", "id", "root")
+        if far.where("moved").isEmpty():
+            return hook
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph, id, component): the smallest id that edges lead to.
+
+    Each round hooks nodes to roots and relabels the edges by them; edges inside a component vanish and the others join at
+    least every second root to another, so the edge table shrinks until it is empty.
+    """
+    work = Scratch(nodes.sparkSession, "components")
+    left = work.table(edges.where("src <> dst").select("graph", "src", "dst", F.lit(0.0).alias("weight")), "edges-0")
+    labels, hook, i = None, _roots(left, work, "roots-0"), 0
+    while True:
+        i += 1
+        if labels is None:
+            labels = hook
+        else:
+            labels = labels.join(hook.select("graph", F.col("id").alias("root"), F.col("root").alias("next")), ["graph", "root"], "left")
+            labels = work.table(labels.select("graph", "id", F.coalesce("next", "root").alias("root")), f"labels-{i}")
+        a = hook.select("graph", F.col("id").alias("src"), F.col("root").alias("a"))
+        b = hook.select("graph", F.col("id").alias("dst"), F.col("root").alias("b"))
+        left = left.join(a, ["graph", "src"]).join(b, ["graph", "dst"]).where("a <> b")
+        left = work.table(left.select("graph", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight").distinct(), f"edges-{i}")
+        if left.isEmpty():
+            return nodes.join(labels, ["graph", "id"], "left").select("graph", "id", F.coalesce("root", "id").alias("component"))
+        hook = _roots(left, work, f"roots-{i}")
 
 
 def ward(points: np.ndarray, clusters: int) -> np.ndarray:

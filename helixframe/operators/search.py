@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import blocks
 
 
 #: Bytes of query vectors that are broadcast together.
@@ -40,9 +41,8 @@ def within_family(queries: DataFrame, rows: DataFrame, k: int = 50, threshold: f
 
     Ranks are given before the threshold and the query itself are taken out, so they may have gaps.
     """
-    pairs = _queries(queries).join(_scored(rows), "family_id")
-    pairs = pairs.select("query_id", "protein_id", V.cosine(F.col("q"), F.col("v"), F.col("nq"), F.col("nv")).alias("similarity"))
-    out = pairs.withColumn("rank", _rank(pairs, "similarity", "query_id")).where(F.col("rank") <= k)
+    asked = queries.select(F.col("protein_id").alias("query_id"), "family_id", F.col("v").alias("q"))
+    out = blocks.top(asked, rows, k).select("query_id", "protein_id", F.col("score").alias("similarity"), "rank")
     if not keep_self:
         out = out.where(F.col("protein_id") != F.col("query_id"))
     return out if threshold is None else out.where(F.col("similarity") >= threshold)
@@ -64,12 +64,8 @@ def global_threshold(queries: DataFrame, rows: DataFrame, k: int = 50, threshold
 
 def hamming(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     """Top ``k`` of each query among its family by differing signs."""
-    q = queries.select(F.col("protein_id").alias("query_id"), "family_id", V.packed(V.bits(F.col("v"))).alias("qb"))
-    pairs = q.join(rows.select("protein_id", "family_id", V.packed(V.bits(F.col("v"))).alias("b")), "family_id")
-    far = F.aggregate(F.zip_with("qb", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.select("query_id", "protein_id", far.alias("hamming"))
-    order = Window.partitionBy("query_id").orderBy("hamming", "protein_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = queries.select(F.col("protein_id").alias("query_id"), "family_id", F.col("v").alias("q"))
+    return blocks.top(asked, rows, k, hamming=True).withColumn("hamming", F.col("score").cast("int")).select("query_id", "protein_id", "hamming", "rank")
 
 
 def stats(matches: DataFrame) -> DataFrame:

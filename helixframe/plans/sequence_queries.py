@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from ..operators import families as A
 from ..operators import graph as G
 from ..operators import search as Q
 from ..operators import stats as T
+from ..session import Scratch
 from ..sources import records as R
 from . import report as W
 from .vector_queries import ASSIGN, MUTUAL, micro, rows_of
@@ -72,10 +71,7 @@ def mic(x: str) -> str:
 CHARGE = "(" + " + ".join(f"{n_of(r)} * {(-1.0 if K.RESIDUES[r][3] < 7 else 1.0) / (1 + 10 ** abs(7.0 - K.RESIDUES[r][3]))!r}::DOUBLE" for r in K.AMINO_ACIDS) + ")"
 PI = f"""list_transform(range(90), lambda i: abs(1 / (1 + pow(10, 3.0::DOUBLE + i * 0.1::DOUBLE - 8)) - 1 / (1 + pow(10, 3.1::DOUBLE - (3.0::DOUBLE + i * 0.1::DOUBLE)))
  + {' + '.join(f"{n_of(r)} / (1 + pow(10, 3.0::DOUBLE + i * 0.1::DOUBLE - {K.RESIDUES[r][3]}::DOUBLE))" for r in 'DE')} - ({' + '.join(f"{n_of(r)} / (1 + pow(10, {K.RESIDUES[r][3]}::DOUBLE - (3.0::DOUBLE + i * 0.1::DOUBLE)))" for r in 'KRH')})))"""
-_P, _S = K.DIPEPTIDE_POLAR, K.DIPEPTIDE_SMALL
-_polar = lambda i: f"contains('{_P}', {i})"
-_small = lambda i: f"contains('{_S}', {i})"
-PAIR = f"""CASE WHEN {_polar('z[1]')} <> {_polar('z[2]')} THEN -1 WHEN {_small('z[1]')} AND {_small('z[2]')} AND NOT (z[1] = 'C' AND z[2] = 'C') THEN 0 ELSE 1 END"""
+PAIR = "CASE " + " ".join(f"WHEN z[1] || z[2] IN ({', '.join(repr(p) for p, w in K.DIPEPTIDES.items() if w == least)}) THEN {least}" for least in (-1, 0)) + " ELSE 1 END"
 INSTABILITY = f"CASE WHEN length(seq) < 2 THEN 0 ELSE 10.0::DOUBLE / length(seq) * list_sum(list_transform(list_zip(string_split(seq, '')[:-2], string_split(seq, '')[2:]), lambda z: {PAIR})) END"
 
 VALUES = {
@@ -202,7 +198,8 @@ def db_links(spark, sf):
     return docs.select(F.col("doc_id").alias("protein_id"), F.explode(S.database_links(pid)).alias("database", "url"))
 
 
-@query("SELECT 0.0::DOUBLE AS pdb_id, 1.0::DOUBLE AS uniprot FROM documents LIMIT 1")
+@query("""WITH d AS (SELECT doc_id, NULL AS pdb_id, 'https://www.uniprot.org/uniprot/' || doc_id AS uniprot FROM documents)
+SELECT count(pdb_id) / count(*)::DOUBLE AS pdb_id, count(uniprot) / count(*)::DOUBLE AS uniprot FROM d""")
 def database_coverage(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     return T.coverage(docs.select(S.database_links(F.col("doc_id").cast("string")).alias("links")), ["pdb_id", "uniprot"])
@@ -266,8 +263,8 @@ FROM p LEFT JOIN a ON a.protein_id = p.protein_id LEFT JOIN found ON query_id =
 
 def _dashboard(spark, sf):
     rows = rows_of(spark, sf)
-    nodes, pairs = rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id")), G.pair_scores(rows)
-    sizes = G.density(nodes, G.mutual_knn(pairs))
+    nodes, near = rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id")), G.nearest(rows)
+    sizes = G.density(nodes, G.mutual(near))
     return T.dashboard(rows.select("protein_id"), A.assign(rows, A.centroids(rows)), Q.within_family(rows, rows, 50, 0.1), sizes)
 
 
@@ -289,8 +286,8 @@ def chart_heights(spark, sf):
 @query(f"WITH {DASH.split('sim AS')[0].rstrip().rstrip(',')} SELECT graph, n_edges / greatest(n_nodes, 1) AS edges_per_node, 2 * n_edges / greatest(n_nodes, 1) AS avg_degree FROM gs")
 def edge_ratios(spark, sf):
     rows = rows_of(spark, sf)
-    nodes, pairs = rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id")), G.pair_scores(rows)
-    return W.edge_ratios(G.density(nodes, G.mutual_knn(pairs)))
+    nodes, near = rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id")), G.nearest(rows)
+    return W.edge_ratios(G.density(nodes, G.mutual(near)))
 
 
 PAIR_SQL = f"""{B}, pr AS (SELECT a.protein_id AS src, b.protein_id AS dst, length(a.sequence) AS la, length(b.sequence) AS lb,
@@ -364,7 +361,7 @@ def nj_tree(spark, sf):
 @query(f"WITH {D} SELECT 'doc|' || protein_id AS protein_id, seq AS sequence FROM s WHERE seq <> ''")
 def fasta_roundtrip(spark, sf):
     """Written as FASTA files and read again."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or f'file://{tempfile.mkdtemp()}'}/fasta-{id(object())}"
+    path = Scratch(spark, "fasta").path
     rows = seqs(spark, sf).select(F.concat(F.lit("doc|"), F.col("protein_id")).alias("protein_id"), F.regexp_replace("seq", "(.{60})", "$1\n").alias("sequence"))
     R.write_fasta(rows, path)
     return R.read_fasta(spark, path).select("protein_id", "sequence")

@@ -181,8 +181,8 @@ class NetworkAnalysis(Stage):
         hit = tables["matches"].select(F.col("query_id").cast("string").alias("family_id"), "protein_id").join(tables["families"].select("protein_id", "v"), "protein_id")
         own = tables["vectors"].select(F.col("protein_id").cast("string").alias("family_id"), F.concat(F.lit("query:"), F.col("protein_id")).alias("protein_id"), "v")
         rows = hit.select("family_id", F.col("protein_id").cast("string").alias("protein_id"), "v").unionByName(own)
-        pairs, t, k = G.pair_scores(rows), self.config.similarity_threshold, self.config.neighbours
-        methods = {"mutual_knn": lambda: G.mutual_knn(pairs, k, t), "threshold": lambda: G.threshold_edges(pairs, t), "hybrid": lambda: G.hybrid(pairs, k, t), "robust": lambda: G.robust(pairs, k, t)}
+        t, k = self.config.similarity_threshold, self.config.neighbours
+        methods = {"mutual_knn": lambda: G.mutual(G.nearest(rows, k), t), "threshold": lambda: G.edges_over(rows, t), "hybrid": lambda: G.either(G.nearest(rows, k), t), "robust": lambda: G.robust_of(G.nearest(rows, k), t)}
         if self.config.network_method not in methods:
             raise ValueError(f"unknown network method {self.config.network_method!r}; known: {', '.join(methods)}")
         nodes = rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id"))

@@ -314,30 +314,30 @@ def distance_to_similarity(spark, sf):
     return _matches(spark, sf).select("query_id", "protein_id", V.distance_similarity(1 - F.col("similarity")).alias("similarity"))
 
 
-def _graph(spark, sf):
+def _graph(spark, sf, k=8):
+    """Nodes, and the nearest neighbours of each."""
     rows = rows_of(spark, sf)
-    pairs = G.pair_scores(rows)
-    return rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id")), pairs
+    return rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id")), G.nearest(rows, k)
 
 
 @query(f"WITH {PAIRS} SELECT graph, src, dst, weight, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 8")
 def knn_edges(spark, sf):
-    return G.knn(_graph(spark, sf)[1], 8)
+    return _graph(spark, sf)[1]
 
 
 @query(f"WITH {MUTUAL} SELECT * FROM edges")
 def knn_mutual(spark, sf):
-    return G.mutual_knn(_graph(spark, sf)[1])
+    return G.mutual(_graph(spark, sf)[1])
 
 
 @query(f"WITH {PAIRS} SELECT DISTINCT graph, least(src, dst) AS src, greatest(src, dst) AS dst, weight FROM ranked WHERE rank <= 8 AND weight >= 0.1")
 def knn_hybrid(spark, sf):
-    return G.hybrid(_graph(spark, sf)[1])
+    return G.either(_graph(spark, sf)[1])
 
 
 @query(f"WITH {PAIRS} SELECT graph, src, dst, weight FROM pairs WHERE weight >= 0.1")
 def threshold_edges(spark, sf):
-    return G.threshold_edges(_graph(spark, sf)[1])
+    return G.edges_over(rows_of(spark, sf))
 
 
 @query(f"""WITH {PAIRS}, ok AS (SELECT *, row_number() OVER (PARTITION BY graph, src ORDER BY weight DESC, dst) AS k FROM both_ways WHERE weight >= 0.5),
@@ -345,14 +345,14 @@ lone AS (SELECT graph, src FROM both_ways GROUP BY 1, 2 HAVING max(weight) < 0.5
 picked AS (SELECT graph, src, dst, weight FROM ok WHERE k <= 5 UNION ALL SELECT graph, src, dst, weight FROM ranked JOIN lone USING (graph, src) WHERE rank <= 5)
 SELECT DISTINCT graph, least(src, dst) AS src, greatest(src, dst) AS dst, weight FROM picked""")
 def robust_edges(spark, sf):
-    return G.robust(_graph(spark, sf)[1])
+    return G.robust_of(_graph(spark, sf, 5)[1])
 
 
 @query(f"""WITH {MUTUAL}, small AS (SELECT graph FROM nodes GROUP BY graph HAVING count(*) < 48)
 SELECT * FROM edges UNION SELECT pairs.* FROM pairs JOIN small USING (graph) WHERE weight >= 0.1 * power(0.9, 22)""")
 def expand_edges(spark, sf):
-    nodes, pairs = _graph(spark, sf)
-    return G.expand(G.mutual_knn(pairs), pairs, nodes, least=48)
+    nodes, near = _graph(spark, sf)
+    return G.expand(G.mutual(near), G.pair_scores(rows_of(spark, sf)), nodes, least=48)
 
 
 DEGREE = f"{MUTUAL}, deg AS (SELECT graph, id, count(src) AS degree FROM nodes LEFT JOIN (SELECT graph, src, dst FROM edges UNION ALL SELECT graph, dst, src FROM edges) e USING (graph) WHERE e.src = id GROUP BY ALL), d AS (SELECT graph, id, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN deg USING (graph, id))"
@@ -360,31 +360,31 @@ DEGREE = f"{MUTUAL}, deg AS (SELECT graph, id, count(src) AS degree FROM nodes L
 
 @query(f"WITH {DEGREE} SELECT * FROM d")
 def graph_degree(spark, sf):
-    nodes, pairs = _graph(spark, sf)
-    return G.degrees(nodes, G.mutual_knn(pairs))
+    nodes, near = _graph(spark, sf)
+    return G.degrees(nodes, G.mutual(near))
 
 
 @query(f"""WITH {MUTUAL}, n2 AS (SELECT graph, count(*) AS n_nodes FROM nodes GROUP BY graph), e2 AS (SELECT graph, count(*) AS n_edges FROM edges GROUP BY graph)
 SELECT graph, n_nodes, coalesce(n_edges, 0) AS n_edges, CASE WHEN n_nodes > 1 THEN 2.0::DOUBLE * coalesce(n_edges, 0) / (n_nodes * (n_nodes - 1)) ELSE 0 END AS density, 2.0::DOUBLE * coalesce(n_edges, 0) / n_nodes AS avg_degree FROM n2 LEFT JOIN e2 USING (graph)""")
 def graph_density(spark, sf):
-    nodes, pairs = _graph(spark, sf)
-    return G.density(nodes, G.mutual_knn(pairs))
+    nodes, near = _graph(spark, sf)
+    return G.density(nodes, G.mutual(near))
 
 
 @query(f"""WITH {DEGREE}, t AS (SELECT x.graph, x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges y ON x.graph = y.graph AND x.dst = y.src JOIN edges z ON z.graph = x.graph AND z.src = x.src AND z.dst = y.dst),
 k AS (SELECT graph, id, count(*) AS triangles FROM (SELECT graph, unnest([a, b, c]) AS id FROM t) GROUP BY ALL)
 SELECT graph, id, degree, coalesce(triangles, 0) AS triangles, CASE WHEN degree > 1 THEN 2.0::DOUBLE * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END AS clustering FROM d LEFT JOIN k USING (graph, id)""")
 def graph_clustering(spark, sf):
-    nodes, pairs = _graph(spark, sf)
-    return G.clustering(nodes, G.mutual_knn(pairs))
+    nodes, near = _graph(spark, sf)
+    return G.clustering(nodes, G.mutual(near))
 
 
 @query(f"""WITH RECURSIVE {MUTUAL}, links AS (SELECT graph, src, dst FROM edges UNION ALL SELECT graph, dst, src FROM edges),
 walk AS (SELECT graph, id, id AS reached FROM nodes UNION SELECT walk.graph, walk.id, links.dst FROM walk JOIN links ON links.graph = walk.graph AND links.src = walk.reached)
 SELECT graph, id, min(reached) AS component FROM walk GROUP BY ALL""")
 def graph_components(spark, sf):
-    nodes, pairs = _graph(spark, sf)
-    return G.components(nodes, G.mutual_knn(pairs))
+    nodes, near = _graph(spark, sf)
+    return G.components(nodes, G.mutual(near))
 
 
 @query(f"""WITH {DEGREE}, q AS (SELECT graph, min(id) AS query_id FROM nodes GROUP BY graph),
@@ -392,23 +392,23 @@ qnear AS (SELECT graph, dst AS id FROM edges JOIN q USING (graph) WHERE src = qu
 t AS (SELECT d.graph, d.id, degree, CASE WHEN d.id = query_id THEN 2 WHEN qnear.id IS NOT NULL THEN 1 ELSE 0 END AS tier FROM d JOIN q USING (graph) LEFT JOIN qnear ON qnear.graph = d.graph AND qnear.id = d.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY tier DESC, degree DESC, id) AS place FROM t) SELECT graph, id, degree, tier FROM r WHERE place <= 20 OR tier > 0""")
 def graph_trim_query(spark, sf):
-    nodes, pairs = _graph(spark, sf)
-    return G.trim_to_query(nodes, G.mutual_knn(pairs), nodes.groupBy("graph").agg(F.min("id").alias("query_id")), 20)
+    nodes, near = _graph(spark, sf)
+    return G.trim_to_query(nodes, G.mutual(near), nodes.groupBy("graph").agg(F.min("id").alias("query_id")), 20)
 
 
 @query()
 def graph_trim(spark, sf):
-    return G.trim(G.mutual_knn(_graph(spark, sf)[1]), 20)
+    return G.trim(G.mutual(_graph(spark, sf)[1]), 20)
 
 
 @query()
 def node_centrality(spark, sf):
-    return G.centralities(G.mutual_knn(_graph(spark, sf)[1]))
+    return G.centralities(G.mutual(_graph(spark, sf)[1]))
 
 
 @query()
 def graph_paths(spark, sf):
-    return G.path_lengths(G.mutual_knn(_graph(spark, sf)[1]))
+    return G.path_lengths(G.mutual(_graph(spark, sf)[1]))
 
 
 @query()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +35,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, set to a new one only where the session has none."""
+    """The folder of ``spark.checkpoint.dir``, set to a new one only where the session has none and runs on this machine."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         path = sc.getCheckpointDir()
         if path is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
             sc.setCheckpointDir(path)
     elif sc.getCheckpointDir() is None:
@@ -45,6 +50,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+class Scratch:
+    """Tables written under the shared folder, dropped when the session's process ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self.drop()
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it again with its own schema."""
+        path = f"{self.path}/{name}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str | None = None) -> None:
+        path = f"{self.path}/{name}" if name else self.path
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder; its lineage ends there."""
     shared_dir(df.sparkSession)

@@ -48,11 +48,23 @@ def test_motif_spans_are_those_of_re(row, seq):
         assert [tuple(x) for x in got[name]] == want, name
 
 
-def test_dipeptides_by_rule(row):
-    polar, small = set(K.DIPEPTIDE_POLAR), set(K.DIPEPTIDE_SMALL)
-    weight = lambda a, b: -1 if (a in polar) != (b in polar) else 0 if a in small and b in small and a + b != "CC" else 1
-    for seq in (S1, S2, "CCC", "A", ""):
-        assert row(seq, d=S.dipeptide_sum)["d"] == sum(map(weight, seq, seq[1:]))
+def test_dipeptides():
+    """The rows of the table that tell all classes apart, residues in alphabetical order."""
+    rows = {
+        "A": [1, 0, -1, -1, 1, 0, -1, 1, -1, 1, 1, -1, 0, -1, -1, 0, 0, 1, 1, 1],
+        "C": [0, 1, -1, -1, 1, 0, -1, 1, -1, 1, 1, -1, 0, -1, -1, 0, 0, 1, 1, 1],
+        "D": [-1, -1, 1, 1, -1, -1, 1, -1, 1, -1, -1, 1, -1, 1, 1, -1, -1, -1, -1, -1],
+        "G": [0, 0, -1, -1, 1, 0, -1, 1, -1, 1, 1, -1, 0, -1, -1, 0, 0, 1, 1, 1],
+    }
+    for a, weights in rows.items():
+        assert [K.DIPEPTIDES[a + b] for b in "ACDEFGHIKLMNPQRSTVWY"] == weights
+    assert len(K.DIPEPTIDES) == 400 and all(K.DIPEPTIDES[a + b] == K.DIPEPTIDES[b + a] for a in K.ALPHABET for b in K.ALPHABET)
+
+
+def test_dipeptide_sums(row):
+    every = "".join(K.DIPEPTIDES)
+    for seq in (S1, S2, "CCC", "AAAA", "A", "", every):
+        assert row(seq, d=S.dipeptide_sum)["d"] == sum(K.DIPEPTIDES[a + b] for a, b in zip(seq, seq[1:]))
 
 
 def test_predicates_and_names(row):

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import vectors as V
+from helixframe.operators import blocks as B
 from helixframe.operators import families as A
 from helixframe.operators import graph as G
 from helixframe.operators import search as Q
@@ -130,3 +131,39 @@ def test_slices_and_batches(spark):
         assert A.batches(df, size).select("batch").distinct().count() == n
     got = A.ordinals(df.repartition(7)).collect()
     assert all(r["ordinal"] == r["protein_id"] for r in got) and len(got) == 200
+
+
+def test_blocks_of_pairs_change_nothing(spark):
+    """Groups of more rows than a block, repeated vectors, other lengths and missing ones."""
+    rng = np.random.default_rng(5)
+    data = [(i, i % 2, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    data += [(100 + i, 0, data[4][2]) for i in range(5)] + [(200, 0, [0.0] * 6), (201, 0, [1.0, 2.0]), (202, 0, None), (203, None, data[0][2]), (204, 7, data[1][2])]
+    df = spark.createDataFrame(data, "protein_id long, family_id int, v array<double>")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    asked = df.select(F.col("protein_id").alias("query_id"), "family_id", F.col("v").alias("q"))
+    for hamming in (False, True):
+        assert key(B.top(asked, df, 7, hamming, block=9)) == key(B.top(asked, df, 7, hamming))
+    assert key(B.pairs(df, block=9)) == key(B.pairs(df)) and key(B.pairs(df, 0.5, block=9)) == [r for r in key(B.pairs(df)) if r[3] >= 0.5]
+    pairs = B.pairs(df).where("src < 200 and dst < 200")
+    assert key(G.nearest(df, 6).where("src < 200 and dst < 200 and rank <= 3")) == key(G.knn(pairs, 3))
+    for r in B.pairs(df).where("src < 20").collect():
+        a, b = (next(v for i, _, v in data if i == x) for x in (r["src"], r["dst"]))
+        if len(a) == len(b) and any(a) and any(b):
+            total = 0.0
+            for x, y in zip(a, b):
+                total += x * y
+            norm = lambda v: float(np.sqrt(sum(x * x for x in v)))
+            assert r["weight"] == pytest.approx(total / (norm(a) * norm(b)), abs=1e-15)
+    assert B.top(asked.limit(0), df, 3).count() == 0 and B.pairs(df.limit(0)).count() == 0
+    assert {r["rank"] for r in B.top(asked.where("query_id = 204"), df, 3).collect()} == {1}
+
+
+@pytest.mark.parametrize("order", ["ascending", "random"])
+def test_components_of_long_paths(spark, order):
+    ids = np.arange(3_000) if order == "ascending" else np.random.default_rng(1).permutation(3_000)
+    edges = [("g", int(min(a, b)), int(max(a, b)), 1.0) for a, b in zip(ids, ids[1:])] + [("h", 1, 2, 1.0)]
+    links = spark.createDataFrame(edges, "graph string, src long, dst long, weight double")
+    nodes = spark.createDataFrame([("g", i) for i in range(3_001)] + [("h", 1), ("h", 2)], "graph string, id long")
+    got = {(r["graph"], r["component"]): r["count"] for r in G.components(nodes, links).groupBy("graph", "component").count().collect()}
+    assert got == {("g", 0): 3_000, ("g", 3_000): 1, ("h", 1): 2}
+    assert G.components(nodes, links.limit(0)).where("id = component").count() == nodes.count()
