@@ -117,6 +117,11 @@ def aliphatic_index(seq: Column) -> Column:
     return F.lit(100.0) * group_count(seq, "aliphatic") / F.nullif(F.length(seq), F.lit(0))
 
 
+def percent_of(seq: Column, residue: str) -> Column:
+    """Share of a residue in percent; 0 for an empty sequence."""
+    return F.lit(100.0) * count_of(seq, residue) / F.greatest(F.length(seq), F.lit(1))
+
+
 def most_common(seq: Column) -> Column:
     """The most frequent residue, the first seen of equals."""
     each = F.array(*(F.struct(count_of(seq, r).alias("n"), (-F.instr(seq, r)).alias("at"), F.lit(r).alias("r")) for r in K.AMINO_ACIDS))

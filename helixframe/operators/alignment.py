@@ -76,6 +76,8 @@ def elbow(inertia: DataFrame) -> DataFrame:
 
 def _square(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ids = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
+    if len(ids) > G.WHOLE:
+        raise ValueError(f"a set of {len(ids)} sequences is too large for one task; the limit is {G.WHOLE}")
     d = np.zeros((len(ids), len(ids)))
     i, j = np.searchsorted(ids, pdf["src"].to_numpy()), np.searchsorted(ids, pdf["dst"].to_numpy())
     d[i, j] = d[j, i] = pdf["distance"].to_numpy()
@@ -101,32 +103,34 @@ def ward_clusters(distances: DataFrame) -> DataFrame:
     return distances.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, f"id {dict(distances.dtypes)['src']}, cluster int, k int")
 
 
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Neighbour joining of a table of pairs (src, dst, distance)."""
+    ids, d = _square(pdf)
+    names, rows, made = [str(i) for i in ids], [], 0
+    while len(names) > 2:
+        n = len(names)
+        total = d.sum(axis=1)
+        q = (n - 2) * d - total[:, None] - total[None]
+        np.fill_diagonal(q, np.inf)
+        i, j = divmod(int(q.argmin()), n)
+        li = d[i, j] / 2 + (total[i] - total[j]) / (2 * (n - 2))
+        made += 1
+        node = f"node_{made}"
+        rows += [(names[i], node, li), (names[j], node, d[i, j] - li)]
+        keep = [k for k in range(n) if k not in (i, j)]
+        new = (d[i, keep] + d[j, keep] - d[i, j]) / 2
+        d = np.block([[d[np.ix_(keep, keep)], new[:, None]], [new[None], np.zeros((1, 1))]])
+        names = [names[k] for k in keep] + [node]
+    if len(names) == 2:
+        rows.append((names[0], names[1], d[0, 1]))
+    return pd.DataFrame(rows, columns=["child", "parent", "length"])
+
+
 def neighbour_joining(distances: DataFrame) -> DataFrame:
     """The neighbour-joining tree of one stated set as rows (child, parent, length); leaves are named by their ids."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, d = _square(pdf)
-        names, rows, made = [str(i) for i in ids], [], 0
-        while len(names) > 2:
-            n = len(names)
-            total = d.sum(axis=1)
-            q = (n - 2) * d - total[:, None] - total[None]
-            np.fill_diagonal(q, np.inf)
-            i, j = divmod(int(q.argmin()), n)
-            li = d[i, j] / 2 + (total[i] - total[j]) / (2 * (n - 2))
-            made += 1
-            node = f"node_{made}"
-            rows += [(names[i], node, li), (names[j], node, d[i, j] - li)]
-            keep = [k for k in range(n) if k not in (i, j)]
-            new = (d[i, keep] + d[j, keep] - d[i, j]) / 2
-            d = np.block([[d[np.ix_(keep, keep)], new[:, None]], [new[None], np.zeros((1, 1))]])
-            names = [names[k] for k in keep] + [node]
-        if len(names) == 2:
-            rows.append((names[0], names[1], d[0, 1]))
-        return pd.DataFrame(rows, columns=["child", "parent", "length"])
-
     ship(distances.sparkSession)
-    return distances.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "child string, parent string, length double")
+    return distances.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_joined, "child string, parent string, length double")
 
 
 def bootstrap_columns(alignment: DataFrame, replicates: int = 100, seed: int = 7) -> DataFrame:
@@ -135,3 +139,66 @@ def bootstrap_columns(alignment: DataFrame, replicates: int = 100, seed: int = 7
     spark = alignment.sparkSession
     draws = spark.range(replicates * n).select(F.floor(F.col("id") / max(1, n)).alias("replicate"), (F.col("id") % max(1, n)).alias("place"))
     return draws.withColumn("pos", F.pmod(F.xxhash64("replicate", "place", F.lit(seed)), F.lit(max(1, n))))
+
+
+def conservation_statistics(scores: DataFrame) -> DataFrame:
+    """One row over all places: mean, std (of the population), min, max, median and the 75th percentile, which is the
+    threshold of conserved regions."""
+    c = F.col("conservation")
+    return scores.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.75)).alias("threshold"))
+
+
+def _splits(tree: pd.DataFrame, leaves: frozenset) -> dict[str, frozenset]:
+    """The leaves below each inner node of a tree (child, parent)."""
+    below: dict[str, set] = {}
+    for child, parent in list(zip(tree["child"], tree["parent"]))[:-1]:  # children come first; the last edge joins two ends
+        below.setdefault(parent, {parent} & leaves).update(below.get(child, {child}))
+    return {n: frozenset(s) for n, s in below.items() if n not in leaves}
+
+
+def bootstrap_support(alignment: DataFrame, replicates: int = 100, seed: int = 7, score: dict[tuple[str, str], float] | None = None) -> DataFrame:
+    """The neighbour-joining tree of a stated alignment (child, parent, length) with the support of each child that is an
+    inner node: the share of replicate trees, over columns drawn with replacement, that split the leaves as it does.
+
+    Distances are 1 - s(a, b) / max(s(a, a), s(b, b)) for a table ``score`` of residue pairs such as a substitution matrix
+    (pairs it does not name count 0), or the share of differing places without one. A replicate is a task's work; each of
+    them gets the whole alignment, which is a stated set.
+    """
+    rows = [(str(r["protein_id"]), r["aligned"]) for r in alignment.orderBy("protein_id").collect()]
+    spark, names = alignment.sparkSession, [n for n, _ in rows]
+    letters = np.array([list(a) for _, a in rows]) if rows else np.zeros((0, 0), dtype="<U1")
+
+    def distances(cols: np.ndarray) -> pd.DataFrame:
+        part, out = letters[:, cols], []
+        for i in range(len(names)):
+            for j in range(i + 1, len(names)):
+                if score is None:
+                    d = float((part[i] != part[j]).mean()) if len(cols) else 0.0
+                else:
+                    s = [sum(score.get((a, b), score.get((b, a), 0.0)) for a, b in zip(part[x], part[y])) for x, y in ((i, j), (i, i), (j, j))]
+                    d = 1 - s[0] / max(s[1], s[2]) if max(s[1], s[2]) else 0.0
+                out.append((names[i], names[j], d))
+        return pd.DataFrame(out, columns=["src", "dst", "distance"])
+
+    leaves, width = frozenset(names), letters.shape[1]
+    base = _joined(distances(np.arange(width))) if len(names) > 1 else pd.DataFrame({"child": [], "parent": [], "length": []})
+    own = _splits(base, leaves)
+
+    def run(frames):
+        for pdf in frames:
+            for r in pdf["id"]:
+                cols = np.random.default_rng([seed, int(r)]).integers(0, max(1, width), size=width)
+                found = set()
+                for s in _splits(_joined(distances(cols)), leaves).values():
+                    found |= {s, leaves - s}
+                hit = [n for n, s in own.items() if s in found]
+                yield pd.DataFrame({"child": hit})
+
+    ship(spark)
+    tree = spark.createDataFrame([(str(c), str(p), float(n)) for c, p, n in base.itertuples(index=False)], "child string, parent string, length double")
+    if not own:
+        return tree.withColumn("support", F.lit(None).cast("double"))
+    hits = spark.range(0, replicates, 1, min(replicates, 32)).mapInPandas(run, "child string").groupBy("child").agg((F.count("*") / replicates).alias("support"))
+    inner = spark.createDataFrame([(n, True) for n in own], "child string, inner boolean")
+    out = tree.join(inner, "child", "left").join(hits, "child", "left")
+    return out.select("child", "parent", "length", F.when(F.col("inner"), F.coalesce("support", F.lit(0.0))).alias("support"))

@@ -111,3 +111,37 @@ def artificial_families(rows: DataFrame, size: int) -> DataFrame:
 def reshard(embeddings: DataFrame, metadata: DataFrame, family_col: str) -> DataFrame:
     """Embeddings with the file-safe family of their metadata; ids on one side only are dropped."""
     return embeddings.join(metadata.select("protein_id", F.col(family_col).cast("string").alias("family_name")), "protein_id").withColumn("family_dir", S.file_safe(F.col("family_name")))
+
+
+def has_dimension(rows: DataFrame, dim: int, vector_col: str = "v") -> DataFrame:
+    """Rows with ``valid``: whether their vector has ``dim`` finite components."""
+    v = F.col(vector_col)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.withColumn("valid", F.coalesce((F.size(v) == dim) & finite, F.lit(False)))
+
+
+def assign_with_metadata(rows: DataFrame, cents: DataFrame, meds: DataFrame, metadata: DataFrame, min_confidence: float | None = None) -> DataFrame:
+    """``assign`` with the representative of the assigned family (its medoid) and the protein's own metadata."""
+    out = assign(rows, cents, min_confidence).join(meds.select(F.col("family_id").alias("assigned"), F.col("medoid_id").alias("representative")), "assigned", "left")
+    return out.select("protein_id", "assigned", "hamming", "confidence", "representative").join(metadata, "protein_id", "left")
+
+
+def size_estimate(rows: DataFrame, max_gb: float = 4.0) -> DataFrame:
+    """Per family the bytes of its vectors as 32-bit floats, and whether they fit ``max_gb`` or are read in batches."""
+    size = F.col("num_proteins") * F.col("embedding_dim") * 4
+    return family_stats(rows).select("family_id", size.alias("bytes"), F.when(size > max_gb * 2**30, "batched").otherwise("whole").alias("loading"))
+
+
+def concatenated(*sources: DataFrame, key: str = "protein_id") -> DataFrame:
+    """Records of several sources one after the other, an id that came before with a number behind it, so that ids are unique.
+
+    Records of one id keep the order of their sources, and of their sequences within one.
+    """
+    every = [s.withColumn("_source", F.lit(i)) for i, s in enumerate(sources)]
+    out = every[0]
+    for s in every[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    others = [c for c in out.columns if c not in (key, "_source") and not c.startswith("_")]
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_source", *others[:1]))
+    named = F.when(F.col("_place") == 1, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("_"), F.col("_place")))
+    return out.withColumn("_place", place).withColumn(key, named).drop("_place", "_source")

@@ -130,8 +130,55 @@ def trim_to_query(nodes: DataFrame, edges: DataFrame, queries: DataFrame, most:
     return d.withColumn("place", F.row_number().over(order)).where((F.col("place") <= most) | (F.col("tier") > 0)).select("graph", "id", "degree", "tier")
 
 
+def valid_nodes(nodes: DataFrame, col: str = "id") -> DataFrame:
+    """Nodes whose id is neither null nor blank nor a written NaN."""
+    text = F.trim(F.col(col).cast("string"))
+    return nodes.where(F.col(col).isNotNull() & (text != "") & (F.lower(text) != "nan"))
+
+
+def modularity(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per graph the number of communities (graph, id, component), their modularity over unweighted edges and the edges."""
+    of = lambda side: parts.select("graph", F.col("id").alias(side), F.col("component").alias(f"{side}_part"))
+    known = edges.join(of("src"), ["graph", "src"]).join(of("dst"), ["graph", "dst"])
+    inside = known.where("src_part = dst_part").groupBy("graph", F.col("src_part").alias("component")).agg(F.count("*").alias("inner"))
+    ends = known.select("graph", F.explode(F.array("src_part", "dst_part")).alias("component")).groupBy("graph", "component").agg(F.count("*").alias("ends"))
+    m = edges.groupBy("graph").agg(F.count("*").alias("n_edges"))
+    each = ends.join(inside, ["graph", "component"], "left").join(m, "graph")
+    share = F.coalesce("inner", F.lit(0)) / F.col("n_edges") - F.pow(F.col("ends") / (2 * F.col("n_edges")), F.lit(2))
+    scored = each.groupBy("graph").agg(F.sum(share).alias("modularity"))
+    count = parts.groupBy("graph").agg(F.countDistinct("component").alias("n_communities"))
+    return count.join(scored, "graph", "left").join(m, "graph", "left").select("graph", "n_communities", F.coalesce("modularity", F.lit(0.0)).alias("modularity"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+def node_payload(nodes: DataFrame, edges: DataFrame, parts: DataFrame, queries: DataFrame, similarity: DataFrame, metadata: DataFrame) -> DataFrame:
+    """What a plot shows of each node: id, six fields of metadata, component and its size, degree, whether it is the query and
+    the similarity to it; with its class (query, connected to it, other), colour, symbol and size.
+
+    ``queries`` is (graph, query_id), ``similarity`` (graph, id, similarity), ``metadata`` (id, name, organism, ec, function,
+    family, reviewed).
+    """
+    sizes = parts.groupBy("graph", "component").agg(F.count("*").alias("component_size"))
+    near = both_ways(edges).join(queries.select("graph", F.col("query_id").alias("src")), ["graph", "src"], "left_semi").select("graph", F.col("dst").alias("id")).distinct().withColumn("near", F.lit(True))
+    out = degrees(nodes, edges).join(parts, ["graph", "id"], "left").join(sizes, ["graph", "component"], "left").join(queries, "graph", "left")
+    out = out.join(near, ["graph", "id"], "left").join(similarity, ["graph", "id"], "left").join(metadata.withColumn("known", F.lit(True)), "id", "left")
+    is_query = F.coalesce(F.col("id") == F.col("query_id"), F.lit(False))
+    kind = F.when(is_query, "query").when(F.col("near"), "connected").otherwise("other")
+    name = F.when(is_query, "Query Protein").when(F.col("known").isNull(), F.concat(F.lit("Protein "), F.col("id").cast("string"))).otherwise(F.col("name"))
+    function = F.when(is_query, "Query protein - no metadata available").when(F.col("known").isNull(), "No metadata available").otherwise(F.col("function"))
+    fields = [F.when(is_query, "N/A").otherwise(F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("N/A"))).alias(c) for c in ("organism", "ec", "family", "reviewed")]
+    style = [F.when(kind == "query", q).when(kind == "connected", c).otherwise(o).alias(n) for n, q, c, o in (("color", "red", "orange", "lightblue"), ("symbol", "star", "circle", "circle"), ("marker_size", 12, 10, 8))]
+    shown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("N/A"))
+    return out.select("graph", "id", shown(name).alias("name"), shown(function).alias("function"), *fields, "component", F.coalesce("component_size", F.lit(1)).alias("component_size"), "degree", is_query.alias("is_query"), F.when(is_query, 1.0).otherwise(F.col("similarity")).alias("similarity"), kind.alias("class"), *style)
+
+
+#: Nodes of a graph that is taken whole into one task; its matrices take about 1 GB then.
+WHOLE = 5_000
+
+
 def _adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ids = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
+    if len(ids) > WHOLE:
+        raise ValueError(f"a graph of {len(ids)} nodes is too large for one task; the limit is {WHOLE}")
     a = np.zeros((len(ids), len(ids)))
     i, j = np.searchsorted(ids, pdf["src"].to_numpy()), np.searchsorted(ids, pdf["dst"].to_numpy())
     real = i != j
@@ -199,6 +246,44 @@ def path_lengths(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph").applyInPandas(_path, f"graph {dict(edges.dtypes)['graph']}, largest int, avg_path double, diameter int")
 
 
+def _layout(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Places in the plane whose distances come near to the weighted path lengths (Kamada and Kawai's energy), by majorisation."""
+    ids, a = _adjacency(pdf)
+    n = len(ids)
+    d = np.where(a != 0, np.maximum(0.1, 1 - a), np.inf)
+    np.fill_diagonal(d, 0)
+    for k in range(n):  # shortest weighted paths
+        np.minimum(d, d[:, k, None] + d[None, k, :], out=d)
+    far = d[np.isfinite(d)].max(initial=1.0)
+    d = np.where(np.isfinite(d), d, 2 * far)
+    w = np.divide(1.0, d**2, out=np.zeros(d.shape), where=d > 0)
+    angle = 2 * np.pi * np.arange(n) / max(1, n)
+    x = far * np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    v = np.diag(w.sum(axis=1)) - w
+    back = np.linalg.pinv(v)
+    for _ in range(1000):
+        gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        b = np.divide(-w * d, gap, out=np.zeros(d.shape), where=gap > 1e-12)
+        np.fill_diagonal(b, 0)
+        np.fill_diagonal(b, -b.sum(axis=1))
+        new = back @ (b @ x)
+        done = np.abs(new - x).max(initial=0) < 1e-7
+        x = new
+        if done:
+            break
+    x -= x.mean(axis=0)
+    x /= np.abs(x).max(initial=0) or 1
+    return pd.DataFrame({"graph": pdf["graph"].iloc[0], "id": ids, "x": x[:, 0], "y": x[:, 1]})
+
+
+def layout(edges: DataFrame) -> DataFrame:
+    """Places (graph, id, x, y) from -1 to 1 of all nodes with edges; an edge's length is max(0.1, 1 - weight). Graphs of more
+    than ``WHOLE`` nodes are refused."""
+    ship(edges.sparkSession)
+    kind = dict(edges.dtypes)
+    return edges.groupBy("graph").applyInPandas(_layout, f"graph {kind['graph']}, id {kind['src']}, x double, y double")
+
+
 def _trim(most: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, a = _adjacency(pdf)

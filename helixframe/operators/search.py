@@ -98,3 +98,31 @@ def filtered(queries: DataFrame, rows: DataFrame, metadata: DataFrame, condition
     """Search among the rows whose metadata meet a condition; the condition comes before the ranking."""
     allowed = rows.join(metadata.where(condition).select("protein_id"), "protein_id", "left_semi")
     return within_family(queries, allowed, k)
+
+
+def status(queries: DataFrame, matches: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row for each query (query_id): its family, status ``success`` or ``no_family``, and its matches' number and
+    greatest, smallest and mean similarity (0 without matches)."""
+    family = assigned.select(F.col("protein_id").alias("query_id"), F.col("assigned").alias("family_id"))
+    found = matches.groupBy("query_id").agg(F.count("*").alias("total_found"), F.max("similarity").alias("max_similarity"), F.min("similarity").alias("min_similarity"), F.avg("similarity").alias("avg_similarity"))
+    out = queries.select("query_id").join(family, "query_id", "left").join(found, "query_id", "left")
+    zero = lambda c, v: F.when(F.col("family_id").isNotNull(), F.coalesce(c, F.lit(v))).otherwise(F.lit(v)).alias(c)
+    state = F.when(F.col("family_id").isNull(), "no_family").otherwise("success")
+    return out.select("query_id", "family_id", state.alias("status"), zero("total_found", 0), zero("max_similarity", 0.0), zero("min_similarity", 0.0), zero("avg_similarity", 0.0))
+
+
+def status_totals(states: DataFrame) -> DataFrame:
+    """One row: searches, successful and failed ones, and the mean similarity over all matches."""
+    ok = F.count_if(F.col("status") == "success")
+    mean = F.sum(F.col("avg_similarity") * F.col("total_found")) / F.nullif(F.sum("total_found"), F.lit(0))
+    return states.agg(F.count("*").alias("total_searches"), ok.alias("successful_searches"), (F.count("*") - ok).alias("failed_searches"), F.coalesce(mean, F.lit(0.0)).alias("average_similarity"))
+
+
+def family_coverage(states: DataFrame) -> DataFrame:
+    """Successful searches of each family."""
+    return states.where("status = 'success'").groupBy("family_id").agg(F.count("*").alias("n"))
+
+
+def listed(matches: DataFrame) -> DataFrame:
+    """Places from 1, without gaps, in each query's list of matches."""
+    return matches.drop("rank").withColumn("rank", _rank(matches, "similarity", "query_id"))

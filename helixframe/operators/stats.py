@@ -74,3 +74,8 @@ def dashboard(records: DataFrame, assignments: DataFrame, matches: DataFrame, gr
 def dashboard_totals(table: DataFrame) -> DataFrame:
     known = F.when(F.col("family") != "Unknown", F.col("family"))
     return table.agg(F.count("*").alias("proteins"), F.countDistinct(known).alias("families"), F.avg("confidence").alias("avg_confidence"), F.sum("n_similar").alias("similar"))
+
+
+def validation_errors(records: DataFrame, reason: Column, key: str = "protein_id") -> DataFrame:
+    """The records with a reason against them: id and error."""
+    return records.select(key, reason.alias("error")).where(F.col("error").isNotNull())

@@ -387,3 +387,40 @@ def embed_kmer_hash(spark, sf):
 @query()
 def sequence_report(spark, sf):
     return seqs(spark, sf).select("protein_id", S.summary_text(F.col("seq"), F.col("protein_id").cast("string")).alias("report"))
+
+
+@query(f"WITH {D} SELECT protein_id, 0 AS gc_content, {mic('100.0::DOUBLE * ' + n_of('N') + ' / greatest(length(seq), 1)')} AS n_micro, {mic('100.0::DOUBLE * ' + n_of('C') + ' / greatest(length(seq), 1)')} AS c_micro FROM s")
+def seq_content(spark, sf):
+    s = F.col("seq")
+    return seqs(spark, sf).select("protein_id", F.lit(0).alias("gc_content"), micro(S.percent_of(s, "N")).alias("n_micro"), micro(S.percent_of(s, "C")).alias("c_micro"))
+
+
+@query(f"""WITH {MSA} SELECT {mic('avg(conservation)')} AS mean_micro, {mic('stddev_pop(conservation)')} AS std_micro, {mic('min(conservation)')} AS min_micro, {mic('max(conservation)')} AS max_micro,
+{mic('quantile_cont(conservation, 0.5)')} AS median_micro, {mic('quantile_cont(conservation, 0.75)')} AS threshold_micro FROM sc""")
+def conservation_statistics(spark, sf):
+    out = M.conservation_statistics(_conservation(spark, sf))
+    return out.select(*(micro(F.col(c)).alias(f"{c}_micro") for c in out.columns))
+
+
+@query(f"""WITH {D}, m AS (SELECT {_H} AS h, {_E} AS e, {_T} AS t FROM s WHERE length(seq) >= 3)
+SELECT count(*) AS n, {mic('avg(h / (h + e + t))')} AS helix_micro, {mic('avg(e / (h + e + t))')} AS sheet_micro, {mic('avg(t / (h + e + t))')} AS turn_micro FROM m""")
+def structure_means(spark, sf):
+    """Mean shares of helix, sheet and turn over all sequences of three residues or more."""
+    s = F.col("seq")
+    each = seqs(spark, sf).where(F.length(s) >= 3).select(*(S.weighted(s, i).alias(n) for i, n in ((4, "helix"), (5, "sheet"), (6, "turn"))))
+    total = F.col("helix") + F.col("sheet") + F.col("turn")
+    return each.agg(F.count("*").alias("n"), *(micro(F.avg(F.col(n) / total)).alias(f"{n}_micro") for n in ("helix", "sheet", "turn")))
+
+
+@query(f"WITH {D} SELECT protein_id, CASE WHEN seq = '' THEN 'empty sequence' ELSE 'sequence of ' || length(seq) || ' residues' END AS error FROM s WHERE length(seq) < 5")
+def validation_errors(spark, sf):
+    s = F.col("seq")
+    reason = F.when(s == "", "empty sequence").when(F.length(s) < 5, F.concat(F.lit("sequence of "), F.length(s).cast("string"), F.lit(" residues")))
+    return T.validation_errors(seqs(spark, sf), reason)
+
+
+@query()
+def nj_support(spark, sf):
+    """The tree of the stated set's first dozen, with the support of a hundred replicates."""
+    first = bench(spark, sf).orderBy("protein_id").limit(12)
+    return M.bootstrap_support(M.padded(first), 100)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import families as A
 from ..operators import graph as G
+from ..operators import index as I
 from ..operators import search as S
+from ..session import Scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -414,3 +416,156 @@ def graph_paths(spark, sf):
 @query()
 def match_clusters(spark, sf):
     return G.match_clusters(rows_of(spark, sf))
+
+
+@query("""SELECT label AS family_id, count(*) AS num_proteins, max(len(embedding)) AS embedding_dim, CASE WHEN count(*) < 39 THEN 'Flat_float' ELSE 'IVF_float' END AS index_type,
+CAST(greatest(1, least(10, count(*) // 39)) AS INT) AS nlist, 'cosine' AS metric FROM embeddings GROUP BY label""")
+def family_index_float(spark, sf):
+    return I.plan(rows_of(spark, sf))
+
+
+@query("""WITH c AS (SELECT label AS family_id, count(*) AS n, max(len(embedding)) AS d, greatest(1, least(100, count(*) // 10)) AS wanted FROM embeddings GROUP BY label)
+SELECT family_id, n AS num_proteins, d AS embedding_dim, 'IVF_binary' AS index_type, CAST(CASE WHEN n < wanted * 39 THEN greatest(1, n // 39) ELSE wanted END AS INT) AS nlist, 'hamming' AS metric FROM c""")
+def family_index_binary(spark, sf):
+    return I.plan(rows_of(spark, sf), binary=True)
+
+
+def _index(spark, sf, binary=False):
+    return I.build(rows_of(spark, sf), Scratch(spark, "family-index").path, binary)
+
+
+@query(f"WITH {SEARCH} SELECT query_id, protein_id, CAST(floor(similarity * 1e6 + 0.5) AS BIGINT) AS similarity_micro, rank FROM r WHERE rank <= 50")
+def search_index_float(spark, sf):
+    """All lists of the written float index probed: the exhaustive result."""
+    return _index(spark, sf).search(rows_of(spark, sf), 50).select("query_id", "protein_id", micro(F.col("score")).alias("similarity_micro"), "rank")
+
+
+@query(SQL["search_hamming"])
+def search_index_binary(spark, sf):
+    return _index(spark, sf, True).search(rows_of(spark, sf), 10).select("query_id", "protein_id", F.col("score").cast("int").alias("hamming"), "rank")
+
+
+@query()
+def search_index_probe(spark, sf):
+    """Each query looks into the two lists nearest to it."""
+    return _index(spark, sf).search(rows_of(spark, sf), 10, probe=2)
+
+
+@query(f"""WITH {SEARCH}, best AS (SELECT query_id, CAST(protein_id AS VARCHAR) AS protein_id, CAST(floor((1 - similarity) * 1e6 + 0.5) AS BIGINT) AS distance_micro, rank FROM r WHERE rank <= 60)
+SELECT p.protein_id AS query_id, CAST(g AS INT) AS rank, coalesce(best.protein_id, 'UNKNOWN') AS protein_id, distance_micro FROM p CROSS JOIN generate_series(1, 60) s(g) LEFT JOIN best ON best.query_id = p.protein_id AND rank = g""")
+def search_padded(spark, sf):
+    rows = rows_of(spark, sf)
+    found = S.within_family(rows, rows, 60, keep_self=True).withColumn("distance", 1 - F.col("similarity"))
+    out = I.padded(found, rows.select(F.col("protein_id").alias("query_id")), 60)
+    return out.select("query_id", "rank", "protein_id", F.when(F.col("distance") < float("inf"), micro(F.col("distance"))).alias("distance_micro"))
+
+
+@query("SELECT doc_id, lang AS id FROM documents WHERE lang IS NOT NULL AND trim(lang) <> '' AND lower(trim(lang)) <> 'nan'")
+def valid_nodes(spark, sf):
+    return G.valid_nodes(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("id")))
+
+
+@query("SELECT vec_id AS protein_id, coalesce(len(embedding) = 64, false) AS valid FROM embeddings")
+def dimension_check(spark, sf):
+    return A.has_dimension(rows_of(spark, sf), 64).select("protein_id", "valid")
+
+
+@query(f"""WITH {ASSIGN}, {META}, dd AS (SELECT p.family_id, protein_id, list_distance(v, centroid) AS d FROM p JOIN c USING (family_id)),
+med AS (SELECT family_id, arg_min(protein_id, (d, protein_id)) AS representative FROM dd GROUP BY family_id)
+SELECT a.protein_id, assigned, hamming, confidence, representative, name, organism, length FROM a JOIN med ON med.family_id = assigned LEFT JOIN meta ON meta.protein_id = a.protein_id""")
+def assign_with_metadata(spark, sf):
+    rows = rows_of(spark, sf)
+    cents = A.centroids(rows)
+    return A.assign_with_metadata(rows, cents, A.medoids(rows, cents), metadata_of(spark, sf))
+
+
+STATUS = f"""{ASSIGN}, k AS (SELECT protein_id, CASE WHEN confidence >= 0.6 THEN assigned END AS family_id FROM a),
+n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM p),
+s AS (SELECT x.protein_id AS query_id, y.protein_id, list_dot_product(x.v, y.v) / (x.n * y.n) AS similarity FROM n x JOIN n y USING (family_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, protein_id) AS rank FROM s),
+f AS (SELECT query_id, count(*) AS total_found, max(similarity) AS hi, min(similarity) AS lo, avg(similarity) AS av FROM r WHERE rank <= 50 AND protein_id <> query_id AND similarity >= 0.1 GROUP BY query_id),
+st AS (SELECT k.protein_id AS query_id, family_id, CASE WHEN family_id IS NULL THEN 'no_family' ELSE 'success' END AS status, CASE WHEN family_id IS NOT NULL THEN coalesce(total_found, 0) ELSE 0 END AS total_found,
+  CASE WHEN family_id IS NOT NULL THEN coalesce(hi, 0) ELSE 0 END AS max_similarity, CASE WHEN family_id IS NOT NULL THEN coalesce(lo, 0) ELSE 0 END AS min_similarity, CASE WHEN family_id IS NOT NULL THEN coalesce(av, 0) ELSE 0 END AS avg_similarity FROM k LEFT JOIN f ON f.query_id = k.protein_id)"""
+
+
+def _states(spark, sf):
+    rows = rows_of(spark, sf)
+    return S.status(rows.select(F.col("protein_id").alias("query_id")), _matches(spark, sf), assigned(spark, sf, 0.6))
+
+
+@query(f"WITH {STATUS} SELECT query_id, family_id, status, total_found, max_similarity, min_similarity, CAST(floor(avg_similarity * 1e6 + 0.5) AS BIGINT) AS avg_micro FROM st")
+def search_status(spark, sf):
+    return _states(spark, sf).withColumn("avg_micro", micro(F.col("avg_similarity"))).drop("avg_similarity")
+
+
+@query(f"""WITH {STATUS} SELECT count(*) AS total_searches, count(*) FILTER (status = 'success') AS successful_searches, count(*) FILTER (status <> 'success') AS failed_searches,
+CAST(floor(coalesce(sum(avg_similarity * total_found) / nullif(sum(total_found), 0), 0) * 1e6 + 0.5) AS BIGINT) AS average_micro FROM st""")
+def search_status_totals(spark, sf):
+    return S.status_totals(_states(spark, sf)).withColumn("average_micro", micro(F.col("average_similarity"))).drop("average_similarity")
+
+
+@query(f"WITH {STATUS} SELECT family_id, count(*) AS n FROM st WHERE status = 'success' GROUP BY family_id")
+def search_family_coverage(spark, sf):
+    return S.family_coverage(_states(spark, sf))
+
+
+@query(f"WITH {SEARCH} SELECT query_id, protein_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, protein_id) AS INT) AS rank FROM matches")
+def matches_listed(spark, sf):
+    return S.listed(_matches(spark, sf))
+
+
+@query("SELECT label AS family_id, count(*) * max(len(embedding)) * 4 AS bytes, CASE WHEN count(*) * max(len(embedding)) * 4 > 0.00001 * 1073741824 THEN 'batched' ELSE 'whole' END AS loading FROM embeddings GROUP BY label")
+def family_size_estimate(spark, sf):
+    return A.size_estimate(rows_of(spark, sf), 0.00001)
+
+
+@query("""WITH u AS (SELECT n_nationkey AS id, 0 AS s, n_name AS name FROM nation UNION ALL SELECT r_regionkey, 1, r_name FROM region UNION ALL SELECT n_regionkey, 2, n_name FROM nation),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, name) AS n FROM u) SELECT CASE WHEN n = 1 THEN CAST(id AS VARCHAR) ELSE id || '_' || n END AS protein_id, name FROM k""")
+def records_concatenated(spark, sf):
+    read = lambda t, k, n: spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(k).alias("protein_id"), F.col(n).alias("name"))
+    return A.concatenated(read("nation", "n_nationkey", "n_name"), read("region", "r_regionkey", "r_name"), read("nation", "n_regionkey", "n_name"))
+
+
+@query(f"""WITH RECURSIVE {MUTUAL}, links AS (SELECT graph, src, dst FROM edges UNION ALL SELECT graph, dst, src FROM edges),
+walk AS (SELECT graph, id, id AS reached FROM nodes UNION SELECT walk.graph, walk.id, links.dst FROM walk JOIN links ON links.graph = walk.graph AND links.src = walk.reached),
+cp AS (SELECT graph, id, min(reached) AS component FROM walk GROUP BY ALL),
+m AS (SELECT graph, count(*) AS m FROM edges GROUP BY graph),
+inn AS (SELECT edges.graph, component, count(*) AS inner_ FROM edges JOIN cp ON cp.graph = edges.graph AND cp.id = src GROUP BY ALL),
+ends AS (SELECT links.graph, component, count(*) AS ends FROM links JOIN cp ON cp.graph = links.graph AND cp.id = src GROUP BY ALL),
+q AS (SELECT graph, sum(inner_ / m::DOUBLE - pow(ends / (2.0 * m)::DOUBLE, 2)) AS q FROM ends JOIN inn USING (graph, component) JOIN m USING (graph) GROUP BY graph)
+SELECT cp.graph, count(DISTINCT component) AS n_communities, CAST(floor(coalesce(max(q), 0) * 1e6 + 0.5) AS BIGINT) AS modularity_micro, coalesce(max(m), 0) AS n_edges FROM cp LEFT JOIN q USING (graph) LEFT JOIN m USING (graph) GROUP BY cp.graph""")
+def graph_modularity(spark, sf):
+    """Components as communities."""
+    nodes, near = _graph(spark, sf)
+    edges = Scratch(spark, "edges").table(G.mutual(near), "edges")
+    return G.modularity(G.components(nodes, edges), edges).withColumn("modularity_micro", micro(F.col("modularity"))).drop("modularity")
+
+
+@query()
+def graph_layout(spark, sf):
+    return G.layout(G.mutual(_graph(spark, sf)[1]))
+
+
+@query(f"""WITH RECURSIVE {DEGREE}, links AS (SELECT graph, src, dst FROM edges UNION ALL SELECT graph, dst, src FROM edges),
+walk AS (SELECT graph, id, id AS reached FROM nodes UNION SELECT walk.graph, walk.id, links.dst FROM walk JOIN links ON links.graph = walk.graph AND links.src = walk.reached),
+cp AS (SELECT graph, id, min(reached) AS component FROM walk GROUP BY ALL), sz AS (SELECT graph, component, count(*) AS component_size FROM cp GROUP BY ALL),
+q AS (SELECT graph, min(id) AS query_id FROM nodes GROUP BY graph), lq AS (SELECT DISTINCT links.graph, dst AS id FROM links JOIN q ON q.graph = links.graph AND src = query_id),
+sm AS (SELECT graph, src, dst AS id, weight AS similarity FROM both_ways), {META}
+SELECT d.graph, d.id, CASE WHEN d.id = query_id THEN 'Query Protein' WHEN name IS NULL THEN 'Protein ' || d.id ELSE name END AS name,
+  CASE WHEN d.id = query_id THEN 'Query protein - no metadata available' WHEN name IS NULL THEN 'No metadata available' ELSE 'N/A' END AS function,
+  CASE WHEN d.id = query_id OR name IS NULL THEN 'N/A' ELSE organism END AS organism, 'N/A' AS ec, 'N/A' AS family, 'N/A' AS reviewed, cp.component, component_size, degree, d.id = query_id AS is_query,
+  CASE WHEN d.id = query_id THEN 1 ELSE similarity END AS similarity, CASE WHEN d.id = query_id THEN 'query' WHEN lq.id IS NOT NULL THEN 'connected' ELSE 'other' END AS class,
+  CASE WHEN d.id = query_id THEN 'red' WHEN lq.id IS NOT NULL THEN 'orange' ELSE 'lightblue' END AS color, CASE WHEN d.id = query_id THEN 'star' ELSE 'circle' END AS symbol, CASE WHEN d.id = query_id THEN 12 WHEN lq.id IS NOT NULL THEN 10 ELSE 8 END AS marker_size
+FROM d JOIN q USING (graph) JOIN cp ON cp.graph = d.graph AND cp.id = d.id JOIN sz ON sz.graph = d.graph AND sz.component = cp.component LEFT JOIN lq ON lq.graph = d.graph AND lq.id = d.id
+LEFT JOIN sm ON sm.graph = d.graph AND sm.src = query_id AND sm.id = d.id LEFT JOIN meta ON meta.protein_id = d.id""")
+def graph_payload(spark, sf):
+    """What a plot shows of each node; the smallest id of a family stands for the query."""
+    rows = rows_of(spark, sf)
+    nodes, near = _graph(spark, sf)
+    edges = Scratch(spark, "edges").table(G.mutual(near), "edges")
+    queries = nodes.groupBy("graph").agg(F.min("id").alias("query_id"))
+    asked = queries.join(rows, F.col("query_id") == F.col("protein_id")).select("query_id", "family_id", F.col("v").alias("q"))
+    # every member of the family is ranked against its one query
+    pairs = rows.join(asked.drop("query_id"), "family_id").select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id"), V.cosine(F.col("q"), F.col("v")).alias("similarity"))
+    meta = metadata_of(spark, sf).select(F.col("protein_id").alias("id"), "name", "organism", *(F.lit(None).cast("string").alias(c) for c in ("ec", "function", "family", "reviewed")))
+    return G.node_payload(nodes, edges, G.components(nodes, edges), queries, pairs, meta)

@@ -38,8 +38,8 @@ def find_top_matches(queries: DataFrame, proteins: DataFrame, k: int = 10) -> tu
 
 
 def summarize(**tables: DataFrame) -> dict[str, object]:
-    """Columns of each table; nothing is counted or collected."""
-    return {"count": len(tables), "columns": {name: df.columns for name, df in tables.items()}}
+    """Columns and number of rows of each table."""
+    return {"count": len(tables), "columns": {name: df.columns for name, df in tables.items()}, "rows": {name: df.count() for name, df in tables.items()}}
 
 
 def run(spark: SparkSession, config: PipelineConfig, **tables: DataFrame) -> PipelineResult:

@@ -92,3 +92,37 @@ def load_page(name: str, folder: str) -> str:
 
 def save_properties(properties: dict, path: str) -> None:
     Path(path).write_text(json.dumps(properties, indent=1, default=str), encoding="utf-8")
+
+
+def load_properties(path: str) -> dict:
+    return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def save_embeddings(vectors: DataFrame, path: str, metadata: DataFrame | None = None) -> None:
+    """Vectors (protein_id, embedding) as Parquet, and the metadata of their ids as CSV beside them."""
+    vectors.write.mode("overwrite").parquet(f"{path}/embeddings")
+    if metadata is not None:
+        metadata.join(vectors.select("protein_id"), "protein_id", "left_semi").write.mode("overwrite").option("header", True).csv(f"{path}/metadata")
+
+
+def load_embeddings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """What ``save_embeddings`` has written: vectors, and metadata if there are any."""
+    meta = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    there = meta.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(meta)
+    return spark.read.parquet(f"{path}/embeddings"), spark.read.option("header", True).csv(f"{path}/metadata") if there else None
+
+
+def export_network(path: str, table: DataFrame, statistics: DataFrame, properties: DataFrame, clusters: DataFrame, payload: DataFrame, top: DataFrame) -> None:
+    """The six parts of a network analysis: two CSV tables, three JSON tables, and the data of its picture."""
+    for name, df in (("similarity_table", table), ("network_statistics", statistics)):
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+    for name, df in (("network_properties", properties), ("clustering_analysis", clusters), ("top_similar_proteins", top), ("network_visualization", payload)):
+        write_json(df, f"{path}/{name}")
+
+
+def export_flat(tables: dict[str, DataFrame], path: str) -> None:
+    """All tables as JSON, and their columns of single values as CSV."""
+    for name, df in tables.items():
+        write_json(df, f"{path}/json/{name}")
+        flat = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))]
+        df.select(*(F.col(f"`{c}`") for c in flat)).write.mode("overwrite").option("header", True).csv(f"{path}/csv/{name}")

@@ -3,9 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import vectors as V
+from helixframe.operators import alignment as M
 from helixframe.operators import blocks as B
 from helixframe.operators import families as A
 from helixframe.operators import graph as G
+from helixframe.operators import index as I
 from helixframe.operators import search as Q
 
 PAIRS = [("a", "b", 0.8), ("a", "c", 0.6), ("a", "d", 0.4), ("b", "c", 0.7), ("b", "d", 0.5), ("c", "d", 0.9)]
@@ -167,3 +169,96 @@ def test_components_of_long_paths(spark, order):
     got = {(r["graph"], r["component"]): r["count"] for r in G.components(nodes, links).groupBy("graph", "component").count().collect()}
     assert got == {("g", 0): 3_000, ("g", 3_000): 1, ("h", 1): 2}
     assert G.components(nodes, links.limit(0)).where("id = component").count() == nodes.count()
+
+
+def test_family_index(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(6, 16)) * 3
+    data = [(i, "big family" if i % 5 else "small", [float(x) for x in centers[i % 6] + rng.normal(size=16)]) for i in range(500)]
+    df = spark.createDataFrame(data + [(900, None, data[0][2]), (901, "small", None)], "protein_id long, family_id string, v array<double>")
+    for binary in (False, True):
+        index = I.build(df, f"file://{tmp_path}/{binary}", binary)
+        info = {r["family_id"]: r for r in index.info.collect()}
+        assert {f: (r["num_proteins"], r["embedding_dim"]) for f, r in info.items()} == {"big family": (400, 16), "small": (100, 16)}
+        assert info["big family"]["nlist"] == 10 and info["small"]["nlist"] == 2
+        assert index.centers.count() == 12 and index.lists.count() == 500
+        asked = df.where("protein_id % 10 = 1 and protein_id < 500")
+        near = lambda d: {(r["query_id"], r["protein_id"]) for r in d.collect()}
+        whole = near(index.search(asked, 5))
+        again = I.FamilyIndex(spark, f"file://{tmp_path}/{binary}", binary)
+        assert near(again.search(asked, 5, probe=10)) == whole
+        some = near(again.search(asked, 5, probe=3))
+        assert len(some) == len(whole) and len(some & whole) >= 0.6 * len(whole)
+    assert index.family("small").count() == 100
+    with pytest.raises(ValueError):
+        index.family("none")
+
+
+def test_open_families_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "OPEN", 2)
+    df = spark.createDataFrame([(i, i % 4, [1.0, float(i)]) for i in range(40)], "protein_id long, family_id int, v array<double>")
+    index = I.build(df, f"file://{tmp_path}/x")
+    for f in (0, 1, 0, 2, 3):
+        assert index.family(f).count() == 10
+    assert list(index._open) == [2, 3]
+    assert {r["index_type"] for r in index.info.collect()} == {"Flat_float"}
+
+
+def test_padded(spark):
+    found = spark.createDataFrame([(1, 1, 9, 0.5)], "query_id long, rank int, protein_id long, distance double")
+    out = I.padded(found, spark.createDataFrame([(1,), (2,)], "query_id long"), 2).orderBy("query_id", "rank").collect()
+    assert [(r["protein_id"], r["distance"]) for r in out] == [("9", 0.5), ("UNKNOWN", float("inf")), ("UNKNOWN", float("inf")), ("UNKNOWN", float("inf"))]
+
+
+def test_valid_nodes_and_dimensions(spark):
+    nodes = spark.createDataFrame([("a",), (None,), (" ",), ("NaN",), (" nan ",), ("nano",)], "id string")
+    assert sorted(r["id"] for r in G.valid_nodes(nodes).collect()) == ["a", "nano"]
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [1.0, None]), (5, [1.0, float("nan")])], "protein_id long, v array<double>")
+    assert {r["protein_id"]: r["valid"] for r in A.has_dimension(rows, 2).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+
+
+def test_layout(spark):
+    path = [("g", i, i + 1, 0.5) for i in range(4)]
+    at = {r["id"]: np.array([r["x"], r["y"]]) for r in G.layout(spark.createDataFrame(path, "graph string, src long, dst long, weight double")).collect()}
+    gap = lambda i, j: np.linalg.norm(at[i] - at[j])
+    assert max(np.abs(p).max() for p in at.values()) == pytest.approx(1)
+    for i in range(4):  # a path of equal edges is nearly a straight line
+        assert gap(i, i + 1) == pytest.approx(gap(0, 4) / 4, rel=0.03)
+
+
+def test_modularity(spark):
+    edges = spark.createDataFrame([("g", "a", "b", 1.0), ("g", "c", "d", 1.0)], "graph string, src string, dst string, weight double")
+    nodes = spark.createDataFrame([("g", x) for x in "abcde"] + [("h", "z")], "graph string, id string")
+    got = {r["graph"]: (r["n_communities"], r["modularity"], r["n_edges"]) for r in G.modularity(G.components(nodes, edges), edges).collect()}
+    assert got == {"g": (3, 0.5, 2), "h": (1, 0.0, 0)}
+
+
+def test_whole_graphs_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(G, "WHOLE", 2)
+    import pandas as pd
+
+    with pytest.raises(ValueError):
+        G._adjacency(pd.DataFrame({"src": [1, 2], "dst": [2, 3], "weight": [1.0, 1.0]}))
+
+
+def test_bootstrap_support(spark):
+    rows = [("a", "AAAAAAAAAACC"), ("b", "AAAAAAAAAACD"), ("c", "GGGGGGGGGGEE"), ("d", "GGGGGGGGGGEF"), ("e", "LLLLLLLLLLHH")]
+    df = spark.createDataFrame(rows, "protein_id string, aligned string")
+    for score in (None, {(x, x): 4.0 for x in "ACDEFGHL"}):
+        out = M.bootstrap_support(df, 20, score=score).collect()
+        assert {r["child"] for r in out} >= set("abcde") and all(r["support"] is None for r in out if r["child"] in "abcde")
+        assert len(out) == 7 and max(r["support"] for r in out if r["support"] is not None) == 1.0
+
+
+def test_trees_keep_additive_distances(spark):
+    """Neighbour joining gives back the path lengths of a tree."""
+    far = {("a", "b"): 5.0, ("a", "c"): 9.0, ("a", "d"): 9.0, ("a", "e"): 8.0, ("b", "c"): 10.0, ("b", "d"): 10.0, ("b", "e"): 9.0, ("c", "d"): 8.0, ("c", "e"): 7.0, ("d", "e"): 3.0}
+    tree = M.neighbour_joining(spark.createDataFrame([(*k, v) for k, v in far.items()], "src string, dst string, distance double")).collect()
+    links = {}
+    for r in tree:
+        links.setdefault(r["child"], {})[r["parent"]] = links.setdefault(r["parent"], {})[r["child"]] = r["length"]
+
+    def way(a, b, seen=()):
+        return 0.0 if a == b else min((d + way(n, b, (*seen, a)) for n, d in links[a].items() if n not in seen), default=float("inf"))
+
+    assert {k: way(*k) for k in far} == pytest.approx(far)
