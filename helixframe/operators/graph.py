@@ -166,7 +166,7 @@ def node_payload(nodes: DataFrame, edges: DataFrame, parts: DataFrame, queries:
     name = F.when(is_query, "Query Protein").when(F.col("known").isNull(), F.concat(F.lit("Protein "), F.col("id").cast("string"))).otherwise(F.col("name"))
     function = F.when(is_query, "Query protein - no metadata available").when(F.col("known").isNull(), "No metadata available").otherwise(F.col("function"))
     fields = [F.when(is_query, "N/A").otherwise(F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("N/A"))).alias(c) for c in ("organism", "ec", "family", "reviewed")]
-    style = [F.when(kind == "query", q).when(kind == "connected", c).otherwise(o).alias(n) for n, q, c, o in (("color", "red", "orange", "lightblue"), ("symbol", "star", "circle", "circle"), ("marker_size", 12, 10, 8))]
+    style = [F.when(kind == "query", q).when(kind == "connected", c).otherwise(o).alias(n) for n, q, c, o in (("color", "red", "red", "#CCCCCC"), ("symbol", "star", "circle", "circle"), ("marker_size", 12, 8, 6))]
     shown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("N/A"))
     return out.select("graph", "id", shown(name).alias("name"), shown(function).alias("function"), *fields, "component", F.coalesce("component_size", F.lit(1)).alias("component_size"), "degree", is_query.alias("is_query"), F.when(is_query, 1.0).otherwise(F.col("similarity")).alias("similarity"), kind.alias("class"), *style)
 

@@ -37,6 +37,7 @@ class PipelineConfig:
     min_confidence: float | None = None
     network_method: str = "mutual_knn"
     max_proteins: int | None = None
+    max_input_size: int | None = 1000
     workspace_client: object = None
     output_dir: str | None = None
     stage_config: dict = field(default_factory=dict)

@@ -38,3 +38,34 @@ def page(title: str, sections: dict[str, tuple[DataFrame, list[str]]], rows: int
     """One page with the first ``rows`` rows of each section in its order; a report, so the limit is its feature."""
     parts = "".join(f"<section><h2>{escape(name)}</h2>{_table(df, order, rows)}</section>" for name, (df, order) in sections.items())
     return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>{parts}</body></html>'
+
+
+#: Sections of a full page: table, title, columns shown, order, and what is said where the table is missing or empty.
+SECTIONS = (
+    ("dashboard", "Proteins", ("protein_id", "length", "family", "confidence", "n_similar", "best_similarity"), ("protein_id",)),
+    ("analyses", "Sequence analysis", ("protein_id", "length", "molecular_weight", "isoelectric_point", "instability_index", "aliphatic_index", "extinction"), ("protein_id",)),
+    ("matches", "Similar proteins", ("query_id", "protein_id", "similarity", "rank"), ("query_id", "rank")),
+    ("network_stats", "Networks", ("graph", "n_nodes", "n_edges", "density", "avg_degree"), ("graph",)),
+    ("identities", "Pairs", ("src", "dst", "identity", "similarity", "length_diff"), ("src", "dst")),
+    ("regions", "Conserved regions", ("start", "end", "best"), ("start",)),
+    ("links", "Databases", ("protein_id", "database", "url"), ("protein_id", "database")),
+)
+
+
+def section(title: str, table: DataFrame | None, columns: tuple[str, ...], order: tuple[str, ...], rows: int = 20) -> str:
+    """One section: the first ``rows`` rows of the columns that the table has, numbers with three decimals."""
+    body = f"<p>{escape(title)} not available.</p>"
+    if table is not None:
+        kinds = dict(table.dtypes)
+        shown = [F.format_number(c, 3).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns if c in kinds]
+        first = table.orderBy(*order).limit(rows).select(*shown)
+        if not first.isEmpty():
+            body = _table(first, [c for c in order if c in kinds], rows)
+    return f"<section><h2>{escape(title)}</h2>{body}</section>"
+
+
+def full_page(title: str, tables: dict[str, object], rows: int = 20) -> str:
+    """A page of every section; those whose table a run does not have say so."""
+    known = {n: t for n, t in tables.items() if isinstance(t, DataFrame)}
+    parts = "".join(section(name, known.get(table), columns, order, rows) for table, name, columns, order in SECTIONS)
+    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>{parts}</body></html>'

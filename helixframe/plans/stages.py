@@ -17,8 +17,11 @@ from ..operators import families as A
 from ..operators import graph as G
 from ..operators import search as Q
 from ..operators import stats as T
+from ..operators.align import center_star
+from ..session import Scratch
 from ..sources import records as R
 from ..sources import sinks
+from . import report as W
 from .config import ORDER, PipelineConfig
 
 
@@ -78,12 +81,20 @@ def get_stage(name: str) -> type[Stage]:
 
 @stage
 class InputValidation(Stage):
-    name, gives = "input_validation", ("input",)
+    """Checks the type against the known ones and the required inputs; inputs over ``max_input_size`` get a warning."""
+
+    name, gives = "input_validation", ("input", "warnings")
 
     def run(self, spark, tables):
-        if self.config.input_type not in (*R.FORMATS, "Records"):
-            raise ValueError(f"unsupported input type {self.config.input_type!r}")
-        return {"input": (self.config.input_type, self.config.input_data)}
+        kind, data = self.config.input_type, self.config.input_data
+        if kind not in (*R.FORMATS, *R.ALIASES, "Records"):
+            raise ValueError(f"unsupported input type {kind!r}")
+        if missing := [n for n, v in (("input_type", kind), ("input_data", data)) if v is None or isinstance(v, str) and not v.strip()]:
+            raise ValueError(f"missing inputs: {', '.join(missing)}")
+        most, warnings = self.config.max_input_size, []
+        if most and isinstance(data, DataFrame) and data.limit(most + 1).count() > most:
+            warnings.append(f"more than {most} inputs")
+        return {"input": (R.ALIASES.get(kind, kind), data), "warnings": warnings}
 
 
 @stage
@@ -100,11 +111,21 @@ class DataExtraction(Stage):
 
 @stage
 class WorkspaceObject(Stage):
-    name, needs, gives, after = "workspace_object", ("input",), ("object",), ("input_validation",)
+    """Stored objects as records. ``workspace_client`` is a function from a reference to (type name, JSON text), tried three
+    times; without one the input data are the objects."""
+
+    name, needs, gives, after = "workspace_object", ("input",), ("object", "object_info"), ("input_validation",)
 
     def run(self, spark, tables):
         kind, data = tables["input"]
-        return {"object": R.parse_input(spark, kind, data)}
+        client = self.config.workspace_client
+        if client is None:
+            return {"object": R.parse_input(spark, kind, data), "object_info": {"type": kind}}
+        type_name, text = R.fetch_object(client, data, wait=self.config.stage_config.get("retry_wait", 1.0))
+        found = spark.range(1).select(R.input_kind(F.lit(type_name))).head()[0]
+        if found == "FASTA":
+            raise ValueError(f"objects of type {type_name!r} hold no proteins")
+        return {"object": R.parse_input(spark, found, spark.createDataFrame([(text,)], "value string")), "object_info": {"ref": data, "type": type_name, "format": found}}
 
 
 @stage
@@ -192,44 +213,74 @@ class NetworkAnalysis(Stage):
 
 @stage
 class BioinformaticsAnalysis(Stage):
-    name, needs, gives, after = "bioinformatics_analysis", ("records",), ("links",), ("data_extraction",)
+    name, needs, gives, after = "bioinformatics_analysis", ("records",), ("links", "coverage"), ("data_extraction",)
 
     def run(self, spark, tables):
-        return {"links": tables["records"].select("protein_id", F.explode(S.database_links(F.col("protein_id"))).alias("database", "url"))}
+        linked = tables["records"].select("protein_id", S.database_links(F.col("protein_id")).alias("links"))
+        return {"links": linked.select("protein_id", F.explode("links").alias("database", "url")), "coverage": T.coverage(linked, sorted(S.K.DATABASES))}
 
 
 @stage
 class MultiProteinAnalysis(Stage):
-    name, needs, gives, after = "multi_protein_analysis", ("records",), ("pairs", "conservation"), ("data_extraction",)
+    """Pairs, an alignment with its conserved regions, a supported tree and clusters of a set of at most ``max_aligned`` records."""
+
+    name, needs, gives, after = "multi_protein_analysis", ("records",), ("pairs", "identities", "alignment", "conservation", "conservation_statistics", "regions", "tree", "clusters"), ("data_extraction",)
 
     def run(self, spark, tables):
-        if tables["records"].limit(2).count() < 2:
+        records, most = tables["records"], self.config.stage_config.get("max_aligned", G.WHOLE)
+        n = records.limit(most + 1).count()
+        if n < 2:
             raise ValueError("two proteins or more are needed")
-        pairs = M.pairs(tables["records"])
-        return {"pairs": M.distance(pairs), "conservation": M.conservation(M.column_counts(M.padded(tables["records"])))}
+        if n > most:
+            raise ValueError(f"more than {most} proteins cannot be compared with each other")
+        pairs = M.pairs(records)
+        align = self.config.stage_config.get("aligner", center_star)
+        alignment = Scratch(spark, "alignment").table(align(records), "alignment")
+        scores = M.conservation(M.column_counts(alignment))
+        figures = M.conservation_statistics(scores)
+        threshold = figures.head()["threshold"]
+        tree = M.bootstrap_support(alignment, self.config.stage_config.get("replicates", 100), score=self.config.stage_config.get("substitution"))
+        return {"pairs": M.distance(pairs), "identities": M.identity(pairs), "alignment": alignment, "conservation": scores, "conservation_statistics": figures,
+                "regions": M.regions(scores, threshold if threshold is not None else 0.0), "tree": tree, "clusters": M.ward_clusters(M.distance(pairs))}
 
 
 @stage
 class ReportGeneration(Stage):
-    name, needs, gives, after = "report_generation", ("records", "assignments", "matches"), ("dashboard",), ("similarity_search",)
+    """The dashboard, its totals, and a page of all tables that the run has; the page goes to ``output_dir`` if it is local."""
+
+    name, needs, gives, after = "report_generation", ("records", "assignments", "matches"), ("dashboard", "totals", "page"), ("similarity_search", "network_analysis")
 
     def run(self, spark, tables):
         sizes = spark.createDataFrame([], "graph string, n_nodes long, n_edges long")
         assigned = tables["assignments"].withColumn("assigned", F.col("assigned").cast("string"))
-        return {"dashboard": T.dashboard(tables["records"].select("protein_id", F.length("sequence").alias("length")), assigned, tables["matches"], sizes)}
+        if isinstance(tables.get("network_stats"), DataFrame):  # graphs are named by their query; the dashboard asks by family
+            of = assigned.select(F.col("protein_id").alias("graph"), "assigned")
+            sizes = tables["network_stats"].join(of, "graph").groupBy("assigned").agg(F.sum("n_nodes").alias("n_nodes"), F.sum("n_edges").alias("n_edges")).withColumnRenamed("assigned", "graph")
+        dashboard = T.dashboard(tables["records"].select("protein_id", F.length("sequence").alias("length")), assigned, tables["matches"], sizes)
+        html = W.full_page("Protein report", tables | {"dashboard": dashboard})
+        folder = self.config.output_dir
+        if folder and folder.startswith(("/", "file://")):
+            sinks.save_page(html, "report", folder.removeprefix("file://"))
+        return {"dashboard": dashboard, "totals": T.dashboard_totals(dashboard), "page": html}
 
 
 @stage
 class Visualization(Stage):
-    """What a plot of each graph shows: per node its role, degree and similarity to the query."""
+    """What a plot of each graph shows: of each node the twelve fields of its label, its class, style and place."""
 
-    name, needs, gives, after = "visualization", ("nodes", "edges"), ("plot",), ("network_analysis",)
+    name, needs, gives, after = "visualization", ("nodes", "edges"), ("plot", "places"), ("network_analysis",)
 
     def run(self, spark, tables):
-        near = G.both_ways(tables["edges"]).where(F.col("src").startswith("query:")).select("graph", F.col("dst").alias("id"), F.col("weight").alias("to_query"))
-        d = G.degrees(tables["nodes"], tables["edges"]).join(near, ["graph", "id"], "left")
-        role = F.when(F.col("id").startswith("query:"), "query").when(F.col("to_query").isNotNull(), "connected").otherwise("other")
-        return {"plot": d.select("graph", "id", role.alias("role"), "degree", F.coalesce("to_query", F.lit(0.0)).alias("similarity_to_query"))}
+        nodes, edges = tables["nodes"], tables["edges"]
+        queries = nodes.where(F.col("id").startswith("query:")).select("graph", F.col("id").alias("query_id"))
+        near = G.both_ways(edges).join(queries, (F.col("src") == F.col("query_id")) & (edges["graph"] == queries["graph"]), "left_semi")
+        weights = near.select("graph", F.col("dst").alias("id"), F.col("weight").alias("similarity"))
+        if isinstance(tables.get("matches"), DataFrame):
+            weights = tables["matches"].select(F.col("query_id").cast("string").alias("graph"), F.col("protein_id").cast("string").alias("id"), "similarity")
+        fields = "id string, name string, organism string, ec string, function string, family string, reviewed string"
+        meta = tables.get("metadata") or spark.createDataFrame([], fields)
+        plot = G.node_payload(nodes, edges, G.components(nodes, edges), queries, weights, meta)
+        return {"plot": plot, "places": G.layout(edges)}
 
 
 @stage
@@ -256,7 +307,13 @@ class PipelineResult:
     error: str | None = None
 
     def summary(self) -> dict[str, object]:
-        return {"success": self.success, "stages": len(self.seconds), "total_seconds": sum(self.seconds.values()), "error": self.error}
+        n, failed = len(self.seconds), int(self.error is not None)
+        return {"success": self.success, "stages": n, "total_seconds": sum(self.seconds.values()), "error": self.error, "success_rate": (n - failed) / n if n else 0.0}
+
+    def steps(self) -> list[dict[str, object]]:
+        """Of each stage its seconds, whether it succeeded, and how many tables and other values it gave."""
+        last = list(self.seconds)[-1:] if self.error is not None else []
+        return [{"stage": n, "seconds": s, "success": n not in last, "outputs": sum(g in self.tables for g in get_stage(n).gives)} for n, s in self.seconds.items()]
 
 
 def execution_order(names: tuple[str, ...]) -> list[str]:

@@ -555,7 +555,7 @@ SELECT d.graph, d.id, CASE WHEN d.id = query_id THEN 'Query Protein' WHEN name I
   CASE WHEN d.id = query_id THEN 'Query protein - no metadata available' WHEN name IS NULL THEN 'No metadata available' ELSE 'N/A' END AS function,
   CASE WHEN d.id = query_id OR name IS NULL THEN 'N/A' ELSE organism END AS organism, 'N/A' AS ec, 'N/A' AS family, 'N/A' AS reviewed, cp.component, component_size, degree, d.id = query_id AS is_query,
   CASE WHEN d.id = query_id THEN 1 ELSE similarity END AS similarity, CASE WHEN d.id = query_id THEN 'query' WHEN lq.id IS NOT NULL THEN 'connected' ELSE 'other' END AS class,
-  CASE WHEN d.id = query_id THEN 'red' WHEN lq.id IS NOT NULL THEN 'orange' ELSE 'lightblue' END AS color, CASE WHEN d.id = query_id THEN 'star' ELSE 'circle' END AS symbol, CASE WHEN d.id = query_id THEN 12 WHEN lq.id IS NOT NULL THEN 10 ELSE 8 END AS marker_size
+  CASE WHEN d.id = query_id THEN 'red' WHEN lq.id IS NOT NULL THEN 'red' ELSE '#CCCCCC' END AS color, CASE WHEN d.id = query_id THEN 'star' ELSE 'circle' END AS symbol, CASE WHEN d.id = query_id THEN 12 WHEN lq.id IS NOT NULL THEN 8 ELSE 6 END AS marker_size
 FROM d JOIN q USING (graph) JOIN cp ON cp.graph = d.graph AND cp.id = d.id JOIN sz ON sz.graph = d.graph AND sz.component = cp.component LEFT JOIN lq ON lq.graph = d.graph AND lq.id = d.id
 LEFT JOIN sm ON sm.graph = d.graph AND sm.src = query_id AND sm.id = d.id LEFT JOIN meta ON meta.protein_id = d.id""")
 def graph_payload(spark, sf):

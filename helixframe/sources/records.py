@@ -5,14 +5,26 @@ Records are (protein_id, source, sequence, metadata map).
 
 from __future__ import annotations
 
+import logging
+import time
+import urllib.request
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import embedding as E
 from ..functions import sequence as S
+from ..session import Scratch, ship
+
+_log = logging.getLogger(__name__)
 
 SCHEMA = "protein_id string, source string, sequence string, metadata map<string,string>"
 FORMATS = ("FASTA", "Uniprot", "ProteinSequenceSet", "Genome", "FeatureSet", "GenomeSet", "SingleProtein")
 
+#: Other names of input types.
+ALIASES = {"fasta": "FASTA", "fasta_file": "FASTA", "uniprot_identifiers": "Uniprot", "protein_sequence_set": "ProteinSequenceSet", "genome_reference": "Genome", "single_protein": "SingleProtein", "feature_set": "FeatureSet", "genome_set": "GenomeSet", "workspace_object": "Genome"}
+
 _FEATURE = "struct<id:string,type:string,protein_translation:string,location:string,function:string>"
 _GENOME = f"label string, features array<{_FEATURE}>"
 
@@ -42,6 +54,59 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return marked.unionByName(plain).select(*record(ident, "FASTA", seq)).where("sequence <> ''")
 
 
+def _download(url: str, timeout: float) -> str:
+    with urllib.request.urlopen(url, timeout=timeout) as answer:
+        return answer.read().decode("utf-8")
+
+
+def read_fasta_url(spark: SparkSession, url: str, timeout: float = 30.0, get: Callable[[str, float], str] = _download) -> DataFrame:
+    """Records of a FASTA file behind a URL. The driver fetches it, so it is for files of a size that the driver holds."""
+    path = Scratch(spark, "fasta-url").path
+    spark.createDataFrame([(get(url, timeout).lstrip(">"),)], "value string").select(F.concat(F.lit(">"), "value").alias("value")).coalesce(1).write.text(path)
+    return read_fasta(spark, path)
+
+
+def fetch_uniprot(ids: DataFrame, base: str, timeout: float = 60.0, get: Callable[[str, float], str] = _download) -> DataFrame:
+    """Records of (protein_id), each fetched as ``base``/<id>.fasta by the task that holds the id. The record's id is the second
+    field of its header; ids that cannot be fetched are left out, with a warning in the task's log."""
+    ship(ids.sparkSession)
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            rows = []
+            for one in pdf["protein_id"]:
+                try:
+                    head, _, body = get(f"{base.rstrip('/')}/{one}.fasta", timeout).lstrip(">").partition("\n")
+                    name = head.split()[0] if head.split() else one
+                    name = name.split("|")[1] if name.count("|") else name
+                    if seq := "".join(body.split()):
+                        rows.append((name, "Uniprot", seq, {"length": str(len(seq))}))
+                except Exception as e:  # the next ids are still fetched
+                    _log.warning("could not fetch %s: %s", one, e)
+            yield pd.DataFrame(rows, columns=["protein_id", "source", "sequence", "metadata"])
+
+    return ids.select("protein_id").mapInPandas(run, SCHEMA)
+
+
+def fetch_object(get: Callable[[str], str], ref: str, tries: int = 3, wait: float = 1.0) -> str:
+    """A stored object's JSON text by its reference, tried several times with growing pauses."""
+    for n in range(tries):
+        try:
+            return get(ref)
+        except Exception:
+            if n + 1 == tries:
+                raise
+            time.sleep(wait * 2**n)
+    raise ValueError("tries must be positive")
+
+
+def embedded_fasta(spark: SparkSession, path: str, make=E.kmer_hash) -> DataFrame:
+    """Vectors (protein_id, embedding) of the records of FASTA files."""
+    return E.embed(valid_records(read_fasta(spark, path)), make)
+
+
 def fasta_text(records: DataFrame) -> DataFrame:
     return records.select(F.concat(F.lit(">"), F.col("protein_id"), F.lit("\n"), F.col("sequence")).alias("value"))
 

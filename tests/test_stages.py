@@ -33,8 +33,14 @@ def test_full_run(spark, world, tmp_path):
     assert out.tables["matches"].where("similarity < 0.1").count() == 0
     assert out.tables["analyses"].where("protein_id = 'q1'").head()["length"] == 38
     assert out.tables["structure_classes"].count() == 2 and out.tables["dashboard"].count() == 2
-    assert out.tables["plot"].where("role = 'query'").count() == 2
+    assert out.tables["plot"].where("class = 'query' and symbol = 'star'").count() == 2 and out.tables["places"].count() > 0
     assert out.tables["links"].count() == 146 and out.tables["conservation"].count() == 42
+    assert out.tables["coverage"].head()["uniprot"] == 1.0 and out.tables["tree"].count() == 1
+    assert [r["aligned"] for r in out.tables["alignment"].orderBy("protein_id").collect()] == [S1 + "----", S1 + "AAAA"]
+    assert out.tables["dashboard"].where("n_nodes > 0").count() > 0 and out.tables["totals"].head()["proteins"] == 2
+    page = (tmp_path / "report.html").read_text()
+    assert "<h2>Similar proteins</h2><table>" in page and "Conserved regions" in page
+    assert all(x["success"] for x in out.steps()) and out.summary()["success_rate"] == 1.0
     assert out.tables["exported"][0] == "records" and out.summary()["stages"] == len(stages)
 
 
@@ -55,6 +61,36 @@ def test_registry():
     assert len(REGISTRY) == 14
     with pytest.raises(ValueError):
         get_stage("nope")
+
+
+def test_stored_object_is_tried_again(spark):
+    calls = []
+
+    def client(ref):
+        calls.append(ref)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return "Objects.Genome-1.0", '{"label": "g", "features": [{"id": "f1", "type": "CDS", "protein_translation": "MK"}]}'
+
+    stages = ("input_validation", "workspace_object")
+    config = PipelineConfig("workspace_object", "1/2", stages, workspace_client=client, stage_config={"retry_wait": 0.0})
+    out = run_pipeline(spark, config)
+    assert out.success and len(calls) == 3 and [r["protein_id"] for r in out.tables["object"].collect()] == ["f1"]
+    config.workspace_client = lambda ref: 1 / 0
+    assert not run_pipeline(spark, config).success
+    config.workspace_client = lambda ref: ("Other.Thing", "{}")
+    assert "hold no proteins" in run_pipeline(spark, config).error
+
+
+def test_inputs_are_checked(spark, world):
+    records, _ = world
+    one = ("input_validation",)
+    assert run_pipeline(spark, PipelineConfig("Records", records, one, max_input_size=5)).tables["warnings"] == ["more than 5 inputs"]
+    assert run_pipeline(spark, PipelineConfig("fasta_file", "x", one)).tables["input"] == ("FASTA", "x")
+    assert "missing" in run_pipeline(spark, PipelineConfig("FASTA", " ", one)).error
+
+
+def test_config_round_trip():
     assert PipelineConfig.from_dict(PipelineConfig().to_dict()) == PipelineConfig()
 
 
