@@ -14,7 +14,7 @@ A segment's loss mask is the range of its characters that hold an assistant's te
 learn from the mask, not from the role, what is trained on.
 
 Cases: a null text or role is an empty one; null conversation ids form one conversation; rows of equal (conv_id, turn) are
-taken in the order of role and text; an empty table gives no rows; columns of other names are ignored.
+taken in the order of role and text; a long text is one turn, held in memory whole; an empty table gives no rows; columns of other names are ignored.
 """
 
 from __future__ import annotations

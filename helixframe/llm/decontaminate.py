@@ -26,7 +26,7 @@ Result of ``contamination``: one row (doc_id, item_id, edits, similarity) for ea
 smallest number of edits. ``decontaminate`` returns the documents in which nothing is found, with all their columns.
 
 Cases: null and blank texts contain nothing and blank items are in nothing; items of up to 1 / ``max_edits`` characters must
-be found unchanged; rows of equal doc_id are judged each by itself; duplicates of an item are all reported; an empty table
+be found unchanged; rows of equal doc_id are judged each by itself; long texts are searched whole, in chunks of whole texts; duplicates of an item are all reported; an empty table
 on either side gives no hits; other columns are ignored.
 """
 

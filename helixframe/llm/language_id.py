@@ -8,7 +8,8 @@ stands from its place in the language's profile; an n-gram that is missing there
 
 The prediction is the nearest language (of equals the first by name). Its score is 1 minus the distance over the largest
 possible distance. Null texts and texts without any letter get ``und`` with score 0, as do all texts where no language was
-learned. Rows are independent of each other, so repeated ids and texts need no rule; an empty table gives an empty result;
+learned. Rows are independent of each other, so repeated ids and texts need no rule; n-grams of equal count rank by their code;
+texts of any length are counted whole; an empty table gives an empty result;
 columns other than those named are ignored.
 """
 

@@ -8,14 +8,15 @@ selected.
 
 Grades of (quality, toxic) labels: 0 for toxic, 1 for other low quality, 2 for good.
 
-The model is fitted on at most ``sample`` labelled documents, those with the smallest hashes of their ids; features that fewer
-than ``least_docs`` of them have, or that do not tell grades apart, get no weight. All documents are scored, over their whole
-texts.
+The model is fitted on at most ``sample`` labelled documents that the table has, those with the smallest hashes of their ids,
+and on no more of them than have ``sample_bytes`` of features, which is what the driver holds; features that fewer than
+``least_docs`` of them have, or that do not tell grades apart, get no weight. All documents are scored, over their whole texts.
 
 Cases: null texts and texts without words get grade 0 and tail probability 0 and are not selected; labels that are null or of
 unknown documents are left out; a document with several labels counts once with its lowest grade; without any label or with
 labels of one grade only, nothing can be learned and every text with words gets the highest grade seen (without any, the top
-grade); rows of equal doc_id are scored each by itself; an empty table gives an empty result; other columns are ignored.
+grade); rows of equal doc_id are scored each by itself; ties need no rule, as every document is judged alone; long texts are taken
+whole, a feature counts once however often it comes; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -136,18 +137,24 @@ def grade(quality: Column, toxic: Column) -> Column:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [features(t.as_py()).tobytes() for t in b.column(b.schema.names.index("text"))]
-        yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("grade")), pa.array(out, pa.binary())], names=["grade", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("doc_id")), b.column(b.schema.names.index("grade")), pa.array(out, pa.binary())], names=["doc_id", "grade", "x"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least_docs: int = 3) -> CumulativeLink:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least_docs: int = 3, sample_bytes: int = 64 << 20) -> CumulativeLink:
     """A model from (doc_id, text) and (doc_id, quality, toxic)."""
     prepare(docs.sparkSession)
     rated = pick(labels, "doc_id", "quality", "toxic").select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
     rated = rated.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(rated), "doc_id").select("grade", "text")
-    got = [(r["grade"], np.frombuffer(r["x"], dtype=np.int32)) for r in rows.mapInArrow(_featurise, "grade int, x binary").toLocalIterator()]
-    got = [(g, x) for g, x in got if len(x)]
+    known = rated.join(pick(docs, "doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    rated = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").cast("long").alias("doc_id"), "grade")
+    rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text")
+    got, size = [], 0
+    for r in rows.mapInArrow(_featurise, "doc_id long, grade int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").toLocalIterator():
+        size += len(r["x"])
+        if size > sample_bytes:
+            break
+        if len(r["x"]):
+            got.append((r["grade"], np.frombuffer(r["x"], dtype=np.int32)))
     got.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     return CumulativeLink.fit([x for _, x in got], np.array([g for g, _ in got], dtype=np.int64), least_docs)
 

@@ -13,7 +13,7 @@ and the number of ids of each file are stored beside them. Documents are first c
 what moves into doc_id order is their codes.
 
 Cases: a null text is an empty one, it has the end id only; rows of equal doc_id are written one after the other, of equal
-ids in the order of their codes; null doc_ids come first; an empty table gives empty files and an empty result; other
+ids in the order of their codes; null doc_ids come first; a long text makes a block of its own; an empty table gives empty files and an empty result; other
 columns are ignored.
 """
 

@@ -48,6 +48,14 @@ def test_language(languages):
     assert right / held > 0.98
 
 
+def test_language_ties_repeats_and_long_texts(spark):
+    """Two languages with equal profiles tie, the first by name is taken; equal rows get equal results; long texts count whole."""
+    rows = [(i, "ab ba " * 20, "pp" if i % 2 else "qq") for i in range(20)] + [(30, "ab ba " * 200_000, None), (30, "ab ba " * 200_000, None), (31, "ab ba " * 20, None)]
+    out = L.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")), "doc_id").collect()
+    assert {r["lang_pred"] for r in out} == {"pp"} and len(out) == 23
+    assert len({(r["lang_pred"], round(r["score"], 12)) for r in out if r["doc_id"] == 30}) == 1
+
+
 def test_held_out_rows_teach_nothing(languages):
     _, df = languages
     wrong = df.withColumn("lang", F.when(L.held_out(F.col("doc_id")), F.lit("zz")).otherwise(F.col("lang")))
@@ -148,6 +156,16 @@ def test_quality_odd_rows(spark, none, rated):
     assert [(r["doc_id"], r["g"]) for r in got] == [(3, 0)]
 
 
+def test_quality_sample(spark, rated):
+    """Labels of unknown documents take no part, and the sample ends at its bytes."""
+    docs, labels, _ = rated
+    strangers = labels.selectExpr("doc_id + 100000 as doc_id", "1 - quality as quality", "toxic")
+    own = Q.learn(docs, labels, sample=300)
+    assert np.array_equal(Q.learn(docs, labels.unionByName(strangers), sample=300).weights, own.weights)
+    few = Q.learn(docs, labels, sample=300, sample_bytes=20_000)
+    assert not np.array_equal(few.weights, own.weights)
+
+
 PIECE = st.sampled_from([*C.CONTROLS, "\\", "\\\\", "<", "[", "/", "s>", "a", " ", "\n", "é", "🙂", ""])
 BODY = st.lists(PIECE, max_size=8).map("".join)
 ROLE = st.one_of(st.sampled_from(["user", "assistant", "system", "tool", ""]), BODY)
@@ -185,3 +203,13 @@ def test_chats(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
         assert r["formatted_chars"] == len("".join(C.render_turn(*m) for m in mine))
     assert C.read_chats(C.format_chats(df.limit(0))).count() == 0
+
+
+def test_loss_masks(spark):
+    """The mask alone says what is trained on, in place in the formatted text."""
+    long = "<s>long\\" * 100_000
+    rows = [(1, 0, "user", "<s>a</s>"), (1, 1, "assistant", "b</s>\\"), (1, 2, "assistant", None), (1, 3, "assistant", long), (1, 4, "tool", "c")]
+    shown = C.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    learned = [C.unescape(r["formatted"][r["loss_start"] : r["loss_end"]]) for r in shown]
+    assert learned == ["", "b</s>\\", "", long, ""]
+    assert shown[1]["formatted"][shown[1]["loss_end"] :] == "</s>"
