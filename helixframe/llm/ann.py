@@ -63,7 +63,7 @@ _INDEX = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ("ids", "
 class VectorIndex:
     """The stored shards of a table (vec_id, embedding)."""
 
-    def __init__(self, rows: DataFrame, shard_rows: int = SHARD_ROWS, m: int = 16, ef_build: int = 96):
+    def __init__(self, rows: DataFrame, shard_rows: int = SHARD_ROWS, m: int = 24, ef_build: int = 96):
         spark = rows.sparkSession
         prepare(spark)
         self.m, self.work = m, Scratch(spark, "vectors")

@@ -3,8 +3,8 @@
 Texts are sets of ``k``-word shingles. Equal sets form one class first, so copies meet once. Each class gets
 ``bands`` x ``rows`` min-hashes; ``rows`` and ``bands`` are chosen so that a pair at the threshold meets in some band with
 the target recall (``plan_bands``). Classes are shuffled on their band hashes; bands that only repeat an earlier band's
-meeting are left out. Buckets larger than ``block`` are dealt out as pairs of blocks, so that no task holds more than two
-blocks of any bucket. In each task all pairs that first meet in this band are verified on their full shingle sets by
+meeting are left out. Buckets of more than ``block`` classes, or ``_BLOCK_BYTES`` of shingles, are dealt out as pairs of
+blocks, so that no task holds more than two blocks of any bucket. In each task all pairs that first meet in this band are verified on their full shingle sets by
 blocked matrix products; counts of links and a spanning forest leave the task, never the pairs.
 
 Result, one row per document: doc_id, class_id (the smallest doc_id of its linked group), n_links (other documents within
@@ -32,10 +32,12 @@ from .components import components
 from .runtime import BROADCAST_LIMIT, Scratch, checked_join, prepare, tidy
 from .text import mix, shingles
 
+#: Classes of a block.
+BLOCK = 1024
 #: A pair counts as dissimilar at this similarity, and its meeting costs as much as so many min-hashes.
 _DISSIMILAR, _MEETING = 0.3, 500
-#: Bytes of shingle hashes that one verification block may hold in a dense column slice.
-_SLICE = 2048
+#: Columns of a dense slice in verification, and bytes of shingle hashes of a block.
+_SLICE, _BLOCK_BYTES = 2048, 2 << 20
 
 
 def plan_bands(threshold: float, recall: float) -> tuple[int, int]:
@@ -72,9 +74,10 @@ def _sketch(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult = _multipliers(bands * rows)
         for b in batches:
-            d1, d2, sigs = [], [], []
+            d1, d2, sigs, sizes = [], [], [], []
             for text in b.column("text"):
                 sh = shingles(text.as_py(), k)
+                sizes.append(len(sh))
                 if not len(sh):
                     d1.append(None)
                     d2.append(None)
@@ -84,7 +87,7 @@ def _sketch(k: int, bands: int, rows: int):
                 d1.append(int.from_bytes(d[:8], "little", signed=True))
                 d2.append(int.from_bytes(d[8:], "little", signed=True))
                 sigs.append(signature(sh, mult, bands))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "key", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], names=["doc_id", "key", "d1", "d2", "sig", "m"])
 
     return run
 
@@ -176,7 +179,7 @@ def text_key() -> Column:
     return F.xxhash64("text", F.octet_length("text"))
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9995, block: int = 256, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9995, block: int = BLOCK, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Class and number of links of each document; see the module's text."""
     return classified(docs, threshold, k, recall, block, broadcast_limit).select("doc_id", "class_id", "n_links", "n_texts")
 
@@ -186,7 +189,7 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: flo
     id the one of the smallest text key, of equal ones any. A group is all that links lead to, so a document may go whose
     only link is to another one that goes. Rows without a doc_id or without words stay."""
     spark, work = docs.sparkSession, Scratch(docs.sparkSession, "one-of-each")
-    rows = classified(docs, threshold, k, recall, 256, broadcast_limit).where("class_id is not null and worded")
+    rows = classified(docs, threshold, k, recall, BLOCK, broadcast_limit).where("class_id is not null and worded")
     rows = work.table(rows.groupBy("class_id", "doc_id", "key").agg(F.count("*").alias("n")), "rows")
     first = rows.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     judged = rows.join(first, "class_id").select("doc_id", "key", "n", (F.struct("doc_id", "key") == F.col("first")).alias("stays"))
@@ -214,19 +217,19 @@ def classified(docs: DataFrame, threshold: float, k: int, recall: float, block:
     work = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
     known = docs.where(F.col("doc_id").isNotNull()).drop("key")
-    sketch = work.table(docs.mapInArrow(tidy(_sketch(k, bands, rows)), "doc_id long, key long, d1 long, d2 long, sig array<long>"), "sketch")
+    sketch = work.table(docs.mapInArrow(tidy(_sketch(k, bands, rows)), "doc_id long, key long, d1 long, d2 long, sig array<long>, m int"), "sketch")
     real = sketch.where("doc_id is not null and d1 is not null")
 
     # one class for each set of shingles, named by its smallest document
     sizes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     sizes = work.table(sizes, "classes")
     reps = real.join(sizes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
-    reps = work.table(reps.select("doc_id", "d1", "d2", "copies", "sig"), "reps")
+    reps = work.table(reps.select("doc_id", "d1", "d2", "copies", "sig", "m"), "reps")
 
     # buckets with two members or more
-    bucket = reps.select("doc_id", "d1", "d2", F.posexplode("sig").alias("band", "bucket"))
-    full = work.table(bucket.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "full")
-    member = work.table(bucket.join(full, ["band", "bucket"]), "members")
+    bucket = reps.select("doc_id", "d1", "d2", "m", F.posexplode("sig").alias("band", "bucket"))
+    full = work.table(bucket.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum(F.col("m").cast("long") * 8).alias("bytes")).where("n > 1"), "full")
+    member = work.table(bucket.drop("m").join(full, ["band", "bucket"]), "members")
     member = member.join(reps.select("doc_id", "d1", "d2", "copies", "sig"), ["doc_id", "d1", "d2"])
     # a bucket whose members all meet in one earlier band has nothing new
     same = [(F.min(F.col("sig")[i]) == F.max(F.col("sig")[i])).alias(f"s{i}") for i in range(bands - 1)]
@@ -238,7 +241,7 @@ def classified(docs: DataFrame, threshold: float, k: int, recall: float, block:
     member = work.table(member.join(fresh, ["band", "bucket"]), "fresh-members")
 
     # large buckets as pairs of blocks
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / _BLOCK_BYTES))).cast("int")
     side = F.pmod(F.xxhash64("doc_id", "d1"), F.col("blocks")).cast("int")
     member = member.withColumn("blocks", blocks).withColumn("side", side)
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
