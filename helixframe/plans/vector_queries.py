@@ -408,7 +408,11 @@ def node_centrality(spark, sf):
     return G.centralities(G.mutual(_graph(spark, sf)[1]))
 
 
-@query()
+@query(f"""WITH RECURSIVE {MUTUAL}, links AS (SELECT graph, src, dst FROM edges UNION ALL SELECT graph, dst, src FROM edges),
+walk AS (SELECT DISTINCT graph, src AS a, src AS b, 0 AS d FROM links UNION SELECT walk.graph, a, links.dst, d + 1 FROM walk JOIN links ON links.graph = walk.graph AND links.src = b WHERE d < 16),
+sp AS (SELECT graph, a, b, min(d) AS d FROM walk GROUP BY ALL), cs AS (SELECT graph, a, count(*) AS n FROM sp GROUP BY ALL),
+big AS (SELECT graph, arg_max(a, (n, -a)) AS a, max(n) AS n FROM cs GROUP BY graph), part AS (SELECT sp.graph, b AS id, n FROM sp JOIN big ON big.graph = sp.graph AND big.a = sp.a)
+SELECT sp.graph, CAST(max(n) AS INT) AS largest, sum(d) / greatest(1, max(n) * (max(n) - 1))::DOUBLE AS avg_path, CAST(max(d) AS INT) AS diameter FROM sp JOIN part ON part.graph = sp.graph AND part.id = sp.a GROUP BY sp.graph""")
 def graph_paths(spark, sf):
     return G.path_lengths(G.mutual(_graph(spark, sf)[1]))
 
