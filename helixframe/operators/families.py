@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions import vectors as V
+from ..session import Scratch
 
 CENTROID_LIMIT = 64 << 20
 
@@ -55,8 +56,10 @@ def assign(rows: DataFrame, cents: DataFrame, min_confidence: float | None = Non
     """(protein_id, assigned, hamming, confidence): the family whose centroid bits differ least, ties to the smaller family.
 
     All centroids are compared in one pass over a broadcast array of them, without a row for each pair. Centroids of more
-    than ``limit`` bytes are dealt to several arrays, each within the limit, and the best of all counts.
+    than ``limit`` bytes are dealt to several arrays, each within the limit, and the best of all counts. The centroids are
+    written first, so that they are computed once.
     """
+    cents = Scratch(rows.sparkSession, "centroids").table(cents.select("family_id", "bits"), "bits")
     n, dim = cents.agg(F.count("*"), F.max(F.size("bits"))).head()
     blocks = max(1, -(-n * ((dim or 0) + 32) // limit))
     best = []
@@ -88,6 +91,8 @@ def ordinals(rows: DataFrame, by: str = "protein_id", per: str | None = None) ->
         return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(per).orderBy(by)) - 1)
     placed = rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id())
     placed = placed.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    # written, so that the sizes are those of the very partitions that were numbered
+    placed = Scratch(rows.sparkSession, "ordinals").table(placed, "placed")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
     return placed.join(F.broadcast(before), "_part").withColumn("ordinal", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")

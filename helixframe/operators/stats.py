@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import Scratch
 from .families import ordinals
 
 
 def _values(values: DataFrame, col: str) -> DataFrame:
     """The non-null values, computed once: they are counted, ordered and summed."""
-    return checkpointed(values.select(col)).where(F.col(col).isNotNull())
+    return Scratch(values.sparkSession, "values").table(values.select(col), "values").where(F.col(col).isNotNull())
 
 
 def at_ranks(values: DataFrame, col: str, ranks: list[int]) -> list[float | None]:

@@ -71,9 +71,3 @@ class Scratch:
         path = f"{self.path}/{name}" if name else self.path
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
