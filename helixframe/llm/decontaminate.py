@@ -20,7 +20,7 @@ the item's own, most candidates fall by the first piece or two; those are compar
 item that is found within ``max_edits`` contaminates the document.
 
 Items are broadcast in blocks of at most ``block_chars`` characters, each of which passes over all documents; a worker holds
-the walks of one block, about 16 bytes for each entered place and repetition.
+the walks of one block, about 16 bytes for each entered place and repetition, some 150 MB at most.
 
 Result of ``contamination``: one row (doc_id, item_id, edits, similarity) for each document and item found in it, with the
 smallest number of edits. ``decontaminate`` returns the documents in which nothing is found, with all their columns.
@@ -447,7 +447,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, max_edits: float, recall: fl
         yield spark.sparkContext.broadcast(ItemIndex(block, max_edits, recall))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, block_chars: int = 4 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, block_chars: int = 1 << 20) -> DataFrame:
     """Every (document, item) pair within ``max_edits``; see the module's text."""
     schema = "doc_id long, item_id long, edits long, similarity double"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -457,7 +457,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2,
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, block_chars: int = 4 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, block_chars: int = 1 << 20) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     for index in _indexes(docs, benchmark, max_edits, recall, block_chars):
         docs = docs.mapInArrow(tidy(_scan(index, True)), docs.schema)
