@@ -81,6 +81,31 @@ def robust_of(near: DataFrame, threshold: float = 0.5) -> DataFrame:
     return undirected(near.withColumn("first", first).where((F.col("weight") >= threshold) | (F.col("first") < threshold)).drop("rank", "first"))
 
 
+def build(rows: DataFrame, method: str = "mutual_knn", k: int = 8, threshold: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of each family's graph by the named method."""
+    methods = {"mutual_knn": lambda: mutual(nearest(rows, k), threshold), "threshold": lambda: edges_over(rows, threshold), "hybrid": lambda: either(nearest(rows, k), threshold), "robust": lambda: robust_of(nearest(rows, k), threshold)}
+    if method not in methods:
+        raise ValueError(f"unknown network method {method!r}; known: {', '.join(methods)}")
+    return rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id")), methods[method]()
+
+
+def properties(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per graph: nodes, edges, density, average degree, mean clustering, components, and of the largest component its size,
+    average path and diameter (null where a graph has no edges)."""
+    parts = components(nodes, edges).groupBy("graph").agg(F.countDistinct("component").alias("n_components"))
+    mean = clustering(nodes, edges).groupBy("graph").agg(F.avg("clustering").alias("avg_clustering"))
+    return density(nodes, edges).join(mean, "graph").join(parts, "graph").join(path_lengths(edges), "graph", "left")
+
+
+def members(matches: DataFrame, rows: DataFrame, least: int = 50) -> DataFrame:
+    """Rows of each query's graph: (family_id: the query, protein_id, v) of its matches among ``rows``; a query of which no match
+    is among them gets the first ``least`` rows by id instead."""
+    found = matches.select(F.col("query_id").alias("family_id"), "protein_id").join(rows.select("protein_id", "v"), "protein_id").select("family_id", "protein_id", "v")
+    lone = matches.select(F.col("query_id").alias("family_id")).distinct().join(found.select("family_id").distinct(), "family_id", "left_anti")
+    first = rows.select("protein_id", "v").orderBy("protein_id").limit(least)
+    return found.unionByName(lone.crossJoin(F.broadcast(first)).select("family_id", "protein_id", "v"))
+
+
 def expand(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, threshold: float = 0.1, least: int = 5) -> DataFrame:
     """Graphs of fewer than ``least`` nodes also get all pairs down to the last of ``threshold`` * 0.9**m that ends at or below 0.01."""
     low = threshold

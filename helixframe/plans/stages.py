@@ -199,15 +199,10 @@ class NetworkAnalysis(Stage):
     name, needs, gives, after = "network_analysis", ("vectors", "matches", "families"), ("nodes", "edges", "network_stats"), ("similarity_search",)
 
     def run(self, spark, tables):
-        hit = tables["matches"].select(F.col("query_id").cast("string").alias("family_id"), "protein_id").join(tables["families"].select("protein_id", "v"), "protein_id")
+        hit = G.members(tables["matches"].withColumn("query_id", F.col("query_id").cast("string")), tables["families"])
         own = tables["vectors"].select(F.col("protein_id").cast("string").alias("family_id"), F.concat(F.lit("query:"), F.col("protein_id")).alias("protein_id"), "v")
         rows = hit.select("family_id", F.col("protein_id").cast("string").alias("protein_id"), "v").unionByName(own)
-        t, k = self.config.similarity_threshold, self.config.neighbours
-        methods = {"mutual_knn": lambda: G.mutual(G.nearest(rows, k), t), "threshold": lambda: G.edges_over(rows, t), "hybrid": lambda: G.either(G.nearest(rows, k), t), "robust": lambda: G.robust_of(G.nearest(rows, k), t)}
-        if self.config.network_method not in methods:
-            raise ValueError(f"unknown network method {self.config.network_method!r}; known: {', '.join(methods)}")
-        nodes = rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id"))
-        edges = methods[self.config.network_method]()
+        nodes, edges = G.build(rows, self.config.network_method, self.config.neighbours, self.config.similarity_threshold)
         return {"nodes": nodes, "edges": edges, "network_stats": G.density(nodes, edges)}
 
 

@@ -545,6 +545,12 @@ def graph_modularity(spark, sf):
     return G.modularity(G.components(nodes, edges), edges).withColumn("modularity_micro", micro(F.col("modularity"))).drop("modularity")
 
 
+@query()
+def graph_properties(spark, sf):
+    nodes, near = _graph(spark, sf)
+    return G.properties(nodes, Scratch(spark, "edges").table(G.mutual(near), "edges"))
+
+
 @query()
 def graph_layout(spark, sf):
     return G.layout(G.mutual(_graph(spark, sf)[1]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,13 +70,44 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id) and edges (src, dst, weight) of GraphML text."""
-    text = spark.read.text(path)
-    get = lambda name: F.regexp_extract("value", f'{name}="([^"]*)"', 1)
-    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("&quot;"), F.lit('"')), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
-    nodes = text.where(F.col("value").startswith("<node ")).select(plain(get("id")).alias("id"))
-    edges = text.where(F.col("value").startswith("<edge ")).select(plain(get("source")).alias("src"), plain(get("target")).alias("dst"), F.regexp_extract("value", ">([^<>]+)</data>", 1).cast("double").alias("weight"))
-    return nodes, edges
+    """Nodes (id) and edges (src, dst, weight) of GraphML files of any layout; an edge's first number is its weight, 1 if it has
+    none. Files are read in splits by their tags."""
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    nodes = read("node", "_id string").select(F.col("_id").alias("id")).where("id is not null")
+    edges = read("edge", "_source string, _target string, data array<struct<_VALUE: string, _key: string>>")
+    numbers = F.filter(F.transform("data", lambda d: d["_VALUE"].try_cast("double")), lambda x: x.isNotNull())
+    return nodes, edges.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.coalesce(F.get(numbers, F.lit(0)), F.lit(1.0)).alias("weight")).where("src is not null")
+
+
+def write_gml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One graph as GML text: nodes numbered in the order of their ids, with the ids as labels."""
+    from ..operators.families import ordinals
+
+    spark = nodes.sparkSession
+    quoted = lambda c: F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    numbered = ordinals(nodes.select("id"), by="id")
+    n = numbered.select(F.lit(1).alias("part"), F.col("ordinal").alias("key"), F.concat(F.lit("  node [ id "), F.col("ordinal").cast("string"), F.lit(' label "'), quoted(F.col("id")), F.lit('" ]')).alias("value"))
+    number = lambda side: numbered.select(F.col("id").alias(side), F.col("ordinal").alias(f"{side}_n"))
+    e = edges.join(number("src"), "src").join(number("dst"), "dst")
+    e = e.select(F.lit(2).alias("part"), (F.col("src_n") * (1 << 31) + F.col("dst_n")).alias("key"), F.concat(F.lit("  edge [ source "), F.col("src_n").cast("string"), F.lit(" target "), F.col("dst_n").cast("string"), F.lit(" weight "), F.col("weight").cast("string"), F.lit(" ]")).alias("value"))
+    line = lambda part, text: spark.range(1).select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("key"), F.lit(text).alias("value"))
+    line(0, "graph [").unionByName(n).unionByName(e).unionByName(line(3, "]")).orderBy("part", "key").select("value").write.mode("overwrite").text(path)
+
+
+def load_families(spark: SparkSession, path: str, families: list[str]) -> DataFrame:
+    """Several families by partition pruning; those that are not there give no rows."""
+    safe = spark.createDataFrame([(f,) for f in families], "family string").select(S.file_safe(F.col("family"))).collect()
+    return spark.read.parquet(path).where(F.col("family_dir").isin([r[0] for r in safe]))
+
+
+def load_centroids(spark: SparkSession, path: str) -> DataFrame:
+    """(family_id, centroid, representative): Parquet, or a NumPy archive of family_ids, centroids and eigenprotein_ids, which
+    the driver holds."""
+    if not path.endswith(".npz"):
+        return spark.read.parquet(path)
+    with np.load(path.removeprefix("file://"), allow_pickle=False) as z:
+        rows = list(zip(map(str, z["family_ids"]), z["centroids"].astype(float).tolist(), map(str, z["eigenprotein_ids"])))
+    return spark.createDataFrame(rows, "family_id string, centroid array<double>, representative string")
 
 
 def save_page(html: str, name: str, folder: str) -> str:
