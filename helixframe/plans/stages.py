@@ -1,4 +1,5 @@
-"""Pipeline stages: each maps the DataFrames it needs to new ones; nothing runs before an action."""
+"""Pipeline stages: each maps the DataFrames it needs to new ones. Tables that several later stages read are written to the
+shared folder once (``kept``); all others are plans that run with an action."""
 
 from __future__ import annotations
 
@@ -34,11 +35,13 @@ class StageResult:
 
 
 class Stage(ABC):
-    """One step. ``needs`` and ``gives`` name the tables it reads and adds; ``after`` the stages it depends on."""
+    """One step. ``needs`` and ``gives`` name the tables it reads and adds, ``kept`` those of them that are written; ``after``
+    the stages it depends on."""
 
     name = ""
     needs: tuple[str, ...] = ()
     gives: tuple[str, ...] = ()
+    kept: tuple[str, ...] = ()
     after: tuple[str, ...] = ()
 
     def __init__(self, config: PipelineConfig):
@@ -58,7 +61,9 @@ class Stage(ABC):
         if missing := [n for n in self.needs if n not in tables]:
             return StageResult(False, error=f"{self.name} needs {', '.join(missing)}")
         try:
-            result = StageResult(True, self.run(spark, self.before(tables)))
+            output = self.run(spark, self.before(tables))
+            work = Scratch(spark, self.name) if self.kept else None
+            result = StageResult(True, {n: work.table(v, n) if n in self.kept else v for n, v in output.items()})
         except Exception as e:  # a failed stage ends the run with its message
             result = StageResult(False, error=f"{self.name}: {e}")
         result.seconds = time.monotonic() - began
@@ -132,6 +137,8 @@ class WorkspaceObject(Stage):
 class EmbeddingGeneration(Stage):
     name, needs, gives, after = "embedding_generation", ("records",), ("vectors",), ("data_extraction",)
 
+    kept = ("vectors",)
+
     def run(self, spark, tables):
         make = self.config.stage_config.get("embedder", E.kmer_hash)
         return {"vectors": E.embed(tables["records"], make).select("protein_id", V.doubles(F.col("embedding")).alias("v"))}
@@ -143,6 +150,8 @@ class FamilyAssignment(Stage):
 
     name, needs, gives, after = "family_assignment", ("vectors", "families"), ("assignments", "centroids"), ("embedding_generation",)
 
+    kept = ("assignments", "centroids")
+
     def run(self, spark, tables):
         cents = tables.get("centroids") or A.centroids(tables["families"])
         return {"centroids": cents, "assignments": A.assign(tables["vectors"], cents, self.config.min_confidence)}
@@ -152,6 +161,8 @@ class FamilyAssignment(Stage):
 class SimilaritySearch(Stage):
     name, needs, gives, after = "similarity_search", ("vectors", "assignments", "families"), ("matches", "search_stats"), ("family_assignment",)
 
+    kept = ("matches",)
+
     def run(self, spark, tables):
         q = tables["vectors"].join(tables["assignments"].select("protein_id", F.col("assigned").alias("family_id")), "protein_id")
         matches = Q.within_family(q, tables["families"], min(self.config.top_k, self.config.max_similar), self.config.similarity_threshold)
@@ -198,6 +209,8 @@ class NetworkAnalysis(Stage):
 
     name, needs, gives, after = "network_analysis", ("vectors", "matches", "families"), ("nodes", "edges", "network_stats"), ("similarity_search",)
 
+    kept = ("nodes", "edges", "network_stats")
+
     def run(self, spark, tables):
         hit = G.members(tables["matches"].withColumn("query_id", F.col("query_id").cast("string")), tables["families"])
         own = tables["vectors"].select(F.col("protein_id").cast("string").alias("family_id"), F.concat(F.lit("query:"), F.col("protein_id")).alias("protein_id"), "v")

@@ -26,7 +26,7 @@ def test_full_run(spark, world, tmp_path):
     records, families = world
     query = spark.createDataFrame([("q1", "x", S1, None), ("q2", "x", S1 + "AAAA", None), ("bad", "x", "B4D", None)], R.SCHEMA)
     stages = ("input_validation", "data_extraction", "embedding_generation", "family_assignment", "similarity_search", "sequence_analysis", "structure_analysis", "network_analysis", "bioinformatics_analysis", "multi_protein_analysis", "report_generation", "visualization", "data_export")
-    out = run_pipeline(spark, PipelineConfig("Records", query, stages, output_dir=f"file://{tmp_path}"), families=families)
+    out = run_pipeline(spark, PipelineConfig("Records", query, stages, output_dir=f"file://{tmp_path}", stage_config={"replicates": 4}), families=families)
     assert out.success, out.error
     assert out.tables["records"].count() == 2 and out.tables["validation"].head()["invalid"] == 1
     assert out.tables["assignments"].count() == 2
