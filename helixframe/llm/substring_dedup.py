@@ -195,30 +195,31 @@ class FingerprintIndex:
         else:
             here = here.where("lo < hi")
         shared = work.table(here.select("a"), self._name("shared"))
-        hot = work.table(rows.join(shared, "a", "left_semi"), self._name("hot"))
-        old = work.table(past.join(shared, "a", "left_semi"), self._name("old"))
+        merged = shared.hint("merge")  # the same plan at every size
+        hot = work.table(rows.join(merged, "a", "left_semi"), self._name("hot"))
+        old = work.table(past.join(merged, "a", "left_semi"), self._name("old"))
 
         # stretches that are equal as a whole
         first = hot.select("a", "c", "doc_id").unionByName(old.select("a", "c", "doc_id")).groupBy("a", "c").agg(F.min("doc_id").alias("first"))
         first = work.table(first, self._name("first"))
-        judged = work.table(hot.join(first, ["a", "c"]), self._name("judged"))
+        judged = work.table(hot.join(first.hint("merge"), ["a", "c"]), self._name("judged"))
         whole = judged.where("doc_id > first").select("doc_id", "h", "s", "e")
         own = judged.where("doc_id = first").drop("first")
 
         # fingerprints with several different stretches: window by window
         several = work.table(first.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), self._name("several"))
-        spans = own.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False))).join(several, "a", "left_semi")
+        spans = own.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False))).join(several.hint("merge"), "a", "left_semi")
         spans = work.table(spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e", "fresh")).alias("spans")), self._name("spans"))
         texts = docs if indexed is None else docs.unionByName(pick(indexed, "doc_id", "text").where(F.col("doc_id").isNotNull()))
         named = work.table(spans.select("doc_id").distinct(), self._name("named"))
-        texts = narrowed(texts, named, "doc_id", self.limit).join(spans, "doc_id").select("doc_id", "h", "text", "spans")
+        texts = narrowed(texts, named, "doc_id", self.limit).join(spans.hint("merge"), "doc_id").select("doc_id", "h", "text", "spans")
         windows = work.table(texts.mapInArrow(tidy(_expand(w)), "w1 long, w2 long, doc_id long, h int, s int, fresh boolean"), self._name("windows"))
         ends = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
         ends = work.table(ends, self._name("ends"))
-        single = windows.where("fresh").join(ends, ["w1", "w2"]).where("doc_id > first").select("doc_id", "h", "s", F.col("s").alias("e"))
+        single = windows.where("fresh").join(ends.hint("merge"), ["w1", "w2"]).where("doc_id > first").select("doc_id", "h", "s", F.col("s").alias("e"))
 
         if keep:
-            alone = rows.join(shared, "a", "left_anti")
+            alone = rows.join(merged, "a", "left_anti")
             self._append(alone.unionByName(own).select("a", "c", "doc_id", "h", "s", "e"))
         found = work.table(whole.unionByName(single), self._name("found"))
         for name in self._open:
