@@ -19,14 +19,15 @@ the distances of an item's disjoint pieces of 64 characters, each to the text wh
 the item's own, most candidates fall by the first piece or two; those are compared side by side (``ItemIndex.possible``). An
 item that is found within ``max_edits`` contaminates the document.
 
-Items are broadcast in blocks of at most ``block_chars`` characters, each of which passes over all documents; a worker holds
-the walks of one block, about 16 bytes for each entered place and repetition, some 150 MB at most.
+Items are broadcast in blocks that end with the item that reaches ``block_chars`` characters, each of which passes over all
+documents; a worker holds the walks of one block, about 16 bytes for each entered place and repetition, some 150 MB at most.
+``decontaminate`` writes what a block leaves before the next one passes, so no task holds two.
 
 Result of ``contamination``: one row (doc_id, item_id, edits, similarity) for each document and item found in it, with the
 smallest number of edits. ``decontaminate`` returns the documents in which nothing is found, with all their columns.
 
 Cases: null and blank texts contain nothing and blank items are in nothing; items of up to 1 / ``max_edits`` characters must
-be found unchanged; rows of equal doc_id are judged each by itself; long texts are searched whole, in chunks of whole texts; duplicates of an item are all reported; an empty table
+be found unchanged; rows of equal doc_id are judged each by itself, and items of equal or null item_id each by their own length, with a row for each; long texts are searched whole, in chunks of whole texts; duplicates of an item are all reported; an empty table
 on either side gives no hits; other columns are ignored.
 """
 
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import pick, prepare, tidy
+from .runtime import Scratch, pick, prepare, tidy
 
 #: Steps of a walk and how many of them are sampled; an item must have so many bytes at least.
 STEPS, SAMPLES = 36, 13
@@ -319,18 +320,17 @@ class ItemIndex:
             return out
         base = np.cumsum([0, *(len(t) + 1 for t in texts)])
         likely = self.possible(_classes(" ".join(texts)), item, base[doc] + lo, base[doc] + hi)
-        now, best = None, 0
-        for d, n, a, b in zip(*(x[likely].tolist() for x in (doc, item, lo, hi))):
+        rows = [x[likely].tolist() for x in (doc, item, lo, hi)]
+        for at, (d, n, a, b) in enumerate(zip(*rows)):
             ident, text = self.items[n]
             most = int(self.most[n])
-            if now != (d, n):
-                now, best = (d, n), most + 1
-                out[d].append((ident, best, 1 - best / len(text)))
+            if not at or (rows[0][at - 1], rows[1][at - 1]) != (d, n):
+                best = most + 1
             if best:
-                best = min(best, fewest_edits(text, texts[d][max(0, a - most - _BESIDE) : max(0, b + len(text) + most + _BESIDE)], best))
-                out[d][-1] = (ident, best, 1 - best / len(text))
-        most = {ident: m for (ident, _), m in zip(self.items, self.most.tolist())}
-        return [[h for h in found if h[1] <= most[h[0]]] for found in out]
+                best = min(best, fewest_edits(text, texts[d][max(0, a - most - _BESIDE) : max(0, b + len(text) + most + _BESIDE)]))
+            if (at + 1 == len(rows[0]) or (rows[0][at + 1], rows[1][at + 1]) != (d, n)) and best <= most:
+                out[d].append((ident, best, 1 - best / len(text)))
+        return out
 
 
 def _classes(text: str) -> np.ndarray:
@@ -376,7 +376,7 @@ def _word_distances(masks: np.ndarray, word: np.ndarray, length: np.ndarray, cla
     return best
 
 
-def fewest_edits(item: str, text: str, enough: int) -> int:
+def fewest_edits(item: str, text: str) -> int:
     """The smallest edit distance between ``item`` and any substring of ``text``: bit-parallel dynamic programming."""
     if item in text:
         return 0
@@ -459,6 +459,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, block_chars: int = 1 << 20) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
-    for index in _indexes(docs, benchmark, max_edits, recall, block_chars):
-        docs = docs.mapInArrow(tidy(_scan(index, True)), docs.schema)
-    return docs
+    work = Scratch(docs.sparkSession, "clean")
+    left = None
+    for i, index in enumerate(_indexes(docs, benchmark, max_edits, recall, block_chars)):
+        if i:  # so that a task holds one block, and later blocks see only what the earlier ones have left
+            docs = work.table(left, f"block-{i}")
+            if i > 1:
+                work.drop(f"block-{i - 1}")
+        left = docs.mapInArrow(tidy(_scan(index, True)), docs.schema)
+    return docs if left is None else left

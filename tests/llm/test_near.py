@@ -133,7 +133,7 @@ def test_edit_distance():
     for _ in range(200):
         item = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 30)))
         text = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 60)))
-        assert D.fewest_edits(item, text, 10**9) == sellers(item, text)
+        assert D.fewest_edits(item, text) == sellers(item, text)
 
 
 @pytest.fixture(scope="module")
@@ -198,7 +198,7 @@ def test_contamination_recall_by_length(least, most):
     for i in [*range(100)] * 3:
         t = items[i]
         text = D.normalise(helpers.prose(rng, words, 12) + " " + scattered(rng, t, int(0.2 * len(t)), "abcdefghijkl mnopqrstuvwxyz") + " " + helpers.prose(rng, words, 12))
-        if D.fewest_edits(t, text, 10**9) <= 0.2 * len(t):
+        if D.fewest_edits(t, text) <= 0.2 * len(t):
             want.add((len(docs), i))
         docs.append(text)
     got = {(d, h[0]) for d, found in enumerate(index.hits(docs)) for h in found}
@@ -215,7 +215,7 @@ def test_contamination_recall_in_other_scripts(script):
     items = [D.normalise(text(80))[: rng.choice([10, 25, 60, 120, 200])].strip() for _ in range(60)]
     index = D.ItemIndex(list(enumerate(items)), 0.2, 0.99)
     docs = [D.normalise(text(20) + scattered(rng, t, int(0.2 * len(t)), letters) + text(20)) for t in items]
-    want = {(i, i) for i, t in enumerate(items) if D.fewest_edits(t, docs[i], 10**9) <= 0.2 * len(t)}
+    want = {(i, i) for i, t in enumerate(items) if D.fewest_edits(t, docs[i]) <= 0.2 * len(t)}
     got = {(d, h[0]) for d, found in enumerate(index.hits(docs)) for h in found}
     assert len(want) > 55 and len(want & got) >= 0.98 * len(want)
 
@@ -231,6 +231,25 @@ def test_contamination_of_repeated_rows_and_long_texts(spark):
     assert sorted((r["doc_id"], len(r["text"])) for r in D.decontaminate(docs, bench).collect()) == [(1, 7), (2, len(long))]
 
 
+def test_items_of_one_id_have_limits_of_their_own(spark):
+    rng, words = random.Random(21), helpers.vocabulary(500, 9)
+    long, short = (D.normalise(helpers.prose(rng, words, n))[:m].strip() for n, m in ((80, 209), (40, 83)))
+    texts = {}
+    for doc, item, edits in ((1, long, 26), (2, short, 10), (3, short, 17 + 8)):
+        s = list(item)
+        for i in np.random.default_rng(doc).choice(len(s), edits, replace=False):
+            s[i] = "#"
+        texts[doc] = helpers.prose(rng, words, 10) + " " + "".join(s) + " " + helpers.prose(rng, words, 10)
+    docs = spark.createDataFrame([*texts.items(), (4, "clean")], "doc_id long, text string")
+    for ids in ((1, 2), (1, 1), (None, None)):
+        for items in ((long, short), (short, long)):
+            bench = spark.createDataFrame(list(zip(ids, items)), "item_id long, text string")
+            for block in (1 << 20, 1):
+                got = sorted((r["doc_id"], r["edits"]) for r in D.contamination(docs, bench, block_chars=block).collect())
+                assert got == [(1, 26), (2, 10)]
+                assert sorted(r["doc_id"] for r in D.decontaminate(docs, bench, block_chars=block).collect()) == [3, 4]
+
+
 def test_contamination_finds_exact_copies_anywhere():
     """Behind punctuation, glued to letters and inside unspaced text."""
     rng, words = random.Random(12), helpers.vocabulary(500, 9)
