@@ -9,8 +9,10 @@ is a distinct sequence of turns (role, text) that rebuilt conversations begin wi
    hands them on when they are more than ``HELD``.
 2. Only the families' nodes are shuffled, with their sums combined by task before: members add up, the smallest member
    stays. Conversations that end somewhere are rows of their own.
-3. Sums over subtrees double their reach each round: a node's sums cover 2**i levels and are added to its ancestor 2**i
-   levels up, so a trie of depth d takes log2(d) rounds. The root, which nothing is above, is summed apart.
+3. A node is named by its smallest member and its depth, and below a node of a conversation's name all of that conversation's
+   nodes have it too. So the trie is chains, one a conversation, each hanging from a node of another chain. Sums over whole
+   chains meet by doubling along the chain above (log2 of the nesting, one row a chain); a running sum up each chain then
+   gives every node's subtree. The root, which nothing is above, is summed apart.
 4. Ids that end at a node are range-partitioned by node and id and hashed as they stream by; only the first and the last
    node of a partition can go on elsewhere, and those alone meet again, as pieces of at most ``PIECE`` bytes in order. So a
    node at which a third of all conversations end costs a task a stream, no list.
@@ -29,7 +31,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, pick, prepare, tidy
@@ -203,22 +205,32 @@ def end_digests(ends: DataFrame, work: Scratch) -> DataFrame:
     return some.where("ids is null").select("key", "ends_sha256").unionByName(met.mapInArrow(tidy(_join_pieces), "key binary, ends_sha256 string"))
 
 
-def subtree_sums(nodes: DataFrame, work: Scratch) -> DataFrame:
-    """(key, leaves, saved): sums over the subtree of each node of a written table (key, parent, depth, leaf, saving) without
-    the root; nodes of depth 1 have no parent here."""
-    deepest = nodes.agg(F.max("depth")).head()[0] or 0
-    now = nodes.select("key", F.when(F.col("depth") > 1, F.col("parent")).alias("up"), "depth", F.col("leaf").alias("leaves"), F.col("saving").alias("saved"))
-    reach = 1
-    while reach < deepest:
-        lift = now.where(F.col("up").isNotNull())
-        more = lift.groupBy(F.col("up").alias("key")).agg(F.sum("leaves").alias("leaves_"), F.sum("saved").alias("saved_"))
-        far = now.where(F.col("up").isNotNull()).select(F.col("key").alias("up"), F.col("up").alias("next"))
-        deep = lift.where(F.col("depth") > 2 * reach).select("key", "up").join(far.hint("merge"), "up").select("key", "next")
-        out = now.join(more.hint("merge"), "key", "left").join(deep.hint("merge"), "key", "left")
-        out = out.select("key", F.col("next").alias("up"), "depth", (F.col("leaves") + F.coalesce("leaves_", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("saved_", F.lit(0))).alias("saved"))
+def chain_sums(chains: DataFrame, work: Scratch) -> DataFrame:
+    """(conv_id, leaves, saved): of each chain with all chains that hang from it, directly or not, from a table (conv_id, up,
+    leaves, saved). The reach doubles: a round adds each chain's sums to the chain 2**i places above it."""
+    now, reach = work.table(chains.select("conv_id", "up", "leaves", "saved"), "reach-0"), 0
+    while not (lift := now.where("up is not null")).isEmpty():
+        more = lift.groupBy(F.col("up").alias("conv_id")).agg(F.sum("leaves").alias("leaves_"), F.sum("saved").alias("saved_"))
+        far = lift.select(F.col("conv_id").alias("up"), F.col("up").alias("next"))
+        far = lift.select("conv_id", "up").join(far.hint("merge"), "up").select("conv_id", "next")
+        out = now.join(more.hint("merge"), "conv_id", "left").join(far.hint("merge"), "conv_id", "left")
+        out = out.select("conv_id", F.col("next").alias("up"), (F.col("leaves") + F.coalesce("leaves_", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("saved_", F.lit(0))).alias("saved"))
+        reach += 1
         now = work.table(out, f"reach-{reach}")
-        reach *= 2
-    return now.select("key", "leaves", "saved")
+    return now.select("conv_id", "leaves", "saved")
+
+
+def subtree_sums(nodes: DataFrame, work: Scratch) -> DataFrame:
+    """(key, leaves, saved): sums over the subtree of each node of a written table (key, conv_id, depth, parent_conv_id, leaf,
+    saving) without the root."""
+    top = F.min(F.struct("depth", "parent_conv_id")).alias("top")
+    chains = nodes.groupBy("conv_id").agg(F.sum("leaf").alias("leaves"), F.sum("saving").alias("saved"), top)
+    chains = work.table(chains.select("conv_id", F.when(F.col("top.depth") > 1, F.col("top.parent_conv_id")).alias("up"), (F.col("top.depth") - 1).alias("at"), "leaves", "saved"), "chains")
+    whole = chains.select("conv_id", "up", "at").where("up is not null").join(chain_sums(chains, work).hint("merge"), "conv_id")
+    hung = whole.groupBy(F.col("up").alias("conv_id"), F.col("at").alias("depth")).agg(F.sum("leaves").alias("leaves_"), F.sum("saved").alias("saved_"))
+    both = nodes.select("key", "conv_id", "depth", "leaf", "saving").join(hung.hint("merge"), ["conv_id", "depth"], "left")
+    down = Window.partitionBy("conv_id").orderBy(F.desc("depth"))
+    return both.select("key", *(F.sum(F.col(own) + F.coalesce(more, F.lit(0))).over(down).alias(name) for own, more, name in (("leaf", "leaves_", "leaves"), ("saving", "saved_", "saved"))))
 
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:
@@ -240,12 +252,13 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     nodes = nodes.withColumn("leaf", (F.col("n_children") == 0).cast("long")).withColumn("saving", (F.col("n_convs") - 1) * F.col("bytes"))
     nodes = work.table(nodes, "nodes")
 
-    below = nodes.where("depth > 0")
-    sums = subtree_sums(below, work)
+    parents = nodes.where("n_children > 0").select(F.col("key").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
+    nodes = work.table(nodes.join(parents.hint("merge"), "parent", "left"), "linked")
+
+    sums = subtree_sums(nodes.where("depth > 0"), work)
     whole = nodes.where("depth > 0 or leaf = 1").agg(F.sum("leaf").alias("leaves"), F.sum("saving").alias("saved")).where("leaves is not null")
     sums = sums.unionByName(whole.select(F.lit(ROOT).alias("key"), "leaves", "saved"))
-    parents = nodes.where("n_children > 0").select(F.col("key").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     ends = end_digests(work.table(parts.where("ends").select("key", "conv_id"), "ends"), work)
-    out = nodes.join(sums.hint("merge"), "key").join(ends.hint("merge"), "key", "left").join(parents.hint("merge"), "parent", "left")
+    out = nodes.join(sums.hint("merge"), "key").join(ends.hint("merge"), "key", "left")
     none = hashlib.sha256(b"").hexdigest()
     return out.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256"))
