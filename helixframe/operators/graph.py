@@ -1,7 +1,7 @@
 """Similarity graphs: nodes (graph, id) and undirected edges (graph, src, dst, weight) with src < dst.
 
-Every graph is one group of proteins (a family or a search result). Edges are joins and ranking windows; what is sequential
-or needs a whole small graph (trimming, centralities, clustering) runs per graph on Arrow batches.
+Every graph is one group of proteins (a family or a search result). Edges are joins and ranking windows, and so are the
+measures of ``networks``; only layouts, trimming and Ward clustering take one bounded graph or group into a task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, ship
 from . import blocks
+from .networks import centralities, communities, eigenvector, path_lengths, path_sketch  # noqa: F401  graph measures of any size
 
 
 def pair_scores(rows: DataFrame) -> DataFrame:
@@ -106,14 +107,23 @@ def members(matches: DataFrame, rows: DataFrame, least: int = 50) -> DataFrame:
     return found.unionByName(lone.crossJoin(F.broadcast(first)).select("family_id", "protein_id", "v"))
 
 
+def lowered(threshold: float) -> float:
+    """The last of ``threshold`` * 0.9**m that ends at or below 0.01."""
+    while threshold > 0.01:
+        threshold *= 0.9
+    return threshold
+
+
 def expand(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, threshold: float = 0.1, least: int = 5) -> DataFrame:
-    """Graphs of fewer than ``least`` nodes also get all pairs down to the last of ``threshold`` * 0.9**m that ends at or below 0.01."""
-    low = threshold
-    while low > 0.01:
-        low *= 0.9
+    """Graphs of fewer than ``least`` nodes also get all pairs down to the ``lowered`` threshold."""
     small = nodes.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") < least).select("graph")
-    more = pairs.where(F.col("weight") >= low).join(small, "graph", "left_semi")
-    return edges.unionByName(more).distinct()
+    return edges.unionByName(pairs.where(F.col("weight") >= lowered(threshold)).join(small, "graph", "left_semi")).distinct()
+
+
+def expand_rows(edges: DataFrame, rows: DataFrame, threshold: float = 0.1, least: int = 5) -> DataFrame:
+    """``expand`` from vectors (family_id, protein_id, v): only those of small graphs are compared."""
+    small = rows.groupBy("family_id").agg(F.count("*").alias("n")).where(F.col("n") < least).select("family_id")
+    return edges.unionByName(edges_over(rows.join(small, "family_id", "left_semi"), lowered(threshold))).distinct()
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -132,11 +142,21 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """Triangles at each node: every path a < b < c that an edge a-c closes."""
-    e = edges.select("graph", "src", "dst")
-    paths = e.select("graph", F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select("graph", F.col("src").alias("b"), F.col("dst").alias("c")), ["graph", "b"])
-    closed = paths.join(e.select("graph", F.col("src").alias("a"), F.col("dst").alias("c")), ["graph", "a", "c"], "left_semi")
-    return closed.select("graph", F.explode(F.array("a", "b", "c")).alias("id")).groupBy("graph", "id").agg(F.count("*").alias("triangles"))
+    """Triangles at each node: for every edge the common entries of its ends' lists of neighbours.
+
+    Edges point from the end of lower degree to the other (of equal degrees to the larger id), so no list is longer than
+    the square root of twice the edges, a hub's list is short, and no row stands for a pair of a hub's neighbours.
+    """
+    e = edges.where("src <> dst").select("graph", "src", "dst")
+    degree = both_ways(e.withColumn("weight", F.lit(0.0))).groupBy("graph", F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    of = lambda end: degree.select("graph", F.col("id").alias(end), F.col("d").alias(f"d_{end}"))
+    known = e.join(of("src"), ["graph", "src"]).join(of("dst"), ["graph", "dst"])
+    up = F.struct("d_src", "src") < F.struct(F.col("d_dst").alias("d_src"), F.col("dst").alias("src"))
+    pointed = known.select("graph", F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    lists = pointed.groupBy("graph", "a").agg(F.collect_set("b").alias("next"))
+    both = pointed.join(lists, ["graph", "a"]).join(lists.select("graph", F.col("a").alias("b"), F.col("next").alias("far")), ["graph", "b"])
+    found = both.select("graph", "a", "b", F.explode(F.array_intersect("next", "far")).alias("c"))
+    return found.select("graph", F.explode(F.array("a", "b", "c")).alias("id")).groupBy("graph", "id").agg(F.count("*").alias("triangles"))
 
 
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -196,8 +216,9 @@ def node_payload(nodes: DataFrame, edges: DataFrame, parts: DataFrame, queries:
     return out.select("graph", "id", shown(name).alias("name"), shown(function).alias("function"), *fields, "component", F.coalesce("component_size", F.lit(1)).alias("component_size"), "degree", is_query.alias("is_query"), F.when(is_query, 1.0).otherwise(F.col("similarity")).alias("similarity"), kind.alias("class"), *style)
 
 
-#: Nodes of a graph that is taken whole into one task; its matrices take about 1 GB then.
-WHOLE = 5_000
+#: Nodes of a graph that is taken whole into one task (layouts and trimming; a few matrices of nodes x nodes, some 1 GB), and
+#: rows of a group that is clustered (time in the cube of the rows).
+WHOLE, CLUSTERED = 5_000, 2_000
 
 
 def _adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -211,66 +232,6 @@ def _adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, a
 
 
-def _hops(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shortest path lengths and their numbers between all nodes, breadth first from all at once."""
-    link = (a != 0).astype(float)
-    n = len(a)
-    dist, paths = np.full((n, n), np.inf), np.eye(n)
-    np.fill_diagonal(dist, 0)
-    front = np.eye(n)
-    for step in range(1, n + 1):
-        front = np.where(np.isinf(dist), front @ link, 0.0)
-        if not front.any():
-            break
-        dist[front > 0] = step
-        paths += front
-    return dist, paths
-
-
-def _central(pdf: pd.DataFrame) -> pd.DataFrame:
-    graph = pdf["graph"].iloc[0]
-    ids, a = _adjacency(pdf)
-    n = len(ids)
-    dist, paths = _hops(a)
-    reach = np.isfinite(dist) & (dist > 0)
-    total, seen = np.where(reach, dist, 0).sum(axis=1), reach.sum(axis=1)
-    close = np.where(total > 0, seen / np.maximum(total, 1) * seen / max(1, n - 1), 0.0)
-    between = np.zeros(n)
-    for v in range(n):
-        via = dist[:, v, None] + dist[None, v, :]
-        on = np.isfinite(dist) & (via == dist)
-        on[v, :] = on[:, v] = False
-        np.fill_diagonal(on, False)
-        between[v] = np.where(on, paths[:, v, None] * paths[None, v, :] / np.where(paths > 0, paths, 1), 0).sum()
-    between /= max(1, (n - 1) * (n - 2))
-    values, vectors = np.linalg.eigh((a != 0).astype(float))
-    eigen = np.abs(vectors[:, np.argmax(values)])
-    far = np.where(np.isfinite(dist), dist, 0).max(axis=1)
-    return pd.DataFrame({"graph": graph, "id": ids, "betweenness": between, "closeness": close, "eigenvector": eigen, "eccentricity": far.astype(int)})
-
-
-def centralities(edges: DataFrame) -> DataFrame:
-    """Betweenness, closeness, eigenvector centrality and eccentricity of nodes with edges; one small graph a group."""
-    ship(edges.sparkSession)
-    kind = dict(edges.dtypes)
-    return edges.groupBy("graph").applyInPandas(_central, f"graph {kind['graph']}, id {kind['src']}, betweenness double, closeness double, eigenvector double, eccentricity int")
-
-
-def _path(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, a = _adjacency(pdf)
-    dist, _ = _hops(a)
-    sizes = np.isfinite(dist).sum(axis=1)
-    part = np.isfinite(dist[int(sizes.argmax())])
-    inner, m = dist[np.ix_(part, part)], int(part.sum())
-    return pd.DataFrame({"graph": [pdf["graph"].iloc[0]], "largest": [m], "avg_path": [inner.sum() / max(1, m * (m - 1))], "diameter": [int(inner.max())]})
-
-
-def path_lengths(edges: DataFrame) -> DataFrame:
-    """Average shortest path and diameter of each graph's largest component."""
-    ship(edges.sparkSession)
-    return edges.groupBy("graph").applyInPandas(_path, f"graph {dict(edges.dtypes)['graph']}, largest int, avg_path double, diameter int")
-
-
 def _layout(pdf: pd.DataFrame) -> pd.DataFrame:
     """Places in the plane whose distances come near to the weighted path lengths (Kamada and Kawai's energy), by majorisation."""
     ids, a = _adjacency(pdf)
@@ -369,9 +330,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def ward(points: np.ndarray, clusters: int) -> np.ndarray:
     """Agglomerative clustering by Ward's criterion (Lance-Williams updates); labels from 0 in the order of first members."""
-    n = len(points)
-    d = ((points[:, None] - points[None]) ** 2).sum(-1)
-    return ward_from_distances(np.sqrt(d), clusters) if n else np.zeros(0, dtype=int)
+    if not len(points):
+        return np.zeros(0, dtype=int)
+    size = (points * points).sum(axis=1)
+    return ward_from_distances(np.sqrt(np.maximum(0, size[:, None] + size[None] - 2 * points @ points.T)), clusters)
 
 
 def ward_from_distances(dist: np.ndarray, clusters: int) -> np.ndarray:
@@ -393,7 +355,11 @@ def ward_from_distances(dist: np.ndarray, clusters: int) -> np.ndarray:
 
 
 def match_clusters(rows: DataFrame, clusters: int = 5) -> DataFrame:
-    """Ward clusters of each group's vectors: graph, id, cluster; groups of one row get none."""
+    """Ward clusters of each group's vectors: graph, id, cluster; groups of one row get none, and groups of more than
+    ``CLUSTERED`` rows are refused before any row is gathered."""
+    most = rows.groupBy("family_id").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    if most > CLUSTERED:
+        raise ValueError(f"a group of {most} rows is too large for one task; the limit is {CLUSTERED}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("protein_id")

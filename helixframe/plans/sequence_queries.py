@@ -161,30 +161,18 @@ def motif_categories(spark, sf):
     return _motif_rows(spark, sf).groupBy("category").agg(F.sum("n").alias("n_matches"), F.countDistinct("protein_id").alias("n_proteins"))
 
 
-_SPAN = ("n_glycosylation", "acidic_cluster", "proline_rich", "atp_binding")
-
-
-def _spans(spark, sf, motifs):
-    each = F.array(*(F.struct(F.lit(m).alias("motif"), S.motif_spans(F.col("seq"), m).alias("spans")) for m in motifs))
-    return seqs(spark, sf).select("protein_id", F.explode(each).alias("e")).select("protein_id", "e.motif", F.explode("e.spans").alias("s")).select("protein_id", "motif", "s.*")
-
-
 def _span_sql(m: str) -> str:
     p = K.MOTIFS[m][1]
     return f"SELECT protein_id, '{m}' AS motif, string_split_regex(seq, '{p}') AS g, regexp_extract_all(seq, '{p}') AS h FROM s"
 
 
-@query(f"""WITH {D}, k AS ({' UNION ALL '.join(map(_span_sql, _SPAN))}), i AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM k WHERE len(h) > 0),
-p AS (SELECT protein_id, motif, h[i] AS hit, list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[:i-1], lambda x: length(x))), 0) AS st FROM i)
+@query(f"""WITH {D}, k AS ({' UNION ALL '.join(map(_span_sql, K.MOTIFS))}), i AS (SELECT protein_id, motif, unnest(g[:len(h)]) AS gap, unnest(h) AS hit, unnest(range(1, len(h) + 1)) AS i FROM k WHERE len(h) > 0),
+p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY protein_id, motif ORDER BY i) - length(hit) AS st FROM i)
 SELECT protein_id, motif, CAST(st AS INT) AS start, CAST(st + length(hit) AS INT) AS "end", hit AS sequence, CAST(st + 1 AS INT) || '-' || CAST(st + length(hit) AS INT) AS position FROM p""")
 def motif_matches(spark, sf):
-    return _spans(spark, sf, _SPAN)
-
-
-@query()
-def motif_matches_all(spark, sf):
-    """The matches of all motifs; the SQL of the four grows with the square of a document's matches, so this has none."""
-    return _spans(spark, sf, K.MOTIFS)
+    """The matches of all motifs."""
+    each = F.array(*(F.struct(F.lit(m).alias("motif"), S.motif_spans(F.col("seq"), m).alias("spans")) for m in K.MOTIFS))
+    return seqs(spark, sf).select("protein_id", F.explode(each).alias("e")).select("protein_id", "e.motif", F.explode("e.spans").alias("s")).select("protein_id", "motif", "s.*")
 
 
 _LINKS = ", ".join(f"('{n}', {str(by).lower()}, '{u}')" for n, (_, by, u) in K.DATABASES.items())

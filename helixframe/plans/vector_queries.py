@@ -188,32 +188,6 @@ def search_with_filters(spark, sf):
     return S.filtered(rows, rows, metadata_of(spark, sf), F.col("length").between(10, 40) & (F.col("organism") != "Brand#11"), 10)
 
 
-MEDOID_QUERY = f"""{C}, dd AS (SELECT p.family_id, protein_id, list_distance(v, centroid) AS d FROM p JOIN c USING (family_id)),
-med AS (SELECT arg_min(protein_id, (d, protein_id)) AS protein_id FROM dd GROUP BY family_id),
-n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM p),
-q AS (SELECT protein_id AS query_id, v AS q, n AS nq FROM n WHERE protein_id IN (SELECT protein_id FROM med))"""
-
-
-def _medoid_rows(spark, sf):
-    """The medoids of all families, one query for each."""
-    rows = rows_of(spark, sf)
-    return A.medoids(rows, A.centroids(rows)).select(F.col("medoid_id").alias("protein_id")).join(rows, "protein_id"), rows
-
-
-@query(f"""WITH {MEDOID_QUERY}, s AS (SELECT query_id, family_id, protein_id, list_dot_product(q, v) / (nq * n) AS similarity FROM n CROSS JOIN q),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, family_id ORDER BY similarity DESC, protein_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
-def search_all_families(spark, sf):
-    queries, rows = _medoid_rows(spark, sf)
-    return S.all_families(queries, rows, 5)
-
-
-@query(f"""WITH {MEDOID_QUERY}, s AS (SELECT query_id, protein_id, list_dot_product(v, q) / (nq + 1e-8) AS similarity FROM n CROSS JOIN q),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, protein_id) AS INT) AS rank FROM s WHERE similarity >= 0.1) SELECT * FROM r WHERE rank <= 50""")
-def search_global_threshold(spark, sf):
-    queries, rows = _medoid_rows(spark, sf)
-    return S.global_threshold(queries, rows)
-
-
 STATED_QUERY = f"""{P}, n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM p),
 q AS (SELECT protein_id AS query_id, v AS q, n AS nq FROM n WHERE protein_id % 100 = 0)"""
 
@@ -226,14 +200,14 @@ def _stated_rows(spark, sf):
 
 @query(f"""WITH {STATED_QUERY}, s AS (SELECT query_id, family_id, protein_id, list_dot_product(q, v) / (nq * n) AS similarity FROM n CROSS JOIN q),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, family_id ORDER BY similarity DESC, protein_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
-def search_all_families_stated(spark, sf):
+def search_all_families(spark, sf):
     queries, rows = _stated_rows(spark, sf)
     return S.all_families(queries, rows, 5)
 
 
 @query(f"""WITH {STATED_QUERY}, s AS (SELECT query_id, protein_id, list_dot_product(v, q) / (nq + 1e-8) AS similarity FROM n CROSS JOIN q),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, protein_id) AS INT) AS rank FROM s WHERE similarity >= 0.1) SELECT * FROM r WHERE rank <= 50""")
-def search_global_threshold_stated(spark, sf):
+def search_global_threshold(spark, sf):
     queries, rows = _stated_rows(spark, sf)
     return S.global_threshold(queries, rows)
 
@@ -353,8 +327,7 @@ def robust_edges(spark, sf):
 @query(f"""WITH {MUTUAL}, small AS (SELECT graph FROM nodes GROUP BY graph HAVING count(*) < 48)
 SELECT * FROM edges UNION SELECT pairs.* FROM pairs JOIN small USING (graph) WHERE weight >= 0.1 * power(0.9, 22)""")
 def expand_edges(spark, sf):
-    nodes, near = _graph(spark, sf)
-    return G.expand(G.mutual(near), G.pair_scores(rows_of(spark, sf)), nodes, least=48)
+    return G.expand_rows(G.mutual(_graph(spark, sf)[1]), rows_of(spark, sf), least=48)
 
 
 DEGREE = f"{MUTUAL}, deg AS (SELECT graph, id, count(src) AS degree FROM nodes LEFT JOIN (SELECT graph, src, dst FROM edges UNION ALL SELECT graph, dst, src FROM edges) e USING (graph) WHERE e.src = id GROUP BY ALL), d AS (SELECT graph, id, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN deg USING (graph, id))"
@@ -545,6 +518,29 @@ def graph_modularity(spark, sf):
     return G.modularity(G.components(nodes, edges), edges).withColumn("modularity_micro", micro(F.col("modularity"))).drop("modularity")
 
 
+@query()
+def graph_communities(spark, sf):
+    """Louvain communities of each family's graph."""
+    nodes, near = _graph(spark, sf)
+    return G.communities(nodes, Scratch(spark, "edges").table(G.mutual(near), "edges"))
+
+
+@query()
+def graph_community_modularity(spark, sf):
+    """How well Louvain communities and components divide each family's graph."""
+    nodes, near = _graph(spark, sf)
+    edges = Scratch(spark, "edges").table(G.mutual(near), "edges")
+    found = G.modularity(G.communities(nodes, edges).withColumnRenamed("community", "component"), edges)
+    plain = G.modularity(G.components(nodes, edges), edges).select("graph", F.col("n_communities").alias("n_components"), F.col("modularity").alias("component_modularity"))
+    return found.join(plain, "graph")
+
+
+@query()
+def graph_path_sketch(spark, sf):
+    """Average path and diameters of each family's graph from sketches of neighbourhoods."""
+    return G.path_sketch(G.mutual(_graph(spark, sf)[1]))
+
+
 @query()
 def graph_properties(spark, sf):
     nodes, near = _graph(spark, sf)

@@ -46,14 +46,14 @@ def test_query(spark, con, name):
         assert plain(got) == plain(con.execute(sql).df())
 
 
-def test_motif_matches_all(spark, tmp_path):
+def test_motif_matches(spark, tmp_path):
     """All 24 motifs, against re.finditer."""
     rng = random.Random(4)
     docs = [(i, "".join(rng.choice("acdefghiklmnpqrstvwyCKRGSTLP ") for _ in range(n))) for i, n in enumerate((0, 40, 400, 3000))]
     hits = "lxxxxxxlxxxxxxlxxxxxxl".replace("x", "a")
     docs += [(9, hits + " " + hits), (10, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in registry.queries()["motif_matches_all"](spark, f"file://{tmp_path}").collect()}
+    got = {tuple(r) for r in registry.queries()["motif_matches"](spark, f"file://{tmp_path}").collect()}
     want = set()
     for r in sequence_queries.seqs(spark, f"file://{tmp_path}").collect():
         for m, (_, pattern) in K.MOTIFS.items():
@@ -63,7 +63,7 @@ def test_motif_matches_all(spark, tmp_path):
 
 def test_stated_searches_answer_every_hundredth_row(spark):
     want = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
-    for name in ("search_all_families_stated", "search_global_threshold_stated"):
+    for name in ("search_all_families", "search_global_threshold"):
         assert {r["query_id"] for r in registry.queries()[name](spark, SF).collect()} == want
 
 

@@ -41,6 +41,10 @@ def test_expand_and_measures(square):
     base = G.mutual_knn(pairs, 2, 0.5)
     assert edges(G.expand(base, pairs, nodes, 0.5, least=5)) == {"ab", "ac", "ad", "bc", "bd", "cd"}
     assert edges(G.expand(base, pairs, nodes, 0.5, least=4)) == {"ab", "bc", "cd"}
+    rows = nodes.sparkSession.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(7)], "protein_id int, family_id int, v array<double>")
+    few, all_ = G.edges_over(rows, 0.99), G.pair_scores(rows)
+    of_rows = nodes.sparkSession.createDataFrame([(i % 2, i) for i in range(7)], "graph int, id int")
+    assert sorted(G.expand_rows(few, rows, 0.99, least=4).collect()) == sorted(G.expand(few, all_, of_rows, 0.99, least=4).collect())
     d = G.density(nodes, base).head()
     assert (d["n_nodes"], d["n_edges"], d["density"], d["avg_degree"]) == (4, 3, 0.5, 1.5)
     p = G.path_lengths(base).head()
@@ -235,10 +239,15 @@ def test_modularity(spark):
 
 def test_whole_graphs_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(G, "WHOLE", 2)
+    monkeypatch.setattr(G, "CLUSTERED", 10)
     import pandas as pd
 
     with pytest.raises(ValueError):
         G._adjacency(pd.DataFrame({"src": [1, 2], "dst": [2, 3], "weight": [1.0, 1.0]}))
+    rows = spark.createDataFrame([(i, 1, [float(i), 1.0]) for i in range(60)], "protein_id int, family_id int, v array<double>")
+    with pytest.raises(ValueError):
+        G.match_clusters(rows)
+    assert G.match_clusters(rows.limit(10)).count() == 10
 
 
 def test_bootstrap_support(spark):
