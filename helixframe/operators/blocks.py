@@ -110,6 +110,52 @@ def top(queries: DataFrame, rows: DataFrame, k: int, hamming: bool = False, excl
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _top_of_all(k: int, per_family: bool, least: float | None, projected: bool):
+    def run(key, q: pa.Table, v: pa.Table) -> pa.Table:
+        asked, ids, family = q.column("query_id").combine_chunks(), v.column("protein_id"), v.column("family_id")
+        rows, best, score = ([np.zeros(0, dtype=t)] for t in (np.int64, np.int64, np.float64))
+        if q.num_rows and v.num_rows:
+            order = pc.sort_indices(v, [("family_id", "ascending"), ("protein_id", "ascending")] if per_family else [("protein_id", "ascending")])
+            v = v.take(order)
+            ids, family = v.column("protein_id"), v.column("family_id")
+            a, b = matrix(q.column("q")), matrix(v.column("v"))
+            value = dots(a, b) / (norms(a) + 1e-8)[:, None] if projected else cosines(a, b)
+            cost = -value if least is None else np.where(value >= least, -value, np.inf)
+            code = pc.dictionary_encode(family, null_encoding="encode").combine_chunks().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)] if per_family else [0, len(code)]
+            for i, j in zip(cuts, cuts[1:]):  # ids ascend, so a stable sort gives ties to the smaller id
+                own = np.argsort(cost[:, i:j], axis=1, kind="stable")[:, :k]
+                c = np.take_along_axis(cost[:, i:j], own, 1).ravel()
+                real = np.isfinite(c)
+                rows.append(np.repeat(np.arange(len(asked)), own.shape[1])[real])
+                best.append(own.ravel()[real] + i)
+                score.append(-c[real])
+        rows, best, score = (np.concatenate(x) for x in (rows, best, score))
+        at = pa.array(best)
+        return pa.table({"query_id": asked.take(pa.array(rows)), "family_id": family.combine_chunks().take(at), "protein_id": ids.combine_chunks().take(at), "score": pa.array(score)})
+
+    return run
+
+
+def top_of_all(queries: DataFrame, rows: DataFrame, k: int, per_family: bool, least: float | None = None, projected: bool = False, block: int = BLOCK) -> DataFrame:
+    """The ``k`` best of each query (query_id, q) among all rows (protein_id, family_id, v), or among those of each family:
+    query_id, family_id, protein_id, score and rank, ties to the smaller id.
+
+    The score is the cosine, or with ``projected`` the dot product with the query at unit length; scores under ``least`` do
+    not count. Blocks of queries meet blocks of rows, whatever their families, and a task keeps the best of each only.
+    """
+    ship(rows.sparkSession)
+    q = queries.where("q is not null").select("query_id", "q", F.size("q").alias("dim"))
+    v = rows.where("v is not null").select("protein_id", "family_id", "v", F.size("v").alias("dim"))
+    plan = sized(q, "dim", block=block).withColumnRenamed("blocks", "qs").join(sized(v, "dim", block=block).withColumnRenamed("blocks", "vs"), "dim")
+    q = _dealt(q.join(plan, "dim"), "qs", "query_id").select("dim", F.col("at").alias("x"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("y"), "query_id", "q")
+    v = _dealt(v.join(plan, "dim"), "vs", "protein_id").select(F.col("dim").alias("v_dim"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("v_x"), F.col("at").alias("v_y"), F.col("protein_id").alias("protein_id"), F.col("family_id").alias("family_id"), F.col("v").alias("v"))
+    kinds = dict(q.dtypes) | dict(v.dtypes)
+    found = q.groupBy("dim", "x", "y").cogroup(v.groupBy("v_dim", "v_x", "v_y")).applyInArrow(_top_of_all(k, per_family, least, projected), f"query_id {kinds['query_id']}, family_id {kinds['family_id']}, protein_id {kinds['protein_id']}, score double")
+    order = Window.partitionBy("query_id", *(["family_id"] if per_family else [])).orderBy(F.desc("score"), "protein_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def _pairs(least: float | None):
     def run(t: pa.Table) -> pa.Table:
         x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()

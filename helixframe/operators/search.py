@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from . import blocks
 
 
-#: Bytes of query vectors that are broadcast together.
-QUERY_LIMIT = 32 << 20
-
-
-def _against_all(queries: DataFrame, rows: DataFrame, score, limit: int) -> DataFrame:
-    """Rows scored against a stated query set, which is broadcast in blocks of at most ``limit`` bytes."""
-    q = _queries(queries).drop("family_id")
-    n, dim = q.agg(F.count("*"), F.max(F.size("q"))).head()
-    blocks = max(1, -(-n * (8 * (dim or 0) + 64) // limit))
-    parts = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q for i in range(blocks)]
-    return reduce(DataFrame.unionByName, [score(rows.crossJoin(F.broadcast(part))) for part in parts])
-
-
-def _queries(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("protein_id").alias("query_id"), F.col("family_id"), F.col("v").alias("q"), V.norm(F.col("v")).alias("nq"))
-
-
-def _scored(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("nv", V.norm(F.col("v")))
-
-
 def _rank(scored: DataFrame, score: str, *per: str) -> Column:
     return F.row_number().over(Window.partitionBy(*per).orderBy(F.desc(score), "protein_id"))
 
@@ -48,18 +24,24 @@ def within_family(queries: DataFrame, rows: DataFrame, k: int = 50, threshold: f
     return out if threshold is None else out.where(F.col("similarity") >= threshold)
 
 
-def all_families(queries: DataFrame, rows: DataFrame, k: int = 5, limit: int = QUERY_LIMIT) -> DataFrame:
-    """Top ``k`` of every family for each query."""
-    score = lambda df: df.select("query_id", "family_id", "protein_id", V.cosine(F.col("q"), F.col("v"), F.col("nq"), F.col("nv")).alias("similarity"))
-    pairs = _against_all(queries, _scored(rows), score, limit)
-    return pairs.withColumn("rank", _rank(pairs, "similarity", "query_id", "family_id")).where(F.col("rank") <= k)
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("protein_id").alias("query_id"), F.col("v").alias("q"))
+
+
+def all_families(queries: DataFrame, rows: DataFrame, k: int = 5, max_families: int | None = None) -> DataFrame:
+    """Top ``k`` of every family for each query. With ``max_families`` only that many families are searched, in the order
+    of their ids."""
+    if max_families is not None:
+        wanted = rows.select("family_id").distinct().orderBy("family_id").limit(max_families)
+        rows = rows.join(wanted, "family_id", "left_semi").select(*rows.columns)
+    out = blocks.top_of_all(_asked(queries), rows, k, per_family=True)
+    return out.select("query_id", "family_id", "protein_id", F.col("score").alias("similarity"), "rank")
 
 
-def global_threshold(queries: DataFrame, rows: DataFrame, k: int = 50, threshold: float = 0.1, limit: int = QUERY_LIMIT) -> DataFrame:
+def global_threshold(queries: DataFrame, rows: DataFrame, k: int = 50, threshold: float = 0.1) -> DataFrame:
     """Top ``k`` over all rows by the dot product with the query scaled to unit length, at least ``threshold``."""
-    score = lambda df: df.select("query_id", "protein_id", (V.dot(F.col("v"), F.col("q")) / (F.col("nq") + 1e-8)).alias("similarity")).where(F.col("similarity") >= threshold)
-    pairs = _against_all(queries, rows, score, limit)
-    return pairs.withColumn("rank", _rank(pairs, "similarity", "query_id")).where(F.col("rank") <= k)
+    out = blocks.top_of_all(_asked(queries), rows, k, per_family=False, least=threshold, projected=True)
+    return out.select("query_id", "protein_id", F.col("score").alias("similarity"), "rank")
 
 
 def hamming(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import constants as K
 from ..functions import embedding as E
 from ..functions import sequence as S
 from ..operators import alignment as M
+from ..operators import progressive as PA
 from ..operators import families as A
 from ..operators import graph as G
 from ..operators import search as Q
@@ -327,6 +328,18 @@ def conserved_regions(spark, sf):
     return M.regions(scores, t - 1e-9).select("start", "end", micro(F.col("best")).alias("best_micro"))
 
 
+@query()
+def msa_aligned(spark, sf):
+    """The stated set aligned along its guide tree."""
+    return PA.progressive(bench(spark, sf))
+
+
+@query()
+def msa_aligned_conservation(spark, sf):
+    """Conservation of the places of that alignment."""
+    return M.conservation(M.column_counts(PA.progressive(bench(spark, sf))))
+
+
 INERTIA = "k AS (SELECT CAST(l_linenumber AS INT) AS k, CAST(sum(l_quantity) AS BIGINT) AS inertia FROM lineitem GROUP BY 1)"
 
 

@@ -111,8 +111,31 @@ def test_blocks_change_nothing(rows):
     key = lambda d: sorted(map(tuple, d.collect()))
     assert key(A.assign(df, cents, limit=50)) == key(A.assign(df, cents))
     q = df.where("protein_id < 7")
-    assert key(Q.all_families(q, df, 3, limit=300)) == key(Q.all_families(q, df, 3))
-    assert key(Q.global_threshold(q, df, 5, limit=300)) == key(Q.global_threshold(q, df, 5))
+    asked = q.select(F.col("protein_id").alias("query_id"), F.col("v").alias("q"))
+    for options in ({"k": 3, "per_family": True}, {"k": 5, "per_family": False, "least": 0.1, "projected": True}):
+        assert key(B.top_of_all(asked, df, block=4, **options)) == key(B.top_of_all(asked, df, **options))
+
+
+def test_searches_over_all_families(rows):
+    df, data = rows
+    odd = df.unionByName(df.sparkSession.createDataFrame([(90, None, data[0][2]), (91, 1, None), (92, 1, [1.0])], df.schema))
+    v = {i: (f, np.array(x)) for i, f, x in data} | {90: (None, np.array(data[0][2]))}
+    q = df.where("protein_id < 7")
+    got = [tuple(r) for r in Q.all_families(q, odd, 3).collect()]
+    want = []
+    for i in range(7):
+        for f in (0, 1, 2, None):
+            cos = sorted((-(v[i][1] @ x) / np.linalg.norm(v[i][1]) / np.linalg.norm(x), j) for j, (g, x) in v.items() if g == f)[:3]
+            want += [(i, f, j, pytest.approx(-c), n + 1) for n, (c, j) in enumerate(cos)]
+    low = lambda t: (t[0], t[1] is None, t[1] or 0, t[4])
+    assert sorted(got, key=low) == sorted(want, key=low)
+    assert {r["family_id"] for r in Q.all_families(q, df, 3, max_families=2).collect()} == {0, 1}
+    got = sorted(map(tuple, Q.global_threshold(q, df, 5, 0.2).collect()), key=lambda t: (t[0], t[3]))
+    want = []
+    for i in range(7):
+        dot = sorted((-(v[i][1] @ x) / np.linalg.norm(v[i][1]), j) for j, (_, x) in v.items() if j < 90)
+        want += [(i, j, pytest.approx(-c), n + 1) for n, (c, j) in enumerate(dot[:5]) if -c >= 0.2]
+    assert got == want
 
 
 def test_packed_bits(spark):
