@@ -52,14 +52,15 @@ def small(cents: DataFrame) -> DataFrame:
     return F.broadcast(cents) if n * (dim or 0) * 9 <= CENTROID_LIMIT else cents
 
 
-def assign(rows: DataFrame, cents: DataFrame, min_confidence: float | None = None, limit: int = CENTROID_LIMIT) -> DataFrame:
+def assign(rows: DataFrame, cents: DataFrame, min_confidence: float | None = None, limit: int = CENTROID_LIMIT, written: bool = False) -> DataFrame:
     """(protein_id, assigned, hamming, confidence): the family whose centroid bits differ least, ties to the smaller family.
 
     All centroids are compared in one pass over a broadcast array of them, without a row for each pair. Centroids of more
     than ``limit`` bytes are dealt to several arrays, each within the limit, and the best of all counts. The centroids are
-    written first, so that they are computed once.
+    written first, so that they are computed once, unless they are a table already (``written``).
     """
-    cents = Scratch(rows.sparkSession, "centroids").table(cents.select("family_id", "bits"), "bits")
+    if not written:
+        cents = Scratch(rows.sparkSession, "centroids").table(cents.select("family_id", "bits"), "bits")
     n, dim = cents.agg(F.count("*"), F.max(F.size("bits"))).head()
     blocks = max(1, -(-n * ((dim or 0) + 32) // limit))
     best = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,40 @@ def _values(values: DataFrame, col: str) -> DataFrame:
     return Scratch(values.sparkSession, "values").table(values.select(col), "values").where(F.col(col).isNotNull())
 
 
+#: Values that a selection leaves to be ordered at last, and the parts that one round divides a range into.
+LAST, PARTS = 10_000, 1_000
+
+
 def at_ranks(values: DataFrame, col: str, ranks: list[int]) -> list[float | None]:
-    """Values at places of the ascending order (from 0), found without bringing all values together."""
-    placed = ordinals(values, by=col)
-    got = {r["ordinal"]: r[col] for r in placed.where(F.col("ordinal").isin(ranks)).collect()}
-    return [got.get(r) for r in ranks]
+    """Values at places of the ascending order (from 0), without ordering or moving the column.
+
+    A round counts the values of a range in equal parts, by sums that combine before they shuffle, and goes on with the part
+    that the rank lies in, until few values are left there or all are equal. A range of doubles is a thousand times narrower
+    after each round, so a dozen rounds end any.
+    """
+    number = F.col(col).cast("double")
+    whole = values.agg(F.min(number), F.max(number), F.count(col)).head()
+    if whole[0] is not None and not math.isfinite(whole[1] - whole[0]):  # infinite values or NaN: by ranges and offsets
+        got = {r["ordinal"]: r[col] for r in ordinals(values.where(F.col(col).isNotNull()), by=col).where(F.col("ordinal").isin(ranks)).collect()}
+        return [got.get(r) for r in ranks]
+    return [_at_rank(values, col, number, *whole, r) if whole[0] is not None and 0 <= r < whole[2] else None for r in ranks]
+
+
+def _at_rank(values: DataFrame, col: str, number: Column, low: float, high: float, n: int, rank: int):
+    """``rank`` is the place among the ``n`` values from ``low`` to ``high``, both included."""
+    while n > LAST and low < high:
+        here = values.where(number.between(low, high))
+        part = F.least(F.floor((number - low) / (high - low) * PARTS), F.lit(PARTS - 1)).cast("int")
+        for r in here.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min(number).alias("low"), F.max(number).alias("high")).orderBy("part").collect():  # PARTS rows at most
+            if rank < r["n"]:
+                low, high, n = r["low"], r["high"], r["n"]
+                break
+            rank -= r["n"]
+    here = values.where(number.between(low, high)).select(col)
+    first, last = here.agg(F.min(col), F.max(col)).head()
+    if first == last:
+        return first
+    return here.orderBy(col).offset(rank).limit(1).head()[0]
 
 
 def summary(values: DataFrame, col: str) -> DataFrame:

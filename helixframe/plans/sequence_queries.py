@@ -422,6 +422,5 @@ def validation_errors(spark, sf):
 
 @query()
 def nj_support(spark, sf):
-    """The tree of the stated set's first dozen, with the support of a hundred replicates."""
-    first = bench(spark, sf).orderBy("protein_id").limit(12)
-    return M.bootstrap_support(M.padded(first), 100)
+    """The tree of the stated set, with the support of a hundred replicates."""
+    return M.bootstrap_support(M.padded(bench(spark, sf)), 100)

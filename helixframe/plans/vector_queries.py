@@ -424,8 +424,9 @@ def search_index_binary(spark, sf):
 
 @query()
 def search_index_probe(spark, sf):
-    """Each query looks into the two lists nearest to it."""
-    return _index(spark, sf).search(rows_of(spark, sf), 10, probe=2)
+    """Each query looks into as many lists nearest to it as a measured recall of nine tenths takes."""
+    index = _index(spark, sf)
+    return index.search(rows_of(spark, sf), 10, probe=index.probes_for(0.9))
 
 
 @query(f"""WITH {SEARCH}, best AS (SELECT query_id, CAST(protein_id AS VARCHAR) AS protein_id, CAST(floor((1 - similarity) * 1e6 + 0.5) AS BIGINT) AS distance_micro, rank FROM r WHERE rank <= 60)

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -214,8 +216,18 @@ def test_family_index(spark, tmp_path):
         whole = near(index.search(asked, 5))
         again = I.FamilyIndex(spark, f"file://{tmp_path}/{binary}", binary)
         assert near(again.search(asked, 5, probe=10)) == whole
-        some = near(again.search(asked, 5, probe=3))
-        assert len(some) == len(whole) and len(some & whole) >= 0.6 * len(whole)
+        assert again.folders == 3
+        probe = again.probes_for(0.95, 5, 500)
+        some = near(again.search(asked, 5, probe=probe))
+        assert len(some) == len(whole) and len(some & whole) >= 0.9 * len(whole) and 1 <= probe <= 8
+        # one query reads the folders of the lists it probes and no others
+        one = asked.where("protein_id = 11")
+        assert near(again.search(one, 5, probe=1)) <= near(again.search(one, 500)) and len(again.read) == 1
+        few = again.read_lists(again.centers.where("family_id = 'small' and list = 0").select("family_id", "list"))
+        assert re.search(r"PartitionFilters: \[[^\]]*bucket", few._jdf.queryExecution().executedPlan().toString()) and 0 < few.count() < 100
+        files = {r[0] for r in again.buckets.where(F.col("bucket").isin(again.read)).select(F.input_file_name()).distinct().collect()}
+        assert files and all(f"bucket={again.read[0]}/" in f for f in files)
+        assert near(again.search_family("small", asked.where("family_id = 'small'"), 5)) == near(again.search(asked.where("family_id = 'small'"), 5))
     assert index.family("small").count() == 100
     with pytest.raises(ValueError):
         index.family("none")
