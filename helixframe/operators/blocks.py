@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import Scratch, ship
 
 #: Rows of a block.
 BLOCK = 1024
@@ -185,3 +185,51 @@ def pairs(rows: DataFrame, least: float | None = None, block: int = BLOCK) -> Da
     v = v.select(*keys, F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "at", "protein_id", "v")
     kinds = dict(v.dtypes)
     return v.groupBy(*keys, "x", "y").applyInArrow(_pairs(least), f"graph {kinds['family_id']}, src {kinds['protein_id']}, dst {kinds['protein_id']}, weight double")
+
+
+def _ball(t: pa.Table) -> pa.Table:
+    """The unit mean of a block's directions and the widest angle from it to any of them."""
+    v = matrix(t.column("v"))
+    v = v / norms(v)[:, None]
+    mean = v.sum(axis=0)
+    size = float(np.sqrt(mean @ mean))
+    center = mean / size if size > 0 else v[0]
+    radius = float(np.arccos(np.clip(v @ center, -1, 1)).max())
+    return pa.table({"family_id": t.column("family_id").slice(0, 1), "dim": t.column("dim").slice(0, 1), "bid": t.column("bid").slice(0, 1), "center": pa.array([center.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius])})
+
+
+def near_pairs(rows: DataFrame, least: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` of at least ``least`` (over 0), and per family how many pairs of blocks there are and how many were compared.
+
+    Rows are dealt to blocks by their nearest pivot, a row in ``block`` being one by a hash of its id, so that blocks are
+    narrow where vectors lie close. No cosine of two blocks is larger than that of the angle between their means less both
+    radii, so pairs of blocks that cannot reach ``least`` are left out before any row is moved for them. Vectors without a
+    direction are in no pair.
+    """
+    if least <= 0:
+        raise ValueError("pairs of any angle are in reach of a threshold that is not over 0")
+    ship(rows.sparkSession)
+    work = Scratch(rows.sparkSession, "near")
+    keys = ("family_id", "dim")
+    v = rows.where("v is not null and family_id is not null").where(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) > 0)
+    v = v.select("protein_id", "family_id", "v", F.size("v").alias("dim"), F.xxhash64("protein_id").alias("hash"))
+    sizes = v.groupBy(*keys).agg(F.count("*").alias("n"), F.min("hash").alias("first"))
+    marked = v.join(sizes, [*keys]).where(((F.col("hash") / 2.0**64 + 0.5) * F.col("n") <= F.ceil(F.col("n") / block)) | (F.col("hash") == F.col("first")))
+    pivots = work.table(marked.select("protein_id", "family_id", "v"), "pivots")
+    cells = work.table(top(v.select(F.col("protein_id").alias("query_id"), "family_id", F.col("v").alias("q")), pivots, 1).select(F.col("query_id").alias("protein_id"), "family_id", F.col("protein_id").alias("cell")), "cells")
+    many = cells.groupBy("family_id", "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = cells.join(many, ["family_id", "cell"]).select("family_id", "protein_id", F.xxhash64("family_id", "cell", F.pmod(F.xxhash64("protein_id"), F.col("parts"))).alias("bid"))
+    placed = work.table(v.drop("hash").join(dealt, ["family_id", "protein_id"]), "placed")
+    kinds = dict(placed.dtypes)
+    balls = work.table(placed.groupBy(*keys, "bid").applyInArrow(_ball, f"family_id {kinds['family_id']}, dim int, bid long, center array<double>, radius double"), "balls")
+    other = balls.select(*(F.col(c).alias(c) for c in keys), F.col("bid").alias("y"), F.col("center").alias("far"), F.col("radius").alias("far_radius"))
+    met = balls.withColumnRenamed("bid", "x").join(other, [*keys]).where("x <= y")
+    cosine = F.aggregate(F.zip_with("center", "far", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) - F.col("radius") - F.col("far_radius")
+    reach = (F.col("x") == F.col("y")) | (F.cos(F.greatest(F.lit(0.0), gap - 1e-6)) >= least)
+    judged = work.table(met.select(*keys, "x", "y", reach.alias("reach")), "judged")
+    sides = judged.where("reach").select(*keys, "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("bid"))
+    loaded = sides.join(placed, [*keys, "bid"]).select(*keys, "x", "y", F.col("bid").alias("at"), "protein_id", "v")
+    found = loaded.groupBy(*keys, "x", "y").applyInArrow(_pairs(least), f"graph {kinds['family_id']}, src {kinds['protein_id']}, dst {kinds['protein_id']}, weight double")
+    report = judged.groupBy("family_id").agg(F.count("*").alias("block_pairs"), F.count_if("reach").alias("compared"))
+    return found, report

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import blocks as B
 from ..operators import families as A
 from ..operators import graph as G
 from ..operators import index as I
@@ -316,6 +317,18 @@ def threshold_edges(spark, sf):
     return G.edges_over(rows_of(spark, sf))
 
 
+@query(f"WITH {PAIRS} SELECT graph, src, dst, weight FROM pairs WHERE weight >= 0.3")
+def threshold_edges_pruned(spark, sf):
+    """Edges from blocks of near vectors, of which pairs out of reach are skipped."""
+    return B.near_pairs(rows_of(spark, sf), 0.3, 32)[0]
+
+
+@query()
+def threshold_block_report(spark, sf):
+    """Of each family the pairs of blocks, and those that had to be compared for a threshold of 0.8."""
+    return B.near_pairs(rows_of(spark, sf), 0.8, 32)[1]
+
+
 @query(f"""WITH {PAIRS}, ok AS (SELECT *, row_number() OVER (PARTITION BY graph, src ORDER BY weight DESC, dst) AS k FROM both_ways WHERE weight >= 0.5),
 lone AS (SELECT graph, src FROM both_ways GROUP BY 1, 2 HAVING max(weight) < 0.5),
 picked AS (SELECT graph, src, dst, weight FROM ok WHERE k <= 5 UNION ALL SELECT graph, src, dst, weight FROM ranked JOIN lone USING (graph, src) WHERE rank <= 5)

@@ -189,6 +189,21 @@ def test_blocks_of_pairs_change_nothing(spark):
     assert {r["rank"] for r in B.top(asked.where("query_id = 204"), df, 3).collect()} == {1}
 
 
+def test_pruned_pairs_are_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(12, 16))
+    data = [(i, i % 2, [float(x) for x in centers[i % 12] + 0.15 * rng.normal(size=16)]) for i in range(600)]
+    odd = [(900, 0, None), (901, 0, [0.0] * 16), (902, None, data[0][2]), (903, 1, [1.0, 2.0]), (904, 1, [1.0, 2.0]), (905, 7, data[3][2]), (906, 0, data[0][2]), (907, 0, data[0][2])]
+    df = spark.createDataFrame(data + odd, "protein_id long, family_id int, v array<double>").repartition(4)
+    got, report = B.near_pairs(df, 0.8, 16)
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(got) == key(B.pairs(df, 0.8)) and got.count() > 5000
+    shares = {r["family_id"]: r["compared"] / r["block_pairs"] for r in report.collect()}
+    assert shares[0] < 0.5 and shares[1] < 0.5
+    with pytest.raises(ValueError):
+        B.near_pairs(df, 0.0)
+
+
 @pytest.mark.parametrize("order", ["ascending", "random"])
 def test_components_of_long_paths(spark, order):
     ids = np.arange(3_000) if order == "ascending" else np.random.default_rng(1).permutation(3_000)
