@@ -32,6 +32,8 @@ class StageResult:
     output: dict[str, object] = field(default_factory=dict)
     seconds: float = 0.0
     error: str | None = None
+    #: Rows and bytes of each table that the stage has written.
+    written: dict[str, tuple[int, int]] = field(default_factory=dict)
 
 
 class Stage(ABC):
@@ -60,12 +62,17 @@ class Stage(ABC):
         began = time.monotonic()
         if missing := [n for n in self.needs if n not in tables]:
             return StageResult(False, error=f"{self.name} needs {', '.join(missing)}")
+        written: dict[str, tuple[int, int]] = {}
         try:
             output = self.run(spark, self.before(tables))
             work = Scratch(spark, self.name) if self.kept else None
-            result = StageResult(True, {n: work.table(v, n) if n in self.kept else v for n, v in output.items()})
+            for n in self.kept:
+                if n in output:
+                    output[n], *written[n] = work.measured(output[n], n)
+            result = StageResult(True, output)
         except Exception as e:  # a failed stage ends the run with its message
             result = StageResult(False, error=f"{self.name}: {e}")
+        result.written = {n: tuple(v) for n, v in written.items()}
         result.seconds = time.monotonic() - began
         return self.done(result)
 
@@ -313,15 +320,18 @@ class PipelineResult:
     tables: dict[str, object]
     seconds: dict[str, float]
     error: str | None = None
+    written: dict[str, dict[str, tuple[int, int]]] = field(default_factory=dict)
 
     def summary(self) -> dict[str, object]:
         n, failed = len(self.seconds), int(self.error is not None)
         return {"success": self.success, "stages": n, "total_seconds": sum(self.seconds.values()), "error": self.error, "success_rate": (n - failed) / n if n else 0.0}
 
     def steps(self) -> list[dict[str, object]]:
-        """Of each stage its seconds, whether it succeeded, and how many tables and other values it gave."""
+        """Of each stage its seconds, whether it succeeded, how many tables and other values it gave, and the rows and bytes of
+        those that it wrote, as the writing itself counted them; a failed stage has what it wrote before."""
         last = list(self.seconds)[-1:] if self.error is not None else []
-        return [{"stage": n, "seconds": s, "success": n not in last, "outputs": sum(g in self.tables for g in get_stage(n).gives)} for n, s in self.seconds.items()]
+        sums = {n: [sum(x) for x in zip(*self.written.get(n, {}).values())] or [0, 0] for n in self.seconds}
+        return [{"stage": n, "seconds": s, "success": n not in last, "outputs": sum(g in self.tables for g in get_stage(n).gives), "rows": sums[n][0], "bytes": sums[n][1]} for n, s in self.seconds.items()]
 
 
 def execution_order(names: tuple[str, ...]) -> list[str]:
@@ -349,12 +359,13 @@ def run_pipeline(spark: SparkSession, config: PipelineConfig, **tables: object)
     """Run the configured stages; ``tables`` may give ``families``, ``centroids`` and others ready-made."""
     config.check()
     seconds: dict[str, float] = {}
+    written: dict[str, dict[str, tuple[int, int]]] = {}
     for name in execution_order(config.stages):
         result = get_stage(name)(config).execute(spark, tables)
-        seconds[name] = result.seconds
+        seconds[name], written[name] = result.seconds, result.written
         if not result.success:
-            return PipelineResult(False, tables, seconds, result.error)
+            return PipelineResult(False, tables, seconds, result.error, written)
         tables |= result.output
         if name == config.stop_after_stage:
             break
-    return PipelineResult(True, tables, seconds)
+    return PipelineResult(True, tables, seconds, None, written)

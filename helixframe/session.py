@@ -9,7 +9,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -67,7 +68,17 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def measured(self, df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+        """``table`` with its rows, counted as they are written, and the bytes of its files."""
+        seen = Observation()
+        out = self.table(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+        fs, at = self._files(name)
+        return out, seen.get["rows"], fs.getContentSummary(at).getLength()
+
+    def _files(self, name: str | None):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
     def drop(self, name: str | None = None) -> None:
-        path = f"{self.path}/{name}" if name else self.path
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        fs, at = self._files(name)
+        fs.delete(at, True)

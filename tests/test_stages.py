@@ -8,6 +8,7 @@ from helixframe.operators import families as A
 from helixframe.plans.config import PipelineConfig
 from helixframe.plans.stages import REGISTRY, execution_order, get_stage, run_pipeline
 from helixframe.sources import records as R
+from helixframe.plans import stages
 from helixframe.streaming.search import search_stream
 
 S1 = "MKTAYIAKQRQISFVKSHFSRQDILDLWIYHTQGYFPQ"
@@ -56,6 +57,25 @@ def test_stops_and_fails(spark, world):
     assert not run_pipeline(spark, PipelineConfig("Other", records)).success
 
 
+def test_steps_count_what_they_write(spark, world):
+    @stages.stage
+    class Halves(stages.Stage):
+        name, needs, gives, kept = "halves", (), ("first", "second"), ("first", "second")
+
+        def run(self, spark, tables):
+            return {"first": spark.range(7).toDF("x"), "second": spark.range(3).selectExpr("raise_error('no') as x") if tables.get("bad") else spark.range(5).toDF("x")}
+
+    try:
+        for bad in (False, True):
+            r = stages.get_stage("halves")(PipelineConfig()).execute(spark, {"bad": bad})
+            assert r.success != bad and r.written["first"][0] == 7 and r.written["first"][1] > 100
+            assert r.written.keys() == ({"first"} if bad else {"first", "second"})
+            out = stages.PipelineResult(r.success, r.output, {"halves": r.seconds}, r.error, {"halves": r.written})
+            assert out.steps()[0]["rows"] == (7 if bad else 12) and out.steps()[0]["success"] != bad
+    finally:
+        stages.REGISTRY.pop("halves")
+
+
 def test_registry():
     assert execution_order(("similarity_search", "data_extraction", "input_validation")) == ["input_validation", "data_extraction", "similarity_search"]
     assert len(REGISTRY) == 14
