@@ -187,8 +187,8 @@ def db_links(spark, sf):
     return docs.select(F.col("doc_id").alias("protein_id"), F.explode(S.database_links(pid)).alias("database", "url"))
 
 
-@query("""WITH d AS (SELECT doc_id, NULL AS pdb_id, 'https://www.uniprot.org/uniprot/' || doc_id AS uniprot FROM documents)
-SELECT count(pdb_id) / count(*)::DOUBLE AS pdb_id, count(uniprot) / count(*)::DOUBLE AS uniprot FROM d""")
+@query(f"""WITH l(database, by_id, base) AS (VALUES {_LINKS}), d AS (SELECT doc_id, list(database) AS known FROM documents, l GROUP BY doc_id)
+SELECT avg(CASE WHEN list_contains(known, 'pdb_id') THEN 1.0 ELSE 0.0 END) AS pdb_id, avg(CASE WHEN list_contains(known, 'uniprot') THEN 1.0 ELSE 0.0 END) AS uniprot FROM d""")
 def database_coverage(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     return T.coverage(docs.select(S.database_links(F.col("doc_id").cast("string")).alias("links")), ["pdb_id", "uniprot"])

@@ -11,9 +11,11 @@ from . import __version__
 from .functions import embedding as E
 from .functions import vectors as V
 from .operators import families as A
+from .operators import graph as G
 from .operators import search as Q
 from .plans.config import PipelineConfig
 from .plans.stages import PipelineResult, run_pipeline
+from .session import Scratch
 
 
 def check_existence(ids: DataFrame, proteins: DataFrame) -> DataFrame:
@@ -37,6 +39,21 @@ def find_top_matches(queries: DataFrame, proteins: DataFrame, k: int = 10) -> tu
     return matches, Q.stats(matches)
 
 
+def analyze_network(proteins: DataFrame, method: str = "mutual_knn", k: int = 8, threshold: float = 0.1) -> dict[str, DataFrame]:
+    """All that is known of the graph of each family of (protein_id, family_id, v): ``nodes`` and ``edges`` (written once), ``properties`` of
+    each graph with its communities and their modularity, and ``statistics`` of each node (degree, triangles, clustering,
+    component, community, centralities; nodes without edges have centralities of 0)."""
+    work = Scratch(proteins.sparkSession, "network")
+    nodes, edges = G.build(proteins, method, k, threshold)
+    nodes, edges = work.table(nodes, "nodes"), work.table(edges, "edges")
+    parts = work.table(G.communities(nodes, edges), "communities")
+    quality = G.modularity(parts.withColumnRenamed("community", "component"), edges).select("graph", "n_communities", "modularity")
+    central = G.centralities(edges)
+    own = [c for c in central.columns if c not in ("graph", "id")]
+    nodewise = G.clustering(nodes, edges).join(G.components(nodes, edges), ["graph", "id"]).join(parts, ["graph", "id"]).join(central, ["graph", "id"], "left")
+    return {"nodes": nodes, "edges": edges, "properties": G.properties(nodes, edges).join(quality, "graph"), "statistics": work.table(nodewise.fillna(0, own), "statistics")}
+
+
 def summarize(**tables: DataFrame) -> dict[str, object]:
     """Columns and number of rows of each table."""
     return {"count": len(tables), "columns": {name: df.columns for name, df in tables.items()}, "rows": {name: df.count() for name, df in tables.items()}}

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from helixframe import service
 from helixframe.operators import graph as G
 from helixframe.operators import networks as N
 
@@ -160,3 +161,19 @@ def test_measures_of_no_edges(spark):
     nodes, none = spark.createDataFrame([("g", 1)], "graph string, id long"), spark.createDataFrame([], EDGES)
     assert N.centralities(none).collect() == [] and N.path_lengths(none).collect() == [] and N.path_sketch(none).collect() == []
     assert [tuple(r) for r in N.communities(nodes, none).collect()] == [("g", 1, 1)] and G.triangles(none).collect() == []
+
+
+def test_one_call_gives_the_whole_analysis(spark):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, i % 2, [float(x) for x in rng.normal(size=6)]) for i in range(40)] + [(99, 5, [1.0] * 6)], "protein_id long, family_id int, v array<double>")
+    out = service.analyze_network(rows, k=4)
+    per = {r["graph"]: r for r in out["properties"].collect()}
+    nodes = out["statistics"].collect()
+    assert len(nodes) == out["nodes"].count() == 41 and set(per) == {0, 1, 5}
+    for g in (0, 1):
+        own = [r for r in nodes if r["graph"] == g]
+        assert sum(r["degree"] for r in own) == 2 * per[g]["n_edges"] and len({r["community"] for r in own}) == per[g]["n_communities"]
+        assert len({r["component"] for r in own}) == per[g]["n_components"] and per[g]["avg_clustering"] == pytest.approx(np.mean([r["clustering"] for r in own]))
+        assert max(r["eccentricity"] for r in own) >= per[g]["diameter"] and sum(r["eigenvector"] ** 2 for r in own) == pytest.approx(1)
+    lone = next(r for r in nodes if r["id"] == 99)
+    assert (lone["degree"], lone["community"], lone["betweenness"], lone["eccentricity"]) == (0, 99, 0.0, 0)
