@@ -229,7 +229,7 @@ def _ritz(depth: int):
     return run
 
 
-def eigenvector(edges: DataFrame, cycles: int = 8, tolerance: float = 1e-7, depth: int = 8) -> DataFrame:
+def eigenvector(edges: DataFrame, cycles: int = 8, tolerance: float = 1e-6, depth: int = 8) -> DataFrame:
     """(graph, id, eigenvector): the main eigenvector of each graph's adjacency, of length 1, by restarted Krylov steps.
 
     A cycle multiplies by the adjacency ``depth`` times, each time a join and a sum, and takes the best combination of the
