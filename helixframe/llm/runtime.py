@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, ship
 
-#: Largest side, in bytes, that a join may broadcast; larger sides are shuffled.
-BROADCAST_LIMIT = 32 << 20
+#: Largest side, in bytes, that an operator has broadcast by itself. None is: every join has one plan at every size of the input,
+#: and what Spark broadcasts by its own limit is Spark's choice. Callers who know their sizes may give operators another limit.
+BROADCAST_LIMIT = 0
 
 #: Rows and bytes of an Arrow batch of texts; both bound what a Python worker holds.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
