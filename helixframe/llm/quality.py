@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import pick, prepare
+from .runtime import Scratch, pick, prepare
 from .text import Words
 
 BITS = 18
@@ -149,12 +149,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least_docs:
     rated = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").cast("long").alias("doc_id"), "grade")
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text")
     got, size = [], 0
-    for r in rows.mapInArrow(_featurise, "doc_id long, grade int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "x").toLocalIterator():
+    work = Scratch(docs.sparkSession, "quality")
+    # a range sort samples its input, so features are written before they are put in order
+    made = work.table(rows.mapInArrow(_featurise, "doc_id long, grade int, x binary"), "features")
+    for r in made.orderBy(F.xxhash64("doc_id"), "doc_id", "x").toLocalIterator():
         size += len(r["x"])
         if size > sample_bytes:
             break
         if len(r["x"]):
             got.append((r["grade"], np.frombuffer(r["x"], dtype=np.int32)))
+    work.drop("features")
     got.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     return CumulativeLink.fit([x for _, x in got], np.array([g for g, _ in got], dtype=np.int64), least_docs)
 
