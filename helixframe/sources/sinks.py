@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .matrix import read_matrix
 
 VECTOR_TYPES = ("array<float>", "array<double>", "array<tinyint>")
 
@@ -101,13 +101,13 @@ def load_families(spark: SparkSession, path: str, families: list[str]) -> DataFr
 
 
 def load_centroids(spark: SparkSession, path: str) -> DataFrame:
-    """(family_id, centroid, representative): Parquet, or a NumPy archive of family_ids, centroids and eigenprotein_ids, which
-    the driver holds."""
+    """(family_id, centroid, representative): Parquet, or a NumPy archive of family_ids, centroids and eigenprotein_ids, whose members
+    are read by ranges of rows and meet by row number."""
     if not path.endswith(".npz"):
         return spark.read.parquet(path)
-    with np.load(path.removeprefix("file://"), allow_pickle=False) as z:
-        rows = list(zip(map(str, z["family_ids"]), z["centroids"].astype(float).tolist(), map(str, z["eigenprotein_ids"])))
-    return spark.createDataFrame(rows, "family_id string, centroid array<double>, representative string")
+    part = lambda member, name, kind: read_matrix(spark, path, member).select("row", F.col("value").cast(kind).alias(name))
+    rows = part("family_ids", "family_id", "string").join(part("centroids", "centroid", "array<double>"), "row")
+    return rows.join(part("eigenprotein_ids", "representative", "string"), "row").drop("row")
 
 
 def save_page(html: str, name: str, folder: str) -> str:
@@ -137,6 +137,14 @@ def save_embeddings(vectors: DataFrame, path: str, metadata: DataFrame | None =
         metadata.join(vectors.select("protein_id"), "protein_id", "left_semi").write.mode("overwrite").option("header", True).csv(f"{path}/metadata")
 
 
+def load_matrix(spark: SparkSession, path: str, ids: DataFrame | None = None, member: str | None = None) -> DataFrame:
+    """Vectors (protein_id, embedding) of a NumPy file: ``ids`` gives (row, protein_id); without it the row number is the id."""
+    rows = read_matrix(spark, path, member).select("row", F.col("value").alias("embedding"))
+    if ids is None:
+        return rows.select(F.col("row").cast("string").alias("protein_id"), "embedding")
+    return rows.join(ids.select("row", "protein_id"), "row").select("protein_id", "embedding")
+
+
 def load_embeddings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
     """What ``save_embeddings`` has written: vectors, and metadata if there are any."""
     meta = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
