@@ -83,20 +83,25 @@ def existence(queries: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def ordinals(rows: DataFrame, by: str = "protein_id", per: str | None = None) -> DataFrame:
-    """Places from 0 in the order of ``by``, within each ``per`` if one is given.
+    """Places from 0 in the order of ``by``, within each ``per`` if one is given (null is a value of its own).
 
-    Without ``per`` the order is global: rows are range-partitioned, sorted and numbered, and each partition adds the
-    number of rows before it, so that no task sees more than its own part.
+    Rows are range-partitioned, sorted and numbered, and each partition adds the number of rows before it, so that no task
+    sees more than its own part, however many rows one value of ``per`` has. Rows of equal ``by`` get places in any order.
     """
-    if per:
-        return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(per).orderBy(by)) - 1)
-    placed = rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id())
+    keys = [per, by] if per else [by]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
     placed = placed.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
     # written, so that the sizes are those of the very partitions that were numbered
     placed = Scratch(rows.sparkSession, "ordinals").table(placed, "placed")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
-    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
-    return placed.join(F.broadcast(before), "_part").withColumn("ordinal", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    if not per:
+        sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
+        before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+        return placed.join(F.broadcast(before), "_part").withColumn("ordinal", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    # a row for each value of ``per`` and partition that has it: a place in the partition becomes one among the value's rows
+    sizes = placed.groupBy(F.col(per).alias("_per"), F.col("_part").alias("_in")).agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = sizes.select("_per", "_in", (F.sum("n").over(Window.partitionBy("_per").orderBy("_in")) - F.col("n") - F.col("_first")).alias("_shift"))
+    found = placed.join(before, (F.col("_part") == F.col("_in")) & F.col(per).eqNullSafe(F.col("_per")))
+    return found.withColumn("ordinal", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_per", "_in", "_shift")
 
 
 def slice_rows(rows: DataFrame, start: int, end: int) -> DataFrame:

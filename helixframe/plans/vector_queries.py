@@ -240,7 +240,7 @@ def metadata_semi(spark, sf):
 
 @query("SELECT protein_id, family_id, ordinal FROM (SELECT vec_id AS protein_id, label AS family_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS ordinal FROM embeddings) WHERE ordinal BETWEEN 10 AND 29")
 def slice_scan(spark, sf):
-    return A.slice_rows(rows_of(spark, sf), 10, 30).select("protein_id", "family_id", "ordinal")
+    return A.slice_rows(rows_of(spark, sf), 10, 30).select("protein_id", "family_id", F.col("ordinal").cast("int").alias("ordinal"))
 
 
 @query("SELECT family_id, CAST(floor(o / 50) AS BIGINT) AS batch, count(*) AS n FROM (SELECT label AS family_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS o FROM embeddings) GROUP BY ALL")

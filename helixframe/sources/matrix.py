@@ -6,9 +6,9 @@ megabytes at a time, so a file may be larger than any machine's memory. Files ar
 ``s3``, ``gs``; a plain path is one that driver and tasks share).
 
 Cases: rows stored column by column are read by one range a column; members that are compressed cannot be entered in the middle,
-so one task streams each of them (by rows only: a compressed matrix stored column by column raises ValueError); empty matrices give no rows; NaN and infinite values are kept; arrays of objects, of complex
-numbers, without a dimension or with more than two raise ValueError, and so do files of one folder that differ in type or width
-and files that end early.
+so one task streams each of them by rows (one stored column by column raises ValueError); empty matrices give no rows; NaN and
+infinite values are kept; arrays of objects, of complex numbers, without a dimension or with more than two raise ValueError, and
+so do files of one folder that differ in type or width and files that end early.
 """
 
 from __future__ import annotations

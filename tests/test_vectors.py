@@ -164,6 +164,20 @@ def test_slices_and_batches(spark):
     assert all(r["ordinal"] == r["protein_id"] for r in got) and len(got) == 200
 
 
+def test_ordinals_within_families(spark):
+    """A family of most rows, small ones, a null one and an empty table; no window holds a family's rows."""
+    rows = [(i, None if i % 50 == 0 else f"f{i % 50}" if i % 50 < 6 else "hot") for i in range(3000)]
+    df = spark.createDataFrame(rows, "protein_id long, family_id string")
+    out = A.ordinals(df.repartition(9, F.rand(5)), per="family_id")
+    want, seen = {}, {}
+    for i, family in rows:
+        want[i] = (family, seen.get(family, 0))
+        seen[family] = seen.get(family, 0) + 1
+    assert {r["protein_id"]: (r["family_id"], r["ordinal"]) for r in out.collect()} == want
+    assert out.columns == ["protein_id", "family_id", "ordinal"]
+    assert A.ordinals(df.where("protein_id < 0"), per="family_id").collect() == []
+
+
 def test_blocks_of_pairs_change_nothing(spark):
     """Groups of more rows than a block, repeated vectors, other lengths and missing ones."""
     rng = np.random.default_rng(5)
