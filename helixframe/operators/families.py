@@ -153,6 +153,7 @@ def concatenated(*sources: DataFrame, key: str = "protein_id") -> DataFrame:
     for s in every[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
     others = [c for c in out.columns if c not in (key, "_source") and not c.startswith("_")]
-    place = F.row_number().over(Window.partitionBy(key).orderBy("_source", *others[:1]))
-    named = F.when(F.col("_place") == 1, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("_"), F.col("_place")))
-    return out.withColumn("_place", place).withColumn(key, named).drop("_place", "_source")
+    # an id may be that of many rows, so the places are not a window's
+    out = ordinals(out.withColumn("_by", F.struct("_source", *others[:1])), by="_by", per=key)
+    named = F.when(F.col("ordinal") == 0, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("_"), F.col("ordinal") + 1))
+    return out.withColumn(key, named).drop("ordinal", "_by", "_source")

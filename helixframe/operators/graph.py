@@ -172,7 +172,9 @@ def trim_to_query(nodes: DataFrame, edges: DataFrame, queries: DataFrame, most:
     near = both_ways(edges).join(queries.select("graph", F.col("query_id").alias("src")), ["graph", "src"], "left_semi").select("graph", F.col("dst").alias("id")).distinct().withColumn("near", F.lit(1))
     d = d.join(near, ["graph", "id"], "left").withColumn("tier", F.when(F.col("id") == F.col("query_id"), 2).otherwise(F.coalesce("near", F.lit(0))))
     order = Window.partitionBy("graph").orderBy(F.desc("tier"), F.desc("degree"), "id")
-    return d.withColumn("place", F.row_number().over(order)).where((F.col("place") <= most) | (F.col("tier") > 0)).select("graph", "id", "degree", "tier")
+    # a limit on the place alone lets tasks cut a large graph before its rows meet
+    others = d.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).where("tier = 0").drop("place")
+    return d.where("tier > 0").unionByName(others).select("graph", "id", "degree", "tier")
 
 
 def valid_nodes(nodes: DataFrame, col: str = "id") -> DataFrame:

@@ -178,6 +178,23 @@ def test_ordinals_within_families(spark):
     assert A.ordinals(df.where("protein_id < 0"), per="family_id").collect() == []
 
 
+def test_an_id_of_many_records(spark):
+    a = spark.createDataFrame([("x", f"{i:04d}") for i in range(700)] + [("y", "s")], "protein_id string, sequence string")
+    b = spark.createDataFrame([("x", "0000"), (None, "t"), (None, "u")], "protein_id string, sequence string")
+    got = {r["protein_id"]: r["sequence"] for r in A.concatenated(a.repartition(5), b).where("protein_id is not null").collect()}
+    assert got == {"x": "0000", "y": "s", "x_701": "0000"} | {f"x_{i + 1}": f"{i:04d}" for i in range(1, 700)}
+
+
+def test_trimming_a_star(spark):
+    """A hub with more neighbours than are wanted keeps all of them when it is the query, and the best otherwise."""
+    nodes = spark.range(301).select(F.lit("g").alias("graph"), F.col("id"))
+    edges = spark.range(1, 301).select(F.lit("g").alias("graph"), F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+    ask = lambda q: sorted(r["id"] for r in G.trim_to_query(nodes, edges, spark.createDataFrame([("g", q)], "graph string, query_id long"), 20).collect())
+    assert ask(0) == list(range(301))
+    assert ask(7) == list(range(20))
+    assert ask(250) == [*range(19), 250]
+
+
 def test_blocks_of_pairs_change_nothing(spark):
     """Groups of more rows than a block, repeated vectors, other lengths and missing ones."""
     rng = np.random.default_rng(5)
