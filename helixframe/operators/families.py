@@ -1,17 +1,23 @@
 """Family tables: centroids, medoids, assignment by binarized centroids, lookups and re-sharding.
 
 Proteins are (protein_id, family_id, v), v an array of doubles; centroids are (family_id, ordinal, centroid, bits,
-medoid_id). Centroids are as many as families, and are broadcast only up to ``CENTROID_LIMIT`` bytes.
+medoid_id). Centroids are as many as families, and are sent to executors in parts of at most ``CENTROID_LIMIT`` bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions import vectors as V
-from ..session import Scratch
+from ..session import Scratch, ship
 
 CENTROID_LIMIT = 64 << 20
 
@@ -52,28 +58,122 @@ def small(cents: DataFrame) -> DataFrame:
     return F.broadcast(cents) if n * (dim or 0) * 9 <= CENTROID_LIMIT else cents
 
 
-def assign(rows: DataFrame, cents: DataFrame, min_confidence: float | None = None, limit: int = CENTROID_LIMIT, written: bool = False) -> DataFrame:
-    """(protein_id, assigned, hamming, confidence): the family whose centroid bits differ least, ties to the smaller family.
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of 0 and 1 as 64-bit words, padded with zeros."""
+    packed = np.packbits(bits.astype(bool), axis=1)
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The lengths of a column's bit arrays, with the places and the words of those of each; null and empty ones are left out."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == dim)
+        flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        yield dim, at, _words(flat.reshape(len(at), dim))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for dim, at, words in _by_length(batch.column("bits")):
+            yield pa.RecordBatch.from_arrays([batch.column("family_id").take(pa.array(at)), pa.array([dim] * len(at), pa.int32()), pa.array([w.tobytes() for w in words], pa.binary())], ["family_id", "dim", "words"])
+
+
+class Signs:
+    """The bits of centroids (family_id, bits), packed and written once, in blocks of at most ``limit`` bytes.
+
+    Centroids without a family or bits are left out. A stream makes them once and gives them to ``assign`` with every batch.
+    """
 
-    All centroids are compared in one pass over a broadcast array of them, without a row for each pair. Centroids of more
-    than ``limit`` bytes are dealt to several arrays, each within the limit, and the best of all counts. The centroids are
-    written first, so that they are computed once, unless they are a table already (``written``).
+    def __init__(self, cents: DataFrame, limit: int = CENTROID_LIMIT):
+        self.spark = cents.sparkSession
+        ship(self.spark)
+        known = cents.select("family_id", "bits").where("family_id is not null and bits is not null")
+        self.kind = dict(known.dtypes)["family_id"]
+        packed = known.mapInArrow(_packed, f"family_id {self.kind}, dim int, words binary")
+        seen = Observation()
+        size = F.sum(F.octet_length("words") + F.octet_length(F.col("family_id").cast("string")) + 16)
+        self.table = Scratch(self.spark, "centroids").table(packed.observe(seen, size.alias("size")), "bits")
+        self.blocks = max(1, -(-(seen.get["size"] or 0) // limit))
+        self._only = None
+
+    def sent(self, i: int) -> Broadcast:
+        """Block ``i`` on its way to the executors: for each length of vectors the families in order and their words. A block
+        that is the only one is sent once."""
+        if self._only is not None:
+            return self._only
+        found = self.table.where(F.pmod(F.xxhash64("family_id"), F.lit(self.blocks)) == i).toArrow().sort_by("family_id")
+        sizes = found.column("dim").to_numpy()
+        block = {}
+        for dim in np.unique(sizes).tolist():
+            own = found.filter(pa.array(sizes == dim))
+            words = np.frombuffer(b"".join(own.column("words").to_pylist()), dtype=np.uint64)
+            block[dim] = own.column("family_id").combine_chunks(), words.reshape(own.num_rows, -1)
+        out = self.spark.sparkContext.broadcast(block)
+        if self.blocks == 1:
+            self._only = out
+        return out
+
+
+#: Differences that a task holds at a time.
+_HELD = 1 << 21
+
+
+def _nearer(sent: Broadcast):
+    """Rows whose best family so far gives way to one of a block, if that differs in fewer places or has the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, family = batch.column("hamming"), batch.column("assigned")
+            for dim, at, words in _by_length(batch.column("_bits")):
+                if dim not in sent.value:
+                    continue
+                ids, known = sent.value[dim]
+                near, least = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int32)
+                step = max(1, _HELD // len(ids))
+                for i in range(0, len(at), step):
+                    differ = np.zeros((len(words[i : i + step]), len(ids)), dtype=np.int32)
+                    for mine, theirs in zip(words[i : i + step].T, known.T):
+                        differ += np.bitwise_count(mine[:, None] ^ theirs[None, :])
+                    near[i : i + step] = differ.argmin(axis=1)  # ids ascend, so ties go to the smaller
+                    least[i : i + step] = np.take_along_axis(differ, near[i : i + step, None], 1)[:, 0]
+                new, h, there = ids.take(pa.array(near)), pa.array(least), pa.array(at)
+                old_h, old = best.take(there), family.take(there)
+                wins = pc.or_kleene(pc.less(h, old_h), pc.and_kleene(pc.equal(h, old_h), pc.less(new, old)))
+                wins = pc.fill_null(wins, True)  # nothing so far
+                mask = np.zeros(batch.num_rows, dtype=bool)
+                mask[at] = wins.to_numpy(zero_copy_only=False)
+                best = pc.replace_with_mask(best, pa.array(mask), h.filter(wins))
+                family = pc.replace_with_mask(family, pa.array(mask), new.filter(wins))
+            columns = {**{n: batch.column(n) for n in batch.schema.names}, "hamming": best, "assigned": family}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
+
+
+def assign(rows: DataFrame, cents: DataFrame | Signs, min_confidence: float | None = None, limit: int = CENTROID_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(protein_id, assigned, hamming, confidence, and the columns ``keep``): the family whose centroid bits differ least, ties to
+    the smaller family; its columns' names are not those of ``keep``.
+
+    Packed centroids go to the executors, and batches of rows are compared with all of them where they are: no row is shuffled,
+    and there is none for a pair. Centroids of more than ``limit`` bytes make several passes with a block each; what a
+    pass finds is written before the next block is sent, so that one block is held at a time. A vector meets centroids of its
+    own length; one that has none, or is null or empty, is assigned to no family with null scores.
     """
-    if not written:
-        cents = Scratch(rows.sparkSession, "centroids").table(cents.select("family_id", "bits"), "bits")
-    n, dim = cents.agg(F.count("*"), F.max(F.size("bits"))).head()
-    blocks = max(1, -(-n * ((dim or 0) + 32) // limit))
-    best = []
-    out = rows.withColumn("b", V.bits(F.col("v")))
-    for i in range(blocks):
-        part = cents.where(F.pmod(F.xxhash64("family_id"), F.lit(blocks)) == i)
-        table = part.agg(F.array_sort(F.collect_list(F.struct(F.col("family_id").alias("family_id"), "bits"))).alias(f"all{i}"))
-        out = out.crossJoin(F.broadcast(table))
-        best.append(F.array_min(F.transform(f"all{i}", lambda c: F.struct(V.hamming(F.col("b"), c["bits"]).alias("h"), c["family_id"].alias("family_id")))))
-    out = out.withColumn("best", F.array_min(F.array(*best)))
-    conf = 1 - F.col("best.h") / F.size("b")
-    family = F.col("best.family_id") if min_confidence is None else F.when(conf >= min_confidence, F.col("best.family_id"))
-    return out.select("protein_id", family.alias("assigned"), F.col("best.h").alias("hamming"), conf.alias("confidence"))
+    signs = cents if isinstance(cents, Signs) else Signs(cents, limit)
+    out = rows.select("protein_id", *keep, V.bits(F.col("v")).alias("_bits"), F.lit(None).cast("int").alias("hamming"), F.lit(None).cast(signs.kind).alias("assigned"))
+    work = Scratch(rows.sparkSession, "assigned") if signs.blocks > 1 else None
+    for i in range(signs.blocks):
+        sent = signs.sent(i)
+        out = out.mapInArrow(_nearer(sent), out.schema)
+        if work:
+            out = work.table(out, f"pass-{i}")
+            sent.destroy()
+            if i:
+                work.drop(f"pass-{i - 1}")
+    conf = 1 - F.col("hamming") / F.nullif(F.size("_bits"), F.lit(0))
+    family = F.col("assigned") if min_confidence is None else F.when(conf >= min_confidence, F.col("assigned"))
+    return out.select("protein_id", family.alias("assigned"), "hamming", conf.alias("confidence"), *keep)
 
 
 def existence(queries: DataFrame, rows: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ SELECT query_id, protein_id, similarity, CAST(rank AS INT) AS rank FROM r WHERE
 def flagship(spark, sf):
     """For every protein: assign its family, then the ten most similar members of that family."""
     rows = rows_of(spark, sf)
-    queries = A.assign(rows, A.centroids(rows)).join(rows.select("protein_id", "v"), "protein_id").select("protein_id", F.col("assigned").alias("family_id"), "v")
+    queries = A.assign(rows, A.centroids(rows), keep=("v",)).select("protein_id", F.col("assigned").alias("family_id"), "v")
     return S.within_family(queries, rows, k=10)
 
 

@@ -96,6 +96,30 @@ def test_families(rows):
     assert {r["assigned"] for r in A.assign(df, A.centroids(df), 1.1).collect()} == {None}
 
 
+@pytest.mark.parametrize("limit", [A.CENTROID_LIMIT, 200])
+def test_assignment_of_any_vectors(spark, limit):
+    """Families by name, vectors of several lengths, ties, repeated rows, and rows that have no centroid to meet."""
+    rng = np.random.default_rng(8)
+    known = [(f"f{i:02d}", [int(x) for x in rng.integers(0, 2, size=(5, 70)[i % 2])]) for i in range(24)]
+    known += [("e1", known[0][1]), (None, [1] * 5), ("none", None), ("empty", [])]
+    vectors = [[float(x) for x in rng.normal(size=(5, 70)[i % 2])] for i in range(60)]
+    vectors += [vectors[0], [1.0, None, float("nan"), -0.0, float("inf")], [1.0, 2.0], [], None]
+    rows = spark.createDataFrame([(i, v, "x") for i, v in enumerate(vectors)], "protein_id long, v array<double>, hidden string")
+    cents = spark.createDataFrame(known, "family_id string, bits array<tinyint>")
+    got = {r["protein_id"]: r for r in A.assign(rows, cents, limit=limit, keep=("hidden",)).collect()}
+    assert len(got) == len(vectors) and {r["hidden"] for r in got.values()} == {"x"}
+    for i, v in enumerate(vectors):
+        b = [int(x is not None and not x <= 0) for x in v or []]
+        best = min(((sum(x != y for x, y in zip(b, c)), f) for f, c in known if f and c and len(c) == len(b)), default=(None, None))
+        assert (got[i]["hamming"], got[i]["assigned"]) == best
+        assert got[i]["confidence"] == (None if best[0] is None else 1 - best[0] / len(b))
+    signs = A.Signs(cents, limit)
+    assert (signs.blocks > 1) == (limit == 200)
+    assert A.assign(rows.limit(0), signs).count() == 0
+    none = A.assign(rows, cents.limit(0)).collect()
+    assert len(none) == len(vectors) and {r["assigned"] for r in none} == {None}
+
+
 def test_search(rows):
     df, data = rows
     v = {i: np.array(x) for i, _, x in data}
