@@ -70,12 +70,16 @@ def distribution(values: DataFrame, col: str) -> DataFrame:
     return values.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"), F.stddev_pop(col).alias("std")).withColumn("median", F.lit(median).cast("double"))
 
 
+#: Bins of lengths, in order.
+LENGTHS = ("0-100", "101-200", "201-500", "501-1000", ">1000")
+
+
 def length_bin(length: Column) -> Column:
     """Right-closed bins up to 100, 200, 500 and 1000, and the rest."""
-    out = F.when(length <= 100, "0-100")
-    for low, high in ((101, 200), (201, 500), (501, 1000)):
-        out = out.when(length <= high, f"{low}-{high}")
-    return out.otherwise(">1000")
+    out = F.when(length <= 100, LENGTHS[0])
+    for most, name in zip((200, 500, 1000), LENGTHS[1:]):
+        out = out.when(length <= most, name)
+    return out.otherwise(LENGTHS[-1])
 
 
 def length_histogram(values: DataFrame, col: str) -> DataFrame:

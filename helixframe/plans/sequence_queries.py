@@ -250,11 +250,18 @@ dash AS (SELECT p.protein_id, coalesce(CAST(assigned AS VARCHAR), 'Unknown') AS
 FROM p LEFT JOIN a ON a.protein_id = p.protein_id LEFT JOIN found ON query_id = p.protein_id LEFT JOIN gs ON gs.graph = assigned)"""
 
 
-def _dashboard(spark, sf):
+def _sizes(spark, sf):
     rows = rows_of(spark, sf)
     nodes, near = rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id")), G.nearest(rows)
-    sizes = G.density(nodes, G.mutual(near))
-    return T.dashboard(rows.select("protein_id"), A.assign(rows, A.centroids(rows)), Q.within_family(rows, rows, 50, 0.1), sizes)
+    return G.density(nodes, G.mutual(near))
+
+
+def _dashboard(spark, sf, lengths=False):
+    rows = rows_of(spark, sf)
+    records = rows.select("protein_id")
+    if lengths:
+        records = records.join(seqs(spark, sf).select("protein_id", F.length("seq").alias("length")), "protein_id", "left")
+    return T.dashboard(records, A.assign(rows, A.centroids(rows)), Q.within_family(rows, rows, 50, 0.1), _sizes(spark, sf))
 
 
 @query(f"WITH {DASH} SELECT * FROM dash")
@@ -274,9 +281,39 @@ def chart_heights(spark, sf):
 
 @query(f"WITH {DASH.split('sim AS')[0].rstrip().rstrip(',')} SELECT graph, n_edges / greatest(n_nodes, 1) AS edges_per_node, 2 * n_edges / greatest(n_nodes, 1) AS avg_degree FROM gs")
 def edge_ratios(spark, sf):
+    return W.edge_ratios(_sizes(spark, sf))
+
+
+LONG = f"{D}, {DASH}, long AS (SELECT dash.*, length(seq) AS length FROM dash LEFT JOIN s USING (protein_id))"
+
+
+@query(f"""WITH {LONG} SELECT count(*) AS proteins, count(DISTINCT family) FILTER (family <> 'Unknown') AS families, {mic('avg(length)')} AS length_micro, {mic('avg(confidence)')} AS confidence_micro,
+{mic('avg(n_similar)')} AS similar_micro, {mic('avg(n_nodes)')} AS network_micro FROM long""")
+def dashboard_summary(spark, sf):
+    """Sequences are those of the documents with the ids of the vectors."""
+    out = W.summary(_dashboard(spark, sf, lengths=True))
+    means = (("length", "avg_length"), ("confidence", "avg_confidence"), ("similar", "avg_similar"), ("network", "avg_network_size"))
+    return out.select("proteins", "families", *(micro(F.col(c)).alias(f"{n}_micro") for n, c in means))
+
+
+@query(f"""WITH {LONG}, v AS (SELECT 'confidence' AS kind, confidence AS x FROM long UNION ALL SELECT 'similarity', similarity FROM rk WHERE rank <= 50 AND protein_id <> query_id AND similarity >= 0.1),
+k AS (SELECT kind, CAST(least(greatest(floor(x * 5), 0), 4) AS INT) AS bin, count(*) AS n FROM v GROUP BY ALL),
+kinds AS (SELECT unnest(['confidence', 'similarity']) AS kind), bins AS (SELECT unnest(['0.0-0.2', '0.2-0.4', '0.4-0.6', '0.6-0.8', '0.8-1.0']) AS range, unnest([0, 1, 2, 3, 4]) AS bin),
+lb AS (SELECT unnest(['0-100', '101-200', '201-500', '501-1000', '>1000']) AS range, unnest([0, 101, 201, 501, 1001]) AS lo, unnest([100, 200, 500, 1000, NULL]) AS hi)
+SELECT kind, range, coalesce(n, 0) AS n FROM kinds CROSS JOIN bins LEFT JOIN k USING (kind, bin)
+UNION ALL SELECT 'family', family, count(*) FROM long GROUP BY family
+UNION ALL SELECT 'length', range, count(length) FROM lb LEFT JOIN long ON length >= lo AND (hi IS NULL OR length <= hi) GROUP BY range""")
+def dashboard_distributions(spark, sf):
+    table = Scratch(spark, "dashboard").table(_dashboard(spark, sf, lengths=True), "dashboard")
     rows = rows_of(spark, sf)
-    nodes, near = rows.select(F.col("family_id").alias("graph"), F.col("protein_id").alias("id")), G.nearest(rows)
-    return W.edge_ratios(G.density(nodes, G.mutual(near)))
+    return W.distributions(table, Q.within_family(rows, rows, 50, 0.1))
+
+
+@query(f"""WITH {MUTUAL}, {SIZES}, ds AS (SELECT *, CASE WHEN n_nodes > 1 THEN 2.0 * n_edges / (n_nodes * (n_nodes - 1)) ELSE 0 END AS density FROM gs)
+SELECT count(*) AS networks, count(*) FILTER (n_edges > 0) AS with_edges, {mic('avg(n_nodes)')} AS nodes_micro, {mic('avg(n_edges)')} AS edges_micro, {mic('avg(density)')} AS density_micro FROM ds""")
+def dashboard_networks(spark, sf):
+    out = W.network_summary(_sizes(spark, sf))
+    return out.select("networks", "with_edges", *(micro(F.col(f"avg_{n}")).alias(f"{n}_micro") for n in ("nodes", "edges", "density")))
 
 
 PAIR_SQL = f"""{B}, pr AS (SELECT a.protein_id AS src, b.protein_id AS dst, length(a.sequence) AS la, length(b.sequence) AS lb,
@@ -315,6 +352,12 @@ def msa_conservation(spark, sf):
     return _conservation(spark, sf).select("pos", micro(F.col("conservation")).alias("conservation_micro"), "common", micro(F.col("gap_share")).alias("gap_micro"))
 
 
+@query(f"WITH {MSA} SELECT (SELECT count(*) FROM al) AS proteins, count(*) AS places, {mic('avg(conservation)')} AS conservation_micro, {mic('avg(gap_share)')} AS gap_micro FROM sc")
+def dashboard_alignment(spark, sf):
+    out = W.alignment_summary(M.padded(bench(spark, sf)), _conservation(spark, sf))
+    return out.select("proteins", "places", micro(F.col("avg_conservation")).alias("conservation_micro"), micro(F.col("avg_gap_share")).alias("gap_micro"))
+
+
 @query(f"WITH {MSA} SELECT pos, residue, n FROM cc")
 def msa_positions(spark, sf):
     return M.column_counts(M.padded(bench(spark, sf)))

@@ -261,9 +261,10 @@ class MultiProteinAnalysis(Stage):
 
 @stage
 class ReportGeneration(Stage):
-    """The dashboard, its totals, and a page of all tables that the run has; the page goes to ``output_dir`` if it is local."""
+    """The dashboard, its totals and distributions, figures of the networks and the alignment that the run has, and a page of
+    all tables; the page goes to ``output_dir`` if it is local."""
 
-    name, needs, gives, after = "report_generation", ("records", "assignments", "matches"), ("dashboard", "totals", "page"), ("similarity_search", "network_analysis")
+    name, needs, gives, after = "report_generation", ("records", "assignments", "matches"), ("dashboard", "totals", "summary", "distributions", "page"), ("similarity_search", "network_analysis", "multi_protein_analysis")
 
     def run(self, spark, tables):
         sizes = spark.createDataFrame([], "graph string, n_nodes long, n_edges long")
@@ -272,11 +273,17 @@ class ReportGeneration(Stage):
             of = assigned.select(F.col("protein_id").alias("graph"), "assigned")
             sizes = tables["network_stats"].join(of, "graph").groupBy("assigned").agg(F.sum("n_nodes").alias("n_nodes"), F.sum("n_edges").alias("n_edges")).withColumnRenamed("assigned", "graph")
         dashboard = T.dashboard(tables["records"].select("protein_id", F.length("sequence").alias("length")), assigned, tables["matches"], sizes)
-        html = W.full_page("Protein report", tables | {"dashboard": dashboard})
+        dashboard = Scratch(spark, "report").table(dashboard, "dashboard")  # several figures read it
+        figures = {"dashboard": dashboard, "summary": W.summary(dashboard), "distributions": W.distributions(dashboard, tables["matches"])}
+        if isinstance(tables.get("network_stats"), DataFrame):
+            figures["network_summary"] = W.network_summary(tables["network_stats"])
+        if isinstance(tables.get("alignment"), DataFrame) and isinstance(tables.get("conservation"), DataFrame):
+            figures["alignment_summary"] = W.alignment_summary(tables["alignment"], tables["conservation"])
+        html = W.full_page("Protein report", tables | figures)
         folder = self.config.output_dir
         if folder and folder.startswith(("/", "file://")):
             sinks.save_page(html, "report", folder.removeprefix("file://"))
-        return {"dashboard": dashboard, "totals": T.dashboard_totals(dashboard), "page": html}
+        return figures | {"totals": T.dashboard_totals(dashboard), "page": html}
 
 
 @stage

@@ -20,6 +20,25 @@ def test_scales(spark):
     assert {x["graph"]: (x["edges_per_node"], x["avg_degree"]) for x in W.edge_ratios(sizes).collect()} == {"g": (0.0, 0.0), "h": (1.5, 3.0)}
 
 
+def test_figures_of_odd_tables(spark):
+    """Ends of ranges, unknown families, null lengths, and empty tables."""
+    fields = "protein_id string, length int, family string, confidence double, n_similar long, best_similarity double, n_nodes long, n_edges long"
+    rows = [("a", 100, "x", 0.2, 1, 0.9, 4, 2), ("b", 101, "x", 1.0, 0, 0.0, 4, 2), ("c", None, "Unknown", 0.0, 0, 0.0, 0, 0), ("d", 0, "y", 0.59, 2, 0.5, 1, 0), ("e", 5000, "y", 0.6, 0, 0.0, 1, 0)]
+    table = spark.createDataFrame(rows, fields)
+    matches = spark.createDataFrame([("a", -0.5), ("a", 0.8), ("d", None)], "query_id string, similarity double")
+    got = {(r["kind"], r["range"]): r["n"] for r in W.distributions(table, matches).collect()}
+    count = lambda kind: [got[kind, x] for x in (W.T.LENGTHS if kind == "length" else W.SCORES)]
+    assert (count("length"), count("confidence"), count("similarity")) == ([2, 1, 0, 0, 1], [1, 1, 1, 1, 1], [1, 0, 0, 0, 1])
+    assert {k[1]: n for k, n in got.items() if k[0] == "family"} == {"x": 2, "y": 2, "Unknown": 1}
+    s = W.summary(table).head()
+    assert (s["proteins"], s["families"], s["avg_length"], s["avg_network_size"]) == (5, 2, pytest.approx(5201 / 4), 2.0)
+    empty = W.distributions(table.limit(0), matches.limit(0)).collect()
+    assert len(empty) == 15 and {r["n"] for r in empty} == {0}
+    assert tuple(W.summary(table.limit(0)).head()) == (0, 0, None, None, None, None)
+    sizes = spark.createDataFrame([("g", 0, 0, 0.0), ("h", 4, 6, 1.0)], "graph string, n_nodes long, n_edges long, density double")
+    assert tuple(W.network_summary(sizes).head()) == (2, 1, 2.0, 3.0, 0.5)
+
+
 def test_synthetic(spark):
     rows = Y.families(spark, 3, 40, 16).collect()
     v = np.array([r["embedding"] for r in rows]).reshape(3, 40, 16)

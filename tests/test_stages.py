@@ -39,7 +39,12 @@ def test_full_run(spark, world, tmp_path):
     assert out.tables["coverage"].head()["uniprot"] == 1.0 and out.tables["tree"].count() == 1
     assert [r["aligned"] for r in out.tables["alignment"].orderBy("protein_id").collect()] == [S1 + "----", S1 + "AAAA"]
     assert out.tables["dashboard"].where("n_nodes > 0").count() > 0 and out.tables["totals"].head()["proteins"] == 2
+    assert {r["kind"]: r["n"] for r in out.tables["distributions"].groupBy("kind").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {"family": 2, "confidence": 2, "length": 2, "similarity": out.tables["matches"].count()}
+    assert out.tables["summary"].head()["avg_length"] == 40.0 and out.tables["network_summary"].head()["networks"] == 2
+    figures = out.tables["alignment_summary"].head()
+    assert (figures["proteins"], figures["places"], figures["avg_gap_share"]) == (2, 42, pytest.approx(4 / 42 / 2))
     page = (tmp_path / "report.html").read_text()
+    assert all(f"<h2>{x}</h2><table>" in page for x in ("Summary", "Distributions", "Network figures", "Alignment"))
     assert "<h2>Similar proteins</h2><table>" in page and "Conserved regions" in page
     assert all(x["success"] for x in out.steps()) and out.summary()["success_rate"] == 1.0
     assert out.tables["exported"][0] == "records" and out.summary()["stages"] == len(stages)
