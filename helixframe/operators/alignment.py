@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +17,74 @@ from ..session import ship
 from . import graph as G
 
 
-def pairs(records: DataFrame) -> DataFrame:
-    """All pairs src < dst of a stated set of sequences, with matches over the common prefix and both lengths."""
-    r = records.select("protein_id", "sequence", F.split("sequence", "").alias("chars"))
-    a = r.select(F.col("protein_id").alias("src"), F.length("sequence").alias("la"), F.col("chars").alias("ca"))
-    b = r.select(F.col("protein_id").alias("dst"), F.length("sequence").alias("lb"), F.col("chars").alias("cb"))
-    same = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return a.join(b, F.col("src") < F.col("dst")).select("src", "dst", "la", "lb", same.alias("matches"))
+#: Sequences of a block, and letters of them that are compared at a time.
+BLOCK, SLAB = 256, 4096
+
+
+def _letters(texts: list[str], start: int, narrow: bool, pad: int) -> np.ndarray:
+    """Letters ``start`` to ``start + SLAB`` of each text as codes, filled up with ``pad``."""
+    kind, code = (np.uint8, "ascii") if narrow else (np.uint32, "utf-32-le")
+    parts = [np.frombuffer(t[start : start + SLAB].encode(code), dtype=kind) for t in texts]
+    out = np.full((len(parts), max(map(len, parts))), pad, dtype=kind)
+    for row, part in zip(out, parts):
+        row[: len(part)] = part
+    return out
+
+
+def _matching(left: list[str], right: list[str]) -> np.ndarray:
+    """How many places of the common prefix agree, for all of ``left`` and ``right``."""
+    n, m = (np.array([len(t) for t in side]) for side in (left, right))
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    narrow = all(t.isascii() for t in left) and all(t.isascii() for t in right)
+    for start in range(0, min(n.max(initial=0), m.max(initial=0)), SLAB):
+        i, j = np.flatnonzero(n > start), np.flatnonzero(m > start)  # sides are filled up with different codes, which never agree
+        pad = 254 if narrow else 0xFFFFFFFE  # no letter's code
+        a, b = _letters([left[k] for k in i], start, narrow, pad), _letters([right[k] for k in j], start, narrow, pad + 1)
+        width = min(a.shape[1], b.shape[1])
+        for k, row in zip(i, a[:, :width]):
+            out[k, j] += (row[None, :] == b[:, :width]).sum(axis=1)
+    return out
+
+
+def _compared(least: float | None):
+    def run(t: pa.Table) -> pa.Table:
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        side = t.column("at").to_numpy()
+        left = t if x == y else t.filter(pa.array(side == x))
+        right = t if x == y else t.filter(pa.array(side == y))
+        texts = left.column("sequence").to_pylist(), right.column("sequence").to_pylist()
+        n, m = (np.array([len(s) for s in side], dtype=np.int64) for side in texts)
+        found = _matching(*texts)
+        wanted = np.ones(found.shape, dtype=bool)
+        if least is not None:
+            prefix = np.minimum(n[:, None], m[None, :])
+            wanted = np.divide(found, prefix, out=np.zeros(found.shape), where=prefix > 0) >= least
+        if x == y:
+            wanted = np.triu(wanted, 1)
+        i, j = np.nonzero(wanted)
+        a, b = left.column("protein_id").combine_chunks().take(pa.array(i)), right.column("protein_id").combine_chunks().take(pa.array(j))
+        low, la, lb = pc.less(a, b), pa.array(n[i], pa.int32()), pa.array(m[j], pa.int32())
+        out = {"src": pc.if_else(low, a, b), "dst": pc.if_else(low, b, a), "la": pc.if_else(low, la, lb), "lb": pc.if_else(low, lb, la), "matches": pa.array(found[i, j], pa.int32())}
+        return pa.table(out).filter(pc.not_equal(a, b))
+
+    return run
+
+
+def pairs(records: DataFrame, least: float | None = None, block: int = BLOCK) -> DataFrame:
+    """All pairs src < dst of a stated set of sequences, with matches over the common prefix and both lengths; with ``least`` only
+    those whose matches are at least this share of the common prefix. Null sequences are in no pair.
+
+    Sequences are dealt to blocks by a hash of their ids, and a pair of blocks is a task's work: it holds the two blocks'
+    texts and ``SLAB`` letters of each as codes, and only wanted pairs leave it.
+    """
+    ship(records.sparkSession)
+    known = records.where("protein_id is not null and sequence is not null").select("protein_id", "sequence")
+    n = -(-known.count() // block)
+    dealt = known.withColumn("blocks", F.lit(n)).withColumn("at", F.pmod(F.xxhash64("protein_id"), F.greatest("blocks", F.lit(1))).cast("int"))
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = both.select(F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "at", "protein_id", "sequence")
+    kind = dict(known.dtypes)["protein_id"]
+    return both.groupBy("x", "y").applyInArrow(_compared(least), f"src {kind}, dst {kind}, la int, lb int, matches int")
 
 
 def distance(p: DataFrame) -> DataFrame:

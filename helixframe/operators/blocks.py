@@ -64,6 +64,19 @@ def sized(rows: DataFrame, *keys: str, block: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
 
 
+#: Groups, and characters of their names, whose sizes are sent to every task.
+FEW, NAMES = 100_000, 16 << 20
+
+
+def known(sizes: DataFrame) -> DataFrame:
+    """Sizes of groups, counted once: those of few groups are sent to the tasks, so that rows stay where they are until they are
+    dealt to blocks; those of more are joined by shuffling both."""
+    head = sizes.limit(FEW + 1).collect()
+    if len(head) > FEW or sum(len(str(r[0])) for r in head) > NAMES:
+        return sizes
+    return F.broadcast(sizes.sparkSession.createDataFrame(head, sizes.schema))
+
+
 def _dealt(rows: DataFrame, own: str, ident: str) -> DataFrame:
     return rows.withColumn("at", F.pmod(F.xxhash64(F.col(ident)), F.col(own)).cast("int"))
 
@@ -99,7 +112,7 @@ def top(queries: DataFrame, rows: DataFrame, k: int, hamming: bool = False, excl
     keys = ("family_id", "dim")
     q = queries.where("q is not null and family_id is not null").select("query_id", "family_id", "q", F.size("q").alias("dim"))
     v = rows.where("v is not null and family_id is not null").select("protein_id", "family_id", "v", F.size("v").alias("dim"))
-    plan = sized(q, *keys, block=block).withColumnRenamed("blocks", "qs").join(sized(v, *keys, block=block).withColumnRenamed("blocks", "vs"), [*keys])
+    plan = known(sized(q, *keys, block=block).withColumnRenamed("blocks", "qs").join(sized(v, *keys, block=block).withColumnRenamed("blocks", "vs"), [*keys]))
     q = _dealt(q.join(plan, [*keys]), "qs", "query_id").select(*keys, F.col("at").alias("x"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("y"), "query_id", "q")
     v = _dealt(v.join(plan, [*keys]), "vs", "protein_id").select(*keys, F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("x"), F.col("at").alias("y"), "protein_id", "v")
     # new names: both sides may come of one table
@@ -147,7 +160,7 @@ def top_of_all(queries: DataFrame, rows: DataFrame, k: int, per_family: bool, le
     ship(rows.sparkSession)
     q = queries.where("q is not null").select("query_id", "q", F.size("q").alias("dim"))
     v = rows.where("v is not null").select("protein_id", "family_id", "v", F.size("v").alias("dim"))
-    plan = sized(q, "dim", block=block).withColumnRenamed("blocks", "qs").join(sized(v, "dim", block=block).withColumnRenamed("blocks", "vs"), "dim")
+    plan = known(sized(q, "dim", block=block).withColumnRenamed("blocks", "qs").join(sized(v, "dim", block=block).withColumnRenamed("blocks", "vs"), "dim"))
     q = _dealt(q.join(plan, "dim"), "qs", "query_id").select("dim", F.col("at").alias("x"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("y"), "query_id", "q")
     v = _dealt(v.join(plan, "dim"), "vs", "protein_id").select(F.col("dim").alias("v_dim"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("v_x"), F.col("at").alias("v_y"), F.col("protein_id").alias("protein_id"), F.col("family_id").alias("family_id"), F.col("v").alias("v"))
     kinds = dict(q.dtypes) | dict(v.dtypes)
@@ -181,7 +194,7 @@ def pairs(rows: DataFrame, least: float | None = None, block: int = BLOCK) -> Da
     ship(rows.sparkSession)
     keys = ("family_id", "dim")
     v = rows.where("v is not null and family_id is not null").select("protein_id", "family_id", "v", F.size("v").alias("dim"))
-    v = _dealt(v.join(sized(v, *keys, block=block), [*keys]), "blocks", "protein_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    v = _dealt(v.join(known(sized(v, *keys, block=block)), [*keys]), "blocks", "protein_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     v = v.select(*keys, F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "at", "protein_id", "v")
     kinds = dict(v.dtypes)
     return v.groupBy(*keys, "x", "y").applyInArrow(_pairs(least), f"graph {kinds['family_id']}, src {kinds['protein_id']}, dst {kinds['protein_id']}, weight double")

@@ -333,7 +333,7 @@ def pair_identity(spark, sf):
 
 @query(f"WITH {PAIR_SQL} SELECT src, CAST(matches AS DOUBLE) / least(la, lb) AS identity, dst FROM pr WHERE CAST(matches AS DOUBLE) / least(la, lb) >= 0.08")
 def existence_by_similarity(spark, sf):
-    return M.identity(M.pairs(bench(spark, sf))).where("identity >= 0.08D").select("src", "dst", "identity")
+    return M.identity(M.pairs(bench(spark, sf), 0.08)).select("src", "dst", "identity")
 
 
 MSA = f"""{B}, w AS (SELECT max(length(sequence)) AS m FROM r), al AS (SELECT protein_id, rpad(sequence, CAST(m AS INT), '-') AS aligned FROM r, w),

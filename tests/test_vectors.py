@@ -120,6 +120,26 @@ def test_assignment_of_any_vectors(spark, limit):
     assert len(none) == len(vectors) and {r["assigned"] for r in none} == {None}
 
 
+@pytest.mark.parametrize("least", [None, 0.3, 0.8])
+def test_pairs_of_sequences(spark, least):
+    """Blocks of sequences against every pair: empty, null, long and non-ASCII texts, repeated texts and ids."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ACDE"), size=n)) for n in rng.integers(1, 30, size=40)]
+    long = "".join(rng.choice(list("AC"), size=9000))
+    texts += ["", "", None, texts[0], long, long[:5000] + "\u00ff\u4e2d" + long[5002:], "\u00fe\U0001f600A", "\u00fe\U0001f600C", "\x00\x00A", "\x00"]
+    data = [(f"s{i:02d}", t) for i, t in enumerate(texts)] + [("s00", texts[0])]
+    got = sorted(tuple(r) for r in M.pairs(spark.createDataFrame(data, "protein_id string, sequence string"), least, block=9).select("src", "dst", "la", "lb", "matches").collect())
+    want = []
+    for a, s in data:
+        for b, t in data:
+            if a < b and s is not None and t is not None:
+                n, short = sum(x == y for x, y in zip(s, t)), min(len(s), len(t))
+                if least is None or (n / short if short else 0.0) >= least:
+                    want.append((a, b, len(s), len(t), n))
+    assert got == sorted(want) and got
+    assert M.pairs(spark.createDataFrame([], "protein_id string, sequence string"), least).count() == 0
+
+
 def test_search(rows):
     df, data = rows
     v = {i: np.array(x) for i, _, x in data}
@@ -131,6 +151,16 @@ def test_search(rows):
     assert sum(hist.values()) == Q.within_family(df, df, 30).count() and sorted(hist) == [0, 1, 2, 3, 4]
 
 
+def test_sizes_of_many_groups_are_joined(rows, monkeypatch):
+    df, _ = rows
+    key = lambda d: sorted(map(tuple, d.collect()))
+    few = key(Q.within_family(df, df, 4)), key(G.edges_over(df, 0.2)), key(Q.all_families(df, df, 2))
+    for limit in ("FEW", "NAMES"):
+        monkeypatch.setattr(B, limit, 0)
+        assert (key(Q.within_family(df, df, 4)), key(G.edges_over(df, 0.2)), key(Q.all_families(df, df, 2))) == few
+        monkeypatch.undo()
+
+
 def test_blocks_change_nothing(rows):
     df, _ = rows
     cents = A.centroids(df)
