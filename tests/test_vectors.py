@@ -11,6 +11,7 @@ from helixframe.operators import families as A
 from helixframe.operators import graph as G
 from helixframe.operators import index as I
 from helixframe.operators import search as Q
+from helixframe.session import Scratch
 
 PAIRS = [("a", "b", 0.8), ("a", "c", 0.6), ("a", "d", 0.4), ("b", "c", 0.7), ("b", "d", 0.5), ("c", "d", 0.9)]
 
@@ -406,3 +407,36 @@ def test_trees_keep_additive_distances(spark):
         return 0.0 if a == b else min((d + way(n, b, (*seen, a)) for n, d in links[a].items() if n not in seen), default=float("inf"))
 
     assert {k: way(*k) for k in far} == pytest.approx(far)
+
+
+def moved(spark, run):
+    """Bytes that shuffles write while ``run`` runs."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        known = sc.statusStore().executorList(False)
+        return sum(known.apply(i).totalShuffleWrite() for i in range(known.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_rows_are_sent_for_few_blocks(spark):
+    """Narrow blocks of near pairs, and searches in one family, do not send a row to a task for each block of a thousand."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(6000, 16))
+    v[3000:3100] = v[:100] * (1 + 2**-50)  # scores that differ by rounding alone
+    data = [(i, 0, [float(x) for x in row]) for i, row in enumerate(v)]
+    df = Scratch(spark, "few").table(spark.createDataFrame(data, "protein_id long, family_id int, v array<double>"), "rows")
+    bytes_ = 6000 * 16 * 8
+    noop = lambda d: d.write.format("noop").mode("overwrite").save()
+    assert moved(spark, lambda: noop(B.near_pairs(df, 0.5, 16)[0])) < 12 * bytes_
+    assert moved(spark, lambda: noop(B.pairs(df, 0.9))) < 4 * bytes_
+    exact = B.cosines(v[:40], v)
+    asked = df.where("protein_id < 40").select(F.col("protein_id").alias("query_id"), "family_id", F.col("v").alias("q"))
+    got = {(r["query_id"], r["rank"]): (r["protein_id"], r["score"]) for r in B.top(asked, df, 5).collect()}
+    for i, row in enumerate(exact):
+        order = sorted(range(6000), key=lambda j: (-row[j], j))[:5]
+        assert [got[i, n + 1] for n in range(5)] == [(j, row[j]) for j in order]
