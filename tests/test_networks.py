@@ -177,3 +177,25 @@ def test_one_call_gives_the_whole_analysis(spark):
         assert max(r["eccentricity"] for r in own) >= per[g]["diameter"] and sum(r["eigenvector"] ** 2 for r in own) == pytest.approx(1)
     lone = next(r for r in nodes if r["id"] == 99)
     assert (lone["degree"], lone["community"], lone["betweenness"], lone["eccentricity"]) == (0, 99, 0.0, 0)
+
+
+def test_tasks_and_joins_give_the_same_measures(spark, monkeypatch):
+    """Graphs that a task takes against the joins of larger ones; of the tasks no step is a job of its own."""
+    pairs = random_graph(9, 120, 4) + [(200, 201), (201, 202), (300, 301)]
+    edges, nodes = frame(spark, g=pairs), spark.createDataFrame([("g", v) for v in sorted({v for p in pairs for v in p})], "graph string, id long")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    measures = lambda: (rows(N.communities(nodes, edges)), rows(N.path_lengths(edges)), rows(N.centralities(edges)))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("tasks", "tasks")
+    found = measures()
+    assert len(tracker.getJobIdsForGroup("tasks")) < 60
+    monkeypatch.setattr(N, "IN_TASK", 0)
+    assert (found[0], found[1]) == measures()[:2]
+    for a, b in zip(found[2], rows(N.centralities(edges))):
+        assert a[:2] == b[:2] and a[5] == b[5] and a[2:5] == pytest.approx(b[2:5], abs=1e-5)
+    monkeypatch.undo()
+    for name in ("REACH", "DEPEND"):
+        monkeypatch.setattr(N, name, 7)
+    assert rows(N.path_lengths(edges)) == found[1]
+    for a, b in zip(found[2], rows(N.centralities(edges))):
+        assert a[2:4] == pytest.approx(b[2:4])
