@@ -440,3 +440,19 @@ def test_rows_are_sent_for_few_blocks(spark):
     for i, row in enumerate(exact):
         order = sorted(range(6000), key=lambda j: (-row[j], j))[:5]
         assert [got[i, n + 1] for n in range(5)] == [(j, row[j]) for j in order]
+
+
+def test_trimming_graphs_of_any_size(spark):
+    """The nodes that are left, against a plain loop; and a graph of more nodes than a task's table of pairs would take."""
+    rng = np.random.default_rng(2)
+    pairs = sorted({tuple(sorted(map(int, p))) for p in rng.integers(0, 90, size=(200, 2)) if p[0] != p[1]})
+    n = G.WHOLE + 500
+    edges = spark.createDataFrame([("g", a, b, 1.0) for a, b in pairs] + [("path", i, i + 1, 0.5) for i in range(n)], "graph string, src long, dst long, weight double")
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in {v for p in pairs for v in p}}
+    while len(near) > 20:
+        v = min(near, key=lambda v: (len(near[v]), v))
+        for u in near.pop(v):
+            near[u].discard(v)
+    got = [tuple(r) for r in G.trim(edges, 20).collect()]
+    assert {v for g, v in got if g == "g"} == set(near)
+    assert sorted(v for g, v in got if g == "path") == list(range(n - 19, n + 1))
