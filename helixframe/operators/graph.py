@@ -220,9 +220,9 @@ def node_payload(nodes: DataFrame, edges: DataFrame, parts: DataFrame, queries:
     return out.select("graph", "id", shown(name).alias("name"), shown(function).alias("function"), *fields, "component", F.coalesce("component_size", F.lit(1)).alias("component_size"), "degree", is_query.alias("is_query"), F.when(is_query, 1.0).otherwise(F.col("similarity")).alias("similarity"), kind.alias("class"), *style)
 
 
-#: Nodes of a graph that is taken whole into one task (layouts and trimming; a few matrices of nodes x nodes, some 1 GB), and
-#: rows of a group that is clustered (time in the cube of the rows).
-WHOLE, CLUSTERED = 5_000, 2_000
+#: Nodes of a graph that is laid out in one task (a few matrices of nodes x nodes, some 1 GB), rows of a group that is clustered
+#: (memory in proportion to the rows, time to their square) and rows up to which that is done by a table of all distances.
+WHOLE, CLUSTERED, TABLE = 5_000, 1_000_000, 2_000
 
 
 def _adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -352,6 +352,8 @@ def ward(points: np.ndarray, clusters: int) -> np.ndarray:
     """Agglomerative clustering by Ward's criterion (Lance-Williams updates); labels from 0 in the order of first members."""
     if not len(points):
         return np.zeros(0, dtype=int)
+    if len(points) > TABLE:
+        return ward_by_chains(points, clusters)
     size = (points * points).sum(axis=1)
     return ward_from_distances(np.sqrt(np.maximum(0, size[:, None] + size[None] - 2 * points @ points.T)), clusters)
 
@@ -374,9 +376,59 @@ def ward_from_distances(dist: np.ndarray, clusters: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def ward_by_chains(points: np.ndarray, clusters: int) -> np.ndarray:
+    """``ward`` by chains of nearest neighbours: Ward's distance follows from sizes and centres, so there is no table of
+    distances. A chain goes on to the nearest cluster until two are nearest to each other and merge; those merges in the order
+    of their distances are the ones of the greedy rule. Equal points merge first."""
+    n = len(points)
+    center, first, equal, size = np.unique(points, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    equal = equal.ravel()
+    if len(center) < clusters:
+        center, first, equal, size = points, np.arange(n), np.arange(n), np.ones(n)
+    center, size, name = center - center.mean(axis=0), size.astype(float), np.arange(len(center))
+    square = (center * center).sum(axis=1)
+    merges, chain, gone = [], [], 0
+    while len(merges) < len(first) - 1:
+        if gone * 2 > len(name):  # those that are gone leave the arrays
+            alive = size > 0
+            place = np.cumsum(alive) - 1
+            chain = [(int(place[c]), d) for c, d in chain]
+            center, size, square, name, gone = center[alive], size[alive], square[alive], name[alive], 0
+        if not chain:
+            chain = [(int(np.argmax(size > 0)), np.inf)]
+        a, before = chain[-1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = np.maximum(0, square + square[a] - 2 * (center @ center[a])) * (size * size[a] / (size + size[a]))
+        far[size == 0] = np.inf
+        far[a] = np.inf
+        b = int(far.argmin())
+        if far[b] < before * (1 - 1e-12):
+            chain.append((b, float(far[b])))
+            continue
+        b = chain[-2][0]
+        del chain[-2:]
+        merges.append((before, int(name[a]), int(name[b])))
+        total = size[a] + size[b]
+        center[b] = (size[a] * center[a] + size[b] * center[b]) / total
+        square[b], size[b], size[a], gone = center[b] @ center[b], total, 0.0, gone + 1
+    root = list(range(len(first)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: max(0, len(first) - clusters)]:
+        root[find(a)] = find(b)
+    label = np.array([find(x) for x in range(len(first))])[equal]
+    least = np.full(len(first), n)
+    np.minimum.at(least, label, np.arange(n))
+    return np.unique(least[label], return_inverse=True)[1]
+
+
 def match_clusters(rows: DataFrame, clusters: int = 5) -> DataFrame:
     """Ward clusters of each group's vectors: graph, id, cluster; groups of one row get none, and groups of more than
-    ``CLUSTERED`` rows are refused before any row is gathered."""
+    ``CLUSTERED`` rows, which would take one task days, are refused before any row is gathered."""
     most = rows.groupBy("family_id").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
     if most > CLUSTERED:
         raise ValueError(f"a group of {most} rows is too large for one task; the limit is {CLUSTERED}")

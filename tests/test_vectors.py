@@ -456,3 +456,16 @@ def test_trimming_graphs_of_any_size(spark):
     got = [tuple(r) for r in G.trim(edges, 20).collect()]
     assert {v for g, v in got if g == "g"} == set(near)
     assert sorted(v for g, v in got if g == "path") == list(range(n - 19, n + 1))
+
+
+def test_ward_clusters_of_large_groups(spark):
+    """Chains of neighbours against the table of distances; and a group of more rows than the table takes, with copies."""
+    rng = np.random.default_rng(6)
+    for n, clusters in ((2, 5), (3, 2), (60, 5), (150, 1), (150, 7)):
+        x = rng.normal(size=(n, 5))
+        assert G.ward_by_chains(x, clusters).tolist() == G.ward(x, clusters).tolist()
+    copies = np.concatenate([x, x[::-1], x[:40]])
+    assert G.ward_by_chains(copies, 5).tolist() == G.ward(copies, 5).tolist()
+    assert len(set(G.ward_by_chains(np.ones((50, 2)), 5))) == 5
+    rows = spark.createDataFrame([(i, 1, [float(i % 3) * 50 + float(z), 1.0]) for i, z in enumerate(rng.normal(size=2100))], "protein_id int, family_id int, v array<double>")
+    assert {(r["id"] % 3, r["cluster"]) for r in G.match_clusters(rows, 3).collect()} == {(0, 0), (1, 1), (2, 2)}
