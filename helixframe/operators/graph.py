@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import Scratch, ship
+from ..session import Scratch, apart, ship
 from . import blocks
 from .networks import centralities, communities, eigenvector, path_lengths, path_sketch  # noqa: F401  graph measures of any size
 
@@ -236,27 +236,60 @@ def _adjacency(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, a
 
 
+def _distances(a: np.ndarray) -> np.ndarray:
+    """Lengths of the shortest paths between all nodes, from all at once along the edges, until none gets shorter."""
+    n = len(a)
+    frm, to = np.nonzero(a.T != 0)[::-1]
+    length = np.maximum(0.1, 1 - a[frm, to])
+    d = np.full((n, n), np.inf)
+    np.fill_diagonal(d, 0)
+    if not len(to):
+        return d
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1])
+    ends, width = to[starts], max(1, (16 << 20) // len(to))
+    for s in range(0, n, width):
+        part = d[:, s : s + width].copy()
+        while True:
+            step = part[frm]
+            step += length[:, None]
+            new = np.minimum(part[ends], np.minimum.reduceat(step, starts, axis=0))
+            if np.array_equal(new, part[ends]):
+                break
+            part[ends] = new
+        d[:, s : s + width] = part
+    return d
+
+
 def _layout(pdf: pd.DataFrame) -> pd.DataFrame:
     """Places in the plane whose distances come near to the weighted path lengths (Kamada and Kawai's energy), by majorisation."""
     ids, a = _adjacency(pdf)
     n = len(ids)
-    d = np.where(a != 0, np.maximum(0.1, 1 - a), np.inf)
-    np.fill_diagonal(d, 0)
-    for k in range(n):  # shortest weighted paths
-        np.minimum(d, d[:, k, None] + d[None, k, :], out=d)
+    d = _distances(a)
     far = d[np.isfinite(d)].max(initial=1.0)
-    d = np.where(np.isfinite(d), d, 2 * far)
+    d[~np.isfinite(d)] = 2 * far
     w = np.divide(1.0, d**2, out=np.zeros(d.shape), where=d > 0)
     angle = 2 * np.pi * np.arange(n) / max(1, n)
     x = far * np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    pull = np.multiply(w, d, out=d)
+    # all nodes pull at each other, so only the even vector is lost, and the inverse without it is the pseudoinverse
     v = np.diag(w.sum(axis=1)) - w
-    back = np.linalg.pinv(v)
+    del w
+    back = np.linalg.inv(v + 1 / n) - 1 / n
+    del v
+    rows = max(1, (1 << 15) // max(1, n))  # that stay in the cache
     for _ in range(1000):
-        gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-        b = np.divide(-w * d, gap, out=np.zeros(d.shape), where=gap > 1e-12)
-        np.fill_diagonal(b, 0)
-        np.fill_diagonal(b, -b.sum(axis=1))
-        new = back @ (b @ x)
+        b = np.empty_like(x)
+        for s in range(0, n, rows):
+            part = x[s : s + rows]
+            gap = part[:, 0, None] - x[None, :, 0]
+            other = part[:, 1, None] - x[None, :, 1]
+            np.multiply(gap, gap, out=gap)
+            gap += np.multiply(other, other, out=other)
+            np.sqrt(gap, out=gap)
+            other.fill(0)
+            np.divide(pull[s : s + rows], gap, out=other, where=gap > 1e-12)
+            b[s : s + rows] = other.sum(axis=1)[:, None] * part - other @ x
+        new = back @ b
         done = np.abs(new - x).max(initial=0) < 1e-7
         x = new
         if done:
@@ -271,7 +304,7 @@ def layout(edges: DataFrame) -> DataFrame:
     than ``WHOLE`` nodes are refused."""
     ship(edges.sparkSession)
     kind = dict(edges.dtypes)
-    return edges.groupBy("graph").applyInPandas(_layout, f"graph {kind['graph']}, id {kind['src']}, x double, y double")
+    return apart(edges.select("graph", "src", "dst", "weight"), "graph").groupBy("graph").applyInPandas(_layout, f"graph {kind['graph']}, id {kind['src']}, x double, y double")
 
 
 def _trim(most: int):
@@ -306,7 +339,7 @@ def trim(edges: DataFrame, most: int = 100) -> DataFrame:
     a graph is one task's work, which holds its links and takes time in proportion to them."""
     ship(edges.sparkSession)
     kind = dict(edges.dtypes)
-    return edges.select("graph", "src", "dst", "weight").groupBy("graph").applyInPandas(_trim(most), f"graph {kind['graph']}, id {kind['src']}")
+    return apart(edges.select("graph", "src", "dst", "weight"), "graph").groupBy("graph").applyInPandas(_trim(most), f"graph {kind['graph']}, id {kind['src']}")
 
 
 def _roots(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
@@ -441,4 +474,4 @@ def match_clusters(rows: DataFrame, clusters: int = 5) -> DataFrame:
 
     ship(rows.sparkSession)
     kind = dict(rows.dtypes)
-    return rows.groupBy("family_id").applyInPandas(run, f"graph {kind['family_id']}, id {kind['protein_id']}, cluster int")
+    return apart(rows, "family_id").groupBy("family_id").applyInPandas(run, f"graph {kind['family_id']}, id {kind['protein_id']}, cluster int")

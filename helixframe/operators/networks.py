@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, ship
+from ..session import Scratch, apart, ship
 from . import graphs_in_tasks as T
 
 #: Rows (graph, source, node) that one block of sources may have; more sources are taken block by block.
@@ -51,9 +51,7 @@ def _from_blocks(links: DataFrame, sources: DataFrame, size: int, run, schema: s
     many = sources.groupBy("graph").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     q = sources.join(many, "graph").select("graph", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id")
     t = links.join(q.select("graph", "block").distinct(), "graph").select(F.col("graph").alias("of"), F.col("block").alias("part"), "src", "dst")
-    # small inputs of long tasks: partitions by number stay apart
-    spread = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * links.sparkSession.sparkContext.defaultParallelism)
-    q, t = q.repartition(spread, "graph", "block"), t.repartition(spread, "of", "part")
+    q, t = apart(q, "graph", "block"), apart(t, "of", "part")
     return q.groupBy("graph", "block").cogroup(t.groupBy("of", "part")).applyInArrow(run, schema)
 
 
@@ -116,7 +114,7 @@ def communities(nodes: DataFrame, edges: DataFrame, weighted: bool = False) -> D
     ship(nodes.sparkSession)
     kind = dict(links.dtypes)
     salted = links.select("*", F.xxhash64("graph", "src").alias("hash_src"), F.xxhash64("graph", "dst").alias("hash_dst"))
-    known = salted.groupBy("graph").applyInArrow(T.louvain(_NONE), f"graph {kind['graph']}, id {kind['src']}, community {kind['src']}")
+    known = apart(salted, "graph").groupBy("graph").applyInArrow(T.louvain(_NONE), f"graph {kind['graph']}, id {kind['src']}, community {kind['src']}")
     if large is not None:
         known = known.unionByName(_communities(large, work))
     return nodes.select("graph", "id").join(known, ["graph", "id"], "left").select("graph", "id", F.coalesce("community", "id").alias("community"))
@@ -276,7 +274,7 @@ def eigenvector(edges: DataFrame, cycles: int = 8, tolerance: float = 1e-6, dept
     work = Scratch(edges.sparkSession, "eigen")
     links, large = _by_size(links_of(edges, work), work)
     kind = dict(links.dtypes)
-    found = links.groupBy("graph").applyInArrow(T.main_vector(cycles, tolerance, depth), f"graph {kind['graph']}, id {kind['src']}, eigenvector double")
+    found = apart(links, "graph").groupBy("graph").applyInArrow(T.main_vector(cycles, tolerance, depth), f"graph {kind['graph']}, id {kind['src']}, eigenvector double")
     return found if large is None else found.unionByName(_eigenvector(large, work, cycles, tolerance, depth))
 
 

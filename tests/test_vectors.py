@@ -469,3 +469,28 @@ def test_ward_clusters_of_large_groups(spark):
     assert len(set(G.ward_by_chains(np.ones((50, 2)), 5))) == 5
     rows = spark.createDataFrame([(i, 1, [float(i % 3) * 50 + float(z), 1.0]) for i, z in enumerate(rng.normal(size=2100))], "protein_id int, family_id int, v array<double>")
     assert {(r["id"] % 3, r["cluster"]) for r in G.match_clusters(rows, 3).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_distances_and_places_of_a_layout():
+    """Path lengths against Floyd and Warshall's, and places whose energy no small move of a node lowers."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    pairs = np.unique(np.sort(rng.integers(0, 70, size=(110, 2)), axis=1), axis=0)
+    pairs = np.concatenate([pairs[pairs[:, 0] != pairs[:, 1]], [[80, 81]]])
+    pdf = pd.DataFrame({"graph": "g", "src": pairs[:, 0], "dst": pairs[:, 1], "weight": rng.uniform(0.1, 1, len(pairs))})
+    ids, a = G._adjacency(pdf)
+    d = np.where(a != 0, np.maximum(0.1, 1 - a), np.inf)
+    np.fill_diagonal(d, 0)
+    for k in range(len(ids)):
+        d = np.minimum(d, d[:, k, None] + d[None, k, :])
+    assert G._distances(a) == pytest.approx(d)
+    d[np.isinf(d)] = 2 * d[np.isfinite(d)].max()
+    out = G._layout(pdf)
+    x = out[["x", "y"]].to_numpy()
+    gap = lambda x: np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    w = np.divide(1.0, d**2, out=np.zeros(d.shape), where=d > 0)
+    scale = (w * d * gap(x)).sum() / (w * gap(x) ** 2).sum()
+    energy = lambda x: (w * (scale * gap(x) - d) ** 2).sum()
+    for _ in range(50):
+        assert energy(x + rng.normal(size=x.shape) * 1e-3) > energy(x)
