@@ -5,6 +5,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -171,22 +174,28 @@ def motif_count(seq: Column, motif: str) -> Column:
     return F.size(motif_matches(seq, motif))
 
 
+def _running():
+    """Running sums of arrays. An aggregation that appends to an array copies it for each element, so that takes Arrow."""
+
+    def run(x: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+        sums = np.concatenate([[0], np.cumsum(x.flatten().to_numpy(zero_copy_only=False).astype(np.int64))])
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        each = sums[1:] - np.repeat(sums[cuts[:-1]], sizes)
+        return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(each.astype(np.int32)), mask=x.is_null())
+
+    return F.arrow_udf(run, "array<int>")
+
+
 def motif_spans(seq: Column, motif: str) -> Column:
     """Array of (start, end, sequence, position): start from 0, end exclusive, position as "first-last" from 1."""
     found = motif_matches(seq, motif)
     gaps = F.split(seq, K.MOTIFS[motif][1], -1)
     if motif == "leucine_zipper":
         gaps = _zipper(seq, F.array(F.lit(""), F.regexp_replace(seq, f"^.*{_ZIPPER}", "")), gaps, F.array(seq))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(F.coalesce(x["hit"], F.lit("")))).alias("at"),
-        F.when(x["hit"].isNull(), acc["out"])
-        .otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("sequence")))))
-        .alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,sequence:string>>").alias("out"))
-    pairs = F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    spans = F.aggregate(pairs, zero, step)["out"]
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["sequence"].alias("sequence"), F.concat_ws("-", s["start"] + 1, s["end"]).alias("position")))
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.length(g) + F.length(h))
+    span = lambda end, h: F.struct((end - F.length(h)).alias("start"), end.alias("end"), h.alias("sequence"), F.concat_ws("-", end - F.length(h) + 1, end).alias("position"))
+    return F.zip_with(_running()(steps), found, span)
 
 
 def quote(col: Column) -> Column:
