@@ -494,3 +494,41 @@ def test_distances_and_places_of_a_layout():
     energy = lambda x: (w * (scale * gap(x) - d) ** 2).sum()
     for _ in range(50):
         assert energy(x + rng.normal(size=x.shape) * 1e-3) > energy(x)
+
+
+def test_few_scores_are_kept_of_copies_and_long_blocks(monkeypatch):
+    """A tile does not grow with the searched rows, and of many equal rows only those that can be among the best are scored."""
+    r = np.random.default_rng(7)
+    b = r.standard_normal((9000, 16))
+    b[100:6000] = b[5]
+    a, own = b[:200], np.arange(200)
+    near, exact, tiles, scored = B._Cosines.near, B._Cosines.exact, [], []
+    monkeypatch.setattr(B._Cosines, "near", lambda self, *of: tiles.append(near(self, *of)) or tiles[-1])
+    monkeypatch.setattr(B._Cosines, "exact", lambda self, i, j: scored.append(len(i)) or exact(self, i, j))
+    i, j, score = B._best(a, b, 8, own)
+    assert max(t.size for t in tiles) <= B.TILE * B.ACROSS and sum(scored) < 20 * len(a)
+    whole = B.cosines(a, b)
+    whole[own, own] = -np.inf
+    order = np.argsort(-whole, axis=1, kind="stable")[:, :8]
+    assert i.tolist() == np.repeat(own, 8).tolist() and j.tolist() == order.ravel().tolist()
+    assert score.tolist() == np.take_along_axis(whole, order, 1).ravel().tolist()
+
+
+def test_values_that_are_nearly_equal_are_settled_as_they_come(monkeypatch):
+    r = np.random.default_rng(8)
+    b = r.standard_normal((9000, 16))
+    b[100:6000] = b[5] * (1 + 1e-7 * r.standard_normal((5900, 16)))
+    monkeypatch.setattr(B, "HELD", 8 * 1000)
+    i, j, score = B._best(b[:50], b, 8)
+    whole = B.cosines(b[:50], b)
+    order = np.argsort(-whole, axis=1, kind="stable")[:, :8]
+    assert j.tolist() == order.ravel().tolist() and score.tolist() == np.take_along_axis(whole, order, 1).ravel().tolist()
+
+
+def test_blocks_of_searches_are_bounded_by_bytes(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, 0, [float(x) for x in r.standard_normal(4)]) for i in range(200)], "protein_id int, family_id int, v array<double>")
+    asked = rows.select(F.col("protein_id").alias("query_id"), "family_id", F.col("v").alias("q"))
+    want = sorted(B.top(asked, rows, 3).collect())
+    monkeypatch.setattr(B, "HELD", 8 * 4 * 10)  # ten rows of queries, forty searched
+    assert sorted(B.top(asked, rows, 3).collect()) == want
