@@ -532,3 +532,10 @@ def test_blocks_of_searches_are_bounded_by_bytes(spark, monkeypatch):
     want = sorted(B.top(asked, rows, 3).collect())
     monkeypatch.setattr(B, "HELD", 8 * 4 * 10)  # ten rows of queries, forty searched
     assert sorted(B.top(asked, rows, 3).collect()) == want
+
+
+def test_norms_are_computed_once_a_row(spark):
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>")
+    out = rows.select(V.normalized(F.col("v")).alias("v"))
+    assert out._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    assert [r["v"] for r in out.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
