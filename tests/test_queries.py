@@ -92,3 +92,21 @@ def test_statistics_of_texts_without_residues(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert plain(registry.queries()["seq_statistics"](spark, f"file://{tmp_path}").toPandas()) == plain(c.execute(registry.oracle_sql()["seq_statistics"]).df())
+
+
+#: Queries whose rows come of one search, with the shuffles by the query that its rows and what follows them may take.
+SEARCHES = {
+    "knn_edges": 1,
+}
+
+
+def planned(spark, name):
+    of = registry.queries()[name](spark, SF)._jdf.queryExecution()
+    return of.optimizedPlan().toString(), of.executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", list(SEARCHES))
+def test_rows_of_a_search_move_and_are_sorted_once(spark, name):
+    logical, physical = planned(spark, name)
+    assert logical.count("FlatMapCoGroupsInArrow") <= 1 and physical.count("WindowGroupLimit") <= 1
+    assert len(re.findall(r"Exchange hashpartitioning\(query_id", physical)) <= SEARCHES[name]
