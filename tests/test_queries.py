@@ -98,6 +98,7 @@ def test_statistics_of_texts_without_residues(spark, tmp_path):
 SEARCHES = {
     "knn_edges": 1,
     "similarity_table": 1,
+    "top_matches": 1,
 }
 
 
