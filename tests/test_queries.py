@@ -97,6 +97,7 @@ def test_statistics_of_texts_without_residues(spark, tmp_path):
 #: Queries whose rows come of one search, with the shuffles by the query that its rows and what follows them may take.
 SEARCHES = {
     "knn_edges": 1,
+    "knn_hybrid": 1,
     "similarity_table": 1,
     "top_matches": 1,
 }
