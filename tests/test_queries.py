@@ -100,6 +100,7 @@ SEARCHES = {
     "knn_hybrid": 1,
     "similarity_table": 1,
     "top_matches": 1,
+    "matches_listed": 1,
 }
 
 
