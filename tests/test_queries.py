@@ -101,6 +101,7 @@ SEARCHES = {
     "similarity_table": 1,
     "top_matches": 1,
     "matches_listed": 1,
+    "search_stats": 1,
 }
 
 
