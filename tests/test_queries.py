@@ -102,6 +102,7 @@ SEARCHES = {
     "top_matches": 1,
     "matches_listed": 1,
     "search_stats": 1,
+    "search_status_totals": 2,  # one is of the families assigned
 }
 
 
