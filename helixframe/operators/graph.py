@@ -130,7 +130,7 @@ def expand_rows(edges: DataFrame, rows: DataFrame, threshold: float = 0.1, least
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Degree of every node, 0 for lone ones."""
-    d = both_ways(edges).groupBy("graph", F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    d = edges.select("graph", F.explode(F.array("src", "dst")).alias("id")).groupBy("graph", "id").agg(F.count("*").alias("degree"))
     return nodes.join(d, ["graph", "id"], "left").select("graph", "id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 

@@ -103,6 +103,7 @@ SEARCHES = {
     "matches_listed": 1,
     "search_stats": 1,
     "search_status_totals": 2,  # one is of the families assigned
+    "graph_degree": 1,
 }
 
 
