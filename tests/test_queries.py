@@ -104,6 +104,7 @@ SEARCHES = {
     "search_stats": 1,
     "search_status_totals": 2,  # one is of the families assigned
     "graph_degree": 1,
+    "graph_trim_query": 1,
 }
 
 
