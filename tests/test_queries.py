@@ -98,6 +98,7 @@ def test_statistics_of_texts_without_residues(spark, tmp_path):
 SEARCHES = {
     "knn_edges": 1,
     "knn_hybrid": 1,
+    "robust_edges": 1,
     "similarity_table": 1,
     "top_matches": 1,
     "matches_listed": 1,
@@ -118,3 +119,7 @@ def test_rows_of_a_search_move_and_are_sorted_once(spark, name):
     logical, physical = planned(spark, name)
     assert logical.count("FlatMapCoGroupsInArrow") <= 1 and physical.count("WindowGroupLimit") <= 1
     assert len(re.findall(r"Exchange hashpartitioning\(query_id", physical)) <= SEARCHES[name]
+
+
+def test_neighbours_of_a_node_are_not_sorted_again(spark):
+    assert len(re.findall(r"Sort \[", planned(spark, "robust_edges")[1])) <= 3  # two sides of blocks, and the ranks
