@@ -123,3 +123,12 @@ def test_rows_of_a_search_move_and_are_sorted_once(spark, name):
 
 def test_neighbours_of_a_node_are_not_sorted_again(spark):
     assert len(re.findall(r"Sort \[", planned(spark, "robust_edges")[1])) <= 3  # two sides of blocks, and the ranks
+
+
+#: Queries of which matches are ranked where they are found, so that no window goes over them.
+RANKED = ["similarity_table"]
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_matches_are_ranked_where_they_are_found(spark, name):
+    assert "Window" not in planned(spark, name)[1]

@@ -534,6 +534,29 @@ def test_blocks_of_searches_are_bounded_by_bytes(spark, monkeypatch):
     assert sorted(B.top(asked, rows, 3).collect()) == want
 
 
+def test_searches_in_one_task_and_in_many_are_the_same(spark, monkeypatch):
+    """Queries of one id and several lengths or vectors, copies, ids that are text, and rows of one group in several tasks."""
+    r = np.random.default_rng(10)
+    data = [(f"p{i % 190}", i % 2, [float(x) for x in r.integers(-2, 3, 4 + (i % 5 == 0))]) for i in range(200)]
+    rows = spark.createDataFrame(data, "protein_id string, family_id int, v array<float>")
+    asked = rows.select(F.col("protein_id").alias("query_id"), "family_id", F.col("v").alias("q"))
+    for hamming in (False, True):
+        want = {}
+        for q, f, a in data:
+            for p, g, b in data:
+                if f == g and len(a) == len(b):
+                    x, y = np.array([a]), np.array([b])
+                    score = float(B.differing(x, y)[0, 0] if hamming else B.cosines(x, y)[0, 0])
+                    want.setdefault((q, f), []).append((score if hamming else -score, p))
+        want = sorted((f, q, p, s if hamming else -s, n + 1) for (q, f), found in want.items() for n, (s, p) in enumerate(sorted(found)[:6]))
+        key = lambda d: sorted((r["family_id"], r["query_id"], r["protein_id"], r["score"] + 0.0, r["rank"]) for r in d.collect())
+        for many in (16, 1):
+            monkeypatch.setattr(B, "MANY", many)
+            one, parts = B.top(asked, rows, 6, hamming), B.top(asked, rows, 6, hamming, block=7)
+            assert key(one) == want and key(parts) == want
+            assert ("Window" in parts._jdf.queryExecution().executedPlan().toString()) == (many == 1)
+
+
 def test_norms_are_computed_once_a_row(spark):
     rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>")
     out = rows.select(V.normalized(F.col("v")).alias("v"))
