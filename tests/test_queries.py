@@ -126,7 +126,7 @@ def test_neighbours_of_a_node_are_not_sorted_again(spark):
 
 
 #: Queries of which matches are ranked where they are found, so that no window goes over them.
-RANKED = ["similarity_table", "search_stats", "top_matches"]
+RANKED = ["similarity_table", "search_stats", "top_matches", "knn_hybrid"]
 
 
 @pytest.mark.parametrize("name", RANKED)
@@ -134,7 +134,7 @@ def test_matches_are_ranked_where_they_are_found(spark, name):
     assert "Window" not in planned(spark, name)[1]
 
 
-@pytest.mark.parametrize("name", ["search_stats", "top_matches"])
+@pytest.mark.parametrize("name", ["search_stats", "top_matches", "knn_hybrid"])
 def test_vectors_of_a_search_are_moved_as_they_are_stored(spark, name):
     assert "lambda" not in planned(spark, name)[1]
 
