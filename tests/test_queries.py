@@ -126,7 +126,7 @@ def test_neighbours_of_a_node_are_not_sorted_again(spark):
 
 
 #: Queries of which matches are ranked where they are found, so that no window goes over them.
-RANKED = ["similarity_table", "search_stats", "top_matches", "knn_hybrid"]
+RANKED = ["similarity_table", "search_stats", "top_matches", "knn_hybrid", "search_status_totals"]
 
 
 @pytest.mark.parametrize("name", RANKED)
