@@ -80,7 +80,7 @@ def robust(pairs: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
 
 def robust_of(near: DataFrame, threshold: float = 0.5) -> DataFrame:
     # ranks fall with the weight, so a node's eligible neighbours come first; the first decides whether there are any
-    first = F.max("weight").over(Window.partitionBy("src", "graph"))  # the order in which searches leave their rows
+    first = F.max("weight").over(Window.partitionBy("src", "graph"))
     return undirected(near.withColumn("first", first).where((F.col("weight") >= threshold) | (F.col("first") < threshold)).drop("rank", "first"))
 
 
