@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 
 #: Values that one step of a search holds for all links at once.
 STEP = 16 << 20
+#: Nodes, over all sources that are followed at once, whose numbers of paths stay in the cache.
+STATES = 1 << 16
 
 
 class Links:
@@ -37,6 +39,15 @@ class Links:
         starts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1])
         return starts, to[starts], self.src[at]
 
+    def along(self, places: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of nodes that stand at ``places``, each in one of several stretches of all nodes: both ends' places."""
+        node = places % self.n
+        many = degree[node]
+        base = np.repeat(places - node, many) if len(places) and places[-1] >= self.n else 0
+        at = np.arange(many.sum())
+        at += np.repeat(self.starts[node] - np.cumsum(many) + many, many)
+        return np.repeat(places, many), self.src[at] + base
+
     def parts(self) -> np.ndarray:
         """The first node of each node's component."""
         label = np.arange(self.n)
@@ -92,41 +103,56 @@ def path_sums(key, q: pa.Table, t: pa.Table) -> pa.Table:
 
 def dependency_sums(key, q: pa.Table, t: pa.Table) -> pa.Table:
     """(graph, id, delta, seen, total, far): of each node Brandes' dependencies, the sources that reach it, and the sum and the
-    largest of their distances, from all sources of the block; columns of a matrix are sources."""
+    largest of their distances, from all sources of the block. A few sources at a time have a stretch of one array each, a step
+    goes along the links of the nodes met last, and the way back along those of them that led on: a link counts once for a source."""
     g = Links(t)
-    sources = _sources(g, q)
-    delta_sum, seen, total, far = np.zeros(g.n), *(np.zeros(g.n, dtype=np.int64) for _ in range(3))
-    width = max(1, min(64, STEP // max(1, len(g.src))))
+    n, sources, degree = g.n, _sources(g, q), np.diff(np.append(g.starts, len(g.src)))
+    delta_sum, seen, total, far = np.zeros(n), *(np.zeros(n, dtype=np.int64) for _ in range(3))
+    width = max(1, min(64, STATES // n))
     for s in range(0, len(sources), width):
         block = sources[s : s + width]
-        paths, dist = np.zeros((g.n, len(block))), np.full((g.n, len(block)), -1, dtype=np.int32)
-        paths[block, np.arange(len(block))] = 1
-        dist[block, np.arange(len(block))] = 0
-        front, levels = paths.copy(), []
+        size = n * len(block)
+        front = block + n * np.arange(len(block))
+        paths, dist, left = np.zeros(size), np.full(size, -1, dtype=np.int32), len(block) * len(g.src)
+        paths[front], dist[front] = 1, 0
+        levels, steps = [front], []
         while True:
-            active = front.any(axis=1)
-            levels.append(active)
-            starts, to, frm = g.some(active)
-            new = np.where(dist[to] < 0, np.add.reduceat(front[frm], starts, axis=0), 0.0)
-            if not new.any():
+            ahead = int(degree[front % n].sum())
+            left -= ahead
+            if ahead <= left:
+                frm, to = g.along(front, degree)
+                on = np.flatnonzero(dist[to] < 0)
+            else:  # nodes not met have fewer links than those met last
+                to, frm = g.along(np.flatnonzero(dist < 0), degree)
+                on = np.flatnonzero(dist[frm] == len(steps))
+            if not len(on):
                 break
-            front = np.zeros_like(paths)
-            front[to] = new
-            paths[to] += new
-            dist[to] = np.where(new > 0, len(levels), dist[to])
-        delta = np.zeros_like(paths)
-        for i in range(len(levels) - 1, 1, -1):
-            rows = np.flatnonzero(levels[i])
-            share = np.zeros_like(paths)
-            share[rows] = np.divide(1 + delta[rows], paths[rows], out=np.zeros((len(rows), len(block))), where=dist[rows] == i)
-            starts, to, frm = g.some(levels[i])
-            up = np.add.reduceat(share[frm], starts, axis=0)
-            delta[to] += np.where(dist[to] == i - 1, paths[to] * up, 0.0)
-        delta_sum += delta.sum(axis=1)
-        seen += (dist > 0).sum(axis=1)
-        total += np.maximum(dist, 0).sum(axis=1, dtype=np.int64)
-        far = np.maximum(far, dist.max(axis=1, initial=0))
-    return pa.table({"graph": _of(q, g.n), "id": g.ids, "delta": pa.array(delta_sum), "seen": pa.array(seen), "total": pa.array(total), "far": pa.array(far.astype(np.int32))})
+            frm, to = frm[on], to[on]
+            if len(to) < size >> 5:
+                front, at = np.unique(to, return_inverse=True)
+                paths[front] = np.bincount(at, paths[frm])
+            else:
+                sums = np.bincount(to, paths[frm], size)
+                front = np.flatnonzero(sums)
+                paths[front] = sums[front]
+            dist[front] = len(levels)
+            levels.append(front)
+            steps.append((frm, to))
+        delta, share = np.zeros(size), np.zeros(size)
+        for i in range(len(steps) - 1, 0, -1):
+            here, (frm, to), below = levels[i], steps[i], levels[i + 1]
+            share[below] = (1 + delta[below]) / paths[below]
+            if len(to) < size >> 5:
+                up = np.bincount(np.searchsorted(here, frm), share[to], len(here))
+            else:
+                up = np.bincount(frm, share[to], size)[here]
+            delta[here] = paths[here] * up
+        dist = dist.reshape(-1, n)
+        delta_sum += delta.reshape(-1, n).sum(axis=0)
+        seen += (dist > 0).sum(axis=0)
+        total += np.maximum(dist, 0).sum(axis=0, dtype=np.int64)
+        far = np.maximum(far, dist.max(axis=0))
+    return pa.table({"graph": _of(q, n), "id": g.ids, "delta": pa.array(delta_sum), "seen": pa.array(seen), "total": pa.array(total), "far": pa.array(far.astype(np.int32))})
 
 
 def combination(m: np.ndarray, scale: float, depth: int) -> np.ndarray:

@@ -23,7 +23,7 @@ STATE_ROWS = 50_000_000
 #: Links (both directions) of a graph that a task takes; the joins do any number.
 IN_TASK = 4_000_000
 #: Sources of a task's block for distances, and for dependencies.
-REACH, DEPEND = 2048, 512
+REACH, DEPEND = 2048, 1024
 #: Gains of modularity up to this count as none.
 _NONE = 1e-9
 
@@ -270,9 +270,12 @@ def eigenvector(edges: DataFrame, cycles: int = 8, tolerance: float = 1e-6, dept
     ``tolerance``, or after ``cycles``. If several components have the same main eigenvalue, each has its part of the start
     vector, which is even.
     """
-    ship(edges.sparkSession)
     work = Scratch(edges.sparkSession, "eigen")
-    links, large = _by_size(links_of(edges, work), work)
+    return _main_vectors(*_by_size(links_of(edges, work), work), work, cycles, tolerance, depth)
+
+
+def _main_vectors(links: DataFrame, large: DataFrame | None, work: Scratch, cycles: int = 8, tolerance: float = 1e-6, depth: int = 8) -> DataFrame:
+    ship(links.sparkSession)
     kind = dict(links.dtypes)
     found = apart(links, "graph").groupBy("graph").applyInArrow(T.main_vector(cycles, tolerance, depth), f"graph {kind['graph']}, id {kind['src']}, eigenvector double")
     return found if large is None else found.unionByName(_eigenvector(large, work, cycles, tolerance, depth))
@@ -323,7 +326,7 @@ def centralities(edges: DataFrame, sources: DataFrame | None = None, state_rows:
     all_ = reduce(DataFrame.unionByName, sums).groupBy("graph", "id").agg(F.sum("delta").alias("delta"), F.sum("seen").alias("seen"), F.sum("total").alias("total"), F.max("far").alias("far"))
     sizes = ends.groupBy("graph").agg(F.count("*").alias("n")).join(asked.groupBy("graph").agg(F.count("*").alias("m")), "graph")
     own = asked.withColumn("pivot", F.lit(1))
-    out = ends.join(sizes, "graph").join(all_, ["graph", "id"], "left").join(own, ["graph", "id"], "left").join(eigenvector(edges), ["graph", "id"])
+    out = ends.join(sizes, "graph").join(all_, ["graph", "id"], "left").join(own, ["graph", "id"], "left").join(_main_vectors(links, large, work), ["graph", "id"])
     others = F.greatest(F.lit(1), F.col("m") - F.coalesce("pivot", F.lit(0)))
     between = F.coalesce("delta", F.lit(0.0)) * F.col("n") / F.col("m") / F.greatest(F.lit(1), (F.col("n") - 1) * (F.col("n") - 2))
     close = F.when(F.col("total") > 0, F.col("seen") / F.col("total") * (F.col("seen") / others)).otherwise(0.0)

@@ -69,6 +69,19 @@ def test_centralities_and_paths_are_the_dense_ones(spark):
         assert (path["largest"], path["avg_path"], path["diameter"]) == (len(inner), pytest.approx(inner.sum() / max(1, len(inner) * (len(inner) - 1))), inner.max())
 
 
+def test_centralities_compute_edges_once(spark):
+    """What finds the edges runs once."""
+    pairs, seen = random_graph(6, 200, 6), spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for t in parts:
+            seen.add(len(t))
+            yield t
+
+    got = N.centralities(frame(spark, g=pairs).mapInPandas(counted, EDGES)).collect()
+    assert len(got) == len({v for p in pairs for v in p}) and seen.value == len(pairs)
+
+
 def test_pivots_estimate_graphs_of_any_size(spark):
     """More nodes than a task would take whole; the pivots' rows only."""
     n = G.WHOLE + 1000
