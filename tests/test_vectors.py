@@ -434,6 +434,9 @@ def test_rows_are_sent_for_few_blocks(spark):
     noop = lambda d: d.write.format("noop").mode("overwrite").save()
     assert moved(spark, lambda: noop(B.near_pairs(df, 0.5, 16)[0])) < 12 * bytes_
     assert moved(spark, lambda: noop(B.pairs(df, 0.9))) < 4 * bytes_
+    # a row goes to four blocks at most until they hold 16,384, in the type in which it is stored
+    stored = Scratch(spark, "stored").table(df.withColumn("v", F.col("v").cast("array<float>")), "rows")
+    assert moved(spark, lambda: noop(B.pairs(stored, 0.9, block=512))) < 5 * bytes_ / 2
     exact = B.cosines(v[:40], v)
     asked = df.where("protein_id < 40").select(F.col("protein_id").alias("query_id"), "family_id", F.col("v").alias("q"))
     got = {(r["query_id"], r["rank"]): (r["protein_id"], r["score"]) for r in B.top(asked, df, 5).collect()}
