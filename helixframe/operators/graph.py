@@ -7,14 +7,17 @@ measures of ``networks``, in tasks for graphs that fit them; layouts, trimming a
 from __future__ import annotations
 
 import heapq
+import tempfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, apart, ship
 from . import blocks
+from . import graphs_in_tasks as T
 from .networks import centralities, communities, eigenvector, path_lengths, path_sketch  # noqa: F401  graph measures of any size
 
 
@@ -220,7 +223,9 @@ def node_payload(nodes: DataFrame, edges: DataFrame, parts: DataFrame, queries:
     return out.select("graph", "id", shown(name).alias("name"), shown(function).alias("function"), *fields, "component", F.coalesce("component_size", F.lit(1)).alias("component_size"), "degree", is_query.alias("is_query"), F.when(is_query, 1.0).otherwise(F.col("similarity")).alias("similarity"), kind.alias("class"), *style)
 
 
-#: Nodes of a graph that is laid out in one task (a few matrices of nodes x nodes, some 1 GB), rows of a group that is clustered
+#: The share of its energy that the last step of a layout by rows takes off at most.
+SETTLED = 1e-5
+#: Nodes of a graph that is laid out in memory (a few matrices of nodes x nodes, some 1 GB), rows of a group that is clustered
 #: (memory in proportion to the rows, time to their square) and rows up to which that is done by a table of all distances.
 WHOLE, CLUSTERED, TABLE = 5_000, 1_000_000, 2_000
 
@@ -262,6 +267,9 @@ def _distances(a: np.ndarray) -> np.ndarray:
 
 def _layout(pdf: pd.DataFrame) -> pd.DataFrame:
     """Places in the plane whose distances come near to the weighted path lengths (Kamada and Kawai's energy), by majorisation."""
+    ids = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
+    if len(ids) > WHOLE:
+        return _placed(pdf["graph"].iloc[0], ids, _places_by_rows(pdf, ids))
     ids, a = _adjacency(pdf)
     n = len(ids)
     d = _distances(a)
@@ -294,14 +302,76 @@ def _layout(pdf: pd.DataFrame) -> pd.DataFrame:
         x = new
         if done:
             break
-    x -= x.mean(axis=0)
+    return _placed(pdf["graph"].iloc[0], ids, x)
+
+
+def _placed(graph, ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+    x = x - x.mean(axis=0)
     x /= np.abs(x).max(initial=0) or 1
-    return pd.DataFrame({"graph": pdf["graph"].iloc[0], "id": ids, "x": x[:, 0], "y": x[:, 1]})
+    return pd.DataFrame({"graph": graph, "id": ids, "x": x[:, 0], "y": x[:, 1]})
+
+
+def _places_by_rows(pdf: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
+    """Places of nodes by the energy of all pairs, of which a task holds a few rows at a time.
+
+    Path lengths of all pairs go to a file of the task's own temporary folder, in single precision, and a step reads them once. A step
+    moves each node to the best place by its own majorised energy; as twice the diagonal is over the whole matrix of weights, no
+    step adds energy. It ends when a step takes off less than ``SETTLED`` of it.
+    """
+    i, j = (np.searchsorted(ids, pdf[c].to_numpy()) for c in ("src", "dst"))
+    real = (i != j) & (pdf["weight"].to_numpy() != 0)
+    length = np.maximum(0.1, 1 - pdf["weight"].to_numpy()[real])
+    lone = np.setdiff1d(np.arange(len(ids)), np.concatenate([i[real], j[real]]))  # they keep their place by a link of no use
+    near = T.Near(T.Links(pa.table({"src": np.concatenate([i[real], lone]), "dst": np.concatenate([j[real], lone]), "w": np.concatenate([length, np.full(len(lone), np.inf)])})))
+    n, far = len(ids), 0.0
+    rows = max(1, (1 << 17) // n)
+    parts = [(s, min(s + rows, n)) for s in range(0, n, rows)]
+    with tempfile.TemporaryFile() as file:
+
+        def read(s: int, e: int) -> np.ndarray:
+            file.seek(4 * n * s)
+            return np.frombuffer(bytearray(file.read(4 * n * (e - s))), dtype=np.float32).reshape(e - s, n)
+
+        for s in range(0, n, 64):
+            d = near.distances(np.arange(s, min(s + 64, n)))
+            far = max(far, d[np.isfinite(d)].max(initial=0))
+            file.write(np.ascontiguousarray(d.T, dtype=np.float32))
+        far = far or 1.0
+        total = np.empty(n)
+        for s, e in parts:  # from here on the file holds the pulls: weights times lengths
+            pull = read(s, e)
+            pull[np.isinf(pull)] = 2 * far
+            np.divide(1, pull, out=pull, where=pull > 0)
+            file.seek(4 * n * s)
+            file.write(pull)
+            total[s:e] = np.square(pull).sum(axis=1, dtype=np.float64)
+        angle = 2 * np.pi * near.order / n
+        x, before = far * np.stack([np.cos(angle), np.sin(angle)], axis=1), np.inf
+        for _ in range(1000):
+            at, aim, mean = x.astype(np.float32), np.empty_like(x), np.empty_like(x)
+            across, up = np.ascontiguousarray(at[:, 0]), np.ascontiguousarray(at[:, 1])
+            for s, e in parts:
+                pull, a, b = read(s, e), across[s:e, None] - across, up[s:e, None] - up
+                gap = a * a
+                gap += b * b
+                np.sqrt(gap, out=gap)
+                np.maximum(gap, 1e-12, out=gap)
+                np.divide(pull, gap, out=gap)
+                aim[s:e, 0], aim[s:e, 1] = np.einsum("ij,ij->i", gap, a), np.einsum("ij,ij->i", gap, b)
+                mean[s:e] = np.multiply(pull, pull, out=pull) @ at
+            held = total[:, None] * x - mean
+            energy = n * (n - 1) - 4 * (x * aim).sum() + 2 * (x * held).sum()
+            if before - energy <= SETTLED * abs(energy):
+                break
+            x, before = x + (aim - held) / total[:, None], energy
+    out = np.empty_like(x)
+    out[near.order] = x
+    return out
 
 
 def layout(edges: DataFrame) -> DataFrame:
-    """Places (graph, id, x, y) from -1 to 1 of all nodes with edges; an edge's length is max(0.1, 1 - weight). Graphs of more
-    than ``WHOLE`` nodes are refused."""
+    """Places (graph, id, x, y) from -1 to 1 of all nodes with edges; an edge's length is max(0.1, 1 - weight). A graph is one
+    task's work, in memory or, of more than ``WHOLE`` nodes, row by row from a file of 4 bytes for each pair of nodes."""
     ship(edges.sparkSession)
     kind = dict(edges.dtypes)
     return apart(edges.select("graph", "src", "dst", "weight"), "graph").groupBy("graph").applyInPandas(_layout, f"graph {kind['graph']}, id {kind['src']}, x double, y double")

@@ -6,6 +6,8 @@ sources, so a graph's sources spread over tasks. ``networks`` decides which grap
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,8 @@ import pyarrow.compute as pc
 STEP = 16 << 20
 #: Nodes, over all sources that are followed at once, whose numbers of paths stay in the cache.
 STATES = 1 << 16
+#: Values of nodes that are compared at once, and neighbours of a node that are compared by themselves.
+CACHED, HUB = 16 << 10, 64
 
 
 class Links:
@@ -60,6 +64,66 @@ class Links:
             label = low
 
 
+class Near:
+    """Neighbours of the nodes of ``links``, numbered anew so that degrees fall: of any ascending nodes those that have a k-th
+    neighbour come first, so values of neighbours (rows of a matrix) are compared by whole rows, without a table of all links."""
+
+    def __init__(self, links: Links):
+        degree = np.diff(np.append(links.starts, len(links.src)))
+        self.order = np.argsort(-degree, kind="stable")
+        self.place = np.empty_like(self.order)
+        self.place[self.order] = np.arange(links.n)
+        self.n, self.degree, self.first, self.next = links.n, degree[self.order], links.starts[self.order], self.place[links.src]
+        self.w = links.w
+
+    def around(self, rows: np.ndarray) -> np.ndarray:
+        """The neighbours of some nodes, ascending."""
+        far = self.degree[rows]
+        at = np.arange(far.sum()) + np.repeat(self.first[rows] - np.cumsum(far) + far, far)
+        mark = np.zeros(self.n, dtype=bool)
+        mark[self.next[at]] = True
+        return np.flatnonzero(mark)
+
+    def pieces(self, rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
+        """Ascending nodes in parts whose values, ``width`` each, stay in the cache."""
+        size = max(1, CACHED // max(1, width))
+        return (rows[i : i + size] for i in range(0, len(rows), size))
+
+    def least(self, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Of each node its own values or, where less, those of a neighbour and the link's ``w``."""
+        out = values[rows]
+        first, hubs = self.first[rows], int(np.searchsorted(-self.degree[rows], -HUB))
+        for i in range(hubs):
+            at = slice(first[i], first[i] + self.degree[rows[i]])
+            np.minimum(out[i], (values[self.next[at]] + self.w[at, None]).min(axis=0), out=out[i])
+        for k, end in self._ends(rows, hubs):
+            at = first[hubs:end] + k
+            step = values[self.next[at]]
+            step += self.w[at, None]
+            np.minimum(out[hubs:end], step, out=out[hubs:end])
+        return out
+
+    def _ends(self, rows: np.ndarray, hubs: int) -> Iterator[tuple[int, int]]:
+        """For each k the end of the nodes, after the hubs, that have a k-th neighbour."""
+        if hubs < len(rows):
+            most = int(self.degree[rows[hubs]])
+            yield from enumerate(np.searchsorted(-self.degree[rows], -np.arange(most), side="left").tolist())
+
+    def distances(self, sources: np.ndarray) -> np.ndarray:
+        """Lengths of the shortest paths to all nodes (rows) from some (columns); only neighbours of nodes that came nearer are seen again."""
+        out = np.full((self.n, len(sources)), np.inf)
+        out[sources, np.arange(len(sources))] = 0
+        moved = np.sort(sources)
+        while len(moved):
+            found = []
+            for some in self.pieces(self.around(moved), len(sources)):
+                new = self.least(out, some)
+                found.append(some[(new < out[some]).any(axis=1)])
+                out[some] = new
+            moved = np.concatenate(found)
+        return out
+
+
 def _sources(links: Links, q: pa.Table) -> np.ndarray:
     return np.sort(pc.index_in(q.column("id").combine_chunks(), links.ids).to_numpy(zero_copy_only=False).astype(np.int64))
 

@@ -499,6 +499,35 @@ def test_distances_and_places_of_a_layout():
         assert energy(x + rng.normal(size=x.shape) * 1e-3) > energy(x)
 
 
+def test_layout_of_a_graph_that_is_not_held_whole(monkeypatch):
+    """Path lengths from a few sources, and places by rows whose energy is that of places in memory; lone nodes, too."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    pairs = np.unique(np.sort(rng.integers(0, 200, size=(400, 2)), axis=1), axis=0)
+    pairs = np.concatenate([pairs[pairs[:, 0] != pairs[:, 1]], [[0, i] for i in range(300, 400)], [[500, 501], [600, 601]]])
+    pdf = pd.DataFrame({"graph": "g", "src": pairs[:, 0], "dst": pairs[:, 1], "weight": rng.uniform(0.1, 1, len(pairs))}).drop_duplicates(["src", "dst"])
+    pdf.loc[pdf["src"] == 600, "weight"] = 0.0
+    ids, a = G._adjacency(pdf)
+    d = G._distances(a)
+    linked = pdf[pdf["weight"] != 0]
+    near = G.T.Near(G.T.Links(G.pa.table({"src": linked["src"].to_numpy(), "dst": linked["dst"].to_numpy(), "w": np.maximum(0.1, 1 - linked["weight"].to_numpy())})))
+    real = np.isin(ids, linked[["src", "dst"]])
+    assert near.distances(np.arange(7)) == pytest.approx(d[real][:, real][np.ix_(near.order, near.order[:7])])
+    d[np.isinf(d)] = 2 * d[np.isfinite(d)].max()
+    w = np.divide(1.0, d**2, out=np.zeros(d.shape), where=d > 0)
+
+    def energy(out):
+        assert out["id"].tolist() == ids.tolist() and np.isfinite(out[["x", "y"]].to_numpy()).all()
+        x = out[["x", "y"]].to_numpy()
+        gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        return (w * ((w * d * gap).sum() / (w * gap**2).sum() * gap - d) ** 2).sum()
+
+    held = energy(G._layout(pdf))
+    monkeypatch.setattr(G, "WHOLE", 100)
+    assert energy(G._layout(pdf)) == pytest.approx(held, rel=0.05)
+
+
 def test_few_scores_are_kept_of_copies_and_long_blocks(monkeypatch):
     """A tile does not grow with the searched rows, and of many equal rows only those that can be among the best are scored."""
     r = np.random.default_rng(7)
